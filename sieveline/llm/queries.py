@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import language_id
 from .minhash import near_duplicates
 from .phrases import substring_dedup
 
@@ -22,8 +23,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), w=2, percent=80).drop("k")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op8_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_substring_dedup, op8_minhash_near_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
