@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .langid import language_id
 from .minhash import near_duplicates
 from .phrases import substring_dedup
+from .sstable import read_token_ids, write_token_ids
+from .tokencount import token_counts
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is on this machine; every executor has the same files."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +28,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), n=20, texts=False)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
+
+
+def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_ids(write_token_ids(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), w=2, percent=80).drop("k")
 
@@ -28,7 +45,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op8_minhash_near_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op2_substring_dedup, op4_token_counts, op7_token_id_output, op8_minhash_near_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
