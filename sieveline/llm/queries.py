@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import secrets
 from .langid import language_id
 from .minhash import near_duplicates
 from .phrases import substring_dedup
@@ -24,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(_table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), n=20, texts=False)
 
@@ -45,8 +50,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_token_counts, op7_token_id_output, op8_minhash_near_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op4_token_counts, op7_token_id_output, op8_minhash_near_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secret_scan": secrets.oracle_sql()}
