@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import secrets
 from .langid import language_id
+from .licenses import license_scan
 from .minhash import near_duplicates
 from .phrases import substring_dedup
 from .sstable import read_token_ids, write_token_ids
@@ -33,6 +34,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), n=20, texts=False)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
@@ -50,7 +55,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op4_token_counts, op7_token_id_output, op8_minhash_near_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_license_scan, op4_token_counts, op7_token_id_output, op8_minhash_near_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
