@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import secrets
+from .bpe import encode_decode_digests
 from .langid import language_id
 from .licenses import license_scan
 from .minhash import near_duplicates
@@ -42,6 +43,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode_digests(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_ids(write_token_ids(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0))
 
@@ -55,7 +60,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_license_scan, op4_token_counts, op7_token_id_output, op8_minhash_near_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_license_scan, op4_token_counts, op5_bpe_codec, op7_token_id_output, op8_minhash_near_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
