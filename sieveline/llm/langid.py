@@ -170,28 +170,39 @@ def learn(labelled: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     return langs, np.array(protos, np.float32).reshape(len(langs), dim)
 
 
-def _predict(langs: list[str], protos: np.ndarray):
+def _predict(langs: list[str], protos: np.ndarray, names: list[str]):
+    """Adds a prediction and its score, named last, to every row; the text is the first column."""
+
     def run(batches):
         vectors = Vectors(protos.shape[1] if len(langs) else DIM)
         letters = _letters()
         for b in batches:
             pred, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
             if langs:
-                for i, v in bundles(b.column(1), vectors):
+                for i, v in bundles(b.column(0), vectors):
                     cos = v @ protos.T
                     best = cos.argmax(axis=1)
                     for d in np.flatnonzero(v.any(axis=1)):
                         pred[i + d] = langs[best[d]]
                         score[i + d] = min(1.0, max(0.0, float(cos[d, best[d]])))
                 # A text of one letter has n-grams only with the blanks around it, or none: it still gets a language.
-                for d, (p, text) in enumerate(zip(pred, b.column(1), strict=True)):
-                    if p == "und" and any(letters[ord(c)] for c in text.as_py() or ""):
+                for d, p in enumerate(pred):
+                    if p == "und" and any(letters[ord(c)] for c in b.column(0)[d].as_py() or ""):
                         pred[d] = langs[0]
-            yield pa.record_batch([b.column(0), pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.record_batch([*b.columns[1:], pa.array(pred), pa.array(score)], names)
 
     return run
 
 
+def with_language(rows: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
+    """The rows, with the predicted language of their text as _lang and its cosine as _score."""
+    names = [f"c{i}" for i in range(len(rows.columns))] + ["_lang", "_score"]
+    kinds = [t for _, t in rows.dtypes] + ["string", "double"]
+    flat = rows.select(F.col("text").cast("string").alias("t"), *[F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, names, strict=False)])
+    out = flat.mapInArrow(_predict(langs, protos, names), ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True)))
+    return out.toDF(*rows.columns, "_lang", "_score")
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -210,5 +221,5 @@ def language_id(documents: DataFrame, training: DataFrame | None = None, dim: in
         training = documents.filter(~held_out(F.col("doc_id"))).select("text", "lang")
     langs, protos = learn(training, dim)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_predict(langs, protos), "doc_id bigint, lang_pred string, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    out = with_language(rows, langs, protos)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))

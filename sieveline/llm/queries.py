@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import secrets
 from .bpe import encode_decode_digests
+from .decontam import decontaminate
 from .langid import language_id
 from .licenses import license_scan
 from .minhash import near_duplicates
@@ -59,8 +60,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_license_scan, op4_token_counts, op5_bpe_codec, op7_token_id_output, op8_minhash_near_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_license_scan, op4_token_counts, op5_bpe_codec, op7_token_id_output, op8_minhash_near_dedup, op9_language_id, op10_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
