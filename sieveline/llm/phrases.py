@@ -12,13 +12,16 @@ Which runs of ``n`` consecutive words also start earlier in the corpus is found
    their words.  All windows of a segment that has been seen before have been
    seen before; only the first of equal segments is looked at further, and
    only where unequal segments share the anchor.
-3. Automata.  The windows of those segments are counted; the ones that recur
-   are the confirmed phrases.  They are dealt to shards by hash, and each
-   shard compiles them to Aho-Corasick automata of bounded size, through which
-   the texts of all candidate windows of the shard are streamed.  A phrase and
-   its text must be found by the automaton; hashes alone remove nothing here.
-   A phrase with very many places is copied to several shards, and the places
-   are split among them.
+3. Automata.  Those segments go, whole, to shards by anchor.  A shard takes
+   its segments in batches of whole anchors and bounded size: the windows that
+   occur twice in a batch are its confirmed phrases, they are compiled to an
+   Aho-Corasick automaton, and all texts of the batch are streamed through it
+   to locate every place.  (Within a batch each distinct word is coded as two
+   characters, so a phrase is a path of 2n nodes.)  An anchor with more than
+   ``KINDS`` unequal segments, such as the edge of a passage that a third of
+   all documents share, is dealt out window by window instead: a phrase goes
+   to a shard by its own hash, its places are split over copies of it, and
+   again an automaton finds each phrase in its places.
 4. Every place of a phrase but its first is covered; covered words go.
 
 Work and shuffled bytes grow in proportion to the corpus: automata only see
@@ -38,8 +41,12 @@ from pyspark.sql import functions as F
 from ._common import keyed, partitions, saved
 from ._text import shingle_hashes, signed, sliding_min, slices, span_hashes, text_buffers, word_hashes, words
 
+#: Unequal segments of one anchor that one task takes together.
+KINDS = 2000
 #: Places of one phrase that go to one shard.
 PLACES = 4000
+#: Words of texts after which a batch ends with its anchor.
+BATCH_WORDS = 60_000
 #: Characters of phrases compiled into one automaton.
 AUTOMATON_CHARS = 4_000_000
 
@@ -130,6 +137,103 @@ def _windows(n: int):
     return run
 
 
+def _texts(n: int):
+    """(k, text, segs) to one row for each segment, with its words joined by one space."""
+
+    def run(batches):
+        for b in batches:
+            rows, lo, anchors, texts = [], [], [], []
+            for row, (text, segs) in enumerate(zip(b.column(1).cast(pa.large_binary()), b.column(2), strict=True)):
+                w = _split(text.as_py() or b"")
+                for s in segs.as_py():
+                    rows.append(row)
+                    lo.append(s["lo"])
+                    anchors.append(s["a"])
+                    texts.append(b" ".join(w[s["lo"] : s["lo"] + s["count"] + n - 1]).decode())
+            if rows:
+                yield pa.record_batch([b.column(0).take(pa.array(rows)), pa.array(lo, pa.int32()), pa.array(anchors, pa.int64()), pa.array(texts)], ["k", "lo", "a", "text"])
+
+    return run
+
+
+def _later_places(texts: list[str], order: list, n: int) -> Iterator[tuple[int, int]]:
+    """(text, window) for every place of a confirmed phrase but its first, of texts in their order in the corpus."""
+    import ahocorasick
+
+    code: dict[str, str] = {}
+    coded = []
+    for t in texts:
+        out = []
+        for w in t.split(" "):
+            c = code.get(w)
+            if c is None:
+                c = code[w] = chr(0x100 + len(code) // 256) + chr(len(code) % 256)
+            out.append(c)
+        coded.append("".join(out))
+    seen: set[str] = set()
+    phrases: set[str] = set()
+    for c in coded:
+        for i in range(0, len(c) - 2 * n + 1, 2):
+            p = c[i : i + 2 * n]
+            if p in seen:
+                phrases.add(p)
+            else:
+                seen.add(p)
+    if not phrases:
+        return
+    del seen
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, p in enumerate(phrases):
+        automaton.add_word(p, i)
+    automaton.make_automaton()
+    met = bytearray(len(phrases))
+    for x in sorted(range(len(texts)), key=order.__getitem__):
+        for end, i in automaton.iter(coded[x]):
+            # Phrases begin on a word, whose first character no second one equals.
+            if met[i]:
+                yield x, (end + 1) // 2 - n
+            met[i] = 1
+
+
+def _locate_by_anchor(n: int):
+    """Rows (a, k, lo, text) in the order of a; yields the places (k, start) that are not the first."""
+
+    def order(k) -> tuple:
+        return tuple(k.values()) if isinstance(k, dict) else (k,)
+
+    def run(batches):
+        texts: list[str] = []
+        keys: list = []
+        lo: list[int] = []
+        words_ = 0
+        last = None
+        schema = None
+
+        def done():
+            nonlocal words_
+            at = list(_later_places(texts, [(*order(k), x) for k, x in zip(keys, lo, strict=True)], n))
+            if at:
+                out = pa.record_batch([pa.array([keys[x] for x, _ in at], schema), pa.array([lo[x] + i for x, i in at], pa.int32())], ["k", "start"])
+            texts.clear(), keys.clear(), lo.clear()
+            words_ = 0
+            return [out] if at else []
+
+        for b in batches:
+            schema = b.column(1).type
+            for a, k, x, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if a != last and words_ >= BATCH_WORDS:
+                    yield from done()
+                last = a
+                texts.append(t)
+                keys.append(k)
+                lo.append(x)
+                words_ += t.count(" ") + 1
+        if texts:
+            yield from done()
+
+    return run
+
+
 def _locate(rows: Iterator[pa.RecordBatch]):
     """Rows (shard, block, kind, ...) in order: the phrases of a block (kind 0), then its places (kind 1).
 
@@ -182,9 +286,19 @@ def repeated_spans(docs: DataFrame, n: int = 20, k: int = 6) -> DataFrame:
     spans = again.select("k", F.col("lo").alias("start"), (F.col("lo") + F.col("count") + F.lit(n - 1)).alias("stop"))
 
     # The rest: unequal segments that share an anchor, or hold one twice.
-    mixed = segs.groupBy("a").agg(F.count("*").alias("kinds"), F.max("rep").alias("rep")).filter("kinds > 1 OR rep").select("a")
-    todo = segs.join(mixed, "a").groupBy(F.col("first.k").alias("k")).agg(F.collect_list(F.struct(F.col("first.lo").alias("lo"), "count")).alias("segs"))
-    windows = docs.select("k", "text").join(todo, "k").select("k", "text", "segs").mapInArrow(_windows(n), f"k {key}, start int, w bigint, phrase string")
+    mixed = segs.groupBy("a").agg(F.count("*").alias("kinds"), F.max("rep").alias("rep")).filter("kinds > 1 OR rep").select("a", "kinds")
+    todo = saved(segs.join(mixed, "a").select("a", "kinds", "first", "count"), "mixed-segments")
+    few, many = todo.filter(F.col("kinds") <= KINDS), todo.filter(F.col("kinds") > KINDS)
+
+    per_doc = few.groupBy(F.col("first.k").alias("k")).agg(F.collect_list(F.struct(F.col("first.lo").alias("lo"), "count", "a")).alias("segs"))
+    texts = docs.select("k", "text").join(per_doc, "k").select("k", "text", "segs").mapInArrow(_texts(n), f"k {key}, lo int, a bigint, text string")
+    by_anchor = texts.select("a", "k", "lo", "text").repartition("a").sortWithinPartitions("a").mapInArrow(_locate_by_anchor(n), f"k {key}, start int")
+    spans = spans.unionByName(by_anchor.select("k", "start", (F.col("start") + F.lit(n)).alias("stop")))
+    if many.isEmpty():
+        return spans
+
+    per_doc = many.groupBy(F.col("first.k").alias("k")).agg(F.collect_list(F.struct(F.col("first.lo").alias("lo"), "count")).alias("segs"))
+    windows = docs.select("k", "text").join(per_doc, "k").select("k", "text", "segs").mapInArrow(_windows(n), f"k {key}, start int, w bigint, phrase string")
     windows = saved(windows, "windows")
     phrases = windows.groupBy("w").agg(F.min(F.struct("k", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     known = windows.join(phrases, "w")
