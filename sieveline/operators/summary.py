@@ -48,3 +48,45 @@ def scaffold_clusters(df: DataFrame, key: str, empty: str = "group") -> DataFram
         k = F.when(F.col("key") == "", own).otherwise(k)
     ids = df.select(k.alias("_k")).distinct().withColumn("cluster", F.row_number().over(Window.orderBy("_k")) - 1)
     return df.withColumn("_k", k).join(ids, "_k").select(key, F.col("cluster").cast("bigint").alias("cluster"))
+
+
+def stratified(df: DataFrame, strata: list[str], value: str, below: float) -> DataFrame:
+    """Rows, median and share below a limit by every stratum and over all: grouping sets, one pass."""
+    return df.cube(*strata).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median"), F.avg((F.col(value) < below).cast("int")).alias("share_below"))
+
+
+def spread(df: DataFrame, by: str, value: str) -> DataFrame:
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.95).alias("p95"), F.max(value).alias("largest"))
+
+
+def ecdf(df: DataFrame, value: str) -> DataFrame:
+    """(value, at_most, at_least): shares of rows, from counts per value."""
+    n = df.groupBy(value).agg(F.count("*").alias("n"))
+    total = df.agg(F.count(value).alias("total"))
+    run = F.sum("n").over(Window.orderBy(value))
+    rows = n.withColumn("run", run).crossJoin(F.broadcast(total))
+    return rows.select(value, (F.col("run") / F.col("total")).alias("at_most"), ((F.col("total") - F.col("run") + F.col("n")) / F.col("total")).alias("at_least"))
+
+
+def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
+    """Bins of a fixed width with their density."""
+    total = df.agg(F.count(value).alias("total"))
+    bins = df.groupBy(F.floor(F.col(value) / width).alias("bin")).agg(F.count("*").alias("n"))
+    return bins.crossJoin(F.broadcast(total)).select("bin", "n", (F.col("n") / F.col("total") / width).alias("density"))
+
+
+def shares(df: DataFrame, by: str) -> DataFrame:
+    total = df.agg(F.count("*").alias("total"))
+    return df.groupBy(by).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select(by, "n", (F.col("n") / F.col("total")).alias("share"))
+
+
+def exact_values(df: DataFrame, value: str, at: list[float]) -> DataFrame:
+    """How many rows lie exactly on each value, compared as 32-bit floats."""
+    return df.agg(*[F.count_if(F.col(value).cast("float") == F.lit(x).cast("float")).alias(f"at_{x:g}") for x in at])
+
+
+def markdown(rows: list, columns: list[str]) -> str:
+    """A table; floats with four significant digits, nulls empty."""
+    cell = lambda v: "" if v is None or v != v else f"{v:.4g}" if isinstance(v, float) else str(v)
+    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    return "\n".join(lines + ["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in rows])

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import contact_queries, selection_queries
+from . import contact_queries, report_queries, selection_queries, split_queries
 
-MODULES = (contact_queries, selection_queries)
+MODULES = (contact_queries, selection_queries, split_queries, report_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.Q.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.O.items()}
