@@ -1,0 +1,66 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from sieveline.llm import simjoin
+
+
+def brute(rows, c=0.95):
+    ok = {}
+    for n, (i, v) in enumerate(rows):
+        if v and all(x is not None for x in v) and np.isfinite(v).all() and np.any(v):
+            ok[n] = np.array(v, float)
+    near = {n: [m for m in ok if m != n and len(ok[m]) == len(ok[n]) and ok[m] @ ok[n] / np.sqrt((ok[m] @ ok[m]) * (ok[n] @ ok[n])) >= c] if n in ok else [] for n in range(len(rows))}
+    out = []
+    for n, (i, _) in enumerate(rows):
+        seen, todo = {n}, [n]
+        while todo:
+            for m in near[todo.pop()]:
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        out.append((i, len(near[n]), min(rows[m][0] for m in seen)))
+    return sorted(out)
+
+
+def test_pigeonhole_join(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "CHUNK", 16)
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.standard_normal(20).tolist()) for i in range(60)]
+    for i in range(60, 160):  # chains of neighbours, some at the very threshold
+        v = np.array(rows[int(rng.integers(0, i))][1])
+        rows.append((i, (v + rng.standard_normal(20) * np.linalg.norm(v) * rng.choice([0.03, 0.07, 0.08])).tolist()))
+    rows += [(200, rows[0][1]), (201, (np.array(rows[0][1]) * 3).tolist()), (202, None), (203, []), (204, [0.0] * 20), (205, [None] * 20), (206, [float("nan")] * 20), (207, [1.0, 2.0]), (208, [1.0, 2.1]), (209, [3.0]), (210, [-3.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, k string")
+    got = simjoin.similar_vectors(df).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute(rows)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+    assert simjoin.similar_vectors(df.limit(0)).count() == 0
+
+
+def test_repeated_and_missing_ids(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 0.01])], "vec_id long, embedding array<double>")
+    assert sorted((r["vec_id"] or -1, r["n_links"]) for r in simjoin.similar_vectors(df).collect()) == [(-1, 2), (1, 0), (1, 2), (1, 2)]
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    junk = docs.limit(1).withColumn("doc_id", F.lit(10**6).cast("bigint")).withColumn("text", F.lit("12 34 --"))
+    leak = docs.limit(1).withColumn("doc_id", F.lit(10**6 + 1).cast("bigint")).withColumn("text", F.concat(F.lit("clean words here "), F.lit(spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"])))
+    secret = docs.limit(1).withColumn("doc_id", F.lit(10**6 + 2).cast("bigint")).withColumn("text", F.lit("uno dos tres password=hunter2hunter2 cuatro"))
+    rows = docs.unionByName(junk).unionByName(leak).unionByName(secret)
+    kept = {}
+    for name, stage in C.STAGES:
+        rows = C.saved(stage(spark, rows, sf), name)
+        kept[name] = {r["doc_id"] for r in rows.select("doc_id").collect()}
+        if name != C.STAGES[-1][0]:
+            assert rows.columns == docs.columns
+        if name == "secret_removal":
+            assert rows.filter(f"doc_id = {10**6 + 2}").first()["text"] == "uno dos tres [SECRET] cuatro"
+    assert 10**6 not in kept["language"] and len(kept["language"]) == docs.count() + 2
+    assert 10**6 + 1 in kept["near_dedup"] and 10**6 + 1 not in kept["decontamination"]
+    assert kept["secret_removal"] == kept["decontamination"] == kept["tokens"]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len({texts[i] for i in kept["near_dedup"] if i in texts}) == sum(i in texts for i in kept["near_dedup"])
+    assert len(kept["decontamination"]) > 0.8 * len(kept["language"])
