@@ -12,6 +12,7 @@ from .decontam import decontaminate
 from .langid import language_id
 from .licenses import license_scan
 from .minhash import near_duplicates
+from .oracles import ORACLES
 from .phrases import substring_dedup
 from .simjoin import similar_vectors
 from .sstable import read_token_ids, write_token_ids
@@ -80,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.oracle_sql()}
+    return dict(ORACLES)
