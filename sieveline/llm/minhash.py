@@ -23,17 +23,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import components, keyed, saved
 from ._text import LOWER, mix, shingle_hashes, signed, slices, span_hashes, text_buffers, word_hashes, words
 
 BINS, BANDS = 512, 64
-#: Members that are compared with one hub in one task.
-MEMBERS = 256
-#: Hubs a bucket has in each round after the first.
-HUBS = 16
+#: Members that are compared with one hub in one task; and of a chunk of a large bucket.
+MEMBERS = 512
+#: Members of a bucket whose remaining pairs are looked at one by one; larger ones are taken in blocks.
+SMALL = 48
 
 _U = np.uint64
 
@@ -152,6 +152,69 @@ def _verified(pairs: DataFrame, nodes: DataFrame, w: int, percent: int, key: str
     return rows.mapInArrow(_confirm(w, percent), f"a {key}, b {key}")
 
 
+def _block_links(w: int, percent: int):
+    """The members of two chunks of a bucket (or one) to links between components, one for each that joins two groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        text = table.column("text").combine_chunks()
+        sets = [u for _, u in shingle_sets(text, w)]
+        size = np.array([len(u) for u in sets])
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(n), size)
+        values, column, df = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = df[column] > 1
+        row, column = row[shared], np.cumsum(df > 1)[column[shared]] - 1
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((n, n), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            x, y = np.searchsorted(column, [lo, lo + 4096])
+            m = np.zeros((n, 4096), np.float32)
+            m[row[x:y], column[x:y] - lo] = 1
+            both += m @ m.T
+        ok = 100 * both >= percent * (size[:, None] + size - both)
+        chunk = table.column("chunk").to_numpy()
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        ok &= (chunk == a)[:, None] & (chunk == b)
+        parent: dict[int, int] = {}
+        codes: dict = {}
+        own = [codes.setdefault(str(c), len(codes)) for c in table.column("component").to_pylist()]
+
+        def find(i: int) -> int:
+            while parent.setdefault(i, i) != i:
+                i = parent[i]
+            return i
+
+        left, right = [], []
+        for i, j in zip(*np.nonzero(ok), strict=True):
+            x, y = find(own[i]), find(own[j])
+            if x != y:
+                parent[x] = y
+                left.append(i)
+                right.append(j)
+        keys = table.column("k").combine_chunks()
+        return pa.table({"a": keys.take(pa.array(left, pa.int64())), "b": keys.take(pa.array(right, pa.int64()))})
+
+    return run
+
+
+def _verified_blocks(members: DataFrame, nodes: DataFrame, w: int, percent: int, key: str) -> DataFrame:
+    """Links between components within large buckets (band, size, k, component).
+
+    Members meet in blocks of two chunks, where all their common shingles are
+    counted at once, so no candidate pair is ever a row.  Buckets of the same
+    members are one.
+    """
+    same = members.groupBy("band").agg(F.bit_xor(F.xxhash64("k")).alias("x"), F.sum(F.xxhash64("k").bitwiseAND(0xFFFFFFFF)).alias("y"))
+    one = same.groupBy("x", "y").agg(F.min("band").alias("band")).select("band")
+    chunks = F.ceil(F.col("size") / F.lit(MEMBERS)).cast("int")
+    rows = members.join(one, "band", "left_semi").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("k"), "chunks").cast("int"))
+    parts = F.expr("transform(sequence(0, chunks - 1), c -> struct(least(c, chunk) AS a, greatest(c, chunk) AS b))")
+    rows = rows.select("band", "k", "component", "chunk", F.explode(parts).alias("p")).select("band", "k", "component", "chunk", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    return rows.join(nodes, "k").groupBy("band", "a", "b").applyInArrow(_block_links(w, percent), f"a {key}, b {key}")
+
+
 def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of at least percent / 100.
 
@@ -170,30 +233,25 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
     banded = sets.select("k", "n", "bands").join(classes.select(F.col("rep").alias("k")), "k", "left_semi").select("k", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("k").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     buckets = saved(banded.join(shared, "band").select("band", "hub", "size", "k"), "buckets")
-    nodes = saved(docs.select("k", "text").join(buckets.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]), "nodes")
+    nodes = saved(docs.select("k", "text").join(buckets.select("k").distinct().hint("merge"), "k", "left_semi").dropDuplicates(["k"]), "nodes")
 
     pairs = buckets.filter("k <> hub").select("hub", "k").distinct()
     tested = saved(pairs, "pairs")
     links = saved(_verified(tested, nodes, w, percent, key), "links")
-    done = 1
-    while True:
-        joined = components(links)
-        # Buckets that hold more than one component still, and have hubs to come.
-        left = buckets.filter(F.col("size") > done + 1).select("band", "k").join(joined.withColumnRenamed("node", "k"), "k", "left").select("band", "k", F.coalesce("component", "k").alias("component"))
-        split = left.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
-        open_ = saved(left.join(split, "band"), "open")
-        if open_.isEmpty():
-            break
-        # The next smallest members of each such bucket; Spark limits the ranks before it shuffles.
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("k"))
-        hubs = open_.withColumn("r", rank).filter(F.col("r") <= done + HUBS).filter(F.col("r") > done).select("band", F.col("k").alias("hub"), F.col("component").alias("hub_component"))
-        pairs = open_.join(hubs, "band").filter("k > hub AND component <> hub_component").select("hub", "k").distinct()
+    joined = components(links)
+    # Buckets that hold more than one component: each pair still to be compared has a member outside the bucket's largest one.
+    left = buckets.filter("size > 2").select("band", "size", "k").join(joined.withColumnRenamed("node", "k"), "k", "left").select("band", "size", "k", F.coalesce("component", "k").alias("component"))
+    kinds = left.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("kinds"))
+    open_ = saved(left.join(kinds.filter("kinds > 1").select("band", "largest"), "band"), "open")
+    if not open_.isEmpty():
+        few, many = open_.filter(F.col("size") <= SMALL), open_.filter(F.col("size") > SMALL)
+        hubs = few.filter("component <> largest").select("band", F.col("k").alias("hub"), F.col("component").alias("own"))
+        pairs = few.join(hubs, "band").filter("component <> own").select(F.least("hub", "k").alias("hub"), F.greatest("hub", "k").alias("k")).distinct()
         fresh = saved(pairs.join(tested, ["hub", "k"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            more = saved(links.unionByName(_verified(fresh, nodes, w, percent, key)), "links")
-            links = more
-            tested = saved(tested.unionByName(fresh), "pairs")
-        done += HUBS
+        found = _verified(fresh, nodes, w, percent, key).unionByName(_verified_blocks(many, nodes, w, percent, key))
+        found = saved(found, "links")
+        if not found.isEmpty():
+            joined = components(links.unionByName(found))
     joined = joined.withColumnRenamed("node", "rep")
     group = classes.join(joined, "rep", "left").select("set", F.coalesce("component", "rep").alias("component"))
     lean = sets.select("k", "id", "n", "set")
