@@ -79,13 +79,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014).  A
     node's neighbours are never gathered: each step is a minimum per node and
-    a join back, both of which Spark can split when one node is hot.
+    a join back, both of which Spark can split when one node is hot.  It ends
+    when each node hangs from one node that hangs from none.
     """
+    spark = edges.sparkSession
     e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "components")
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    before = None
     for _ in range(most_rounds):
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty():
+            roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         # Large star: link every larger neighbour of u to the least of u and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -94,11 +97,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         last, e = e, saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "components")
-        dropped(e.sparkSession, last.sieveline_path)
-        # Settled once nobody moves and every node hangs from a least one.
-        sums = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if sums == before:
-            roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-        before = sums
+        dropped(spark, last.sieveline_path)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
