@@ -36,7 +36,7 @@ from ._common import LEAST_ID, components, saved
 
 BLOCKS, GRID = 8, 3
 #: Vectors of a cell that one task takes; two chunks of about this size meet.
-CHUNK = 4096
+CHUNK = 16_384
 #: Rotated coordinates are whole multiples of this.
 STEP = 2.0**-14
 #: Pairs verified at once.
@@ -51,22 +51,23 @@ def plan(dim: int, cosine: float) -> tuple[np.ndarray, list[slice], np.ndarray,
     edges = np.linspace(0, dim, min(BLOCKS, dim) + 1).round().astype(int)
     blocks = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     share = np.diff(edges) / dim
-    # Rounding moves a coordinate by half a step at most, on both sides; the rest is for the vectors' own rounding.
-    reach = np.sqrt(share * (2 - 2 * cosine)) / STEP + np.sqrt(np.diff(edges)) + 1
+    # Rounding moves a coordinate by little over half a step, on both sides; the rest is for the factors' rounding.
+    reach = np.sqrt(share * (2 - 2 * cosine)) / STEP + 1.2 * np.sqrt(np.diff(edges)) + 1
     radius = np.ceil(reach).astype(np.int64)
     return rotation, blocks, radius**2, radius, 2 * radius
 
 
 def rotated(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    """Rotated unit vectors in whole steps; added up in one order, so that a vector has the same ones in any batch."""
+    """Rotated unit vectors in whole steps, the same for a vector in any batch.
+
+    Both factors are rounded to whole multiples of 2**-20, so every product and
+    sum is a whole number below 2**53 and exact in whatever order it is formed.
+    """
     norm = np.zeros(len(x))
     for j in range(x.shape[1]):
         norm += x[:, j] * x[:, j]
-    norm = np.sqrt(norm)
-    out = np.zeros_like(x)
-    for j in range(x.shape[1]):
-        out += (x[:, j] / norm)[:, None] * rotation[j]
-    return np.rint(out / STEP).astype(np.int64)
+    unit = np.rint(x / np.sqrt(norm)[:, None] * 2.0**20)
+    return np.rint(unit @ np.rint(rotation * 2.0**20) * (2.0**-40 / STEP)).astype(np.int64)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -154,18 +155,24 @@ def _meet(cosine: float):
                 i = parent[i]
             return i
 
-        left = np.flatnonzero(chunk == a)
-        right = np.flatnonzero(chunk == b)
         own = q[:, blocks[j]]
-        square = (own**2).sum(axis=1)
-        for t in range(0, len(left), 512):
-            rows = left[t : t + 512]
-            near = square[rows][:, None] + square[right] - 2 * (own[rows] @ own[right].T) <= budget[j]
-            near &= home[rows][:, None] | home[right]
-            if a == b:
-                near &= rows[:, None] < right
-            p, r = np.nonzero(near)
-            p, r = rows[p], right[r]
+        half = (own**2).sum(axis=1) / 2
+        mine, other = chunk == a, chunk == b
+
+        def near():
+            """Pairs of one at home and any other, near in this block, in pieces."""
+            for left, right in [(mine & home, other)] + [(other & home, mine & ~home)] * (a != b):
+                left, right = np.flatnonzero(left), np.flatnonzero(right)
+                for t in range(0, len(left), 512):
+                    rows = left[t : t + 512]
+                    g = own[rows] @ own[right].T
+                    g -= half[right]
+                    p, r = np.nonzero(g >= (half[rows] - budget[j] / 2)[:, None])
+                    p, r = rows[p], right[r]
+                    once = (p < r) | ~home[r] if a == b else slice(None)
+                    yield p[once], r[once]
+
+        for p, r in near():
             for s in range(0, len(p), PAIRS):
                 u, v = p[s : s + PAIRS], r[s : s + PAIRS]
                 ok = np.einsum("ij,ij->i", x[u], x[v]) / (norm[u] * norm[v]) >= cosine
