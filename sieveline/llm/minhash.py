@@ -30,8 +30,10 @@ from ._common import components, keyed, saved
 from ._text import LOWER, mix, shingle_hashes, signed, slices, span_hashes, text_buffers, word_hashes, words
 
 BINS, BANDS = 512, 64
-#: Members that are compared with one hub in one task; and of a chunk of a large bucket.
+#: Members that are compared with one hub in one task.
 MEMBERS = 512
+#: Members, and shingles of all members, of a chunk of a large bucket.
+CHUNK, CHUNK_SHINGLES = 2048, 2_000_000
 #: Members of a bucket whose remaining pairs are looked at one by one; larger ones are taken in blocks.
 SMALL = 48
 
@@ -200,7 +202,7 @@ def _block_links(w: int, percent: int):
 
 
 def _verified_blocks(members: DataFrame, nodes: DataFrame, w: int, percent: int, key: str) -> DataFrame:
-    """Links between components within large buckets (band, size, k, component).
+    """Links between components within large buckets (band, size, shingles, k, component).
 
     Members meet in blocks of two chunks, where all their common shingles are
     counted at once, so no candidate pair is ever a row.  Buckets of the same
@@ -208,7 +210,7 @@ def _verified_blocks(members: DataFrame, nodes: DataFrame, w: int, percent: int,
     """
     same = members.groupBy("band").agg(F.bit_xor(F.xxhash64("k")).alias("x"), F.sum(F.xxhash64("k").bitwiseAND(0xFFFFFFFF)).alias("y"))
     one = same.groupBy("x", "y").agg(F.min("band").alias("band")).select("band")
-    chunks = F.ceil(F.col("size") / F.lit(MEMBERS)).cast("int")
+    chunks = F.greatest(F.ceil(F.col("size") / F.lit(CHUNK)), F.ceil(F.col("shingles") / F.lit(CHUNK_SHINGLES))).cast("int")
     rows = members.join(one, "band", "left_semi").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("k"), "chunks").cast("int"))
     parts = F.expr("transform(sequence(0, chunks - 1), c -> struct(least(c, chunk) AS a, greatest(c, chunk) AS b))")
     rows = rows.select("band", "k", "component", "chunk", F.explode(parts).alias("p")).select("band", "k", "component", "chunk", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
@@ -230,9 +232,9 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
     sets = saved(docs.select("k", "text", "id").mapInArrow(_signed_sets(w), f"k {key}, id bigint, n bigint, set binary, bands array<bigint>"), "sets")
     classes = saved(sets.filter("n > 0").groupBy("set").agg(F.min("k").alias("rep"), F.count("*").alias("copies")), "classes")
 
-    banded = sets.select("k", "n", "bands").join(classes.select(F.col("rep").alias("k")), "k", "left_semi").select("k", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("k").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    buckets = saved(banded.join(shared, "band").select("band", "hub", "size", "k"), "buckets")
+    banded = sets.select("k", "n", "bands").join(classes.select(F.col("rep").alias("k")), "k", "left_semi").select("k", "n", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("k").alias("hub"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
+    buckets = saved(banded.join(shared, "band").select("band", "hub", "size", "shingles", "k"), "buckets")
     nodes = saved(docs.select("k", "text").join(buckets.select("k").distinct().hint("merge"), "k", "left_semi").dropDuplicates(["k"]), "nodes")
 
     pairs = buckets.filter("k <> hub").select("hub", "k").distinct()
@@ -240,7 +242,7 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
     links = saved(_verified(tested, nodes, w, percent, key), "links")
     joined = components(links)
     # Buckets that hold more than one component: each pair still to be compared has a member outside the bucket's largest one.
-    left = buckets.filter("size > 2").select("band", "size", "k").join(joined.withColumnRenamed("node", "k"), "k", "left").select("band", "size", "k", F.coalesce("component", "k").alias("component"))
+    left = buckets.filter("size > 2").select("band", "size", "shingles", "k").join(joined.withColumnRenamed("node", "k"), "k", "left").select("band", "size", "shingles", "k", F.coalesce("component", "k").alias("component"))
     kinds = left.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("kinds"))
     open_ = saved(left.join(kinds.filter("kinds > 1").select("band", "largest"), "band"), "open")
     if not open_.isEmpty():

@@ -202,6 +202,7 @@ def test_near_duplicates(spark, monkeypatch, small):
     """small = 2 compares what stars leave over in blocks, as in large buckets."""
     monkeypatch.setattr(minhash, "SMALL", small)
     monkeypatch.setattr(minhash, "MEMBERS", 5)
+    monkeypatch.setattr(minhash, "CHUNK", 9)
     rng = random.Random(8)
     bases = [[f"v{rng.randrange(5000)}" for _ in range(80)] for _ in range(5)]
     texts = []
