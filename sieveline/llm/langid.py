@@ -170,8 +170,8 @@ def learn(labelled: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     return langs, np.array(protos, np.float32).reshape(len(langs), dim)
 
 
-def _predict(langs: list[str], protos: np.ndarray, names: list[str]):
-    """Adds a prediction and its score, named last, to every row; the text is the first column."""
+def _predict(langs: list[str], protos: np.ndarray, names: list[str], at: int):
+    """Adds a prediction and its score, named last, to every row; column ``at`` is the text."""
 
     def run(batches):
         vectors = Vectors(protos.shape[1] if len(langs) else DIM)
@@ -179,7 +179,7 @@ def _predict(langs: list[str], protos: np.ndarray, names: list[str]):
         for b in batches:
             pred, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
             if langs:
-                for i, v in bundles(b.column(0), vectors):
+                for i, v in bundles(b.column(at), vectors):
                     cos = v @ protos.T
                     best = cos.argmax(axis=1)
                     for d in np.flatnonzero(v.any(axis=1)):
@@ -187,19 +187,20 @@ def _predict(langs: list[str], protos: np.ndarray, names: list[str]):
                         score[i + d] = min(1.0, max(0.0, float(cos[d, best[d]])))
                 # A text of one letter has n-grams only with the blanks around it, or none: it still gets a language.
                 for d, p in enumerate(pred):
-                    if p == "und" and any(letters[ord(c)] for c in b.column(0)[d].as_py() or ""):
+                    if p == "und" and any(letters[ord(c)] for c in b.column(at)[d].as_py() or ""):
                         pred[d] = langs[0]
-            yield pa.record_batch([*b.columns[1:], pa.array(pred), pa.array(score)], names)
+            yield pa.record_batch([*b.columns, pa.array(pred), pa.array(score)], names)
 
     return run
 
 
 def with_language(rows: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
-    """The rows, with the predicted language of their text as _lang and its cosine as _score."""
+    """The rows, with the predicted language of their text (a string) as _lang and its cosine as _score."""
     names = [f"c{i}" for i in range(len(rows.columns))] + ["_lang", "_score"]
     kinds = [t for _, t in rows.dtypes] + ["string", "double"]
-    flat = rows.select(F.col("text").cast("string").alias("t"), *[F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, names, strict=False)])
-    out = flat.mapInArrow(_predict(langs, protos, names), ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True)))
+    at = rows.columns.index("text")
+    flat = rows.toDF(*names[:-2])
+    out = flat.mapInArrow(_predict(langs, protos, names, at), ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True)))
     return out.toDF(*rows.columns, "_lang", "_score")
 
 
