@@ -1,20 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. How often each word of the benchmark stands in the corpus is counted over
-   all documents (a sum per task, a few numbers per benchmark word).
-2. An item's n-grams of words are its possible seeds.  A seed is rare if the
-   product of its words' shares of the corpus is at most ``RARE``: by chance it
-   would stand in hardly any document, however often it was copied.  The share
-   of words, and not the count of the n-gram itself, decides, so a passage
-   that leaked into a third of all documents keeps its seeds.  An item has its
-   ``FEWEST`` rarest n-grams in any case.
-3. Seeds meet the n-grams of each document in a table that is broadcast.  Its
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+1. All n-grams of words of an item are its seeds, common ones too: how often
+   words stand in the corpus decides nothing, so a passage that leaked into a
+   third of all documents keeps its seeds, and so does every edited copy that
+   has ``N`` words of the item in a row.
+2. Seeds meet the n-grams of each document in a table that is broadcast.  Its
    size is bounded: a benchmark of more than ``BLOCK_WORDS`` words is taken in
    blocks, each against all documents.
-4. Around the seeds an item shares with a document, the words of both are
-   aligned (match +2, mismatch and gap -1, local).  The score is that of the
-   best alignment over that of the whole item with itself, so edited and
-   paraphrased copies score near the share of words they keep.
+3. Around the seeds an item shares with a document, the words of both are
+   aligned (match +2, mismatch and gap -1, local), many pairs at once.  The
+   score is that of the best alignment over that of the whole item with
+   itself, so edited and paraphrased copies score near the share of words they
+   keep.
 """
 
 from __future__ import annotations
@@ -27,31 +24,50 @@ from pyspark.sql import functions as F
 from ._text import ALNUM, LOWER, shingle_hashes, slices, text_buffers, word_hashes, words
 
 N = 3
-RARE = 1e-8
-FEWEST = 4
 #: Score from which a document counts as contaminated.
 THRESHOLD = 0.5
 #: Words of a benchmark block.
 BLOCK_WORDS = 1_000_000
 MATCH, MISS, GAP = 2, -1, -1
+#: Cells of the alignments taken at once, and the windows gathered before they are aligned.
+CELLS, WINDOWS = 200_000, 20_000
+
+
+def align_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The best local alignment score of each two sequences of codes (linear gaps); a code below 0 equals nothing."""
+    out = np.zeros(len(pairs), np.int32)
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
+    k = 0
+    while k < len(order):
+        m, least = k + 1, len(pairs[order[k]][1])
+        while m < len(order) and (w := len(pairs[order[m]][1])) <= least + least // 4 + 8 and w * (m + 1 - k) <= CELLS:
+            m += 1
+        own = order[k:m]
+        width = len(pairs[own[-1]][1])
+        # What fills up a shorter sequence equals nothing, so it adds to no score.
+        a = np.full((max(len(pairs[i][0]) for i in own), len(own)), -2, np.int32)
+        b = np.full((len(own), width), -1, np.int32)
+        for c, i in enumerate(own):
+            a[: len(pairs[i][0]), c] = pairs[i][0]
+            b[c, : len(pairs[i][1])] = pairs[i][1]
+        ramp = np.arange(width + 1, dtype=np.int32) * -GAP
+        h = np.zeros((len(own), width + 1), np.int32)
+        best = np.zeros(len(own), np.int32)
+        for x in a:
+            new = np.zeros_like(h)
+            new[:, 1:] = np.maximum(h[:, :-1] + np.where(b == x[:, None], np.int32(MATCH), np.int32(MISS)), h[:, 1:] + np.int32(GAP))
+            np.maximum(new, 0, out=new)
+            h = np.maximum.accumulate(new + ramp, axis=1) - ramp  # gaps along b
+            np.maximum(best, h.max(axis=1), out=best)
+        out[own] = best
+        k = m
+    return out
 
 
 def align(a: np.ndarray, b: np.ndarray) -> int:
-    """The best local alignment score of two sequences of word hashes (linear gaps)."""
-    if not len(a) or not len(b):
-        return 0
-    if len(a) > len(b):
-        a, b = b, a
-    ramp = np.arange(len(b) + 1, dtype=np.int32) * -GAP
-    h = np.zeros(len(b) + 1, np.int32)
-    best = 0
-    for x in a:
-        new = np.zeros(len(b) + 1, np.int32)
-        new[1:] = np.maximum(h[:-1] + np.where(b == x, MATCH, MISS), h[1:] + GAP)
-        np.maximum(new, 0, out=new)
-        h = np.maximum.accumulate(new + ramp) - ramp  # gaps along b
-        best = max(best, int(h.max()))
-    return best
+    """The best local alignment score of two sequences of word hashes."""
+    _, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return int(align_all([(codes[: len(a)], codes[len(a) :])])[0])
 
 
 class Items:
@@ -66,46 +82,17 @@ class Items:
                 self.ids.append(i)
                 self.words.append(word_hashes(data, s, e))
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
+        self.codes = [np.searchsorted(self.vocabulary, w).astype(np.int32) for w in self.words]
 
-    def seeds(self, counts: np.ndarray, total: int, n: int, rare: float) -> None:
-        """Choose the seeds: hashes in order, and for each the items and places it has."""
-        share = np.log(np.maximum(counts, 1) / max(total, 1))
-        found = []
-        for item, w in enumerate(self.words):
-            grams = shingle_hashes(w, min(n, len(w)))
-            lp = share[np.searchsorted(self.vocabulary, w)]
-            cost = np.convolve(lp, np.ones(min(n, len(w))), "valid")
-            pick = cost <= np.log(rare)
-            pick[np.argsort(cost, kind="stable")[:FEWEST]] = True
-            for place in np.flatnonzero(pick & (len(w) >= n)):
-                found.append((int(grams[place]), item, int(place)))
-        found.sort()
+    def seeds(self, n: int) -> None:
+        """All seeds: hashes in order, and for each the items that have it."""
+        found = sorted({(int(g), item) for item, w in enumerate(self.words) for g in shingle_hashes(w, n)})
         self.at = np.array([f[1] for f in found], np.int32)
         hashes = np.array([f[0] for f in found], np.uint64)
         self.hashes, self.first = np.unique(hashes, return_index=True)
         self.first = np.append(self.first, len(found))
 
 
-def _counts(vocabulary):
-    def run(batches):
-        vocab = vocabulary.value
-        n, total = np.zeros(len(vocab), np.int64), 0
-        for b in batches:
-            data, offs = text_buffers(b.column(0))
-            for i, j in slices(offs):
-                part, o = LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i]
-                s, e, _ = words(part, o, ALNUM)
-                total += len(s)
-                if len(s) and len(vocab):
-                    h = word_hashes(part, s, e)
-                    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-                    n += np.bincount(at[vocab[at] == h], minlength=len(vocab))
-        some = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(n[some], total))], ["word", "n"])
-
-    return run
-
-
 def _score(items_, n: int):
     def run(batches):
         items = items_.value
@@ -121,30 +108,46 @@ def _score(items_, n: int):
                 grams = shingle_hashes(wh, n)
                 at = np.minimum(np.searchsorted(items.hashes, grams), len(items.hashes) - 1)
                 hits = np.flatnonzero((items.hashes[at] == grams) & (doc[: len(grams)] == doc[n - 1 :]))
+                if not len(hits):
+                    continue
+                place = np.minimum(np.searchsorted(items.vocabulary, wh), len(items.vocabulary) - 1)
+                codes = np.where(items.vocabulary[place] == wh, place, -1).astype(np.int32)
                 bounds = np.searchsorted(doc, np.arange(j - i + 1))
                 near: dict[tuple[int, int], list[int]] = {}
                 for h in hits.tolist():
-                    for item in set(items.at[items.first[at[h]] : items.first[at[h] + 1]].tolist()):
+                    for item in items.at[items.first[at[h]] : items.first[at[h] + 1]].tolist():
                         near.setdefault((int(doc[h]), item), []).append(h)
+                best: dict[tuple[int, int], int] = dict.fromkeys(near, 0)
+                owners: list[tuple[int, int]] = []
+                pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+                def done(best=best, owners=owners, pairs=pairs):
+                    for owner, x in zip(owners, align_all(pairs).tolist(), strict=True):
+                        best[owner] = max(best[owner], x)
+                    owners.clear(), pairs.clear()
+
                 for (d, item), places in near.items():
-                    w = items.words[item]
+                    w = items.codes[item]
                     reach = len(w) + len(w) // 4 + n
-                    best, k = 0, 0
+                    k = 0
                     while k < len(places):  # one window for each stretch of seeds
                         m = k
                         while m + 1 < len(places) and places[m + 1] - places[m] <= reach:
                             m += 1
-                        window = wh[max(places[k] - reach, bounds[d]) : min(places[m] + reach, bounds[d + 1])]
-                        best = max(best, align(w, window))
+                        owners.append((d, item))
+                        pairs.append((w, codes[max(places[k] - reach, bounds[d]) : min(places[m] + reach, bounds[d + 1])]))
                         k = m + 1
-                    rows.append((i + d, item, best / (MATCH * len(w))))
+                    if len(pairs) >= WINDOWS:
+                        done()
+                done()
+                rows += [(i + d, item, x / (MATCH * len(items.codes[item]))) for (d, item), x in best.items()]
             if rows:
                 yield pa.record_batch([b.column(0).take(pa.array([r[0] for r in rows])), b.column(2).take(pa.array([r[0] for r in rows])), pa.array([items.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows])], ["doc_id", "h", "item_id", "score"])
 
     return run
 
 
-def overlaps(documents: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RARE) -> DataFrame:
+def overlaps(documents: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """(doc_id, h, item_id, score) for the documents and items that share a seed; h tells apart texts that share a doc_id."""
     spark = documents.sparkSession
     sc = spark.sparkContext
@@ -157,14 +160,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, n: int = N, rare: float
     for k in range(blocks):
         rows = (bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else bench).orderBy("item_id", "text").collect()
         items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-        counted = docs.select("text").mapInArrow(_counts(sc.broadcast(items.vocabulary)), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
-        counts, total = np.zeros(len(items.vocabulary), np.int64), 0
-        for r in counted:
-            if r["word"] < 0:
-                total = r["n"]
-            else:
-                counts[r["word"]] = r["n"]
-        items.seeds(counts, total, n, rare)
+        items.seeds(n)
         found = docs.select("doc_id", "text", "h").mapInArrow(_score(sc.broadcast(items), n), "doc_id bigint, h bigint, item_id bigint, score double")
         out = found if out is None else out.unionByName(found)
     return out

@@ -279,6 +279,26 @@ def test_decontamination_finds_edited_copies(spark):
     assert all(got[i]["item_id"] == i % 8 for i in leaked)
 
 
+def test_decontamination_finds_edited_copies_of_a_widespread_leak(spark):
+    """An item in a third of short documents, its words as common as any; copies lose their first words or single ones."""
+    rng = random.Random(12)
+    item = [f"q{i}" for i in range(30)]
+    rows, want = [], {}
+    for i in range(300):
+        w = [f"t{rng.randrange(4000)}" for _ in range(30)]
+        if i % 3 == 0:
+            copy = list(item)
+            for x in rng.sample(range(30), 6) if i % 2 else range(6):
+                copy[x] = f"e{rng.randrange(10**6)}"
+            w[15:15] = copy
+        rows.append((i, " ".join(w)))
+        h = np.array([item.index(x) if x in item else 100 + j for j, x in enumerate(w)])
+        want[i] = decontam.align(np.arange(30), h) / 60 if i % 3 == 0 else 0.0
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.decontaminate(d, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == want and min(want[i] for i in range(0, 300, 3)) >= 0.5
+
+
 def test_awkward_rows(spark, docs):
     n = docs.count()
     one = {r["doc_id"]: r for r in secrets.secret_spans(docs).collect()}
