@@ -74,7 +74,7 @@ def _segments(texts: pa.Array, n: int, k: int) -> Iterator[tuple[np.ndarray, ...
         lo = valid[at]
         count = np.diff(np.append(at, len(valid)))
         twice = np.zeros(len(grams) + 1, np.int64)
-        for p in range(1, span):
+        for p in range(1, span + 1):  # neighbouring windows hold shingles up to span apart
             if len(grams) > p:
                 twice[1 : len(grams) - p + 1] |= grams[:-p] == grams[p:]
         np.cumsum(twice, out=twice)

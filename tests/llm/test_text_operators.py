@@ -88,6 +88,13 @@ def test_substring_dedup(spark, monkeypatch, kinds):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()} == brute_dedup(rows, 20)
 
 
+@pytest.mark.parametrize("copies", [1, 2])
+def test_substring_dedup_of_periodic_texts(spark, copies):
+    rows = [(100 * c + p, " ".join(f"p{p}x{i % p}" for i in range(120 + p))) for c in range(copies) for p in range(1, 23)]
+    got = phrases.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), texts=False)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()} == brute_dedup(rows, 20)
+
+
 def test_license_base_and_templates(spark):
     rng = random.Random(5)
     words = ["cc", "by", "general", "public", "license", "All", "rights", "RESERVED", "the", "é", "mit", "under", "released"]
