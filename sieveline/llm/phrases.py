@@ -267,6 +267,12 @@ def _locate(rows: Iterator[pa.RecordBatch]):
             yield pa.record_batch([b.column(3).take(pa.array(hits)), b.column(4).take(pa.array(hits))], ["k", "start"])
 
 
+def _holders(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
+    """(k, text, segs) of the documents of per_doc, once for rows that share a k."""
+    rows = docs.select("k", "text").join(per_doc, "k").select("k", "text", "segs")
+    return rows if docs.schema["k"].dataType.simpleString() == "bigint" else rows.dropDuplicates(["k"])  # see keyed()
+
+
 def repeated_spans(docs: DataFrame, n: int = 20, k: int = 6) -> DataFrame:
     """(k, start, stop): word ranges of documents (k, text) covered by windows that also start earlier.
 
@@ -291,14 +297,14 @@ def repeated_spans(docs: DataFrame, n: int = 20, k: int = 6) -> DataFrame:
     few, many = todo.filter(F.col("kinds") <= KINDS), todo.filter(F.col("kinds") > KINDS)
 
     per_doc = few.groupBy(F.col("first.k").alias("k")).agg(F.collect_list(F.struct(F.col("first.lo").alias("lo"), "count", "a")).alias("segs"))
-    texts = docs.select("k", "text").join(per_doc, "k").select("k", "text", "segs").mapInArrow(_texts(n), f"k {key}, lo int, a bigint, text string")
+    texts = _holders(docs, per_doc).mapInArrow(_texts(n), f"k {key}, lo int, a bigint, text string")
     by_anchor = texts.select("a", "k", "lo", "text").repartition("a").sortWithinPartitions("a").mapInArrow(_locate_by_anchor(n), f"k {key}, start int")
     spans = spans.unionByName(by_anchor.select("k", "start", (F.col("start") + F.lit(n)).alias("stop")))
     if many.isEmpty():
         return spans
 
     per_doc = many.groupBy(F.col("first.k").alias("k")).agg(F.collect_list(F.struct(F.col("first.lo").alias("lo"), "count")).alias("segs"))
-    windows = docs.select("k", "text").join(per_doc, "k").select("k", "text", "segs").mapInArrow(_windows(n), f"k {key}, start int, w bigint, phrase string")
+    windows = _holders(docs, per_doc).mapInArrow(_windows(n), f"k {key}, start int, w bigint, phrase string")
     windows = saved(windows, "windows")
     phrases = windows.groupBy("w").agg(F.min(F.struct("k", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     known = windows.join(phrases, "w")

@@ -95,6 +95,16 @@ def test_substring_dedup_of_periodic_texts(spark, copies):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()} == brute_dedup(rows, 20)
 
 
+@pytest.mark.parametrize("kinds", [2000, 1])
+def test_substring_dedup_of_a_repeated_row_that_comes_first(spark, monkeypatch, kinds):
+    monkeypatch.setattr(phrases, "KINDS", kinds)
+    words = [f"r{i}" for i in range(70)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:33], "edit", *words[33:]])), (3, " ".join(["new", *words[5:60]]))]
+    got = phrases.substring_dedup(spark.createDataFrame([rows[0], *rows], "doc_id long, text string"), texts=False).collect()
+    want = brute_dedup(rows, 20)
+    assert len(got) == 4 and all((r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]] for r in got)
+
+
 def test_license_base_and_templates(spark):
     rng = random.Random(5)
     words = ["cc", "by", "general", "public", "license", "All", "rights", "RESERVED", "the", "é", "mit", "under", "released"]
