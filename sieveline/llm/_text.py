@@ -119,8 +119,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each word begins and ends, and the index of its text."""
+def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = SPACED, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word begins and ends, and the index of its text; no word goes on over a cut."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
@@ -130,6 +130,8 @@ def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = SPACED) -> t
     w[n] = False
     edge = np.zeros(n + 1, bool)
     edge[offs] = True  # a text never continues the one before it
+    if cuts is not None:
+        edge[cuts] = True
     begin = w[:n].copy()
     begin[1:] &= ~w[: n - 1] | edge[1:n]
     end = w[:n] & (~w[1:] | edge[1:])

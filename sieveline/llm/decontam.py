@@ -1,9 +1,12 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. All n-grams of words of an item are its seeds, common ones too: how often
+1. Words are runs of letters and digits; in scripts that are written without
+   spaces (``UNSPACED``) each character is a word of its own.  All n-grams of
+   words of an item are its seeds, common ones too: how often
    words stand in the corpus decides nothing, so a passage that leaked into a
    third of all documents keeps its seeds, and so does every edited copy that
-   has ``N`` words of the item in a row.
+   has ``N`` words of the item in a row.  An item of fewer words has its whole
+   sequence of words as its seed.
 2. Seeds meet the n-grams of each document in a table that is broadcast.  Its
    size is bounded: a benchmark of more than ``BLOCK_WORDS`` words is taken in
    blocks, each against all documents.
@@ -24,6 +27,9 @@ from pyspark.sql import functions as F
 from ._text import ALNUM, LOWER, shingle_hashes, slices, text_buffers, word_hashes, words
 
 N = 3
+#: Code points of scripts written without spaces: Thai to Lao, Tibetan, Myanmar, Khmer, Tai scripts, kana and Han; and what parts words among them.
+UNSPACED = ((0x0E01, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
+PARTING = ((0x0E4F, 0x0E4F), (0x0E5A, 0x0E5B), (0x0F0B, 0x0F14), (0x104A, 0x104F), (0x17D4, 0x17DA), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D, 0x303D), (0x30A0, 0x30A0), (0x30FB, 0x30FB), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
 #: Score from which a document counts as contaminated.
 THRESHOLD = 0.5
 #: Words of a benchmark block.
@@ -33,6 +39,30 @@ MATCH, MISS, GAP = 2, -1, -1
 CELLS, WINDOWS = 200_000, 20_000
 
 
+def _among(points: np.ndarray, ranges: tuple) -> np.ndarray:
+    edges = np.array(sorted(x for a, b in ranges for x in (a, b + 1)))
+    return np.searchsorted(edges, points, "right") % 2 == 1
+
+
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words() of texts in lower case; characters of unspaced scripts are words of their own, and their punctuation parts words."""
+    lead = np.flatnonzero(data >= 0xE0)
+    if not len(lead):
+        return words(data, offs, ALNUM)
+    size = np.where(data[lead] >= 0xF0, 4, 3)
+    lead, size = lead[lead + size <= len(data)], size[lead + size <= len(data)]
+    byte = [data[lead + x].astype(np.int64) & 0x3F for x in (1, 2)]
+    last = data[lead + size - 1].astype(np.int64) & 0x3F
+    head = data[lead].astype(np.int64)
+    points = np.where(size == 3, (head & 0x0F) << 12 | byte[0] << 6 | byte[1], (head & 0x07) << 18 | byte[0] << 12 | byte[1] << 6 | last)
+    parting = _among(points, PARTING)
+    alone = _among(points, UNSPACED) & ~parting
+    data = data.copy()
+    for x in range(3):
+        data[lead[parting] + x] = 0x20
+    return words(data, offs, ALNUM, np.concatenate([lead[alone], lead[alone] + size[alone]]))
+
+
 def align_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The best local alignment score of each two sequences of codes (linear gaps); a code below 0 equals nothing."""
     out = np.zeros(len(pairs), np.int32)
@@ -70,6 +100,11 @@ def align(a: np.ndarray, b: np.ndarray) -> int:
     return int(align_all([(codes[: len(a)], codes[len(a) :])])[0])
 
 
+def _grams(wh: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n-grams; those of different n differ."""
+    return shingle_hashes(wh, n) ^ np.uint64(n)
+
+
 class Items:
     """A block of benchmark items as word hashes."""
 
@@ -77,7 +112,7 @@ class Items:
         self.ids, self.words = [], []
         for i, t in zip(ids, texts, strict=True):
             data = LOWER[np.frombuffer((t or "").encode(), np.uint8)]
-            s, e, _ = words(data, np.array([0, len(data)]), ALNUM)
+            s, e, _ = tokens(data, np.array([0, len(data)]))
             if len(s):
                 self.ids.append(i)
                 self.words.append(word_hashes(data, s, e))
@@ -86,7 +121,8 @@ class Items:
 
     def seeds(self, n: int) -> None:
         """All seeds: hashes in order, and for each the items that have it."""
-        found = sorted({(int(g), item) for item, w in enumerate(self.words) for g in shingle_hashes(w, n)})
+        found = sorted({(int(g), item) for item, w in enumerate(self.words) for g in _grams(w, min(n, len(w)))})
+        self.sizes = sorted({min(n, len(w)) for w in self.words})
         self.at = np.array([f[1] for f in found], np.int32)
         hashes = np.array([f[0] for f in found], np.uint64)
         self.hashes, self.first = np.unique(hashes, return_index=True)
@@ -101,21 +137,24 @@ def _score(items_, n: int):
             data, offs = text_buffers(b.column(1))
             for i, j in slices(offs):
                 part, o = LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i]
-                s, e, doc = words(part, o, ALNUM)
-                if len(s) < n or not len(items.hashes):
+                s, e, doc = tokens(part, o)
+                if not len(s) or not len(items.hashes):
                     continue
                 wh = word_hashes(part, s, e)
-                grams = shingle_hashes(wh, n)
-                at = np.minimum(np.searchsorted(items.hashes, grams), len(items.hashes) - 1)
-                hits = np.flatnonzero((items.hashes[at] == grams) & (doc[: len(grams)] == doc[n - 1 :]))
-                if not len(hits):
+                hits = []
+                for size in items.sizes:
+                    grams = _grams(wh, size)
+                    at = np.minimum(np.searchsorted(items.hashes, grams), len(items.hashes) - 1)
+                    found = np.flatnonzero((items.hashes[at] == grams) & (doc[: len(grams)] == doc[size - 1 :]))
+                    hits += zip(found.tolist(), at[found].tolist(), strict=True)
+                if not hits:
                     continue
                 place = np.minimum(np.searchsorted(items.vocabulary, wh), len(items.vocabulary) - 1)
                 codes = np.where(items.vocabulary[place] == wh, place, -1).astype(np.int32)
                 bounds = np.searchsorted(doc, np.arange(j - i + 1))
                 near: dict[tuple[int, int], list[int]] = {}
-                for h in hits.tolist():
-                    for item in items.at[items.first[at[h]] : items.first[at[h] + 1]].tolist():
+                for h, seed in hits:
+                    for item in items.at[items.first[seed] : items.first[seed + 1]].tolist():
                         near.setdefault((int(doc[h]), item), []).append(h)
                 best: dict[tuple[int, int], int] = dict.fromkeys(near, 0)
                 owners: list[tuple[int, int]] = []
@@ -154,7 +193,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text"))
     bench = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    size = bench.agg(F.sum(F.size(F.split("text", r"\W+"))).alias("n")).first()["n"] or 0
+    size = bench.agg(F.sum(F.size(F.split("text", r"\W+")) + F.length(F.regexp_replace("text", r"[\x00-\x7F]", ""))).alias("n")).first()["n"] or 0
     blocks = max(1, -(-2 * size // BLOCK_WORDS)) if size > BLOCK_WORDS else 1
     out = None
     for k in range(blocks):
@@ -173,7 +212,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, threshold: float =
     else there is.  score is the best over all items, 0 if no seed is shared,
     item_id its item (the smallest on a tie, null without one), n_items how
     many items reach the threshold.  Null and empty texts, and items without a
-    word, match nothing; items shorter than N words have no seed.
+    word, match nothing; an item shorter than N words has its whole sequence of
+    words as its seed.
     """
     found = overlaps(documents, benchmark).groupBy("doc_id", "h").agg(
         F.max("score").alias("score"), F.max_by("item_id", F.struct("score", -F.col("item_id"))).alias("item_id"),

@@ -316,6 +316,23 @@ def test_decontamination_finds_edited_copies_of_a_widespread_leak(spark):
     assert got == want and min(want[i] for i in range(0, 300, 3)) >= 0.5
 
 
+def test_decontamination_of_short_and_unspaced_items(spark):
+    items = [(1, "zebra"), (2, "Green Tea"), (3, "東京の人口は何人ですか？それは、いつの数字ですか。"), (4, "ประเทศไทยมีกี่จังหวัด"), (5, "東京")]
+    rows = [(1, "a zebra!", {1}), (2, "the green, tea", {2}), (3, "green leaves and tea", set()), (4, "x" + items[2][1] + "y", {3, 5}), (5, "前の文。東京の総人口は何人ですか、それはいつの数ですか", {3, 5}),
+            (6, "เรียน" + items[3][1] + "ครับ", {4}), (7, "大阪の天気は晴れです", set()), (8, "zebras", set()), (9, "green", set()), (10, "tea", set())]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = decontam.overlaps(d, spark.createDataFrame(items, "item_id long, text string")).filter("score >= 0.5").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, x) for i, _, found in rows for x in found}
+
+
+def test_words_of_unspaced_scripts():
+    texts = ["naïve “café” Привет 한국어", "東京tower、ﾃｽﾄ。x", "𠀀𠀁 é", "ก็"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    s, e, doc = decontam.tokens(data, np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    got = [[data[a:b].tobytes().decode() for a, b, x in zip(s, e, doc, strict=True) if x == i] for i in range(len(texts))]
+    assert got == [["naïve", "“café”", "Привет", "한국어"], ["東", "京", "tower", "ﾃ", "ｽ", "ﾄ", "x"], ["𠀀", "𠀁", "é"], ["ก", "็"]]
+
+
 def test_awkward_rows(spark, docs):
     n = docs.count()
     one = {r["doc_id"]: r for r in secrets.secret_spans(docs).collect()}
