@@ -42,6 +42,13 @@ def test_repeated_and_missing_ids(spark):
     assert sorted((r["vec_id"] or -1, r["n_links"]) for r in simjoin.similar_vectors(df).collect()) == [(-1, 2), (1, 0), (1, 2), (1, 2)]
 
 
+def test_language_stage_without_a_known_language(spark, sf):
+    import corpus_pipeline as C
+
+    df = spark.createDataFrame([(1, "some words", None), (2, "12 --", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in C.language(spark, df, sf).collect()} == {1, 4}
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as C
 
