@@ -27,9 +27,10 @@ COUNTED = 400_000
 def _frequent(batches):
     keys, counts, strings = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
     for b in batches:
-        for _, _, _, _, points, at, _ in text_slices(b.column(0)):
-            if points.size and points.max() >= 0x2028:
-                continue  # left to the library as a whole anyway
+        for _, _, _, _, points, at, unsure in text_slices(b.column(0)):
+            if unsure.any():  # these texts are left to the library as a whole anyway
+                points = points[np.repeat(~unsure, np.diff(at))]
+                at = np.concatenate([[0], np.cumsum(np.where(unsure, 0, np.diff(at)))])
             starts = byte_level_starts(points, at)
             if not len(starts):
                 continue

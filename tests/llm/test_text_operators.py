@@ -172,6 +172,12 @@ def test_token_counts(spark, docs):
     assert sorted((r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == sorted((len(x.encode()), n := len(t.encode(x, add_special_tokens=False).ids), n > 512) for x in texts)
 
 
+def test_frequent_pretokens_come_from_all_sure_texts_of_a_slice():
+    texts = ["alpha beta alpha", "日本 € alpha", "beta", None]
+    (rows,) = tokencount._frequent([pa.record_batch([pa.array(texts, pa.string())], ["text"])])
+    assert dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)) == {"alpha": 1, " beta": 1, " alpha": 1, "beta": 1}
+
+
 def test_token_files(spark, docs, tmp_path):
     path = vocabulary("byte_bpe_50k.json")
     t = _pretok.tokenizer(path)
