@@ -85,9 +85,11 @@ def _classes(batches):
             x = None
             if v is not None and len(v) and all(c is not None for c in v):
                 a = np.array(v, np.float64)
-                if np.isfinite(a).all() and a.any() and np.isfinite(np.square(a).sum()) and np.square(a).sum() > 0:
+                if np.isfinite(a).all() and a.any():
                     x = a + 0.0  # -0 is 0
             hashes.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if x is not None else None)
+            if x is not None and not 1e-100 < (most := np.abs(x).max()) < 1e100:
+                x = np.ldexp(x, -int(np.frexp(most)[1]))  # the same direction, with squares that neither overflow nor vanish
             out.append(x)
         yield pa.record_batch([b.column(0), pa.array(hashes, pa.binary()), pa.array(out, b.column(1).type)], ["id", "h", "v"])
 

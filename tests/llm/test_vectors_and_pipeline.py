@@ -42,6 +42,11 @@ def test_repeated_and_missing_ids(spark):
     assert sorted((r["vec_id"] or -1, r["n_links"]) for r in simjoin.similar_vectors(df).collect()) == [(-1, 2), (1, 0), (1, 2), (1, 2)]
 
 
+def test_vectors_whose_squares_overflow_or_vanish(spark):
+    df = spark.createDataFrame([(i, [c, 2 * c]) for i, c in enumerate([1.0, 1e200, 1e200, 1e-170, 5e-324])] + [(9, [2e300, -1e300])], "vec_id long, embedding array<double>")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in simjoin.similar_vectors(df).collect()) == [*((i, 4, 0) for i in range(5)), (9, 0, 9)]
+
+
 def test_language_stage_without_a_known_language(spark, sf):
     import corpus_pipeline as C
 
