@@ -9,11 +9,14 @@
 * Bins are banded.  With 64 bands of 8 bins, a pair at similarity 0.8 shares
   no band with probability 8e-6, and one at 0.2 shares one with 2e-4.
 * Documents with equal sets are one class; only its smallest member is banded.
-* A bucket does not give all its pairs but stars: its smallest member against
-  the others.  Edges are confirmed on full shingle sets.  Whatever stays in one
-  bucket but in different components afterwards is looked at again, with the
-  next members as hubs, until every pair of a bucket was compared or is
-  joined by links: no pair of a bucket is given up.
+* A bucket does not give all its pairs but a star: edges from its smallest
+  member, the hub, to the others.  A hub's members over all its buckets are one
+  group, whose texts move once: in chunks of bounded size, each with the hub.
+  A chunk compares its members' full sets, word by word and not by hash, until
+  any two are compared or joined by links.
+* Groups of several chunks that links leave in pieces are looked at again:
+  members outside the largest piece meet all the group's chunks.  So no pair of
+  a bucket is given up.
 """
 
 from __future__ import annotations
@@ -26,16 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, keyed, saved
+from ._common import components, dropped, keyed, saved
 from ._text import LOWER, mix, shingle_hashes, signed, slices, span_hashes, text_buffers, word_hashes, words
 
 BINS, BANDS = 512, 64
-#: Members that are compared with one hub in one task.
-MEMBERS = 512
-#: Members, and shingles of all members, of a chunk of a large bucket.
-CHUNK, CHUNK_SHINGLES = 2048, 2_000_000
-#: Members of a bucket whose remaining pairs are looked at one by one; larger ones are taken in blocks.
-SMALL = 48
+#: Members, and bytes of their texts, of a chunk of a group; a longer text is a chunk of its own.
+CHUNK, CHUNK_BYTES = 1024, 4 << 20
+#: Rows of candidates (some 50 bytes each) that are broadcast to the texts; beyond that, texts and candidates are both shuffled.
+BROADCAST_ROWS = 1_000_000
 
 _U = np.uint64
 
@@ -113,108 +114,171 @@ def _signed_sets(w: int):
             offsets = np.cumsum([0, *map(len, bands)])
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), lists], ["k", "id", "n", "set", "bands"])
+            size = pa.array(np.diff(text_buffers(b.column(1))[1]), pa.int64())
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), size, pa.array(sets, pa.binary()), lists], ["k", "id", "n", "size", "set", "bands"])
 
     return run
 
 
-def _confirm(w: int, percent: int):
-    """Rows (hub, salt, kind, k, text) in order: the hub's own text (kind 0), then its members'; yields the links."""
+def exact_sets(texts: list[bytes], w: int) -> list[np.ndarray]:
+    """The sorted shingle sets of texts as whole numbers, equal where and only where the words are."""
+    code: dict[bytes, int] = {}
+    lists = [np.array([code.setdefault(x, len(code)) for x in t.translate(_LOWERED).split()], np.int64) for t in texts]
+    short = [i for i, x in enumerate(lists) if len(x) < w]
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    at = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    grams = flat
+    for j in range(1, w):  # each number stands for the words so far; one more is joined to it
+        m = len(flat) - j
+        if m <= 0:
+            break
+        grams = np.unique(grams[:m] * len(code) + flat[j:], return_inverse=True)[1]
+    whole: dict[tuple, int] = {}
+    out = []
+    for i, x in enumerate(lists):
+        out.append(np.unique(grams[at[i] : at[i + 1] - w + 1]) if len(x) >= w else None)
+    for i in short:
+        x = lists[i]
+        out[i] = np.array([-1 - whole.setdefault(tuple(x.tolist()), len(whole))], np.int64) if len(x) else np.zeros(0, np.int64)
+    return out
+
+
+_LOWERED = bytes(LOWER)
+
+
+class Sets:
+    """The sets of a group's members, by row and by shingle, to count what any one shares with all others."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(u) for u in sets], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        _, column = np.unique(flat, return_inverse=True)
+        self.column = column.astype(np.int32)
+        self.row = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)[np.argsort(self.column, kind="stable")]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.column))]).astype(np.int64)
+
+    def shared(self, i: int) -> np.ndarray:
+        """How many shingles each member shares with the i-th."""
+        c = self.column[self.at[i] : self.at[i + 1]]
+        lo, size = self.first[c], self.first[c + 1] - self.first[c]
+        total = np.cumsum(size)
+        both = np.zeros(len(self.size), np.int64)
+        k = 0
+        while k < len(c):  # a few shingles at once, so that what is gathered stays small
+            m = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + 500_000, "right")))
+            own = size[k:m]
+            run = np.arange(int(own.sum())) + np.repeat(lo[k:m] - (np.cumsum(own) - own), own)
+            both += np.bincount(self.row[run], minlength=len(both))
+            k = m
+        return both
+
+    def linked(self, i: int, percent: int) -> np.ndarray:
+        both = self.shared(i)
+        return (both > 0) & (100 * both >= percent * (self.size[i] + self.size - both))
+
+
+class Groups:
+    """Disjoint groups of 0 .. n - 1 as labels."""
+
+    def __init__(self, labels: np.ndarray) -> None:
+        self.label = labels.copy()
+
+    def join(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Join i's group with the others'; returns one of the others for each group that is new to it."""
+        labels, one = np.unique(self.label[others], return_index=True)
+        new = labels != self.label[i]
+        if new.any():
+            self.label[np.isin(self.label, labels[new])] = self.label[i]
+        return others[one[new]]
+
+
+def _by_group(batches, n_keys: int):
+    """Batches in the order of their first columns to one table for each value of those."""
+    parts: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        keys = list(zip(*(b.column(c).to_pylist() for c in range(n_keys)), strict=True))
+        keys = [tuple(x.values()) if isinstance(x, dict) else x for x in keys]
+        begin = 0
+        for r in range(len(keys)):
+            if keys[r] != (keys[r - 1] if r else last):
+                if r > begin or parts:
+                    parts.append(b.slice(begin, r - begin))
+                    yield pa.Table.from_batches(parts)
+                parts, begin = [], r
+        parts.append(b.slice(begin))
+        last = keys[-1] if keys else last
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def _texts(column: pa.ChunkedArray) -> list[bytes]:
+    return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
+
+
+def _chunk_links(w: int, percent: int):
+    """Rows (hub, chunk, k, text) in the order of hub and chunk; yields links that join all of a chunk that links can join.
+
+    The hub is first, then whoever is outside the component with most members
+    that were not compared with all others.  When nobody is left, any two
+    members are in one component or one of them was compared.
+    """
 
     def run(batches):
-        state: dict = {"key": None, "set": None}
-        for b in batches:
-            hits = []
-            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            kinds = b.column(2).to_pylist()
-            for (r, u), key, kind in zip(shingle_sets(b.column(4), w), keys, kinds, strict=True):
-                if kind == 0:
-                    state["key"], state["set"] = key, u
-                elif key == state["key"]:
-                    s = state["set"]
-                    less, more = sorted((len(s), len(u)))
-                    if 100 * less < percent * more:
-                        continue
-                    both = np.intersect1d(s, u, assume_unique=True).size
-                    if 100 * both >= percent * (len(s) + len(u) - both):
-                        hits.append(r)
-            if hits:
-                at = pa.array(hits)
-                yield pa.record_batch([b.column(0).take(at), b.column(3).take(at)], ["a", "b"])
+        for table in _by_group(batches, 2):
+            n = table.num_rows
+            if n < 2:
+                continue
+            sets = Sets(exact_sets(_texts(table.column("text")), w))
+            groups, left, right = Groups(np.arange(n)), [], []
+            todo = np.ones(n, bool)
+            i = 0
+            while True:
+                todo[i] = False
+                found = groups.join(i, np.flatnonzero(sets.linked(i, percent)))
+                left += [i] * len(found)
+                right += found.tolist()
+                open_ = np.bincount(groups.label[todo], minlength=n)
+                rest = np.flatnonzero(todo & (groups.label != open_.argmax()))
+                if not len(rest):
+                    break
+                i = rest[0]
+            if left:
+                keys = table.column("k").combine_chunks()
+                yield pa.record_batch([keys.take(pa.array(left)), keys.take(pa.array(right))], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, w: int, percent: int, key: str) -> DataFrame:
-    """The pairs (hub, k) that are links; a hub's text is sent once for each MEMBERS members."""
-    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("salts"))
-    members = pairs.join(nodes, "k").join(sizes, "hub").select("hub", F.pmod(F.xxhash64("k"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "k", "text")
-    hubs = sizes.join(nodes.withColumnRenamed("k", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("hub").alias("k"), "text")
-    rows = members.unionByName(hubs).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
-    return rows.mapInArrow(_confirm(w, percent), f"a {key}, b {key}")
-
-
-def _block_links(w: int, percent: int):
-    """The members of two chunks of a bucket (or one) to links between components, one for each that joins two groups."""
-
-    def run(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        text = table.column("text").combine_chunks()
-        sets = [u for _, u in shingle_sets(text, w)]
-        size = np.array([len(u) for u in sets])
-        flat = np.concatenate(sets)
-        row = np.repeat(np.arange(n), size)
-        values, column, df = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = df[column] > 1
-        row, column = row[shared], np.cumsum(df > 1)[column[shared]] - 1
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        both = np.zeros((n, n), np.float32)
-        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            x, y = np.searchsorted(column, [lo, lo + 4096])
-            m = np.zeros((n, 4096), np.float32)
-            m[row[x:y], column[x:y] - lo] = 1
-            both += m @ m.T
-        ok = 100 * both >= percent * (size[:, None] + size - both)
-        chunk = table.column("chunk").to_numpy()
-        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
-        ok &= (chunk == a)[:, None] & (chunk == b)
-        parent: dict[int, int] = {}
-        codes: dict = {}
-        own = [codes.setdefault(str(c), len(codes)) for c in table.column("component").to_pylist()]
-
-        def find(i: int) -> int:
-            while parent.setdefault(i, i) != i:
-                i = parent[i]
-            return i
-
-        left, right = [], []
-        for i, j in zip(*np.nonzero(ok), strict=True):
-            x, y = find(own[i]), find(own[j])
-            if x != y:
-                parent[x] = y
-                left.append(i)
-                right.append(j)
-        keys = table.column("k").combine_chunks()
-        return pa.table({"a": keys.take(pa.array(left, pa.int64())), "b": keys.take(pa.array(right, pa.int64()))})
+def _piece_links(w: int, percent: int):
+    """Rows (hub, a, b, loose, k, component, text): members outside the largest piece (loose) against a chunk; yields links between components."""
+
+    def run(batches):
+        for table in _by_group(batches, 3):
+            loose = table.column("loose").to_numpy()
+            if not loose.any() or loose.all():
+                continue
+            sets = Sets(exact_sets(_texts(table.column("text")), w))
+            codes: dict[str, int] = {}
+            own = np.array([codes.setdefault(str(c), len(codes)) for c in table.column("component").to_pylist()])
+            groups, left, right = Groups(own), [], []
+            for i in np.flatnonzero(loose):
+                found = groups.join(i, np.flatnonzero(sets.linked(i, percent) & ~loose))
+                left += [i] * len(found)
+                right += found.tolist()
+            if left:
+                keys = table.column("k").combine_chunks()
+                yield pa.record_batch([keys.take(pa.array(left)), keys.take(pa.array(right))], ["a", "b"])
 
     return run
 
 
-def _verified_blocks(members: DataFrame, nodes: DataFrame, w: int, percent: int, key: str) -> DataFrame:
-    """Links between components within large buckets (band, size, shingles, k, component).
-
-    Members meet in blocks of two chunks, where all their common shingles are
-    counted at once, so no candidate pair is ever a row.  Buckets of the same
-    members are one.
-    """
-    same = members.groupBy("band").agg(F.bit_xor(F.xxhash64("k")).alias("x"), F.sum(F.xxhash64("k").bitwiseAND(0xFFFFFFFF)).alias("y"))
-    one = same.groupBy("x", "y").agg(F.min("band").alias("band")).select("band")
-    chunks = F.greatest(F.ceil(F.col("size") / F.lit(CHUNK)), F.ceil(F.col("shingles") / F.lit(CHUNK_SHINGLES))).cast("int")
-    rows = members.join(one, "band", "left_semi").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("k"), "chunks").cast("int"))
-    parts = F.expr("transform(sequence(0, chunks - 1), c -> struct(least(c, chunk) AS a, greatest(c, chunk) AS b))")
-    rows = rows.select("band", "k", "component", "chunk", F.explode(parts).alias("p")).select("band", "k", "component", "chunk", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    return rows.join(nodes, "k").groupBy("band", "a", "b").applyInArrow(_block_links(w, percent), f"a {key}, b {key}")
+def _with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows (k, ...) with the texts of their documents: broadcast to them up to BROADCAST_ROWS, else merged with them."""
+    few = rows.count() <= BROADCAST_ROWS
+    texts = docs.select("k", "text")
+    return texts.join(F.broadcast(rows), "k") if few else texts.join(rows.hint("merge"), "k")
 
 
 def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> DataFrame:
@@ -227,33 +291,52 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
     are told apart by their texts and reach the same component_id only by
     links; rows that share both get the same result.
     """
+    spark = documents.sparkSession
     docs = keyed(documents)
     key = docs.schema["k"].dataType.simpleString()
-    sets = saved(docs.select("k", "text", "id").mapInArrow(_signed_sets(w), f"k {key}, id bigint, n bigint, set binary, bands array<bigint>"), "sets")
+    sets = saved(docs.select("k", "text", "id").mapInArrow(_signed_sets(w), f"k {key}, id bigint, n bigint, size bigint, set binary, bands array<bigint>"), "sets")
     classes = saved(sets.filter("n > 0").groupBy("set").agg(F.min("k").alias("rep"), F.count("*").alias("copies")), "classes")
 
-    banded = sets.select("k", "n", "bands").join(classes.select(F.col("rep").alias("k")), "k", "left_semi").select("k", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("k").alias("hub"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
-    buckets = saved(banded.join(shared, "band").select("band", "hub", "size", "shingles", "k"), "buckets")
-    nodes = saved(docs.select("k", "text").join(buckets.select("k").distinct().hint("merge"), "k", "left_semi").dropDuplicates(["k"]), "nodes")
-
-    pairs = buckets.filter("k <> hub").select("hub", "k").distinct()
-    tested = saved(pairs, "pairs")
-    links = saved(_verified(tested, nodes, w, percent, key), "links")
+    # Joins with tables that grow with the input are merged at every size, so that the plan is the same at every size.
+    banded = sets.select("k", "bands").join(classes.select(F.col("rep").alias("k")).hint("merge"), "k", "left_semi").select("k", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("k").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
+    pairs = saved(banded.join(shared.hint("merge"), "band").filter("k <> hub").select("hub", "k").distinct(), "pairs")
+
+    sizes = sets.select("k", "n", "size")
+    sizes = sizes if key == "bigint" else sizes.dropDuplicates(["k"])
+    sized = pairs.join(sizes.hint("merge"), "k").join(sizes.select(F.col("k").alias("hub"), F.col("n").alias("hub_n")).hint("merge"), "hub")
+    # A group of two whose sizes forbid a link is none.
+    stats = sized.groupBy("hub").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"), F.min("n").alias("n"), F.first("hub_n").alias("hub_n"))
+    stats = stats.filter(F.expr(f"members > 1 OR 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"))
+    chunks = F.greatest(F.ceil(F.col("members") / F.lit(CHUNK)), F.ceil(F.col("bytes") / F.lit(CHUNK_BYTES))).cast("int")
+    groups = saved(pairs.join(stats.select("hub", chunks.alias("chunks")), "hub"), "groups")
+    place = F.pmod(F.xxhash64("k"), "chunks").cast("int")
+    members = groups.select("hub", place.alias("chunk"), "k")
+    hubs = groups.select("hub", "chunks").distinct().select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("k"))
+    rows = saved(members.unionByName(hubs), "members")
+    dealt = _with_texts(rows, docs).select("hub", "chunk", "k", "text").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "k")  # the hub is its group's smallest
+    links = saved(dealt.mapInArrow(_chunk_links(w, percent), f"a {key}, b {key}"), "links")
     joined = components(links)
-    # Buckets that hold more than one component: each pair still to be compared has a member outside the bucket's largest one.
-    left = buckets.filter("size > 2").select("band", "size", "shingles", "k").join(joined.withColumnRenamed("node", "k"), "k", "left").select("band", "size", "shingles", "k", F.coalesce("component", "k").alias("component"))
-    kinds = left.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("kinds"))
-    open_ = saved(left.join(kinds.filter("kinds > 1").select("band", "largest"), "band"), "open")
-    if not open_.isEmpty():
-        few, many = open_.filter(F.col("size") <= SMALL), open_.filter(F.col("size") > SMALL)
-        hubs = few.filter("component <> largest").select("band", F.col("k").alias("hub"), F.col("component").alias("own"))
-        pairs = few.join(hubs, "band").filter("component <> own").select(F.least("hub", "k").alias("hub"), F.greatest("hub", "k").alias("k")).distinct()
-        fresh = saved(pairs.join(tested, ["hub", "k"], "left_anti"), "pairs")
-        found = _verified(fresh, nodes, w, percent, key).unionByName(_verified_blocks(many, nodes, w, percent, key))
-        found = saved(found, "links")
+
+    # Members of one chunk are joined or compared.  Two of different chunks are still to be, unless both are in the group's largest piece.
+    split = groups.filter("chunks > 1")
+    if not split.isEmpty():
+        left = split.join(joined.withColumnRenamed("node", "k"), "k", "left").select("hub", "k", "chunks", place.alias("chunk"), F.coalesce("component", "k").alias("component"))
+        pieces = left.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("loose"))
+        few = pieces.filter("loose > 0").select("hub", "largest", F.ceil(F.col("loose") / F.lit(CHUNK)).cast("int").alias("parts"))
+        left = left.join(few, "hub").withColumn("part", F.pmod(F.xxhash64("k", F.lit(1)), "parts").cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a")
+        whole = left.select("hub", every, F.col("chunk").alias("b"), F.lit(False).alias("loose"), "k", "component")
+        loose = left.filter("component <> largest").select("hub", F.col("part").alias("a"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b"), F.lit(True).alias("loose"), "k", "component")
+        rows_ = saved(whole.unionByName(loose), "pieces")
+        dealt = _with_texts(rows_, docs).select("hub", "a", "b", "loose", "k", "component", "text").repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b")
+        found = saved(dealt.mapInArrow(_piece_links(w, percent), f"a {key}, b {key}"), "links")
+        dropped(spark, rows_.sieveline_path)
         if not found.isEmpty():
             joined = components(links.unionByName(found))
+    for used in (pairs, groups, rows):
+        dropped(spark, used.sieveline_path)
+
     joined = joined.withColumnRenamed("node", "rep")
     group = classes.join(joined, "rep", "left").select("set", F.coalesce("component", "rep").alias("component"))
     lean = sets.select("k", "id", "n", "set")

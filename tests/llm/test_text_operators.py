@@ -220,12 +220,11 @@ def sets(texts, w):
     return out
 
 
-@pytest.mark.parametrize("small", [48, 2])
-def test_near_duplicates(spark, monkeypatch, small):
-    """small = 2 compares what stars leave over in blocks, as in large buckets."""
-    monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash, "MEMBERS", 5)
-    monkeypatch.setattr(minhash, "CHUNK", 9)
+@pytest.mark.parametrize("chunk,broadcast", [(1024, 10**6), (9, 10**6), (4, 0)])
+def test_near_duplicates(spark, monkeypatch, chunk, broadcast):
+    """Small chunks, so that groups of several chunks are looked at again; and texts merged with candidates, not broadcast to."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", broadcast)
     rng = random.Random(8)
     bases = [[f"v{rng.randrange(5000)}" for _ in range(80)] for _ in range(5)]
     texts = []
