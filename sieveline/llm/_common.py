@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST_ID = -(1 << 63)
+#: Rows of some 50 bytes that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def partitions(spark: SparkSession) -> int:
@@ -54,6 +56,33 @@ def dropped(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sized(rows: DataFrame, weight: str = "1", most: int | None = None) -> DataFrame:
+    """Rows to join to a large table: broadcast if they are BROADCAST_ROWS at most (a row counts ``weight`` times), else merged.
+
+    They are counted first, so they should be saved ones; either way the join has the same result.
+    """
+    n = rows.agg(F.sum(F.expr(weight)).alias("n")).first()["n"] or 0
+    return F.broadcast(rows) if n <= (BROADCAST_ROWS if most is None else most) else rows.hint("merge")
+
+
+def in_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """The same rows; from now on the session sends them to Python in Arrow batches of so many bytes at most.
+
+    Batches are bounded by rows alone otherwise, or by 64 MB, which a few
+    workers and the buffers of their executor multiply.  A smaller bound stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= most:
+        df.sparkSession.conf.set(key, str(most))
+    return df
+
+
+def text_hash(text: F.Column) -> F.Column:
+    """A hash that tells apart texts, and a null one from an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns k, id and text of the documents.
 
@@ -62,14 +91,14 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     an id but not a text stay apart, rows that share both count as one
     document and each gets its result.
     """
-    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     ids = base.select("id").groupBy("id").count().filter((F.col("count") > 1) | F.col("id").isNull())
     if ids.isEmpty():
         return base.select(F.col("id").alias("k"), "id", "text")
     k = F.struct(
         F.coalesce("id", F.lit(LEAST_ID)).alias("i"),
         F.col("id").isNotNull().alias("real"),
-        F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("h"),
+        text_hash(F.col("text")).alias("h"),
     )
     return base.select(k.alias("k"), "id", "text")
 

@@ -8,8 +8,8 @@
    has ``N`` words of the item in a row.  An item of fewer words has its whole
    sequence of words as its seed.
 2. Seeds meet the n-grams of each document in a table that is broadcast.  Its
-   size is bounded: a benchmark of more than ``BLOCK_WORDS`` words is taken in
-   blocks, each against all documents.
+   size is bounded: a benchmark of more than ``BLOCK_BYTES`` bytes of text is
+   taken in blocks, each against all documents.
 3. Around the seeds an item shares with a document, the words of both are
    aligned (match +2, mismatch and gap -1, local), many pairs at once.  The
    score is that of the best alignment over that of the whole item with
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import in_batches, text_hash
 from ._text import ALNUM, LOWER, shingle_hashes, slices, text_buffers, word_hashes, words
 
 N = 3
@@ -32,8 +33,8 @@ UNSPACED = ((0x0E01, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17F
 PARTING = ((0x0E4F, 0x0E4F), (0x0E5A, 0x0E5B), (0x0F0B, 0x0F14), (0x104A, 0x104F), (0x17D4, 0x17DA), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D, 0x303D), (0x30A0, 0x30A0), (0x30FB, 0x30FB), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
 #: Score from which a document counts as contaminated.
 THRESHOLD = 0.5
-#: Words of a benchmark block.
-BLOCK_WORDS = 1_000_000
+#: Bytes of text of a benchmark block; an item is in one block.
+BLOCK_BYTES = 6 << 20
 MATCH, MISS, GAP = 2, -1, -1
 #: Cells of the alignments taken at once, and the windows gathered before they are aligned.
 CELLS, WINDOWS = 200_000, 20_000
@@ -191,10 +192,10 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
     spark = documents.sparkSession
     sc = spark.sparkContext
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("h", F.xxhash64("text"))
+    docs = in_batches(docs).withColumn("h", text_hash(F.col("text")))
     bench = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    size = bench.agg(F.sum(F.size(F.split("text", r"\W+")) + F.length(F.regexp_replace("text", r"[\x00-\x7F]", ""))).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-2 * size // BLOCK_WORDS)) if size > BLOCK_WORDS else 1
+    size = bench.agg(F.sum(F.octet_length("text") + 8).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-2 * size // BLOCK_BYTES)) if size > BLOCK_BYTES else 1  # twice as many, since hashing doesn't deal them evenly
     out = None
     for k in range(blocks):
         rows = (bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else bench).orderBy("item_id", "text").collect()
@@ -219,7 +220,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, threshold: float =
         F.max("score").alias("score"), F.max_by("item_id", F.struct("score", -F.col("item_id"))).alias("item_id"),
         F.count_distinct(F.when(F.col("score") >= threshold, F.col("item_id"))).alias("n_items"),
     )
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(F.col("text").cast("string")).alias("h"))
     out = docs.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.h = f.h"), "left")
     score = F.coalesce("f.score", F.lit(0.0))
     return out.select(F.col("d.doc_id").alias("doc_id"), (score >= threshold).alias("contaminated"), F.coalesce("f.n_items", F.lit(0)).alias("n_items"), F.col("f.item_id").alias("item_id"), score.alias("score"), *[F.col("d.h").alias("h")] * with_hash)

@@ -22,16 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import in_batches
 from ._text import mix, slices, text_buffers
 
 DIM = 512
 N = 3
 #: A language tag is a label, not free text; more distinct ones than this are an error in the input.
 MOST_LANGUAGES = 2000
-#: Cells of a table of counts.
-COUNTS = 2_000_000
+#: Cells of a table of counts, and distinct n-grams whose vectors are taken at once.
+COUNTS, CODES = 1_000_000, 8192
 #: N-gram vectors a worker keeps.
-KEPT = 60_000
+KEPT = 40_000
 
 _U = np.uint64
 
@@ -90,7 +91,7 @@ def _grams(texts: pa.Array):
     """
     letters = _letters()
     data, offs = text_buffers(texts)
-    for i, j in slices(offs, 1 << 20):
+    for i, j in slices(offs):
         part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         points = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])[o]
@@ -119,25 +120,34 @@ def bundles(texts: pa.Array, vectors: Vectors):
     for i, j, doc, code in _grams(texts):
         out = np.zeros((j - i, vectors.dim), np.float32)
         if len(code):
+            # Blocks of n-grams and of texts, so that vectors and counts stay small however many there are.
+            # All sums are of whole numbers, so blocks don't change them.
             codes, column = np.unique(code, return_inverse=True)
-            # Blocks of texts, so that the table of counts stays small however many n-grams there are.
-            step = max(1, COUNTS // len(codes))
-            rows = vectors.of(codes).astype(np.float32)
-            bounds = np.searchsorted(doc, np.arange(j - i + 1))
-            for x in range(0, j - i, step):
-                y = min(x + step, j - i)
-                own = slice(bounds[x], bounds[y])
-                cells = (doc[own] - x) * len(codes) + column[own]
-                counts = np.bincount(cells, minlength=(y - x) * len(codes)).reshape(y - x, len(codes))
-                v = counts.astype(np.float32) @ rows
-                norm = np.linalg.norm(v, axis=1, keepdims=True)
-                out[x:y] = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+            for c in range(0, len(codes), CODES):
+                rows = vectors.of(codes[c : c + CODES]).astype(np.float32)
+                mine = np.flatnonzero((column >= c) & (column < c + CODES)) if len(codes) > CODES else slice(None)
+                doc_, column_ = doc[mine], column[mine] - c
+                bounds = np.searchsorted(doc_, np.arange(j - i + 1))
+                step = max(1, COUNTS // len(rows))
+                for x in range(0, j - i, step):
+                    y = min(x + step, j - i)
+                    own = slice(bounds[x], bounds[y])
+                    counts = np.bincount((doc_[own] - x) * len(rows) + column_[own], minlength=(y - x) * len(rows)).reshape(y - x, len(rows))
+                    out[x:y] += counts.astype(np.float32) @ rows
+            norm = np.linalg.norm(out, axis=1, keepdims=True)
+            np.divide(out, norm, out=out, where=norm > 0)
         yield i, out
 
 
+@functools.cache
+def _vectors(dim: int) -> Vectors:
+    """One table of vectors in each worker, kept from task to task."""
+    return Vectors(dim)
+
+
 def _learn(dim: int):
     def run(batches):
-        vectors, sums, rows = Vectors(dim), {}, {}
+        vectors, sums, rows = _vectors(dim), {}, {}
         for b in batches:
             langs = np.array(b.column(1).to_pylist(), object)
             for i, v in bundles(b.column(0), vectors):
@@ -156,7 +166,7 @@ def _learn(dim: int):
 
 def learn(labelled: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     """The languages of (text, lang) and their prototypes, scaled to length one; rows without a lang don't count."""
-    rows = labelled.filter("lang IS NOT NULL").select("text", "lang")
+    rows = in_batches(labelled.filter("lang IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
     sums = rows.mapInArrow(_learn(dim), "lang string, i int, v bigint").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     per = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("v")).limit(MOST_LANGUAGES + 1).collect()
     if len(per) > MOST_LANGUAGES:
@@ -170,38 +180,27 @@ def learn(labelled: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     return langs, np.array(protos, np.float32).reshape(len(langs), dim)
 
 
-def _predict(langs: list[str], protos: np.ndarray, names: list[str], at: int):
-    """Adds a prediction and its score, named last, to every row; column ``at`` is the text."""
+def predicted(langs: list[str], protos: np.ndarray):
+    """A function of a text column to its language and cosine; only texts go to Python, whatever other columns there are."""
 
-    def run(batches):
-        vectors = Vectors(protos.shape[1] if len(langs) else DIM)
+    @F.arrow_udf("struct<lang: string, score: double>")
+    def of(texts: pa.Array) -> pa.Array:
         letters = _letters()
-        for b in batches:
-            pred, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
-            if langs:
-                for i, v in bundles(b.column(at), vectors):
-                    cos = v @ protos.T
-                    best = cos.argmax(axis=1)
-                    for d in np.flatnonzero(v.any(axis=1)):
-                        pred[i + d] = langs[best[d]]
-                        score[i + d] = min(1.0, max(0.0, float(cos[d, best[d]])))
-                # A text of one letter has n-grams only with the blanks around it, or none: it still gets a language.
-                for d, p in enumerate(pred):
-                    if p == "und" and any(letters[ord(c)] for c in b.column(at)[d].as_py() or ""):
-                        pred[d] = langs[0]
-            yield pa.record_batch([*b.columns, pa.array(pred), pa.array(score)], names)
-
-    return run
-
-
-def with_language(rows: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
-    """The rows, with the predicted language of their text (a string) as _lang and its cosine as _score."""
-    names = [f"c{i}" for i in range(len(rows.columns))] + ["_lang", "_score"]
-    kinds = [t for _, t in rows.dtypes] + ["string", "double"]
-    at = rows.columns.index("text")
-    flat = rows.toDF(*names[:-2])
-    out = flat.mapInArrow(_predict(langs, protos, names, at), ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True)))
-    return out.toDF(*rows.columns, "_lang", "_score")
+        pred, score = ["und"] * len(texts), np.zeros(len(texts))
+        if langs:
+            for i, v in bundles(texts, _vectors(protos.shape[1])):
+                cos = v @ protos.T
+                best = cos.argmax(axis=1)
+                for d in np.flatnonzero(v.any(axis=1)):
+                    pred[i + d] = langs[best[d]]
+                    score[i + d] = min(1.0, max(0.0, float(cos[d, best[d]])))
+            # A text of one letter has n-grams only with the blanks around it, or none: it still gets a language.
+            for d, p in enumerate(pred):
+                if p == "und" and any(letters[ord(c)] for c in texts[d].as_py() or ""):
+                    pred[d] = langs[0]
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score)], ["lang", "score"])
+
+    return lambda text: of(text.cast("string"))
 
 
 def held_out(doc_id) -> F.Column:
@@ -220,7 +219,6 @@ def language_id(documents: DataFrame, training: DataFrame | None = None, dim: in
     """
     if training is None:
         training = documents.filter(~held_out(F.col("doc_id"))).select("text", "lang")
-    langs, protos = learn(training, dim)
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = with_language(rows, langs, protos)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    of = predicted(*learn(training, dim))
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), of(F.col("text")).alias("p"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))

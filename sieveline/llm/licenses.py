@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import in_batches
 from ._text import ALNUM, LOWER, slices, text_buffers, word_hashes, words
 
 #: Fixed phrases and their labels.
@@ -236,5 +237,5 @@ def license_scan(documents: DataFrame) -> DataFrame:
     spans (label:first:end of each template found, in words).  A null or empty
     text has no words and no labels.
     """
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = in_batches(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return rows.mapInArrow(_scan, "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans string")

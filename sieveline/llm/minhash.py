@@ -29,14 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, dropped, keyed, saved
+from ._common import components, dropped, in_batches, keyed, saved, sized
 from ._text import LOWER, mix, shingle_hashes, signed, slices, span_hashes, text_buffers, word_hashes, words
 
 BINS, BANDS = 512, 64
 #: Members, and bytes of their texts, of a chunk of a group; a longer text is a chunk of its own.
 CHUNK, CHUNK_BYTES = 1024, 4 << 20
-#: Rows of candidates (some 50 bytes each) that are broadcast to the texts; beyond that, texts and candidates are both shuffled.
-BROADCAST_ROWS = 1_000_000
 
 _U = np.uint64
 
@@ -274,13 +272,6 @@ def _piece_links(w: int, percent: int):
     return run
 
 
-def _with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The rows (k, ...) with the texts of their documents: broadcast to them up to BROADCAST_ROWS, else merged with them."""
-    few = rows.count() <= BROADCAST_ROWS
-    texts = docs.select("k", "text")
-    return texts.join(F.broadcast(rows), "k") if few else texts.join(rows.hint("merge"), "k")
-
-
 def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of at least percent / 100.
 
@@ -292,7 +283,7 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
     links; rows that share both get the same result.
     """
     spark = documents.sparkSession
-    docs = keyed(documents)
+    docs = in_batches(keyed(documents))
     key = docs.schema["k"].dataType.simpleString()
     sets = saved(docs.select("k", "text", "id").mapInArrow(_signed_sets(w), f"k {key}, id bigint, n bigint, size bigint, set binary, bands array<bigint>"), "sets")
     classes = saved(sets.filter("n > 0").groupBy("set").agg(F.min("k").alias("rep"), F.count("*").alias("copies")), "classes")
@@ -304,9 +295,9 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
 
     sizes = sets.select("k", "n", "size")
     sizes = sizes if key == "bigint" else sizes.dropDuplicates(["k"])
-    sized = pairs.join(sizes.hint("merge"), "k").join(sizes.select(F.col("k").alias("hub"), F.col("n").alias("hub_n")).hint("merge"), "hub")
+    weighed = pairs.join(sizes.hint("merge"), "k").join(sizes.select(F.col("k").alias("hub"), F.col("n").alias("hub_n")).hint("merge"), "hub")
     # A group of two whose sizes forbid a link is none.
-    stats = sized.groupBy("hub").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"), F.min("n").alias("n"), F.first("hub_n").alias("hub_n"))
+    stats = weighed.groupBy("hub").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"), F.min("n").alias("n"), F.first("hub_n").alias("hub_n"))
     stats = stats.filter(F.expr(f"members > 1 OR 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"))
     chunks = F.greatest(F.ceil(F.col("members") / F.lit(CHUNK)), F.ceil(F.col("bytes") / F.lit(CHUNK_BYTES))).cast("int")
     groups = saved(pairs.join(stats.select("hub", chunks.alias("chunks")), "hub"), "groups")
@@ -314,7 +305,7 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
     members = groups.select("hub", place.alias("chunk"), "k")
     hubs = groups.select("hub", "chunks").distinct().select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("k"))
     rows = saved(members.unionByName(hubs), "members")
-    dealt = _with_texts(rows, docs).select("hub", "chunk", "k", "text").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "k")  # the hub is its group's smallest
+    dealt = docs.select("k", "text").join(sized(rows), "k").select("hub", "chunk", "k", "text").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "k")  # the hub is its group's smallest
     links = saved(dealt.mapInArrow(_chunk_links(w, percent), f"a {key}, b {key}"), "links")
     joined = components(links)
 
@@ -329,7 +320,7 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
         whole = left.select("hub", every, F.col("chunk").alias("b"), F.lit(False).alias("loose"), "k", "component")
         loose = left.filter("component <> largest").select("hub", F.col("part").alias("a"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b"), F.lit(True).alias("loose"), "k", "component")
         rows_ = saved(whole.unionByName(loose), "pieces")
-        dealt = _with_texts(rows_, docs).select("hub", "a", "b", "loose", "k", "component", "text").repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b")
+        dealt = docs.select("k", "text").join(sized(rows_), "k").select("hub", "a", "b", "loose", "k", "component", "text").repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b")
         found = saved(dealt.mapInArrow(_piece_links(w, percent), f"a {key}, b {key}"), "links")
         dropped(spark, rows_.sieveline_path)
         if not found.isEmpty():
