@@ -58,6 +58,9 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 
+#: Matches of a text that are gathered in one go.
+BLOCK = 256
+
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -68,13 +71,18 @@ def _spans(rule: Rule, order: int) -> str:
     kept = f"length(x.v) >= {rule.least}" if rule.group == 0 else f"length(x.g) >= {rule.least}"
     group = f"regexp_extract_all(text, {p}, {rule.group})" if rule.group else "m"
     # One pass that carries the offset: each match begins after the pieces and matches before it.
+    # Blocks of BLOCK matches are gathered apart and flattened, so that no array grows match by match.
+    empty = "CAST(array() AS array<struct<start:int,v:string,g:string>>)"
+    step = "struct(acc.at + x.before + length(x.v) AS at, concat(acc.out, array(struct(acc.at + x.before AS start, x.v AS v, x.g AS g))) AS out)"
+    block = f"aggregate(slice(all, b * {BLOCK} + 1, {BLOCK}), struct(part.at AS at, {empty} AS out), (acc, x) -> {step})"
     one = f"""
       transform(array({found}), m -> filter(
-        aggregate(
-          zip_with(zip_with(slice(split(text, {p}, -1), 1, size(m)), m, (s, v) -> struct(length(s) AS before, v AS v)), {group}, (a, g) -> struct(a.before AS before, a.v AS v, g AS g)),
-          struct(0 AS at, CAST(array() AS array<struct<start:int,v:string,g:string>>) AS out),
-          (acc, x) -> struct(acc.at + x.before + length(x.v) AS at, concat(acc.out, array(struct(acc.at + x.before AS start, x.v AS v, x.g AS g))) AS out),
-          acc -> acc.out),
+        transform(array(
+          zip_with(zip_with(slice(split(text, {p}, -1), 1, size(m)), m, (s, v) -> struct(length(s) AS before, v AS v)), {group}, (a, g) -> struct(a.before AS before, a.v AS v, g AS g))),
+          all -> aggregate(sequence(0, CAST(greatest(size(all) - 1, 0) / {BLOCK} AS int)),
+            struct(0 AS at, CAST(array() AS array<array<struct<start:int,v:string,g:string>>>) AS out),
+            (part, b) -> transform(array({block}), done -> struct(done.at AS at, concat(part.out, array(done.out)) AS out))[0],
+            part -> flatten(part.out)))[0],
         x -> {kept}))[0]"""
     return f"""CASE WHEN array_contains(todo, '{rule.tag}') AND text RLIKE {p}
       THEN transform({one}, x -> struct(x.start AS start, {order} AS kind, x.start + length(x.v) AS end))
