@@ -14,7 +14,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-from ._text import mix, slices, span_hashes, text_buffers
+from ._text import mix, slices, text_buffers, unit_hashes
 
 _U = np.uint64
 OTHER, LETTER, NUMBER, SPACE, UNSURE = 0, 1, 2, 3, 4
@@ -143,9 +143,41 @@ def point_table() -> np.ndarray:
         return mix((np.arange(_TOP, dtype=_U) + _U(1)) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
-def distinct(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct hashes of pre-tokens in order, one place of each, and which one each pre-token has."""
-    return np.unique(span_hashes(point_table()[points], starts, ends), return_index=True, return_inverse=True)
+def pretoken_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return unit_hashes(points, point_table(), starts, ends)
+
+
+def spread(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each span, one span after another."""
+    return np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def same_spans(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether a[start:end] is b[start:end], for each two spans."""
+    size = a_ends - a_starts
+    same = size == b_ends - b_starts
+    at = np.flatnonzero(same)
+    size = size[at]
+    odd = a[spread(a_starts[at], size)] != b[spread(b_starts[at], size)]
+    if odd.any():
+        same[at[np.searchsorted(np.cumsum(size), np.flatnonzero(odd), "right")]] = False
+    return same
+
+
+def distinct(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of spans (pre-tokens, by default) in order, one place of each, and which one each span has.
+
+    Hashes only sort: code points are compared, and a span that shares a hash
+    with another one gets the next number that is free as its own.
+    """
+    keys = pretoken_hashes(points, starts, ends) if keys is None else keys.copy()
+    while True:
+        values, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        same = same_spans(points, starts, ends, points, starts[where[inverse]], ends[where[inverse]])
+        if same.all():
+            return values, where, inverse
+        with np.errstate(over="ignore"):
+            keys[~same] += _U(1)
 
 
 def strings_of(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
@@ -155,69 +187,92 @@ def strings_of(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list
     return [flat[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def put(pool: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+    """A pool of which so much is used, with more put after it; a larger one if need be."""
+    while used + len(new) > len(pool):
+        pool = np.concatenate([pool, np.zeros(len(pool), pool.dtype)])
+    pool[used : used + len(new)] = new
+    return pool
+
+
 class Memo:
-    """Encodings of pre-tokens by a 64-bit hash of their code points.
+    """Encodings of pre-tokens, found by a hash of their code points and taken only if those are the same.
 
-    Grows to ``most`` pre-tokens and then starts again from the ones it was
-    given.  ``encode`` takes a list of strings and gives a list of id lists.
+    Grows to ``most`` pre-tokens and then keeps those that were met again.
+    ``encode`` takes a list of strings and gives a list of id lists.
     """
 
-    def __init__(self, encode, most: int = 2_000_000, given: list[str] | None = None) -> None:
+    def __init__(self, encode, most: int = 300_000) -> None:
         self.encode, self.most = encode, most
-        self.keys, self.at, self.size, self.ids = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.first: tuple | None = None
-        if given:
-            flat = np.frombuffer("".join(given).encode("utf-32-le"), np.uint32)
-            ends = np.cumsum([len(g) for g in given])
-            self._add(span_hashes(point_table()[flat], ends - [len(g) for g in given], ends), given)
-            self.first = (self.keys, self.at, self.size, self.used)
-
-    def _add(self, keys: np.ndarray, strings: list[str]) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.rows = np.zeros(0, _U), np.zeros((0, 4), np.int32)  # place and number of ids, begin and end of code points
+        self.again = np.zeros(0, bool)
+        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
+        self.points, self.n_points = np.zeros(1 << 16, np.uint32), 0
+
+    def _shrink(self) -> None:
+        """Keep what was met again, if that is less than half of what fits; else nothing."""
+        keys, rows, ids, points = self.keys[self.again], self.rows[self.again].astype(np.int64), self.ids, self.points
+        self.clear()
+        n_points = rows[:, 3] - rows[:, 2]
+        if max(len(keys), rows[:, 1].sum() >> 4, n_points.sum() >> 4) <= self.most // 2:
+            self.keys, self.again = keys, np.zeros(len(keys), bool)
+            self.ids, self.n_ids = put(self.ids, 0, ids[spread(rows[:, 0], rows[:, 1])]), int(rows[:, 1].sum())
+            self.points, self.n_points = put(self.points, 0, points[spread(rows[:, 2], n_points)]), int(n_points.sum())
+            stop, at = np.cumsum(n_points), np.cumsum(rows[:, 1])
+            self.rows = np.stack([at - rows[:, 1], rows[:, 1], stop - n_points, stop], axis=1).astype(np.int32)
+
+    def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids of strings, whose ids now are in the pool."""
         lists = self.encode(strings)
         size = np.array([len(x) for x in lists], np.int64)
         flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(size) - size
-        self.used += len(flat)
-        order = np.argsort(keys)
-        place = np.searchsorted(self.keys, keys[order])
-        self.keys = np.insert(self.keys, place, keys[order])
-        self.at = np.insert(self.at, place, at[order])
-        self.size = np.insert(self.size, place, size[order])
-
-    def look_keys(self, keys: np.ndarray, strings) -> tuple[np.ndarray, np.ndarray]:
-        """(place in pool, number of ids) for sorted distinct hashes; strings(which) gives the pre-tokens of those that are new."""
-        if len(self.keys) + len(keys) > self.most:
-            if self.first:
-                self.keys, self.at, self.size, self.used = self.first
-            else:
-                self.keys, self.at, self.size, self.used = self.keys[:0], self.at[:0], self.size[:0], 0
-        at = np.searchsorted(self.keys, keys)
+        self.ids = put(self.ids, self.n_ids, flat)
+        at = self.n_ids + np.cumsum(size) - size
+        self.n_ids += len(flat)
+        return at, size
+
+    def _add(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        at, size = self._encoded(strings_of(points, starts, ends))
+        flat = points[spread(starts, ends - starts)]
+        self.points = put(self.points, self.n_points, flat)
+        stop = self.n_points + np.cumsum(ends - starts)
+        self.n_points += len(flat)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.again = np.insert(self.keys, place, keys), np.insert(self.again, place, False)
+        self.rows = np.insert(self.rows, place, np.stack([at, size, stop - (ends - starts), stop], axis=1).astype(np.int32), axis=0)
+
+    def look_distinct(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in pool, number of ids) of different pre-tokens, given with their hashes in order."""
+        if len(self.keys) + len(keys) > self.most or max(self.n_points, self.n_ids) > 16 * self.most:
+            self._shrink()
+        place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        self.again[place[known]] = True
         if not known.all():
-            self._add(keys[~known], strings(np.flatnonzero(~known)))
-            at = np.searchsorted(self.keys, keys)
-        return self.at[at], self.size[at]
+            new = ~known
+            self._add(keys[new], points, starts[new], ends[new])
+            place = np.searchsorted(self.keys, keys)
+        rows = self.rows[place].astype(np.int64)
+        at, size = rows[:, 0].copy(), rows[:, 1].copy()
+        other = np.flatnonzero(~same_spans(points, starts, ends, self.points, rows[:, 2], rows[:, 3]))
+        if len(other):  # another pre-token has that hash here; these are encoded whenever they are met
+            at[other], size[other] = self._encoded(strings_of(points, starts[other], ends[other]))
+        return at, size
 
     def look(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in pool, number of ids) of each pre-token."""
         keys, where, inverse = distinct(points, starts, ends)
-        at, size = self.look_keys(keys, lambda new: strings_of(points, starts[where[new]], ends[where[new]]))
+        at, size = self.look_distinct(keys, points, starts[where], ends[where])
         return at[inverse], size[inverse]
 
     def gather(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The ids of pre-tokens, one after another."""
-        total = int(size.sum())
-        if not total:
-            return np.zeros(0, np.uint32)
-        before = np.cumsum(size) - size
-        return self.pool[np.repeat(at - before, size) + np.arange(total)]
+        return self.ids[spread(at, size)]
 
 
 def text_slices(column: pa.Array):

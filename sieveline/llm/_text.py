@@ -5,19 +5,26 @@ the byte buffer of an Arrow column, without a Python string per word.  Every
 separator the operators use is ASCII, so bytes and code points agree on where
 words begin and end.
 
-Hashes are polynomials modulo 2**64 over a random byte table, with a mixing
-step at the end; two kinds (``salt``) are independent of one another.
+Hashes of short spans are polynomials modulo 2**64 over a random byte table,
+with a mixing step at the end.  Some sequences of 2**10 letters (the Thue-Morse
+word and its complement) agree under any such polynomial, so a span longer than
+``LONG`` is hashed by BLAKE2b instead.  Two kinds (``salt``) are independent of
+one another.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone.
-SLICE = 1 << 21
+SLICE = 1 << 19
+
+#: Units of the longest span that is hashed by a polynomial.
+LONG = 64
 
 _U = np.uint64
 
@@ -69,7 +76,7 @@ def powers(n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """The hash of values[start:end] for each pair, whatever stands around it."""
+    """The hash of values[start:end] for each pair, whatever stands around it; sound where no span is longer than LONG."""
     fore, back = powers(len(values) + 1, salt)
     with np.errstate(over="ignore"):
         total = np.empty(len(values) + 1, dtype=_U)
@@ -80,6 +87,23 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt:
     return mix(h)
 
 
+def digests(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64 bits of BLAKE2b of units[start:end] for each pair."""
+    raw = memoryview(np.ascontiguousarray(units)).cast("B")
+    k, kind = units.dtype.itemsize, bytes([salt])
+    out = b"".join(hashlib.blake2b(raw[a:b], digest_size=8, salt=kind).digest() for a, b in zip((starts * k).tolist(), (ends * k).tolist(), strict=True))
+    return np.frombuffer(out, _U)
+
+
+def unit_hashes(units: np.ndarray, table: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """The hash of units[start:end] for each pair; table gives a random number for each unit."""
+    h = span_hashes(table[units], starts, ends, salt)
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        h[long] = digests(units, starts[long], ends[long], salt)
+    return h
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its texts; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -141,7 +165,7 @@ def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = SPACED, cuts
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    return span_hashes(byte_table(salt)[data], starts, ends, salt)
+    return unit_hashes(data, byte_table(salt), starts, ends, salt)
 
 
 def shingle_hashes(wh: np.ndarray, n: int) -> np.ndarray:

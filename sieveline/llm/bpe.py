@@ -29,16 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._pretok import lower, point_table, text_slices, tokenizer, word_level_spans, worker_memo
-from ._text import mix, powers, span_hashes
+from ._common import in_batches
+from ._pretok import distinct, lower, point_table, put, same_spans, spread, text_slices, tokenizer, word_level_spans, worker_memo
+from ._text import digests, mix, powers
 
 WINDOW = 16
 #: One in so many places is a cut; none is nearer to the one before it than SHORTEST.
 MEAN, SHORTEST = 1024, 128
 #: Pre-tokens of the smallest chunk that is joined.
 LEAST = 6
-#: Ids of chunks that a worker keeps before it starts again.
-POOL = 8_000_000
+#: Ids of chunks that a worker keeps before it starts again, and for each at most so many code points.
+POOL, POINTS = 2_000_000, 6
 
 _U = np.uint64
 
@@ -67,10 +68,10 @@ def cuts(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Chunks:
-    """Encodings of chunks by their hash: ids, and where the first and last two pre-tokens lie."""
+    """Encodings of chunks, found by their hash and taken only if the code points are the same: ids, and where the first and last two pre-tokens lie."""
 
-    #: Columns: place in pool, ids, pre-tokens; begin and end of the first two pre-tokens and their ids, of the last two likewise.
-    WIDTH = 3 + 2 * 6
+    #: Columns: place in pool, ids, pre-tokens; begin and end of the first two pre-tokens and their ids, of the last two likewise; begin and end of the code points.
+    WIDTH = 3 + 2 * 6 + 2
 
     def __init__(self, path: str) -> None:
         self.memo = worker_memo(path)
@@ -79,35 +80,46 @@ class Chunks:
     def clear(self) -> None:
         self.keys, self.rows = np.zeros(0, _U), np.zeros((0, self.WIDTH), np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.points, self.n_points = np.zeros(1 << 16, np.uint16), 0  # sure code points fit into 16 bits
 
     def look(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A row for each chunk."""
-        keys, where, inverse = np.unique(span_hashes(point_table()[points], starts, ends, 1), return_index=True, return_inverse=True)
-        if self.used > POOL:
+        keys, where, inverse = distinct(points, starts, ends, digests(points, starts, ends))
+        if self.used > POOL or self.n_points > POINTS * POOL:
             self.clear()
         place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         inside = place < len(self.keys)
         known[inside] = self.keys[place[inside]] == keys[inside]
+        s, e = starts[where], ends[where]
         if not known.all():
-            new = where[~known]
-            self._encode(keys[~known], points, starts[new], ends[new])
+            new = ~known
+            fresh = self._encoded(points, s[new], e[new])
+            flat = points[spread(s[new], (e - s)[new])]
+            self.points = put(self.points, self.n_points, flat.astype(np.uint16))
+            fresh[:, -1] = self.n_points + np.cumsum((e - s)[new])
+            fresh[:, -2] = fresh[:, -1] - (e - s)[new]
+            self.n_points += len(flat)
+            self.keys, self.rows = np.insert(self.keys, place[new], keys[new]), np.insert(self.rows, place[new], fresh, axis=0)
             place = np.searchsorted(self.keys, keys)
-        return self.rows[place][inverse]
-
-    def _encode(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        rows = self.rows[place]
+        other = np.flatnonzero(~same_spans(points, s, e, self.points, rows[:, -2], rows[:, -1]))
+        if len(other):  # another chunk has that hash here
+            rows[other] = self._encoded(points, s[other], e[other])
+        return rows[inverse]
+
+    def _encoded(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Rows of chunks whose ids now are in the pool."""
         size = ends - starts
         at = np.concatenate([[0], np.cumsum(size)])
-        own = points[np.repeat(starts - at[:-1], size) + np.arange(at[-1])]
+        own = points[spread(starts, size)]
         s, e = word_level_spans(own, at)
         place, n = self.memo.look(own, s, e)
         ids = self.memo.gather(place, n)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-        self.pool[self.used : self.used + len(ids)] = ids
+        self.pool = put(self.pool, self.used, ids)
         total = np.concatenate([[0], np.cumsum(n)])
         bound = np.searchsorted(s, at)
-        rows = np.zeros((len(keys), self.WIDTH), np.int64)
+        rows = np.zeros((len(starts), self.WIDTH), np.int64)
         rows[:, 0] = self.used + total[bound[:-1]]
         rows[:, 1] = total[bound[1:]] - total[bound[:-1]]
         rows[:, 2] = bound[1:] - bound[:-1]
@@ -118,10 +130,7 @@ class Chunks:
                 rows[:, 4 + 3 * c] = e[w] - at[:-1]
                 rows[:, 5 + 3 * c] = n[w]
         self.used += len(ids)
-        order = np.argsort(keys)
-        at_ = np.searchsorted(self.keys, keys[order])
-        self.keys = np.insert(self.keys, at_, keys[order])
-        self.rows = np.insert(self.rows, at_, rows[order], axis=0)
+        return rows
 
 
 @functools.cache
@@ -192,18 +201,12 @@ def _encode_slice(points: np.ndarray, at: np.ndarray, path: str) -> tuple[np.nda
     out = np.zeros(int(total.sum()), np.uint32)
     dest = np.cumsum(total) - total
 
-    def put(at_out, source, at_in, size):
-        if size.sum():
-            before = np.cumsum(size) - size
-            run = np.arange(int(size.sum()))
-            out[np.repeat(at_out - before, size) + run] = source[np.repeat(at_in - before, size) + run]
-
-    put(dest, chunks.pool, rows[:, 0] + skip, body)
+    out[spread(dest, body)] = chunks.pool[spread(rows[:, 0] + skip, body)]
     if len(left):
         ok = ~alone[left]
-        put((dest + body)[left[ok]], fixed_ids, fixed_at[ok], fixed_size[ok])
+        out[spread((dest + body)[left[ok]], fixed_size[ok])] = fixed_ids[spread(fixed_at[ok], fixed_size[ok])]
     if len(w):
-        put(dest[first], whole_ids, wb[:-1], np.diff(wb))
+        out[spread(dest[first], np.diff(wb))] = whole_ids[spread(wb[:-1], np.diff(wb))]
     ends_of = np.concatenate([[0], np.cumsum(total)])
     return out, ends_of[np.searchsorted(text, np.arange(n + 1))]
 
@@ -280,7 +283,7 @@ def _ids(path: str):
 
 
 def _rows(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return in_batches(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
 
 def encode_decode(documents: DataFrame, path: str) -> DataFrame:

@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, partitions, saved
-from ._text import shingle_hashes, signed, sliding_min, slices, span_hashes, text_buffers, word_hashes, words
+from ._common import in_batches, keyed, partitions, saved
+from ._text import SPACED, digests, shingle_hashes, signed, sliding_min, slices, text_buffers, word_hashes, words
 
 #: Unequal segments of one anchor that one task takes together.
 KINDS = 2000
@@ -51,8 +51,19 @@ BATCH_WORDS = 60_000
 AUTOMATON_CHARS = 4_000_000
 
 
+def _single_spaced(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts with one space before each, and where each word begins and ends in that."""
+    size = ends - starts
+    total = np.cumsum(size + 1)
+    out = np.full(int(total[-1]), 0x20, np.uint8)
+    inside = np.ones(len(out), bool)
+    inside[total - size - 1] = False
+    out[inside] = part[SPACED[part]]
+    return out, total - size, total
+
+
 def _segments(texts: pa.Array, n: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each slice: text index, anchor, hash of the words, first window, windows, whether the anchor stands there twice."""
+    """For each slice: text index, anchor, digest of the words, first window, windows, whether the anchor stands there twice."""
     data, offs = text_buffers(texts)
     for i, j in slices(offs):
         part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
@@ -80,7 +91,8 @@ def _segments(texts: pa.Array, n: int, k: int) -> Iterator[tuple[np.ndarray, ...
         np.cumsum(twice, out=twice)
         rep = twice[np.minimum(lo + count + span - 1, len(grams))] > twice[lo]
         first_word = np.searchsorted(doc, np.arange(j - i))
-        yield doc[lo] + i, a[at], span_hashes(wh, lo, lo + count + n - 1, 1), lo - first_word[doc[lo]], count, rep
+        text, begin, end = _single_spaced(part, starts, ends)
+        yield doc[lo] + i, a[at], digests(text, begin[lo], end[lo + count + n - 2]), lo - first_word[doc[lo]], count, rep
 
 
 def _anchors(n: int, k: int):
@@ -355,7 +367,7 @@ def substring_dedup(documents: DataFrame, n: int = 20, k: int = 6, texts: bool =
     fewer than n words loses none.  Rows that share a doc_id and a text count
     as one document; a null doc_id comes before all others.
     """
-    docs = keyed(documents)
+    docs = in_batches(keyed(documents))
     spans = repeated_spans(docs, n, k).groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     rows = docs.join(spans, "k", "left").select("id", "text", "spans")
     return rows.mapInArrow(_kept(texts), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts)

@@ -1,12 +1,13 @@
 """Token counts: map-side two-tier lookup.
 
 A text's pre-tokens are looked up in a table of the corpus' frequent ones,
-which holds nothing but a hash and a length each and is broadcast; its size is
-bounded by ``FREQUENT``.  What it lacks goes through a cache in each worker,
-and only what that lacks is encoded.  No pre-token is shuffled: to find the
-frequent ones, each task counts the pre-tokens of its own rows and passes on
-its ``PER_TASK`` most frequent, over all rows of the corpus.  The table decides
-how fast counts are found, never what they are.
+which holds the pre-tokens, their hashes and lengths and is broadcast; its size
+is bounded by ``FREQUENT`` and ``LONGEST``.  What it lacks goes through a cache
+in each worker, and only what that lacks is encoded.  A hit by hash counts only
+if the code points are the same.  The texts' pre-tokens are never shuffled: to
+find the frequent ones, each task counts those of its own rows, and its
+``PER_TASK`` most frequent are added up, over all rows of the corpus.  The
+table decides how fast counts are found, never what they are.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._pretok import byte_level_starts, distinct, library_ids, strings_of, text_slices, tokenizer, worker_memo
+from ._common import in_batches
+from ._pretok import byte_level_starts, distinct, library_ids, pretoken_hashes, same_spans, strings_of, text_slices, tokenizer, worker_memo
 
-#: Pre-tokens in the broadcast table, 12 bytes each; and those that one task proposes.
-FREQUENT, PER_TASK = 32_768, 4_096
+#: Pre-tokens in the broadcast table; those that one task proposes; and code points of the longest of them.
+FREQUENT, PER_TASK, LONGEST = 32_768, 4_096, 32
 #: Different pre-tokens that a task counts at once.
 COUNTED = 400_000
 
@@ -50,27 +52,44 @@ def _frequent(batches):
             if len(keys) > COUNTED:  # the rarest half goes; what is frequent stays
                 stay = np.sort(np.argpartition(-counts, COUNTED // 2)[: COUNTED // 2])
                 keys, counts, strings = keys[stay], counts[stay], strings[stay]
+    short = np.array([len(s) <= LONGEST for s in strings], bool)
+    counts, strings = counts[short], strings[short]
     top = np.argsort(-counts, kind="stable")[:PER_TASK]
     yield pa.record_batch([pa.array(strings[top].tolist(), pa.string()), pa.array(counts[top])], ["pretoken", "n"])
 
 
-def frequent_lengths(documents: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and token counts of the frequent pre-tokens of byte-level texts."""
-    rows = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequent, "pretoken string, n bigint")
+class Table:
+    """Frequent pre-tokens in the order of their hashes, with the number of tokens of each."""
+
+    def __init__(self, strings: list[str], sizes: list[int]) -> None:
+        flat = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(s) for s in strings], dtype=np.int64)
+        starts = ends - np.array([len(s) for s in strings], np.int64)
+        keys, where = np.unique(pretoken_hashes(flat, starts, ends), return_index=True)  # of two that share a hash, one stays
+        self.keys, self.points, self.starts, self.ends, self.sizes = keys, flat, starts[where], ends[where], np.array(sizes, np.int64)[where]
+
+    def look(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each pre-token is here, and the tokens of those that are."""
+        hit = np.zeros(len(keys), bool)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            at = np.flatnonzero(self.keys[place] == keys)
+            hit[at] = same_spans(points, starts[at], ends[at], self.points, self.starts[place[at]], self.ends[place[at]])
+            return hit, self.sizes[place[hit]]
+        return hit, np.zeros(0, np.int64)
+
+
+def frequent_lengths(documents: DataFrame, path: str) -> Table:
+    """The frequent pre-tokens of byte-level texts and their token counts."""
+    rows = in_batches(documents.select(F.col("text").cast("string").alias("text"))).mapInArrow(_frequent, "pretoken string, n bigint")
     top = rows.groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(FREQUENT).collect()
     strings = [r["pretoken"] for r in top]
-    if not strings:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    flat = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
-    ends = np.cumsum([len(s) for s in strings])
-    keys, where, _ = distinct(flat, ends - [len(s) for s in strings], ends)
-    lists = library_ids(path)([strings[i] for i in where])
-    return keys, np.array([len(x) for x in lists], np.int32)
+    return Table(strings, [len(x) for x in library_ids(path)(strings)] if strings else [])
 
 
 def _count(path: str, table):
     def run(batches):
-        keys1, sizes1 = table.value
+        frequent = table.value
         memo = worker_memo(path)
         for b in batches:
             n_bytes = np.zeros(b.num_rows, np.int64)
@@ -88,12 +107,12 @@ def _count(path: str, table):
                     continue
                 ends = np.append(starts[1:], len(points))
                 keys, where, inverse = distinct(points, starts, ends)
+                s, e = starts[where], ends[where]
                 size = np.zeros(len(keys), np.int64)
-                place = np.minimum(np.searchsorted(keys1, keys), max(len(keys1) - 1, 0))
-                hit = keys1[place] == keys if len(keys1) else np.zeros(len(keys), bool)
-                size[hit] = sizes1[place[hit]]
-                miss = np.flatnonzero(~hit)
-                _, size[miss] = memo.look_keys(keys[miss], lambda new, m=miss, p=points, s=starts, e=ends, w=where: strings_of(p, s[w[m[new]]], e[w[m[new]]]))
+                hit, size_ = frequent.look(keys, points, s, e)
+                size[hit] = size_
+                miss = ~hit
+                _, size[miss] = memo.look_distinct(keys[miss], points, s[miss], e[miss])
                 total = np.concatenate([[0], np.cumsum(size[inverse])])
                 bound = np.searchsorted(starts, at)
                 n_tokens[i:j] += total[bound[1:]] - total[bound[:-1]]

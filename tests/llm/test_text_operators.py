@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sieveline.llm import _pretok, bpe, decontam, langid, licenses, minhash, phrases, secrets, sstable, tokencount
+from sieveline.llm import _common, _pretok, bpe, decontam, langid, licenses, minhash, phrases, secrets, sstable, tokencount
 from sieveline.llm.queries import vocabulary
 
 
@@ -224,7 +224,7 @@ def sets(texts, w):
 def test_near_duplicates(spark, monkeypatch, chunk, broadcast):
     """Small chunks, so that groups of several chunks are looked at again; and texts merged with candidates, not broadcast to."""
     monkeypatch.setattr(minhash, "CHUNK", chunk)
-    monkeypatch.setattr(minhash, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", broadcast)
     rng = random.Random(8)
     bases = [[f"v{rng.randrange(5000)}" for _ in range(80)] for _ in range(5)]
     texts = []
@@ -363,3 +363,74 @@ def test_empty_tables(spark, docs):
         sstable.read_token_ids(sstable.write_token_ids(none, path)), minhash.near_duplicates(none), langid.language_id(none), decontam.decontaminate(none, docs.selectExpr("doc_id AS item_id", "text").limit(0)),
     ):
         assert df.count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    """A word and its complement, which agree under any polynomial modulo 2**64 if n is 1024 or more."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((b if x else a) for x in bits), "".join((a if x else b) for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_agree_under_any_polynomial(spark, n):
+    x, y = thue_morse(n)
+    byte, word = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
+    for path, rows in ((byte, sstable.encoded(pa.array([x, y, x]), byte)), (word, (ids for _, ids, _ in [b for t in (x, y, x) for b in bpe.encoded(pa.array([t]), word)]))):
+        assert [list(r) for r in rows] == [e.ids for e in _pretok.tokenizer(path).encode_batch([x, y, x], add_special_tokens=False)]
+    texts = [f"{x} {y}", f"{y} {x}", y, x]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in tokencount.token_counts(df, byte).collect():
+        assert r["n_tokens"] == len(_pretok.tokenizer(byte).encode(texts[r["doc_id"]], add_special_tokens=False).ids)
+    common = " ".join(f"c{i}" for i in range(10))
+    pair = [(1, f"{common} {x} d e"), (2, f"{common} {y} d e")]
+    s = sets([t for _, t in pair], 2)
+    assert 100 * len(s[0] & s[1]) < 85 * len(s[0] | s[1])
+    near = minhash.near_duplicates(spark.createDataFrame(pair, "doc_id long, text string"), w=2, percent=85).collect()
+    assert all(r["kept"] for r in near)
+    around = [f"z{i}" for i in range(15)]
+    rows = [(i, " ".join([*around, w, *around])) for i, w in enumerate((x, y, x))] + [(9, " ".join(thue_morse(n, "p ", "q ")[0].split() + ["end"] + thue_morse(n, "p ", "q ")[1].split()))]
+    got = phrases.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), texts=False)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()} == brute_dedup(rows, 20)
+
+
+def test_memos_survive_hashes_that_agree(monkeypatch):
+    """Every pre-token and chunk has one of few hashes: code points decide, and ids are the library's all the same."""
+    few = lambda units, table, starts, ends, salt=0: ((ends - starts) % 3).astype(np.uint64)
+    monkeypatch.setattr(_pretok, "unit_hashes", few)
+    monkeypatch.setattr(bpe, "digests", lambda units, starts, ends, salt=0: few(units, None, starts, ends))
+    for f in (_pretok.worker_memo, bpe._chunks):
+        f.cache_clear()
+    texts = odd_texts(120, 60) + ["some more words " * 40, "other more words " * 40, "some more words " * 40]
+    byte, word = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
+    want = [e.ids for e in _pretok.tokenizer(byte).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for _ in range(2):
+        assert [x.tolist() for x in sstable.encoded(pa.array(texts, pa.string()), byte)] == want
+        got = [ids[a:b].tolist() for _, ids, offs in bpe.encoded(pa.array(texts, pa.string()), word) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        assert got == [e.ids for e in _pretok.tokenizer(word).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    frequent = tokencount.Table(["a", " b", "cd", "'s"], [1, 1, 1, 1])
+    points = np.frombuffer("cdxy".encode("utf-32-le"), np.uint32)
+    hit, size = frequent.look(np.full(2, 2, np.uint64), points, np.array([0, 2]), np.array([2, 4]))
+    assert not hit[1] and len(size) == hit.sum()
+    for f in (_pretok.worker_memo, bpe._chunks):
+        f.cache_clear()
+
+
+def test_secrets_in_texts_of_many_matches(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 4)
+    texts = [" ".join(f"{'é' * (i % 3)}token=abcdef{i:05d}" for i in range(n)) for n in (1, 3, 4, 5, 8, 9, 100)]
+    got = secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in got.collect():
+        want = base_spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{n}:{a}:{b}" for a, _, b, n in want).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("most", [3, 40, 300])
+def test_a_small_memo_gives_the_same_ids(monkeypatch, most):
+    byte = vocabulary("byte_bpe_50k.json")
+    memo = _pretok.Memo(_pretok.library_ids(byte), most)
+    monkeypatch.setattr(sstable, "worker_memo", lambda path: memo)
+    texts = odd_texts(200, 40) + ["the same words again and again"] * 20
+    for part in (texts[:100], texts[100:], texts):
+        want = [e.ids for e in _pretok.tokenizer(byte).encode_batch([t or "" for t in part], add_special_tokens=False)]
+        for a in range(0, len(part), 7):
+            assert [x.tolist() for x in sstable.encoded(pa.array(part[a : a + 7], pa.string()), byte)] == want[a : a + 7]
