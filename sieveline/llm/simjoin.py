@@ -11,8 +11,11 @@ A block's range join: cells of a grid over its first ``GRID`` coordinates, as
 wide as twice the radius.  A vector is at home in one cell and a guest of those
 greater neighbours that its ball reaches, so each pair meets in one cell.  A
 cell that many vectors share is split into chunks that meet two by two; no
-task holds more than two chunks.  A cell's candidates are verified exactly, in
-double precision on the whole vectors.
+task holds more than two chunks.  The more vectors there are, the more of a
+block's coordinates the grid takes, so that cells stay small.  Within a task, a
+chunk is split again and again on the block's other coordinates until few pairs
+are left to a part, and only those are compared.  Candidates are verified
+exactly, in double precision on the whole vectors.
 
 A pair may be near in several blocks.  It belongs to the first of them, which
 each task can tell from the two vectors alone (rotated coordinates are rounded
@@ -34,13 +37,15 @@ from pyspark.sql import functions as F
 
 from ._common import LEAST_ID, components, saved
 
-BLOCKS, GRID = 8, 3
+BLOCKS = 8
+#: Coordinates of the grid: three for up to so many vectors, and one more each time there are STEEP times as many.
+GRID, GRID_ROWS, STEEP = 3, 250_000, 2
 #: Vectors of a cell that one task takes; two chunks of about this size meet.
 CHUNK = 16_384
 #: Rotated coordinates are whole multiples of this.
 STEP = 2.0**-14
-#: Pairs verified at once.
-PAIRS = 100_000
+#: Pairs verified at once, and pairs of a part that isn't split again.
+PAIRS, LEAF = 100_000, 20_000
 
 
 @functools.cache
@@ -94,7 +99,55 @@ def _classes(batches):
         yield pa.record_batch([b.column(0), pa.array(hashes, pa.binary()), pa.array(out, b.column(1).type)], ["id", "h", "v"])
 
 
-def _deal(cosine: float, whole: bool):
+def _parts(c: np.ndarray, width: int) -> list[tuple[int, np.ndarray]]:
+    """The cells of numbers c, in order, and which of them are in each."""
+    cell = np.floor_divide(c, width)
+    order = np.argsort(cell, kind="stable")
+    values, first = np.unique(cell[order], return_index=True)
+    return list(zip(values.astype(int).tolist(), np.split(order, first[1:]), strict=True))
+
+
+def within(own: np.ndarray, left: np.ndarray, right: np.ndarray | None, at: int, width: int, radius: int, budget: int):
+    """Pairs of rows of own (whole numbers) at a squared distance of at most budget, each once.
+
+    One of left and one of right, which have no row in common; or, if right is
+    None, two of left.  Coordinates from ``at`` on split what is too much.
+    """
+    size = len(left) * len(right) if right is not None else len(left) ** 2 // 2
+    if size <= LEAF or at >= own.shape[1]:
+        step = max(1, 4 * PAIRS // max(1, len(left if right is None else right)))
+        for t in range(0, len(left), step):
+            p = left[t : t + step]
+            r = left[t:] if right is None else right
+            d = own[p] @ own[r].T
+            d *= -2
+            d += (own[r] ** 2).sum(axis=1)
+            d += (own[p] ** 2).sum(axis=1)[:, None]
+            x, y = np.nonzero(d <= budget)
+            if right is None:
+                x, y = x[x < y], y[x < y]
+            yield p[x], r[y]
+        return
+    c = own[left, at]
+    if right is None:
+        last: tuple[int, np.ndarray] | None = None
+        for cell, rows in _parts(c, width):
+            part = left[rows]
+            yield from within(own, part, None, at + 1, width, radius, budget)
+            if last and last[0] == cell - 1:  # a pair of two cells meets in the greater one; cells further apart hold none
+                near, close = part[c[rows] <= cell * width + radius], last[1][own[last[1], at] >= cell * width - radius]
+                if len(near) and len(close):
+                    yield from within(own, near, close, at + 1, width, radius, budget)
+            last = cell, part
+    else:
+        d = own[right, at]
+        for cell, rows in _parts(c, width):
+            close = right[(d >= cell * width - radius) & (d < (cell + 1) * width + radius)]
+            if len(close):
+                yield from within(own, left[rows], close, at + 1, width, radius, budget)
+
+
+def _deal(cosine: float, whole: bool, grid: int):
     """(k, n, v) to a row for each block and cell a vector is in: home is 1 where it lives. Without k, n and v unless whole."""
 
     def run(batches):
@@ -107,9 +160,9 @@ def _deal(cosine: float, whole: bool):
                 q = rotated(_matrix(own.column(2), dim), rotation)
                 out: list[list[np.ndarray]] = [[], [], [], []]
                 for j, block in enumerate(blocks):
-                    c = q[:, block][:, :GRID]
-                    cell, rest = np.divmod(c, width[j])
-                    g = c.shape[1]
+                    base = 2 * (int(1.01 / STEP) // int(width[j]) + 3)  # cells of a coordinate, neighbours included
+                    g = min(grid, block.stop - block.start, int(62 / np.log2(base)))
+                    cell, rest = np.divmod(q[:, block][:, :g], width[j])
                     for code in range(3**g):
                         step = np.array([code // 3**i % 3 - 1 for i in range(g)])
                         lead = step[np.flatnonzero(step)[:1]]
@@ -121,7 +174,7 @@ def _deal(cosine: float, whole: bool):
                             to = cell[at] + step
                             code_ = np.zeros(len(at), np.int64)
                             for i in range(g):
-                                code_ = code_ * 100_003 + (to[:, i] + 50_000)
+                                code_ = code_ * base + (to[:, i] + base // 2)
                             out[0].append(at)
                             out[1].append(np.full(len(at), dim * 64 + j, np.int64))
                             out[2].append(code_)
@@ -135,13 +188,13 @@ def _deal(cosine: float, whole: bool):
     return run
 
 
-def _meet(cosine: float):
+def _meet(cosine: float, grid: int):
     """The vectors of two chunks of a cell (or one) to (k, links, root)."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         dim, j = divmod(block, 64)
-        rotation, blocks, budget, _, _ = plan(dim, cosine)
+        rotation, blocks, budget, radius, width = plan(dim, cosine)
         x = _matrix(table.column("v"), dim)
         q = rotated(x, rotation).astype(np.float64)  # whole numbers below 2**53: exact in any order
         home, size = table.column("home").to_numpy() == 1, table.column("n").to_numpy()
@@ -158,21 +211,18 @@ def _meet(cosine: float):
             return i
 
         own = q[:, blocks[j]]
-        half = (own**2).sum(axis=1) / 2
         mine, other = chunk == a, chunk == b
+        one, two, near_by = np.flatnonzero(mine & home), np.flatnonzero(other & home), np.flatnonzero(mine & ~home)
+        split = (min(grid, own.shape[1]), int(width[j]), int(radius[j]), int(budget[j]))
 
         def near():
-            """Pairs of one at home and any other, near in this block, in pieces."""
-            for left, right in [(mine & home, other)] + [(other & home, mine & ~home)] * (a != b):
-                left, right = np.flatnonzero(left), np.flatnonzero(right)
-                for t in range(0, len(left), 512):
-                    rows = left[t : t + 512]
-                    g = own[rows] @ own[right].T
-                    g -= half[right]
-                    p, r = np.nonzero(g >= (half[rows] - budget[j] / 2)[:, None])
-                    p, r = rows[p], right[r]
-                    once = (p < r) | ~home[r] if a == b else slice(None)
-                    yield p[once], r[once]
+            """Pairs of one at home and any other, near in this block."""
+            if a == b:
+                yield from within(own, one, None, *split)
+                yield from within(own, one, near_by, *split)
+            else:
+                yield from within(own, one, np.flatnonzero(other), *split)
+                yield from within(own, two, near_by, *split)
 
         for p, r in near():
             for s in range(0, len(p), PAIRS):
@@ -224,14 +274,15 @@ def similar_vectors(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     single = rows.select("k", "h", "v").join(classes.withColumnRenamed("n", "size"), ["k", "h"]).dropDuplicates(["k", "h"]).select("k", F.col("size").alias("n"), "v")
 
     single = saved(single, "single-vectors")
-    dealt = single.mapInArrow(_deal(cosine, True), f"k {kind}, n bigint, v {of}, block bigint, cell bigint, home tinyint")
-    counted = single.mapInArrow(_deal(cosine, False), "block bigint, cell bigint, home tinyint")
+    grid = GRID + max(0, int(np.ceil(np.log2(max(1, single.count()) / GRID_ROWS) / np.log2(STEEP))))
+    dealt = single.mapInArrow(_deal(cosine, True, grid), f"k {kind}, n bigint, v {of}, block bigint, cell bigint, home tinyint")
+    counted = single.mapInArrow(_deal(cosine, False, grid), "block bigint, cell bigint, home tinyint")
     # Cells are bounded by the grid: their number depends on the width, not on the rows.
     cells = counted.groupBy("block", "cell").agg(F.count("*").alias("rows"), F.sum("home").alias("homes")).filter("homes > 0").select("block", "cell", F.ceil(F.col("rows") / F.lit(CHUNK)).cast("int").alias("chunks"))
     parts = F.expr("transform(sequence(0, chunks - 1), c -> struct(least(c, chunk) AS a, greatest(c, chunk) AS b))")
     met = dealt.join(cells, ["block", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("k"), "chunks").cast("int")).withColumn("part", F.explode(parts))
     met = met.select("block", "cell", F.col("part.a").alias("a"), F.col("part.b").alias("b"), "chunk", "k", "n", "v", "home")
-    found = saved(met.groupBy("block", "cell", "a", "b").applyInArrow(_meet(cosine), f"k {kind}, links bigint, root {kind}"), "linked")
+    found = saved(met.groupBy("block", "cell", "a", "b").applyInArrow(_meet(cosine, grid), f"k {kind}, links bigint, root {kind}"), "linked")
 
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("k").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "k")
