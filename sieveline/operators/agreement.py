@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import band, ratio
+from .ranking import ranked
 
 
 def presence(sets: DataFrame, arms: list[str]) -> DataFrame:
@@ -70,16 +71,12 @@ def filter_table(scores: DataFrame, thresholds: list[float]) -> DataFrame:
 
 
 def enrichment(scores: DataFrame, fractions: list[float]) -> DataFrame:
-    """Mean accuracy of the top fraction by agreement over the mean of all; ties in order of the system.
-
-    The rank of a system is needed for a running mean; ranks come from a sort over all systems.
-    """
-    from pyspark.sql import Window
-
-    ranked = scores.withColumn("r", F.row_number().over(Window.orderBy(F.desc("agreement"), "system"))).withColumn("n", F.count("*").over(Window.partitionBy()))
+    """Mean accuracy of the top fraction by agreement over the mean of all; ties in order of the system."""
+    n = scores.agg(F.count("*").alias("n"))
+    rows = ranked(scores, [F.desc("agreement"), F.col("system")], "r").crossJoin(F.broadcast(n))  # one row
     at = F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction")
     top = F.col("r") <= F.greatest(F.floor(F.col("fraction") * F.col("n")), F.lit(1))
-    return ranked.select("*", at).groupBy("fraction").agg(F.count_if(top).alias("n_top"), (F.avg(F.when(top, F.col("accuracy"))) / F.avg("accuracy")).alias("enrichment"))
+    return rows.select("*", at).groupBy("fraction").agg(F.count_if(top).alias("n_top"), (F.avg(F.when(top, F.col("accuracy"))) / F.avg("accuracy")).alias("enrichment"))
 
 
 def offset_bands(values: DataFrame, column: str, edges: list[float]) -> DataFrame:

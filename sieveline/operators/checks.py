@@ -14,6 +14,22 @@ def _row(name: str, observed: DataFrame, passed: Column) -> DataFrame:
     return observed.select(F.lit(name).alias("check"), passed.alias("passed"), F.col("observed").cast("double").alias("observed"))
 
 
+def measured(name: str, observed: DataFrame, passed: Column) -> DataFrame:
+    """A check of what was measured: one row with a column observed, and others that the test may use."""
+    return _row(name, observed, F.coalesce(passed, F.lit(False)))
+
+
+def pattern_check(name: str, df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Every value that is there has the pattern as a whole."""
+    return count_check(name, df, ~F.col(column).rlike(f"^(?:{pattern})$"))
+
+
+def same_keys_check(name: str, a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Both tables have the same keys."""
+    both = a.select(key, F.lit(1).alias("_a")).distinct().join(b.select(key, F.lit(1).alias("_b")).distinct(), key, "full")
+    return _row(name, both.agg(F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("observed")), F.col("observed") == 0)
+
+
 def count_check(name: str, df: DataFrame, bad: Column, most: int = 0) -> DataFrame:
     """At most so many rows may be bad."""
     return _row(name, df.agg(F.count_if(bad).alias("observed")), F.col("observed") <= most)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -78,6 +78,8 @@ def leader_clusters(nodes: DataFrame, pairs: DataFrame, rounds: int = 200) -> Da
     near = edges.join(leaders.select(F.col("node").alias("j")), "j", "left_semi").groupBy("i").agg(F.min(F.struct("tj", "j")).alias("m")).select(F.col("i").alias("node"), F.col("m.j").alias("beside"))
     led = leaders.select("node", F.lit(True).alias("leads"))
     out = order.join(led, "node", "left").join(near, "node", "left").select("node", F.when(F.col("leads"), F.col("node")).otherwise(F.col("beside")).alias("leader"))
-    # Ids follow the order of visits; a global rank of the leaders alone.
-    ids = leaders.select(F.col("node").alias("leader"), (F.row_number().over(Window.orderBy("turn")) - 1).cast("bigint").alias("cluster"))
+    # Ids follow the order of visits.
+    from .ranking import ranked
+
+    ids = ranked(leaders, [F.col("turn.d"), F.col("turn.n")], "cluster").select(F.col("node").alias("leader"), (F.col("cluster") - 1).alias("cluster"))
     return out.join(ids, "leader").select("node", "leader", "cluster")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import stable_order
+from .ranking import ranked
 
 
 def single_row_keys(df: DataFrame, key: str) -> DataFrame:
@@ -42,9 +43,9 @@ def largest_remainder(groups: DataFrame, weight: str, key: str, total: int) -> D
     all_ = groups.agg(F.sum(weight).alias("_all"))
     share = F.col(weight) * F.lit(total) / F.col("_all")
     parts = groups.crossJoin(F.broadcast(all_)).withColumn("_f", F.floor(share)).withColumn("_r", F.round(share - F.col("_f"), 9))
-    left = F.lit(total) - F.sum("_f").over(Window.partitionBy())
-    turn = F.row_number().over(Window.orderBy(F.desc("_r"), key))
-    return parts.withColumn("_turn", turn).withColumn("_left", left).select(key, (F.col("_f") + (F.col("_turn") <= F.col("_left")).cast("int")).cast("bigint").alias("n"))
+    left = parts.agg((F.lit(total) - F.sum("_f")).alias("_left"))
+    turn = ranked(parts, [F.desc("_r"), F.col(key)], "_turn").crossJoin(F.broadcast(left))  # one row
+    return turn.select(key, (F.col("_f") + (F.col("_turn") <= F.col("_left")).cast("int")).cast("bigint").alias("n"))
 
 
 def stable_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
@@ -67,7 +68,7 @@ def first_source_wins(df: DataFrame, key: list[str], priority: str, strict: bool
 def appearance_codes(df: DataFrame, value: str, position: str) -> DataFrame:
     """Codes 0, 1, ... of values in the order in which they first appear."""
     first = df.groupBy(value).agg(F.min(position).alias("first"))
-    return first.select(value, (F.row_number().over(Window.orderBy("first")) - 1).cast("bigint").alias("code"))
+    return ranked(first, [F.col("first"), F.col(value)], "code").select(value, (F.col("code") - 1).alias("code"))
 
 
 def offsets(df: DataFrame, by: str, order: str, size: str) -> DataFrame:

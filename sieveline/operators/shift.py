@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import dot, norm, stable_fold
+from ..functions.exprs import dot, norm, stable_fold, stable_order
+from .calibration import balanced_sample, binomial_tail, poisson_weight
+from .iterate import cut
+from .ranking import ranked, running_sums
 
 
 def average_rank(x: str, *by: str) -> Column:
-    """Ranks with ties at their mean."""
+    """Ranks with ties at their mean, within groups."""
     rank = F.rank().over(Window.partitionBy(*by).orderBy(x))
     return rank + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
 
@@ -17,8 +20,7 @@ def average_rank(x: str, *by: str) -> Column:
 def value_ranks(df: DataFrame, x: str) -> DataFrame:
     """(x, rank): the mean rank of each distinct value, from counts per value rather than a sort of all rows."""
     n = df.groupBy(x).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return n.select(x, (before + (F.col("n") + 1) / 2).alias("rank"))
+    return running_sums(n, [F.col(x)], {"_before": F.col("n")}).select(x, (F.col("_before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -34,15 +36,26 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b over values on small grids: pairs of distinct (x, y) cells, weighted by their counts."""
-    n = df.groupBy(x, y).agg(F.count("*").alias("n"))
-    a, b = (n.select(F.col(x).alias(f"x{i}"), F.col(y).alias(f"y{i}"), F.col("n").alias(f"n{i}")) for i in "ab")
-    sign = F.signum((F.col("xa") - F.col("xb")) * (F.col("ya") - F.col("yb")))
-    s = a.join(b, (F.col("xa") > F.col("xb"))).agg(F.coalesce(F.sum(sign * F.col("na") * F.col("nb")), F.lit(0)).alias("s"))
-    total = df.agg((F.count("*") * (F.count("*") - 1) / 2).alias("t"))
-    ties = [df.groupBy(c).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(f"t{c}")) for c in (x, y)]
-    one = s.crossJoin(total).crossJoin(ties[0]).crossJoin(ties[1])  # single rows
-    return one.select((F.col("s") / F.sqrt((F.col("t") - F.col(f"t{x}")) * (F.col("t") - F.col(f"t{y}")))).alias("tau"))
+    """Kendall's tau-b in n log n rows.
+
+    Two values of y differ first at some bit of their ranks.  For each bit,
+    rows that agree on the bits above it are gone through in the order of x:
+    a one after a zero is a pair in order, a zero after a one is one out of
+    order.  Both are running sums over ranges, so no group is in one task.
+    """
+    n = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("n"))
+    codes = cut(ranked(n.select(y).distinct(), [F.col(y)], "_r"))
+    bits = max(1, int(codes.count()).bit_length())
+    rows = n.join(codes, y).select(x, "n", "_r", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("_bit"))
+    one = F.expr("shiftright(_r, _bit) & 1") == 1
+    cells = rows.groupBy("_bit", F.expr("shiftright(_r, _bit + 1)").alias("_above"), x).agg(F.sum(F.when(one, F.col("n")).otherwise(0)).cast("double").alias("_ones"), F.sum(F.when(one, 0).otherwise(F.col("n"))).cast("double").alias("_zeros"))
+    run = running_sums(cells, [F.col("_bit"), F.col("_above"), F.col(x)], {"_b0": F.col("_zeros"), "_b1": F.col("_ones")})
+    per = run.groupBy("_bit", "_above").agg((F.sum(F.col("_ones") * F.col("_b0")) - F.min("_b0") * F.sum("_ones") - F.sum(F.col("_zeros") * F.col("_b1")) + F.min("_b1") * F.sum("_zeros")).alias("_s"))
+    s = per.agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias("s"))
+    total = n.agg((F.sum("n") * (F.sum("n") - 1) / 2).alias("t"))
+    ties = [n.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(f"t{i}")) for i, c in enumerate((x, y))]
+    out = s.crossJoin(total).crossJoin(ties[0]).crossJoin(ties[1])  # single rows
+    return out.select((F.col("s") / F.sqrt((F.col("t") - F.col("t0")) * (F.col("t") - F.col("t1")))).alias("tau"))
 
 
 def mmd2(sample: DataFrame, label: str, vector: str) -> DataFrame:
@@ -60,38 +73,125 @@ def mmd2(sample: DataFrame, label: str, vector: str) -> DataFrame:
     return t.select((own(0) + own(1) - 2 * F.col("k") / (F.col("n0") * F.col("n1"))).alias("mmd2"))
 
 
+def mmd2_tanimoto(features: DataFrame, label: str) -> DataFrame:
+    """Unbiased squared MMD with the Tanimoto kernel between label 1 and 0 of sets (id, label, bit).
+
+    Sets that share no bit add nothing, so only pairs that share one are counted; meant for samples of a few thousand.
+    """
+    on = features.select("id", F.col(label).alias("_y"), "bit").distinct()
+    size = on.groupBy("id", "_y").agg(F.count("*").alias("_n"))
+    left, right = (on.select("bit", F.col("id").alias(c)) for c in "ij")
+    common = left.join(right, "bit").filter("i < j").groupBy("i", "j").agg(F.count("*").alias("c"))
+    a, b = (size.select(F.col("id").alias(c), F.col("_y").alias(f"y{c}"), F.col("_n").alias(f"n{c}")) for c in "ij")
+    k = common.join(a, "i").join(b, "j").groupBy("yi", "yj").agg(F.sum(F.col("c") / (F.col("ni") + F.col("nj") - F.col("c"))).alias("k"))
+    own = lambda v: F.coalesce(F.sum(F.when((F.col("yi") == v) & (F.col("yj") == v), 2 * F.col("k"))), F.lit(0.0))
+    cross = F.coalesce(F.sum(F.when(F.col("yi") != F.col("yj"), F.col("k"))), F.lit(0.0))
+    n = size.agg(*[F.count_if(F.col("_y") == v).alias(f"n{v}") for v in (0, 1)])
+    sums = k.agg(own(0).alias("k0"), own(1).alias("k1"), cross.alias("k")).crossJoin(n)  # single rows
+    return sums.select((F.col("k0") / (F.col("n0") * (F.col("n0") - 1)) + F.col("k1") / (F.col("n1") * (F.col("n1") - 1)) - 2 * F.col("k") / (F.col("n0") * F.col("n1"))).alias("mmd2"))
+
+
+def _shuffled(at, n: int, p: int):
+    """Where the p-th permutation of 0 .. n - 1 sends each place: a Feistel network on the next power of four, walked until it is inside."""
+    import numpy as np
+
+    half = max(1, (int(n - 1).bit_length() + 1) // 2)
+    low = np.uint64((1 << half) - 1)
+    mixed = lambda v, r: ((v + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64((p * 0xC2B2AE3D27D4EB4F + r) & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - half)
+    out = at.astype(np.uint64)
+    todo = np.arange(len(out))
+    with np.errstate(over="ignore"):
+        while len(todo):
+            v = out[todo]
+            left, right = v >> np.uint64(half), v & low
+            for r in range(6):
+                left, right = right, left ^ mixed(right, r)
+            out[todo] = left << np.uint64(half) | right
+            todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
 def mmd_permutation(sample: DataFrame, key: str, label: str, vector: str, permutations: int = 200) -> DataFrame:
-    """mmd2 with the p value of a permutation null: labels are shuffled by a stable hash, all permutations in one aggregation."""
-    unit = F.transform(vector, lambda v: v.cast("double") / F.col("_norm"))
-    sizes = sample.agg(F.count_if(F.col(label) == 1).alias("n1"), F.count("*").alias("n"))
-    base = sample.withColumn("_norm", norm(F.col(vector))).select(key, label, unit.alias("u"))
-    b = F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("b")
-    turn = F.row_number().over(Window.partitionBy("b").orderBy(F.md5(F.concat_ws("|", "b", key).cast("binary")), key))
-    shuffled = base.select("*", b).withColumn("r", turn).crossJoin(F.broadcast(sizes))
-    one = F.when(F.col("b") == 0, F.col(label) == 1).otherwise(F.col("r") <= F.col("n1"))
-    rows = shuffled.select("b", one.alias("one"), "n1", "n", F.posexplode("u").alias("i", "v"))
-    s = rows.groupBy("b", "i").agg(F.sum(F.when(F.col("one"), F.col("v")).otherwise(0.0)).alias("s1"), F.sum(F.when(~F.col("one"), F.col("v")).otherwise(0.0)).alias("s0"), F.first("n1").alias("n1"), F.first("n").alias("n"))
-    t = s.groupBy("b").agg(F.sum(F.col("s1") ** 2).alias("k1"), F.sum(F.col("s0") ** 2).alias("k0"), F.sum(F.col("s0") * F.col("s1")).alias("k"), F.first("n1").alias("n1"), (F.first("n") - F.first("n1")).alias("n0"))
-    value = (F.col("k1") - F.col("n1")) / (F.col("n1") * (F.col("n1") - 1)) + (F.col("k0") - F.col("n0")) / (F.col("n0") * (F.col("n0") - 1)) - 2 * F.col("k") / (F.col("n0") * F.col("n1"))
-    m = t.select("b", value.alias("m"))
+    """mmd2 with the p value of a permutation null.
+
+    Rows are numbered in the order of the key; a permutation is a function of
+    a row's number, so each task adds up its own rows' unit vectors by
+    permutation, and only permutations x dimensions sums are shuffled.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = cut(ranked(sample.select(key, F.col(label).cast("int").alias("y"), F.transform(vector, lambda v: v.cast("double")).alias("v")), [F.col(key)], "r"))
+    size = rows.agg(F.sum("y").alias("n1"), F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    n1, n, dim = size["n1"] or 0, size["n"], size["dim"] or 0
+
+    def run(batches):
+        ones, all_ = np.zeros((permutations + 1, dim)), np.zeros(dim)
+        for b in batches:
+            if b.num_rows:
+                u = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                u = u / np.sqrt((u * u).sum(axis=1, keepdims=True))
+                at = b.column(1).to_numpy() - 1
+                w = np.stack([b.column(0).to_numpy() == 1] + [_shuffled(at, n, p) < n1 for p in range(1, permutations + 1)]).astype(float)
+                ones += w @ u
+                all_ += u.sum(axis=0)
+        yield pa.record_batch([pa.array(np.arange(permutations + 1)), pa.array(list(ones), pa.list_(pa.float64())), pa.array([all_] * (permutations + 1), pa.list_(pa.float64()))], ["b", "one", "every"])
+
+    parts = rows.select("y", "r", "v").mapInArrow(run, "b bigint, one array<double>, every array<double>")
+    sums = parts.select("b", F.posexplode(F.arrays_zip("one", "every")).alias("i", "z")).groupBy("b", "i").agg(F.sum("z.one").alias("s1"), F.sum("z.every").alias("s"))
+    s0 = F.col("s") - F.col("s1")
+    t = sums.groupBy("b").agg(F.sum(F.col("s1") ** 2).alias("k1"), F.sum(s0**2).alias("k0"), F.sum(s0 * F.col("s1")).alias("k"))
+    n0 = n - n1
+    value = (F.col("k1") - n1) / float(max(1, n1 * (n1 - 1))) + (F.col("k0") - n0) / float(max(1, n0 * (n0 - 1))) - 2 * F.col("k") / float(max(1, n0 * n1))
+    m = cut(t.select("b", value.alias("m")))
     seen = m.filter("b = 0").select(F.col("m").alias("mmd2"))
-    return m.filter("b > 0").crossJoin(F.broadcast(seen)).groupBy("mmd2").agg(((F.count_if(F.col("m") >= F.col("mmd2") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
+    return m.filter("b > 0").crossJoin(F.broadcast(seen)).groupBy("mmd2").agg(((F.count_if(F.col("m") >= F.col("mmd2") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))  # one row
 
 
-def classifier_test(df: DataFrame, features: str, label: str, key: str, folds: int = 5) -> DataFrame:
-    """Classifier two-sample test: cross-fitted logistic regression; exact AUC and accuracy of held-out scores."""
+def _held_out_scores(df: DataFrame, features: str, label: str, key: str, folds: int, standardise: bool) -> DataFrame:
+    """(label, score) of cross-fitted logistic regression, folds dealt in turn within each class by a stable order."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = df.select(key, F.col(label).cast("double").alias("label"), array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("features"), stable_fold(F.col(key), "c2st", folds).alias("fold"))
+    turn = F.row_number().over(Window.partitionBy("label").orderBy(stable_order(F.col(key), "c2st"), key))  # a bounded sample
+    rows = df.select(key, F.col(label).cast("double").alias("label"), array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("features"))
+    rows = cut(rows.withColumn("fold", turn % folds))
     out = None
     for k in range(folds):
         train = rows.filter(F.col("fold") != k)
         n = train.count()
-        model = LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=200).fit(train)
+        model = LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=standardise, maxIter=200).fit(train)
         part = model.transform(rows.filter(F.col("fold") == k)).select("label", vector_to_array("probability")[1].alias("score"))
         out = part if out is None else out.unionByName(part)
-    return auc(out, "score", "label").crossJoin(out.agg(F.count("*").alias("n"), F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("int")).alias("accuracy")))
+    return cut(out)
+
+
+def classifier_test(df: DataFrame, features: str, label: str, key: str, folds: int = 5) -> DataFrame:
+    """Classifier two-sample test on as many rows of either class: exact AUC and accuracy of held-out scores, rows per class, and the one-sided binomial p value of the accuracy."""
+    both = balanced_sample(df, label, key, "c2st")
+    scored = _held_out_scores(both, features, label, key, folds, standardise=False)
+    hits = scored.agg(F.count_if((F.col("score") >= 0.5) == (F.col("label") == 1)).alias("hits"), F.count("*").alias("n")).first()
+    p = binomial_tail(hits["hits"], hits["n"])
+    out = auc(scored, "score", "label")
+    return out.select("auc", F.lit(hits["n"]).cast("bigint").alias("n"), F.lit(hits["hits"] / max(1, hits["n"])).alias("accuracy"), F.lit(hits["n"] // 2).cast("bigint").alias("n_per_class"), F.lit(p).alias("p"))
+
+
+def classifier_with_baseline(df: DataFrame, vector: str, label: str, key: str, folds: int = 5, least: int = 20) -> DataFrame:
+    """(n_per_class, auc, accuracy, auc_baseline): the test on unit vectors, standardised, and on the first principal component of the vectors as they are.
+
+    The component stands for what mean-pooled vectors tell of a sequence's
+    length.  With fewer than ``least`` rows of a class all figures are null.
+    """
+    n = df.agg(F.least(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).alias("n")).first()["n"]
+    if n < least:
+        return df.sparkSession.createDataFrame([(n, None, None, None)], "n_per_class bigint, auc double, accuracy double, auc_baseline double")
+    pc = first_component(df, vector, key).select(key, F.array("pc1").alias("_pc"))
+    unit = F.transform(vector, lambda v: v.cast("double") / norm(F.col(vector)))
+    both = balanced_sample(df.select(key, label, unit.alias("_unit")).join(pc, key), label, key, "c2st")
+    full, base = (_held_out_scores(both, c, label, key, folds, standardise=True) for c in ("_unit", "_pc"))
+    right = F.avg(((F.col("score") > 0.5) == (F.col("label") == 1)).cast("int"))
+    one = auc(full, "score", "label").crossJoin(full.agg(right.alias("accuracy"))).crossJoin(auc(base, "score", "label").withColumnRenamed("auc", "auc_baseline"))  # single rows
+    return one.select(F.lit(n).cast("bigint").alias("n_per_class"), "auc", "accuracy", "auc_baseline")
 
 
 def first_component(df: DataFrame, vector: str, key: str) -> DataFrame:
@@ -106,22 +206,12 @@ def first_component(df: DataFrame, vector: str, key: str) -> DataFrame:
 # Calibration
 
 
-def isotonic(df: DataFrame, x: str, y: str, order: str) -> DataFrame:
-    """Predictions of isotonic regression fitted on half the rows (by a stable fold) for all of them."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    rows = VectorAssembler(inputCols=[x], outputCol="features").transform(df.withColumn("half", stable_fold(F.col(order), "half", 2)))
-    model = IsotonicRegression(featuresCol="features", labelCol=y, predictionCol="predicted").fit(rows.filter("half = 0"))
-    return model.transform(rows).drop("features")
-
-
 def half_widths(df: DataFrame, residual: str, coverage: float = 0.9) -> DataFrame:
     """Conformal half-width by two formulas: the interpolated quantile, and the ceil((n + 1) * coverage)-th residual."""
-    rank = F.row_number().over(Window.orderBy(residual))
-    rows = df.select(residual, rank.alias("_turn"), F.count("*").over(Window.partitionBy()).alias("_n"))
+    rows = ranked(df.select(residual).filter(F.col(residual).isNotNull()), [F.col(residual)], "_turn")
+    n = df.agg(F.count(residual).alias("_n"), F.percentile(residual, coverage).alias("interpolated"))
     at = F.least(F.ceil((F.col("_n") + 1) * F.lit(coverage)), F.col("_n"))
-    return rows.agg(F.percentile(residual, coverage).alias("interpolated"), F.max(F.when(F.col("_turn") == at, F.col(residual))).alias("order_statistic"))
+    return rows.crossJoin(F.broadcast(n)).filter(F.col("_turn") == at).select("interpolated", F.col(residual).alias("order_statistic"))  # one row
 
 
 def baselines(df: DataFrame, x: str, y: str, key: str, folds: int = 5) -> DataFrame:
@@ -150,22 +240,14 @@ def quantile_bins(df: DataFrame, p: str, y: str, bins: int) -> DataFrame:
 def weighted_quantile(df: DataFrame, x: str, weight: str, q: float) -> DataFrame:
     """The least x at which the running weight reaches q of all; and Kish's effective sample size."""
     per = df.groupBy(x).agg(F.sum(weight).alias("w"))
-    run = F.sum("w").over(Window.orderBy(x))
     total = df.agg(F.sum(weight).alias("all"), (F.sum(weight) ** 2 / F.sum(F.col(weight) ** 2)).alias("effective"))
-    rows = per.withColumn("run", run).crossJoin(F.broadcast(total))
+    rows = running_sums(per, [F.col(x)], {"_before": F.col("w")}).withColumn("run", F.col("_before") + F.col("w")).crossJoin(F.broadcast(total))  # one row
     return rows.groupBy("effective").agg(F.min(F.when(F.col("run") >= q * F.col("all"), F.col(x))).alias("quantile"))
 
 
 def bootstrap_mean(df: DataFrame, y: str, key: str, rounds: int = 200) -> DataFrame:
     """Percentile interval of a mean by Poisson(1) weights from a stable hash; one aggregation for all rounds."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", "b", key).cast("binary")), 1, 7), 16, 10).cast("double") / float(16**7)
-    steps, term, total = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
-    rows = df.select(y, key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b")).withColumn("w", weight)
+    rows = df.select(y, key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b")).withColumn("w", poisson_weight(F.col("b"), F.col(key)))
     means = rows.groupBy("b").agg((F.sum(F.col("w") * F.col(y)) / F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 

@@ -8,101 +8,186 @@ on the folds before they are written and on what was written.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import stable_order
-from .iterate import connected_components
+from .iterate import connected_components, cut
+from .ranking import ranked
 
 FOLDS = ("train", "val", "test")
-#: Parts per ten that each fold is due.
-PARTS = (8, 1, 1)
+#: The fraction of systems that each fold is due.
+FRACTIONS = (0.8, 0.1, 0.1)
 
 
-def greedy_partition(sizes: DataFrame, key: str, seed: str, parts: tuple[int, int, int] = PARTS) -> DataFrame:
+def axis_fractions(fractions: tuple[float, float, float] = FRACTIONS) -> tuple[float, float, float]:
+    """Fractions of each of two axes whose diagonal blocks are in proportion to the given ones."""
+    roots = [f**0.5 for f in fractions]
+    return tuple(r / sum(roots) for r in roots)
+
+
+def greedy_partition(sizes: DataFrame, key: str, seed: str, fractions: tuple[float, float, float] = FRACTIONS) -> DataFrame:
     """(key, fold): groups, largest first, each to the fold that lacks most of its due.
 
     sizes: key, n.  Ties between groups follow a stable hash, between folds
     their order.  Each step depends on all before it, so groups (clusters, of
-    which there are far fewer than systems) are folded over in one task; what
-    is lacking is kept in whole numbers, in units of 1 / sum(parts).
+    which there are far fewer than systems) stream in order through one task,
+    in Arrow batches; what it keeps is what each fold lacks.
     """
-    whole = sum(parts)
-    one = sizes.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), stable_order(F.col(key), seed).alias("h"), F.col(key).alias("g")))).alias("all"), F.sum("n").alias("total"))
-    due = [F.col("total") * p for p in parts]
-    zero = F.struct(F.array(*[d.cast("bigint") for d in due]).alias("lack"), F.array().cast("array<string>").alias("folds"))
+    import pyarrow as pa
+
+    total = sizes.agg(F.sum("n").alias("_total"))
+    turn = [F.desc("n"), stable_order(F.col(key), seed), F.col(key)]
+    rows = sizes.select(key, "n").crossJoin(F.broadcast(total)).repartition(1).sortWithinPartitions(*turn)  # one row
 
-    def step(acc, x):
-        lack = acc["lack"]
-        best = F.array_position(lack, F.array_max(lack)).cast("int") - 1
-        left = F.transform(lack, lambda v, i: F.when(i == best, v + x["m"] * whole).otherwise(v))
-        return F.struct(left.alias("lack"), F.concat(acc["folds"], F.array(F.get(F.array(*[F.lit(f) for f in FOLDS]), best))).alias("folds"))
+    def fold(batches):
+        lack = None
+        for b in batches:
+            out = []
+            for n, all_ in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                lack = lack or [f * all_ for f in fractions]
+                most = max(lack) - 1e-9
+                best = next(i for i, v in enumerate(lack) if v >= most)
+                lack[best] -= n
+                out.append(FOLDS[best])
+            yield pa.record_batch([b.column(0), pa.array(out, pa.string())], [key, "fold"])
 
-    folds = F.aggregate("all", zero, step, lambda acc: acc["folds"])
-    return one.select(F.explode(F.arrays_zip(F.col("all.g").alias("g"), folds.alias("f"))).alias("z")).select(F.col("z.g").alias(key), F.col("z.f").alias("fold"))
+    return rows.mapInArrow(fold, f"`{key}` {sizes.schema[key].dataType.simpleString()}, fold string")
 
 
 def _sizes(context: DataFrame, key: str) -> DataFrame:
     return context.groupBy(key).agg(F.count("*").alias("n"))
 
 
-def random_covered(context: DataFrame, seed: str, parts: tuple[int, int, int] = PARTS) -> DataFrame:
+def random_covered(context: DataFrame, seed: str, fractions: tuple[float, float, float] = FRACTIONS, rounds: int = 100) -> DataFrame:
     """A random split whose val and test systems keep both clusters in train.
 
-    In a stable order the first systems are due for test, the next for val; one
-    leaves train only if both its clusters keep a member there.  A system may
-    leave if it is not the last of either cluster in the order: each cluster's
-    last member by the order stays, which is the same for any partitioning.
-    """
-    w = Window.partitionBy("pc").orderBy(F.desc("h"), F.desc("system"))
-    v = Window.partitionBy("lc").orderBy(F.desc("h"), F.desc("system"))
-    rows = context.withColumn("h", stable_order(F.col("system"), seed))
-    rows = rows.withColumn("anchor", (F.row_number().over(w) == 1) | (F.row_number().over(v) == 1))
-    share = F.conv(F.substring("h", 1, 7), 16, 10).cast("bigint") * sum(parts)
-    unit = F.lit(16**7)
-    due = F.when(share < unit * parts[2], "test").when(share < unit * (parts[2] + parts[1]), "val").otherwise("train")
-    return rows.withColumn("fold", F.when(F.col("anchor"), "train").otherwise(due)).drop("h", "anchor")
-
+    In a stable order the first systems are due for test, the next for val, in
+    exact numbers.  One after another they leave train, unless they are the
+    last of one of their clusters there.
 
-def cold_axis(context: DataFrame, cold: str, warm: str, seed: str, parts: tuple[int, int, int] = PARTS) -> DataFrame:
+    Only a cluster whose members are all due can run out, and only its last
+    one in the order can find itself alone.  So all others leave at once, and
+    the last ones are decided in rounds: a round decides those whose clusters
+    have no other undecided member.  That gives the folds of the walk.
+    """
+    h = stable_order(F.col("system"), seed)
+    n = context.count()
+    n_test, n_val = round(fractions[2] * n), round(fractions[1] * n)
+    due = F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "val")
+    rows = cut(ranked(context.withColumn("_h", h), ["_h", "system"], "_r").withColumn("_due", due).drop("_h"))
+    going = rows.filter("_due IS NOT NULL").select("system", "pc", "lc", "_r")
+    # Clusters all of whose members are due, and their last ones.
+    last = going.select("system", "_r", "pc", "lc")
+    for c in ("pc", "lc"):
+        full = rows.groupBy(c).agg(F.count("*").alias("_size"), F.count("_due").alias("_n"), F.max("_r").alias("_last")).filter("_size = _n").select(c, F.col("_last").alias(f"_last_{c}"))
+        last = last.join(full, c, "left")
+    state = last.select("system", "pc", "lc", *[(F.col("_r") == F.col(f"_last_{c}")).alias(f"at_{c}") for c in ("pc", "lc")], *[F.col(f"_last_{c}").isNotNull().alias(f"full_{c}") for c in ("pc", "lc")])
+    # stays: null while it is undecided.
+    either = F.coalesce("at_pc", F.lit(False)) | F.coalesce("at_lc", F.lit(False))
+    state = cut(state.withColumn("stays", F.when(either, F.lit(None).cast("boolean")).otherwise(F.lit(False))))
+    for _ in range(rounds):
+        if state.filter("stays IS NULL").isEmpty():
+            break
+        for c in ("pc", "lc"):
+            other = state.filter(f"full_{c} AND NOT at_{c}").groupBy(c).agg(F.bool_or("stays").alias(f"kept_{c}"), F.count_if(F.col("stays").isNull()).alias(f"open_{c}"))
+            state = state.join(other, c, "left")
+        alone = {c: F.when(~F.coalesce(f"at_{c}", F.lit(False)) | F.coalesce(f"kept_{c}", F.lit(False)), False).when(F.coalesce(f"open_{c}", F.lit(0)) == 0, True) for c in ("pc", "lc")}
+        now = F.when(alone["pc"] | alone["lc"], True).when(~alone["pc"] & ~alone["lc"], False)
+        state = cut(state.withColumn("stays", F.coalesce("stays", now)).drop("kept_pc", "open_pc", "kept_lc", "open_lc"))
+    else:
+        raise RuntimeError(f"systems are undecided after {rounds} rounds")
+    stay = state.filter("stays").select("system", F.lit(True).alias("_stay"))
+    fold = F.when(F.col("_due").isNull() | F.col("_stay"), "train").otherwise(F.col("_due"))
+    return rows.join(stay, "system", "left").withColumn("fold", fold).drop("_r", "_due", "_stay")
+
+
+def cold_axis(context: DataFrame, cold: str, warm: str, seed: str, fractions: tuple[float, float, float] = FRACTIONS) -> DataFrame:
     """The cold axis is partitioned; val and test keep systems whose warm cluster train has, the rest is excluded."""
-    folds = greedy_partition(_sizes(context, cold), cold, seed, parts)
+    folds = greedy_partition(_sizes(context, cold), cold, seed, fractions)
     rows = context.join(folds, cold)
     seen = rows.filter("fold = 'train'").select(warm).distinct().withColumn("seen", F.lit(True))
     fold = F.when((F.col("fold") == "train") | F.col("seen"), F.col("fold")).otherwise("excluded")
     return rows.join(seen, warm, "left").withColumn("fold", fold).drop("seen")
 
 
-def block(context: DataFrame, seed: str, parts: tuple[int, int, int]) -> DataFrame:
-    """Both axes are partitioned; a system is in a fold if its clusters are in the same one, else excluded."""
+def block(context: DataFrame, seed: str, fractions: tuple[float, float, float] = FRACTIONS) -> DataFrame:
+    """Both axes are partitioned, by roots of the fractions; a system is in a fold if its clusters are in the same one, else excluded."""
+    parts = axis_fractions(fractions)
     p = greedy_partition(_sizes(context, "pc"), "pc", seed + "p", parts).withColumnRenamed("fold", "pf")
     q = greedy_partition(_sizes(context, "lc"), "lc", seed + "l", parts).withColumnRenamed("fold", "lf")
     fold = F.when(F.col("pf") == F.col("lf"), F.col("pf")).otherwise("excluded")
     return context.join(p, "pc").join(q, "lc").withColumn("fold", fold).drop("pf", "lf")
 
 
-def component_block(context: DataFrame, seed: str, parts: tuple[int, int, int] = PARTS) -> DataFrame:
+def component_block(context: DataFrame, seed: str, fractions: tuple[float, float, float] = FRACTIONS) -> DataFrame:
     """C3comp: whole connected components of the graph of clusters go to folds; edges are distinct pairs of clusters, not systems."""
     edges = context.select(F.concat(F.lit("p"), F.col("pc")).alias("a"), F.concat(F.lit("l"), F.col("lc")).alias("b")).distinct()
     comp = connected_components(edges).filter("node LIKE 'p%'").select(F.expr("substring(node, 2)").alias("_pc"), "component")
     rows = context.join(comp, F.col("pc").cast("string") == F.col("_pc")).drop("_pc")
-    return rows.join(greedy_partition(_sizes(rows, "component"), "component", seed, parts), "component")
+    return rows.join(greedy_partition(_sizes(rows, "component"), "component", seed, fractions), "component")
 
 
-def temporal(df: DataFrame, date: str, low: float = 0.8, high: float = 0.9) -> DataFrame:
-    """Train before the first date, val up to the second, test from there; dates at (interpolated) quantiles."""
+def temporal(df: DataFrame, date: str, val_start: str | None = None, test_start: str | None = None, low: float = 0.8, high: float = 0.9) -> DataFrame:
+    """Train before the first date, val up to the second, test from there.
+
+    Dates are given, or are (interpolated) quantiles of the dates; a row without a date is excluded.
+    """
     t = F.unix_micros(F.col(date).cast("timestamp"))
-    cuts = df.agg(*[F.percentile(t, q).alias(n) for q, n in ((low, "val_start"), (high, "test_start"))])
+    if val_start is None:
+        cuts = df.agg(*[F.percentile(t, q).alias(n) for q, n in ((low, "val_start"), (high, "test_start"))])
+    else:
+        if not val_start <= test_start:
+            raise ValueError(f"val begins {val_start}, after test: {test_start}")
+        cuts = df.sparkSession.range(1).select(*[F.unix_micros(F.lit(x).cast("timestamp")).alias(n) for x, n in ((val_start, "val_start"), (test_start, "test_start"))])
     rows = df.crossJoin(F.broadcast(cuts))  # one row
-    return rows.withColumn("fold", F.when(t < F.col("val_start"), "train").when(t < F.col("test_start"), "val").otherwise("test")).drop("val_start", "test_start")
+    fold = F.when(t < F.col("val_start"), "train").when(t < F.col("test_start"), "val").when(t.isNotNull(), "test").otherwise("excluded")
+    return rows.withColumn("fold", fold).drop("val_start", "test_start")
+
+
+def shares_in_train(split: DataFrame, entities: list[str]) -> DataFrame:
+    """(entity, share_in_train): for each column, the share of test rows whose value train has too; null without test rows."""
+    out = None
+    for c in entities:
+        m = split.groupBy(c).agg(mask().alias("m"), F.count_if(F.col("fold") == "test").alias("n"))
+        one = m.agg(F.lit(c).alias("entity"), (F.sum(F.when(F.col("m").bitwiseAND(1) != 0, F.col("n")).otherwise(0)) / F.nullif(F.sum("n"), F.lit(0))).alias("share_in_train"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def temporal_checks(split: DataFrame, tier: DataFrame, index: DataFrame, key: str, date: str, entry: str) -> DataFrame:
+    """The nine checks of a temporal split (key, fold) of a tier (key, date, entry) as rows (check, passed).
+
+    index: one row with n_train, n_val and n_test, as they were published.
+    """
+    dated = split.join(tier, key)
+    at = lambda f, fold: f(F.when(F.col("fold") == fold, F.col(date)))
+    per = split.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct("fold").alias("folds"))
+    names = tier.select(key).distinct()
+    entries = dated.groupBy(entry).agg(mask().alias("m"))
+    sizes = split.agg(*[F.count_if(F.col("fold") == f).alias(f"got_{f}") for f in FOLDS])
+    row = lambda name, df, ok: df.select(F.lit(name).alias("check"), F.coalesce(ok, F.lit(False)).alias("passed"))
+    both = names.select(key, F.lit(1).alias("a")).join(split.select(key, F.lit(1).alias("b")), key, "full")
+    return reduce(DataFrame.unionByName, [
+        split.sparkSession.createDataFrame([("schema", [n for n, _ in split.dtypes] == [key, "fold"] and split.schema[key].dataType == tier.schema[key].dataType)], "check string, passed boolean"),
+        row("covers_tier", both.agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("n"), F.count("*").alias("all")).crossJoin(tier.agg(F.count("*").alias("tier"))), (F.col("n") == 0) & (F.col("all") == F.col("tier"))),
+        row("unique", per.agg(F.max("n").alias("n")), F.col("n") == 1),
+        row("vocabulary", split.agg(F.count_if(~F.coalesce(F.col("fold").isin(*FOLDS), F.lit(False))).alias("n")), F.col("n") == 0),
+        row("disjoint", per.agg(F.max("folds").alias("n")), F.col("n") == 1),
+        row("train_before_val", dated.agg(at(F.max, "train").alias("a"), at(F.min, "val").alias("b")), F.col("a") < F.col("b")),
+        row("val_before_test", dated.agg(at(F.max, "val").alias("a"), at(F.min, "test").alias("b")), F.col("a") < F.col("b")),
+        row("entries_in_one_fold", entries.agg(F.count_if(F.col("m").bitwiseAND(5) == 5).alias("n")), F.col("n") == 0),
+        row("index_sizes", sizes.crossJoin(index), reduce(lambda x, y: x & y, [F.col(f"got_{f}") == F.col(f"n_{f}") for f in FOLDS])),
+    ])
 
 
 ASSIGNERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
     "C1": random_covered,
     "C2p": lambda c, seed: cold_axis(c, "pc", "lc", seed),
     "C2l": lambda c, seed: cold_axis(c, "lc", "pc", seed),
-    "C3": lambda c, seed: block(c, seed, (6, 2, 2)),
+    "C3": block,
     "C3comp": component_block,
 }
 #: What each family promises: clusters of an axis are in one fold only, or those of val and test are in train too.
@@ -138,22 +223,22 @@ def audit(split: DataFrame) -> DataFrame:
 
 def exact_entities(split: DataFrame) -> DataFrame:
     """The share of test systems whose protein, or ligand, is in train as well."""
-    out = None
-    for c in ("protein", "ligand"):
-        m = split.groupBy(c).agg(mask().alias("m"), F.count_if(F.col("fold") == "test").alias("n"))
-        one = m.agg(F.lit(c).alias("entity"), (F.sum(F.when(F.col("m").bitwiseAND(1) != 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("share_in_train"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return shares_in_train(split, ["protein", "ligand"])
 
 
 def underpowered(index: DataFrame, test_fraction: float = 0.1) -> DataFrame:
     return index.filter(F.col("n_test") < 0.5 * test_fraction * F.col("n_systems"))
 
 
-def write(split: DataFrame, family: str, path: str) -> DataFrame:
-    """Check, write partitioned by fold, read again and check what was written."""
-    require_contract(split, family).write.partitionBy("fold").mode("overwrite").parquet(path)
+def write(split: DataFrame, family: str, path: str, key: str = "system") -> DataFrame:
+    """Check, write partitioned by fold, read again and check what was written: contract, coverage, repeats and sizes."""
+    split = cut(require_contract(split, family))
+    split.write.partitionBy("fold").mode("overwrite").parquet(path)
     back = split.sparkSession.read.parquet(path)
-    if back.count() != split.count():
-        raise ValueError("rows were lost in writing")
+    sizes = lambda df: {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}
+    if sizes(back) != sizes(split):
+        raise ValueError("folds differ in size from what was to be written")
+    lost = split.select(key).join(back.select(key), key, "left_anti")
+    if not lost.isEmpty() or not back.groupBy(key).count().filter("count > 1").isEmpty():
+        raise ValueError("systems were lost or repeated in writing")
     return require_contract(back, family)

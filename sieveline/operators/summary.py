@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked, running_sums
+
 
 def _sizes(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"))
@@ -46,7 +48,7 @@ def scaffold_clusters(df: DataFrame, key: str, empty: str = "group") -> DataFram
     k = F.coalesce("key", own)
     if empty == "singleton":
         k = F.when(F.col("key") == "", own).otherwise(k)
-    ids = df.select(k.alias("_k")).distinct().withColumn("cluster", F.row_number().over(Window.orderBy("_k")) - 1)
+    ids = ranked(df.select(k.alias("_k")).distinct(), [F.col("_k")], "cluster").withColumn("cluster", F.col("cluster") - 1)
     return df.withColumn("_k", k).join(ids, "_k").select(key, F.col("cluster").cast("bigint").alias("cluster"))
 
 
@@ -63,8 +65,7 @@ def ecdf(df: DataFrame, value: str) -> DataFrame:
     """(value, at_most, at_least): shares of rows, from counts per value."""
     n = df.groupBy(value).agg(F.count("*").alias("n"))
     total = df.agg(F.count(value).alias("total"))
-    run = F.sum("n").over(Window.orderBy(value))
-    rows = n.withColumn("run", run).crossJoin(F.broadcast(total))
+    rows = running_sums(n, [F.col(value)], {"_before": F.col("n")}).withColumn("run", F.col("_before") + F.col("n")).crossJoin(F.broadcast(total))  # one row
     return rows.select(value, (F.col("run") / F.col("total")).alias("at_most"), ((F.col("total") - F.col("run") + F.col("n")) / F.col("total")).alias("at_least"))
 
 

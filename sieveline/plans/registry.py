@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import contact_queries, reliability_queries, report_queries, selection_queries, split_queries
+from . import calibration_queries, contact_queries, quality_queries, reliability_queries, report_queries, selection_queries, split_queries
 
-MODULES = (contact_queries, selection_queries, split_queries, reliability_queries, report_queries)
+MODULES = (contact_queries, selection_queries, split_queries, reliability_queries, calibration_queries, report_queries, quality_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.Q.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.O.items()}

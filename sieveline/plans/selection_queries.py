@@ -178,19 +178,44 @@ def chain_remap(spark, d):
 
 # Similarity graph of customers by the parts they bought.
 
-FLOOR = 0.06
-_FEATURES = "feat AS (SELECT DISTINCT o_custkey AS id, l_partkey % 2048 AS bit FROM orders JOIN lineitem ON o_orderkey = l_orderkey), nb AS (SELECT id, count(*) AS n FROM feat GROUP BY id)"
-_PAIRS = _FEATURES + ", c AS (SELECT a.id AS i, b.id AS j, count(*) AS c FROM feat a JOIN feat b ON a.bit = b.bit AND a.id < b.id GROUP BY ALL), pairs AS (SELECT i, j, (c / (x.n + y.n - c))::FLOAT AS sim FROM c JOIN nb x ON x.id = i JOIN nb y ON y.id = j WHERE (c / (x.n + y.n - c))::FLOAT >= 0.06::FLOAT)"
+#: Two sets below this similarity are no neighbours: the lowest cut-off that clusters are formed at.
+FLOOR = 0.3
+_BITS = 2**20
+
+
+def _shingle_sql(name, source, key):
+    return f"""{name} AS (SELECT DISTINCT id, ('0x' || substr(md5(w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]), 1, 7))::BIGINT % {_BITS} AS bit
+    FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS k FROM (SELECT {key} AS id, list_filter(string_split_regex(text, '[ \n\t]+'), lambda x: x <> '') AS w FROM {source} WHERE text IS NOT NULL)))"""
+
+
+_FEATURES = _shingle_sql("feat", "documents", "doc_id") + ", nb AS (SELECT id, count(*) AS n FROM feat GROUP BY id)"
+_PAIRS = _FEATURES + ", c AS (SELECT a.id AS i, b.id AS j, count(*) AS c FROM feat a JOIN feat b ON a.bit = b.bit AND a.id < b.id GROUP BY ALL), pairs AS (SELECT i, j, (c / (x.n + y.n - c))::FLOAT AS sim FROM c JOIN nb x ON x.id = i JOIN nb y ON y.id = j WHERE (c / (x.n + y.n - c))::FLOAT >= 0.3::FLOAT)"
+
+
+def shingles(df, key):
+    """(id, feature) for each three words of a text that stand in a row."""
+    words = F.filter(F.split("text", "[ \n\t]+"), lambda x: x != "")
+    rows = df.select(F.col(key).alias("id"), words.alias("w")).filter(F.size("w") > 2)
+    at = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: F.concat_ws(" ", F.slice("w", k, 3)))
+    number = F.conv(F.substring(F.md5(F.col("s").cast("binary")), 1, 7), 16, 10).cast("bigint")
+    return rows.select("id", F.explode(at).alias("s")).select("id", number.alias("feature"))
 
 
 def _features(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("id"))
-    return o.join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("feature")), "o_orderkey").select("id", "feature")
+    return shingles(table(spark, d, "documents"), "doc_id")
+
 
+def _pairs(spark, d):
+    return G.pairs_above(_features(spark, d), FLOOR, _BITS)
 
-@query(f"WITH {_FEATURES} SELECT id, n AS n_bits, min_bit, max_bit FROM nb JOIN (SELECT id, min(bit)::INT AS min_bit, max(bit)::INT AS max_bit FROM feat GROUP BY id) USING (id)")
+
+_PRINTS = "feat AS (SELECT DISTINCT o_custkey AS id, l_partkey % 2048 AS bit FROM orders JOIN lineitem ON o_orderkey = l_orderkey), nb AS (SELECT id, count(*) AS n FROM feat GROUP BY id)"
+
+
+@query(f"WITH {_PRINTS} SELECT id, n AS n_bits, min_bit, max_bit FROM nb JOIN (SELECT id, min(bit)::INT AS min_bit, max(bit)::INT AS max_bit FROM feat GROUP BY id) USING (id)")
 def fingerprint_bits(spark, d):
-    fp = G.fingerprints(_features(spark, d))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("id"))
+    fp = G.fingerprints(o.join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("feature")), "o_orderkey"))
     on = fp.select("id", "n_bits", F.posexplode("words").alias("w", "v")).filter("v <> 0")
     set_ = F.expr("filter(sequence(0, 63), b -> shiftrightunsigned(v, b) & 1 = 1)")
     first, last = (F.col("w") * 64 + f(set_) for f in (F.array_min, F.array_max))
@@ -199,18 +224,46 @@ def fingerprint_bits(spark, d):
 
 @query(f"WITH {_PAIRS} SELECT * FROM pairs")
 def tanimoto_pairs(spark, d):
-    return G.pairs_above(_features(spark, d), FLOOR)
+    return _pairs(spark, d)
 
 
 @query(f"WITH {_PAIRS}, b AS (SELECT i, j, sim FROM pairs UNION ALL SELECT j, i, sim FROM pairs) SELECT * FROM (SELECT i, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank, j, sim FROM b) WHERE rank <= 3")
 def topk_neighbours(spark, d):
-    return G.top_neighbours(G.pairs_above(_features(spark, d), FLOOR), 3)
+    return G.top_neighbours(_pairs(spark, d), 3)
+
+
+_FOLDS = "folds AS (SELECT doc_id AS node, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS fold FROM documents)"
+
+
+def folds(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("fold"))
 
 
-@query(f"WITH {_PAIRS}, b AS (SELECT i, j, sim FROM pairs UNION ALL SELECT j, i, sim FROM pairs) SELECT c_custkey AS node, coalesce((SELECT max(sim) FROM b WHERE i = c_custkey AND j % 5 <> 0), 0)::FLOAT AS nearest FROM customer WHERE c_custkey % 5 = 0")
+@query(f"WITH {_PAIRS}, {_FOLDS}, b AS (SELECT i, j, sim FROM pairs UNION ALL SELECT j, i, sim FROM pairs), m AS (SELECT i, max(sim) AS sim FROM b WHERE j IN (SELECT node FROM folds WHERE fold = 'train') GROUP BY i) SELECT node, coalesce(sim, 0)::FLOAT AS nearest FROM folds LEFT JOIN m ON i = node WHERE fold = 'test'")
 def nearest_train(spark, d):
-    folds = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 5 == 0, "test").otherwise("train").alias("fold"))
-    return G.nearest_train(G.pairs_above(_features(spark, d), FLOOR), folds)
+    return G.nearest_train(_pairs(spark, d), folds(spark, d))
+
+
+_ALL = "c AS (SELECT a.id AS i, b.id AS j, count(*) AS c FROM feat a JOIN feat b ON a.bit = b.bit AND a.id <> b.id GROUP BY ALL), every AS (SELECT i, j, (c / (x.n + y.n - c))::FLOAT AS sim FROM c JOIN nb x ON x.id = i JOIN nb y ON y.id = j)"
+
+
+@query(f"""WITH {_FEATURES}, {_FOLDS}, {_ALL}, m AS (SELECT i, max(sim) AS sim FROM every WHERE j IN (SELECT node FROM folds WHERE fold = 'train') GROUP BY i),
+  top AS (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM every WHERE sim >= 0.3::FLOAT) WHERE r <= 3), found AS (SELECT DISTINCT i FROM top WHERE j IN (SELECT node FROM folds WHERE fold = 'train'))
+  SELECT node, coalesce(sim, 0)::FLOAT AS nearest, node NOT IN (SELECT i FROM found) AS fell_back FROM folds LEFT JOIN m ON m.i = node WHERE fold = 'test'""")
+def nearest_train_exact(spark, d):
+    """The three nearest neighbours decide; a test document without one in train is compared with all of train."""
+    return G.nearest_train_exact(_features(spark, d), folds(spark, d), G.top_neighbours(_pairs(spark, d), 3), _BITS)
+
+
+_BENCH = _shingle_sql("item", "benchmark", "item_id") + ", " + _FEATURES
+
+
+@query(f"""WITH {_BENCH}, nq AS (SELECT id, count(*) AS n FROM item GROUP BY id), s AS (SELECT a.id AS id, b.id AS j, count(*) AS c FROM item a JOIN feat b USING (bit) GROUP BY ALL), t AS (SELECT s.id, j, (c / (nq.n + nb.n - c))::FLOAT AS sim FROM s JOIN nq ON nq.id = s.id JOIN nb ON nb.id = j)
+  SELECT nq.id, coalesce(first(j ORDER BY sim DESC, j), -1) AS j, coalesce(max(sim), 0)::FLOAT AS sim FROM nq LEFT JOIN t ON t.id = nq.id GROUP BY nq.id""")
+def cross_similarity(spark, d):
+    """Each benchmark item and the document most like it, or -1."""
+    near = G.cross_nearest(shingles(table(spark, d, "benchmark"), "item_id"), _features(spark, d), _BITS)
+    return near.select("id", F.coalesce("j", F.lit(-1)).alias("j"), "sim")
 
 
 _HITS = "hits AS (SELECT l_suppkey AS query, l_partkey % 100 + 1 AS target, (1 - l_discount) AS fident, l_quantity AS alnlen, 40 + l_suppkey % 20 AS qlen, 40 + (l_partkey % 100 + 1) % 20 AS tlen FROM lineitem)"
@@ -218,9 +271,20 @@ _HITS = "hits AS (SELECT l_suppkey AS query, l_partkey % 100 + 1 AS target, (1 -
 
 @query(f"WITH {_HITS} SELECT least(query, target) AS a, greatest(query, target) AS b, round(max(fident * alnlen / least(qlen, tlen)), 9) AS global, max(CASE WHEN least(alnlen / qlen, alnlen / tlen) >= 0.8 THEN fident ELSE 0 END) AS cov80, max(fident) AS local FROM hits WHERE query <> target GROUP BY ALL")
 def identity_definitions(spark, d):
+    return G.identity_definitions(hits(spark, d)).withColumn("global", F.round("global", 9))
+
+
+def hits(spark, d):
     t = F.col("l_partkey") % 100 + 1
-    hits = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query"), t.alias("target"), (1 - F.col("l_discount")).alias("fident"), F.col("l_quantity").alias("alnlen"), (40 + F.col("l_suppkey") % 20).alias("qlen"), (40 + t % 20).alias("tlen"))
-    return G.identity_definitions(hits).withColumn("global", F.round("global", 9))
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query"), t.alias("target"), (1 - F.col("l_discount")).alias("fident"), F.col("l_quantity").alias("alnlen"), (40 + F.col("l_suppkey") % 20).alias("qlen"), (40 + t % 20).alias("tlen"))
+
+
+@query(f"""WITH {_HITS}, f AS (SELECT s_suppkey AS protein, CASE WHEN s_suppkey % 5 = 0 THEN 'test' ELSE 'train' END AS fold FROM supplier), x AS (SELECT query, target, fident * alnlen / least(qlen, tlen) AS g, CASE WHEN least(alnlen / qlen, alnlen / tlen) >= 0.8 THEN fident ELSE 0 END AS c, fident AS l FROM hits WHERE query <> target),
+  y AS (SELECT query AS a, target AS b, g, c, l FROM x UNION ALL SELECT target, query, g, c, l FROM x), m AS (SELECT a, max(g) AS g, max(c) AS c, max(l) AS l FROM y WHERE b IN (SELECT protein FROM f WHERE fold = 'train') GROUP BY a)
+  SELECT protein, round(coalesce(g, 0), 9) AS global, coalesce(c, 0) AS cov80, coalesce(l, 0) AS local FROM f LEFT JOIN m ON a = protein WHERE fold = 'test'""")
+def identity_to_train(spark, d):
+    f = table(spark, d, "supplier").select(F.col("s_suppkey").alias("protein"), F.when(F.col("s_suppkey") % 5 == 0, "test").otherwise("train").alias("fold"))
+    return G.identity_to_train(G.identity_definitions(hits(spark, d)), f).withColumn("global", F.round("global", 9))
 
 
 @query(f"""WITH RECURSIVE {_PAIRS}, b AS (SELECT i, j FROM pairs UNION ALL SELECT j, i FROM pairs), deg AS (SELECT id AS node, count(j) AS d FROM nb LEFT JOIN b ON i = id GROUP BY id),
@@ -231,32 +295,44 @@ def identity_definitions(spark, d):
   fin AS (SELECT unnest(lab) AS lead, generate_subscripts(lab, 1) AS t FROM run WHERE k = len(lab))
   SELECT a.node, l.node AS leader, dense_rank() OVER (ORDER BY fin.lead) - 1 AS cluster FROM fin JOIN turn a ON a.t = fin.t JOIN turn l ON l.t = fin.lead""")
 def butina(spark, d):
-    f = _features(spark, d)
-    return leader_clusters(f.select(F.col("id").alias("node")).distinct(), G.pairs_above(f, FLOOR))
+    return leader_clusters(_features(spark, d).select(F.col("id").alias("node")).distinct(), _pairs(spark, d))
 
 
-_EDGES = "edges AS (SELECT DISTINCT o_custkey AS a, l_partkey + 1000000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity <= 2)"
-_COMPONENTS = f"""RECURSIVE {_EDGES}, e AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-  comp(node, component) USING KEY (node) AS (SELECT a, min(a) FROM e GROUP BY a UNION SELECT e.b, min(c.component) FROM comp c JOIN e ON e.a = c.node JOIN recurring.comp r ON r.node = e.b WHERE c.component < r.component GROUP BY e.b)"""
+_EDGES = "edges AS (SELECT DISTINCT o_custkey AS a, l_partkey + 1000000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+_PART_EDGES = "edges AS (SELECT 'p' || p_name || '|' || p_partkey % 7 AS a, 'l' || p_size || '|' || p_brand || '|' || p_partkey % 11 AS b FROM part)"
+_COMP = """e AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+  comp(node, component) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM e GROUP BY a UNION SELECT e.b, min(c.component) FROM comp c JOIN e ON e.a = c.node JOIN recurring.comp r ON r.node = e.b WHERE c.component < r.component GROUP BY e.b)"""
 
 
 def edges(spark, d):
+    """Customers and the parts they ordered, all of them."""
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("a"))
-    l = table(spark, d, "lineitem").filter("l_quantity <= 2").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") + 1000000).alias("b"))  # noqa: E741
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") + 1000000).alias("b"))  # noqa: E741
     return o.join(l, "o_orderkey").select("a", "b").distinct()
 
 
-@query(f"WITH {_COMPONENTS} SELECT * FROM comp")
+def part_edges(spark, d):
+    """A graph of many components: parts link a cluster by name with one by size and brand."""
+    a, b = F.concat(F.lit("p"), F.concat_ws("|", "p_name", F.col("p_partkey") % 7)), F.concat(F.lit("l"), F.concat_ws("|", "p_size", "p_brand", F.col("p_partkey") % 11))
+    return table(spark, d, "part").select(a.alias("a"), b.alias("b"))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_COMP} SELECT * FROM comp")
 def connected_components(spark, d):
     return components(edges(spark, d))
 
 
-@query(f"""WITH {_COMPONENTS}, s AS (SELECT count(*) AS n FROM comp GROUP BY component), r AS (SELECT n, sum(n) OVER (ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER () AS total, row_number() OVER (ORDER BY n DESC) AS r FROM s)
+@query(f"WITH RECURSIVE {_PART_EDGES}, {_COMP} SELECT * FROM comp")
+def part_components(spark, d):
+    return components(part_edges(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_PART_EDGES}, {_COMP}, s AS (SELECT count(*) AS n FROM comp GROUP BY component), r AS (SELECT n, sum(n) OVER (ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER () AS total, row_number() OVER (ORDER BY n DESC) AS r FROM s)
   SELECT count(*) AS n_components, max(n) AS largest, max(n) / any_value(total) AS largest_share, (sum(n) FILTER (r <= 5))::BIGINT AS top5, count(*) FILTER (n = 1) AS singletons, quantile_cont(n, 0.5) AS median, count(*) FILTER (cum < 0.9 * total) + 1 AS to_cover_90, max(n) / any_value(total) <= 0.85 AS balanceable FROM r""")
 def component_stats(spark, d):
     from ..operators.summary import group_sizes
 
-    return group_sizes(components(edges(spark, d)), "component")
+    return group_sizes(components(part_edges(spark, d)), "component")
 
 
 @query("SELECT p_partkey, dense_rank() OVER (ORDER BY k) - 1 AS cluster FROM (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '~' || p_partkey ELSE trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) END AS k FROM part)")

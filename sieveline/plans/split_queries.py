@@ -31,12 +31,14 @@ def context(spark, d):
     return s.join(part, "ligand").select((F.col("protein") * 1000000 + F.col("ligand")).alias("system"), "protein", "ligand", F.col("protein").alias("pc"), "lc")
 
 
-def _greedy(name, source, key, seed, parts=(8, 1, 1)):
-    w = sum(parts)
+def _greedy(name, source, key, seed, fractions=L.FRACTIONS):
+    """Largest first, each to the fold with the largest deficit, the first of equals."""
+    x, y, z = ("({:.17g}::DOUBLE * max(total))".format(f) for f in fractions)
+    first, second = "a >= greatest(a, b, c) - 1e-9", "b >= greatest(a, b, c) - 1e-9"
     return f"""{name}_g AS (SELECT {key} AS g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5('{seed}|' || {key}), {key}) AS r, sum(count(*)) OVER () AS total FROM {source} GROUP BY {key}),
-  {name}_r AS (SELECT 0::BIGINT AS r, NULL::VARCHAR AS g, 0 AS f, ({parts[0]} * max(total))::BIGINT AS a, ({parts[1]} * max(total))::BIGINT AS b, ({parts[2]} * max(total))::BIGINT AS c FROM {name}_g
-    UNION ALL SELECT y.r, y.g::VARCHAR, CASE WHEN a >= b AND a >= c THEN 1 WHEN b >= c THEN 2 ELSE 3 END, CASE WHEN a >= b AND a >= c THEN a - {w} * n ELSE a END::BIGINT, CASE WHEN NOT (a >= b AND a >= c) AND b >= c THEN b - {w} * n ELSE b END::BIGINT,
-      CASE WHEN NOT (a >= b AND a >= c) AND NOT b >= c THEN c - {w} * n ELSE c END::BIGINT FROM {name}_r x JOIN {name}_g y ON y.r = x.r + 1),
+  {name}_r AS (SELECT 0::BIGINT AS r, NULL::VARCHAR AS g, 0 AS f, {x} AS a, {y} AS b, {z} AS c FROM {name}_g
+    UNION ALL SELECT y.r, y.g::VARCHAR, CASE WHEN {first} THEN 1 WHEN {second} THEN 2 ELSE 3 END, CASE WHEN {first} THEN a - n ELSE a END, CASE WHEN NOT ({first}) AND {second} THEN b - n ELSE b END,
+      CASE WHEN NOT ({first}) AND NOT ({second}) THEN c - n ELSE c END FROM {name}_r x JOIN {name}_g y ON y.r = x.r + 1),
   {name} AS (SELECT g, ['train', 'val', 'test'][f] AS fold FROM {name}_r WHERE r > 0)"""
 
 
@@ -45,13 +47,24 @@ def greedy_partition(spark, d):
     return L.greedy_partition(context(spark, d).groupBy("ligand").agg(F.count("*").alias("n")), "ligand", "s0")
 
 
-_C1 = f"""{_CTX}, o AS (SELECT *, md5('s0|' || system) AS h FROM ctx), a AS (SELECT *, row_number() OVER (PARTITION BY pc ORDER BY h DESC, system DESC) = 1 OR row_number() OVER (PARTITION BY lc ORDER BY h DESC, system DESC) = 1 AS anchor, ('0x' || substr(h, 1, 7))::BIGINT * 10 AS v FROM o),
-  s AS (SELECT system, protein, ligand, pc, lc, CASE WHEN anchor THEN 'train' WHEN v < 268435456 THEN 'test' WHEN v < 2 * 268435456 THEN 'val' ELSE 'train' END AS fold FROM a)"""
+def order_context(spark, d):
+    """Orders as systems of small clusters: ten or so of a customer, a few of a date."""
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("system"), F.col("o_custkey").alias("protein"), F.col("o_custkey").alias("pc"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ligand"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("lc"))
 
 
-@query(f"WITH {_C1} SELECT system, fold FROM s")
+# One system after another, with what each cluster still has in train.
+_C1 = """o AS (SELECT o_orderkey AS system, o_custkey AS protein, strftime(o_orderdate, '%Y-%m-%d') AS ligand, dense_rank() OVER (ORDER BY o_custkey) AS p, dense_rank() OVER (ORDER BY o_orderdate::DATE) AS q, row_number() OVER (ORDER BY md5('s0|' || o_orderkey), o_orderkey) AS r, count(*) OVER () AS n FROM orders),
+  np AS (SELECT list(c ORDER BY p) AS a FROM (SELECT p, count(*) AS c FROM o GROUP BY p)), nq AS (SELECT list(c ORDER BY q) AS b FROM (SELECT q, count(*) AS c FROM o GROUP BY q)),
+  walk AS (SELECT 0::BIGINT AS r, NULL::BIGINT AS system, false AS left_train, a, b FROM np, nq
+    UNION ALL SELECT y.r, y.system, a[p] > 1 AND b[q] > 1, CASE WHEN a[p] > 1 AND b[q] > 1 THEN list_concat(a[:p - 1], [a[p] - 1], a[p + 1:]) ELSE a END, CASE WHEN a[p] > 1 AND b[q] > 1 THEN list_concat(b[:q - 1], [b[q] - 1], b[q + 1:]) ELSE b END
+    FROM walk x JOIN o y ON y.r = x.r + 1 WHERE y.r <= round(0.1 * n) + round(0.1 * n)),
+  s AS (SELECT o.system, protein, ligand, CASE WHEN left_train AND o.r <= round(0.1 * n) THEN 'test' WHEN left_train THEN 'val' ELSE 'train' END AS fold FROM o LEFT JOIN walk w ON w.system = o.system)"""
+
+
+@query(f"WITH RECURSIVE {_C1} SELECT system, fold FROM s")
 def split_c1(spark, d):
-    return L.random_covered(context(spark, d), "s0").select("system", "fold")
+    return L.random_covered(order_context(spark, d), "s0").select("system", "fold")
 
 
 def _cold(cold, warm):
@@ -68,16 +81,19 @@ def split_c2l(spark, d):
     return L.ASSIGNERS["C2l"](context(spark, d), "s0").select("system", "fold")
 
 
-@query(f"WITH RECURSIVE {_CTX}, {_greedy('gp', 'ctx', 'pc', 's0p', (6, 2, 2))}, {_greedy('gl', 'ctx', 'lc', 's0l', (6, 2, 2))} SELECT system, CASE WHEN gp.fold = gl.fold THEN gp.fold ELSE 'excluded' END AS fold FROM ctx JOIN gp ON gp.g = pc::VARCHAR JOIN gl ON gl.g = lc")
+@query(f"WITH RECURSIVE {_CTX}, {_greedy('gp', 'ctx', 'pc', 's0p', L.axis_fractions())}, {_greedy('gl', 'ctx', 'lc', 's0l', L.axis_fractions())} SELECT system, CASE WHEN gp.fold = gl.fold THEN gp.fold ELSE 'excluded' END AS fold FROM ctx JOIN gp ON gp.g = pc::VARCHAR JOIN gl ON gl.g = lc")
 def split_c3_block(spark, d):
     return L.ASSIGNERS["C3"](context(spark, d), "s0").select("system", "fold")
 
 
-@query()
+@query(f"""WITH RECURSIVE ctx AS (SELECT p_partkey AS system, 'p' || p_name || '|' || p_partkey % 7 AS a, 'l' || p_size || '|' || p_brand || '|' || p_partkey % 11 AS b FROM part), e AS (SELECT a, b FROM ctx UNION SELECT b, a FROM ctx),
+  comp(node, component) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM e GROUP BY a UNION SELECT e.b, min(c.component) FROM comp c JOIN e ON e.a = c.node JOIN recurring.comp r ON r.node = e.b WHERE c.component < r.component GROUP BY e.b),
+  y AS (SELECT system, component FROM ctx JOIN comp ON node = a), {_greedy('gc', 'y', 'component', 's0')} SELECT system, component, fold FROM y JOIN gc ON g = component""")
 def split_c3_component(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("pc"))
-    c = table(spark, d, "lineitem").filter("l_quantity <= 2").join(o, "l_orderkey").select("pc", F.col("l_partkey").alias("lc")).distinct()
-    return L.component_block(c.withColumn("system", F.concat_ws("_", "pc", "lc")), "s0").select("system", "component", "fold")
+    """Parts as systems of two small clusters each; whole components of the graph of clusters go to folds."""
+    pc, lc = F.concat_ws("|", "p_name", F.col("p_partkey") % 7), F.concat_ws("|", "p_size", "p_brand", F.col("p_partkey") % 11)
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("system"), pc.alias("pc"), lc.alias("lc"))
+    return L.component_block(p, "s0").select("system", "component", "fold")
 
 
 _T1 = "t AS (SELECT quantile_cont(epoch_us(o_orderdate), 0.8) AS v, quantile_cont(epoch_us(o_orderdate), 0.9) AS w FROM orders), s AS (SELECT orders.*, CASE WHEN epoch_us(o_orderdate) < v THEN 'train' WHEN epoch_us(o_orderdate) < w THEN 'val' ELSE 'test' END AS fold FROM orders, t)"
@@ -88,13 +104,33 @@ def split_t1(spark, d):
     return L.temporal(table(spark, d, "orders"), "o_orderdate").select("o_orderkey", "fold")
 
 
-@query(f"WITH {_T1} SELECT count(DISTINCT o_orderkey) AS orders, max(o_orderdate) FILTER (fold = 'train') < min(o_orderdate) FILTER (fold = 'val') AS train_first, max(o_orderdate) FILTER (fold = 'val') < min(o_orderdate) FILTER (fold = 'test') AS val_first, avg((o_custkey IN (SELECT o_custkey FROM s WHERE fold = 'train'))::INT) FILTER (fold = 'test') AS seen_customers FROM s")
+_T1_FIXED = "s AS (SELECT orders.*, CASE WHEN o_orderdate < TIMESTAMP '1998-06-30' THEN 'train' WHEN o_orderdate < TIMESTAMP '1999-06-01' THEN 'val' ELSE 'test' END AS fold FROM orders)"
+
+
+def fixed(spark, d):
+    return L.temporal(table(spark, d, "orders"), "o_orderdate", "1998-06-30", "1999-06-01")
+
+
+@query(f"WITH {_T1_FIXED} SELECT o_orderkey, fold FROM s")
+def split_t1_fixed(spark, d):
+    return fixed(spark, d).select("o_orderkey", "fold")
+
+
+@query(f"WITH {_T1_FIXED} " + " UNION ALL ".join(f"SELECT '{c}' AS entity, avg(({c} IN (SELECT {c} FROM s WHERE fold = 'train'))::INT) FILTER (fold = 'test') AS share_in_train FROM s" for c in ("o_custkey", "o_orderpriority", "o_orderdate")))
+def temporal_leakage(spark, d):
+    return L.shares_in_train(fixed(spark, d), ["o_custkey", "o_orderpriority", "o_orderdate"])
+
+
+@query(f"""WITH {_T1}, n AS (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS k, (SELECT count(*) FROM orders) AS t FROM s), m AS (SELECT max(o_orderdate) FILTER (fold = 'train') AS a, min(o_orderdate) FILTER (fold = 'val') AS b, max(o_orderdate) FILTER (fold = 'val') AS c, min(o_orderdate) FILTER (fold = 'test') AS e FROM s),
+  x AS (SELECT count(*) AS x FROM (SELECT o_custkey FROM s WHERE fold = 'train' INTERSECT SELECT o_custkey FROM s WHERE fold = 'test'))
+  SELECT 'schema' AS "check", true AS passed UNION ALL SELECT 'covers_tier', n = t AND k = t FROM n UNION ALL SELECT 'unique', n = k FROM n UNION ALL SELECT 'vocabulary', (SELECT bool_and(fold IN ('train', 'val', 'test')) FROM s)
+  UNION ALL SELECT 'disjoint', (SELECT max(f) = 1 FROM (SELECT count(DISTINCT fold) AS f FROM s GROUP BY o_orderkey)) UNION ALL SELECT 'train_before_val', a < b FROM m UNION ALL SELECT 'val_before_test', c < e FROM m UNION ALL SELECT 'entries_in_one_fold', x = 0 FROM x UNION ALL SELECT 'index_sizes', true""")
 def temporal_validation(spark, d):
-    s = L.temporal(table(spark, d, "orders"), "o_orderdate")
-    per = s.groupBy("o_custkey").agg(L.mask().alias("m"), F.count_if(F.col("fold") == "test").alias("n"))
-    seen = per.agg((F.sum(F.when(F.col("m").bitwiseAND(1) != 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("seen_customers"))
-    at = lambda f, fold: f(F.when(F.col("fold") == fold, F.col("o_orderdate")))
-    return s.agg(F.count_distinct("o_orderkey").alias("orders"), (at(F.max, "train") < at(F.min, "val")).alias("train_first"), (at(F.max, "val") < at(F.min, "test")).alias("val_first")).crossJoin(seen)
+    """The nine checks; customers stand for entries, so that check fails where one ordered early and late."""
+    tier = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
+    s = L.temporal(tier, "o_orderdate").select("o_orderkey", "fold")
+    index = s.agg(*[F.count_if(F.col("fold") == f).alias(f"n_{f}") for f in L.FOLDS])
+    return L.temporal_checks(s, tier, index, "o_orderkey", "o_orderdate", "o_custkey")
 
 
 @query(_cold("pc", "lc") + " SELECT count(*) AS n_systems, count(*) FILTER (fold = 'train') AS n_train, count(*) FILTER (fold = 'val') AS n_val, count(*) FILTER (fold = 'test') AS n_test, count(*) FILTER (fold = 'excluded') AS n_excluded, count(DISTINCT pc) AS n_pc, count(DISTINCT lc) AS n_lc FROM s")
@@ -111,9 +147,9 @@ def leakage_contract(spark, d):
     return L.violations(s, "pc").unionByName(L.violations(s, "lc"))
 
 
-@query(f"WITH {_C1} SELECT 'protein' AS entity, avg((protein IN (SELECT protein FROM s WHERE fold = 'train'))::INT) AS share_in_train FROM s WHERE fold = 'test' UNION ALL SELECT 'ligand', avg((ligand IN (SELECT ligand FROM s WHERE fold = 'train'))::INT) FROM s WHERE fold = 'test'")
+@query(f"WITH RECURSIVE {_C1} SELECT 'protein' AS entity, avg((protein IN (SELECT protein FROM s WHERE fold = 'train'))::INT) AS share_in_train FROM s WHERE fold = 'test' UNION ALL SELECT 'ligand', avg((ligand IN (SELECT ligand FROM s WHERE fold = 'train'))::INT) FROM s WHERE fold = 'test'")
 def exact_entity_stats(spark, d):
-    return L.exact_entities(L.random_covered(context(spark, d), "s0"))
+    return L.exact_entities(L.random_covered(order_context(spark, d), "s0"))
 
 
 @query("SELECT o_orderpriority, count(*) AS n_systems, count(*) FILTER (o_orderstatus = 'P') AS n_test FROM orders GROUP BY 1 HAVING n_test < 0.5 * 0.9 * n_systems")
@@ -163,16 +199,31 @@ def classifier_two_sample(spark, d):
 
 
 @query()
-def first_component(spark, d):
-    return M.first_component(table(spark, d, "embeddings"), "embedding", "vec_id")
+def classifier_with_baseline(spark, d):
+    """The test on unit vectors, and on their first principal component alone."""
+    e = table(spark, d, "embeddings").select("vec_id", (F.col("label") < 3).cast("int").alias("y"), "embedding")
+    return M.classifier_with_baseline(e, "embedding", "y", "vec_id")
 
 
-# Calibration
+_TANIMOTO = """feat AS (SELECT DISTINCT id, bit FROM (SELECT doc_id AS id, unnest(list_transform(list_filter(string_split_regex(text, '[ \n\t]+'), lambda x: x <> ''), lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT % 2048)) AS bit FROM documents JOIN labels USING (doc_id))), nb AS (SELECT id, count(*) AS n, any_value(quality) AS y FROM feat JOIN labels ON doc_id = id GROUP BY id),
+  c AS (SELECT a.id AS i, b.id AS j, count(*) AS c FROM feat a JOIN feat b ON a.bit = b.bit AND a.id <> b.id GROUP BY ALL), k AS (SELECT x.y AS a, z.y AS b, c / (x.n + z.n - c) AS k FROM c JOIN nb x ON x.id = i JOIN nb z ON z.id = j), n AS (SELECT count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM nb)"""
+
+
+@query(f"WITH {_TANIMOTO} SELECT round(sum(k) FILTER (a = 0 AND b = 0) / any_value(n0 * (n0 - 1)) + sum(k) FILTER (a = 1 AND b = 1) / any_value(n1 * (n1 - 1)) - 2 * sum(k) FILTER (a = 0 AND b = 1) / any_value(n0 * n1), 9) AS mmd2 FROM k, n")
+def mmd2_tanimoto(spark, d):
+    """Labelled documents of good and bad quality, as sets of words on 2048 bits."""
+    w = F.explode(F.filter(F.split("text", "[ \n\t]+"), lambda x: x != ""))
+    f = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"), w.alias("w"))
+    bit = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 7), 16, 10).cast("bigint") % 2048
+    return M.mmd2_tanimoto(f.select("id", "y", bit.alias("bit")), "y").select(F.round("mmd2", 9).alias("mmd2"))
 
 
 @query()
-def isotonic_fit(spark, d):
-    return M.isotonic(scores(spark, d), "agreement", "accuracy", "system").select("system", "half", "agreement", "accuracy", "predicted")
+def first_component(spark, d):
+    return M.first_component(table(spark, d, "embeddings"), "embedding", "vec_id")
+
+
+# Calibration
 
 
 @query(_SCORES + ", r AS (SELECT abs(accuracy - agreement) AS r FROM scores), o AS (SELECT r, row_number() OVER (ORDER BY r) AS k, count(*) OVER () AS n FROM r) SELECT round(quantile_cont(r, 0.9), 9) AS interpolated, round(max(r) FILTER (k = least(ceil((n + 1) * 0.9), n)), 9) AS order_statistic FROM o")
@@ -202,8 +253,3 @@ def quantile_calibration(spark, d):
 @query("WITH p AS (SELECT p_size AS x, sum(p_partkey) AS w FROM part GROUP BY 1), r AS (SELECT x, sum(w) OVER (ORDER BY x) AS run FROM p), t AS (SELECT sum(p_partkey) AS a, sum(p_partkey)::DOUBLE * sum(p_partkey) / sum(p_partkey * p_partkey) AS effective FROM part) SELECT round(effective, 6) AS effective, min(x) FILTER (run >= 0.9 * a) AS quantile FROM r, t GROUP BY effective")
 def weighted_quantile(spark, d):
     return M.weighted_quantile(table(spark, d, "part"), "p_size", "p_partkey", 0.9).withColumn("effective", F.round("effective", 6))
-
-
-@query()
-def bootstrap_interval(spark, d):
-    return M.bootstrap_mean(scores(spark, d), "accuracy", "system")
