@@ -43,6 +43,20 @@ def agreement_accuracy(sets: DataFrame, arms: list[str], truth: str, cohort: str
     return flat.select("system", mean([f"p{i}" for i in range(n)]).alias("agreement"), mean([f"t{i}" for i in range(len(arms))]).alias("accuracy"))
 
 
+def contact_similarity(contacts: DataFrame, a: str, b: str, wide: float, narrow: float) -> DataFrame:
+    """(system, j_wide, j_narrow, mean_gap): how alike two arms' contacts are within two cut-offs.
+
+    Systems for which neither arm has a contact within the wide cut-off are
+    left out; without one within the narrow cut-off the index is 0.  mean_gap
+    is the mean absolute difference of least distances on shared residues.
+    """
+    near = contacts.filter(F.col("arm").isin(a, b) & (F.col("d_min") <= wide))
+    flat = near.groupBy("system", "res_row").agg(*[F.min(F.when(F.col("arm") == x, F.col("d_min"))).alias(n) for x, n in ((a, "_a"), (b, "_b"))])
+    both, one = F.col("_a").isNotNull() & F.col("_b").isNotNull(), lambda c: F.coalesce(F.col(c) <= narrow, F.lit(False))
+    inner = ratio(F.count_if(one("_a") & one("_b")), F.count_if(one("_a") | one("_b")), 0.0)
+    return flat.groupBy("system").agg((F.count_if(both) / F.count("*")).alias("j_wide"), inner.alias("j_narrow"), F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mean_gap"))
+
+
 def coverage(sets: DataFrame, arms: list[str]) -> DataFrame:
     """How many systems each combination of arms covers: a bit mask per system, then a count per mask."""
     masks = sets.filter(F.col("arm").isin(arms)).groupBy("system").agg(sum((F.max(F.when(F.col("arm") == a, 1 << i).otherwise(0)) for i, a in enumerate(arms[1:], 1)), F.max(F.when(F.col("arm") == arms[0], 1).otherwise(0))).alias("mask"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,31 +10,49 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is chosen only for a local master that names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    One is chosen only for a master of one machine that names none, as in tests.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "/tmp/checkpoints"
+    if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "/tmp/checkpoints"
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
 
+def cut(df: DataFrame, what: str = "round") -> DataFrame:
+    """End the lineage of the rows: they are written to a fresh folder in the shared one and read again.
 
-def cut(df: DataFrame) -> DataFrame:
-    """End the lineage of a round: its rows are written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    A lost executor then costs no more than its running tasks.  removed() takes the folder away.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete the folders of tables that cut() wrote, whatever store holds them; nothing may still read them."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the least node reachable over edges (a, b).
+    """(node, component): the least node reachable over edges (a, b), for all nodes that have an edge.
 
-    Rounds of two steps: every node hands its larger neighbours to the least of
-    its neighbourhood, then every node hands its smaller neighbours, and itself,
-    to the least of them.  Both are a minimum per node and a join, so no
-    neighbourhood is gathered.  It ends when every node hangs from one node
-    that hangs from none.
+    Rounds of two steps (Kiveris et al., 2014): every node hands its larger
+    neighbours to the least of its neighbourhood, then every node hands its
+    smaller neighbours, and itself, to the least of them.  Both are a minimum
+    per node and a join, so no neighbourhood is gathered.  It ends when every
+    node hangs from one node that hangs from none.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     for _ in range(rounds):
@@ -46,7 +65,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        removed(last)
     raise RuntimeError(f"edges still move after {rounds} rounds")
 
 

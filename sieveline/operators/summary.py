@@ -76,6 +76,29 @@ def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
     return bins.crossJoin(F.broadcast(total)).select("bin", "n", (F.col("n") / F.col("total") / width).alias("density"))
 
 
+def log_histogram(df: DataFrame, value: str, per_decade: int = 4) -> DataFrame:
+    """(bin, low, n, density) of positive values in bins of equal ratio, so many to a factor of ten; density per unit of the value."""
+    rows = df.filter(F.col(value) > 0)
+    total = rows.agg(F.count("*").alias("total"))
+    at = F.floor(F.round(F.log10(value) * per_decade, 9))
+    edge = lambda k: F.pow(F.lit(10.0), (F.col("bin") + k) / per_decade)
+    bins = rows.groupBy(at.alias("bin")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))  # one row
+    return bins.select("bin", edge(0).alias("low"), "n", (F.col("n") / F.col("total") / (edge(1) - edge(0))).alias("density"))
+
+
+def smallest(df: DataFrame, value: str, tie: str, n: int) -> DataFrame:
+    """The n rows with the least values; each task keeps its own n."""
+    return df.orderBy(value, tie).limit(n)
+
+
+def finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in which all of the columns are numbers: not null, not NaN, not infinite."""
+    out = df
+    for c in columns:
+        out = out.filter(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    return out
+
+
 def shares(df: DataFrame, by: str) -> DataFrame:
     total = df.agg(F.count("*").alias("total"))
     return df.groupBy(by).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select(by, "n", (F.col("n") / F.col("total")).alias("share"))

@@ -40,3 +40,24 @@ def messages(log: DataFrame, text: str) -> DataFrame:
     pattern = r"Sleeping for (\d+)s\. Reason: (\w+)"
     hit = log.filter(F.col(text).rlike(pattern))
     return hit.groupBy(F.regexp_extract(text, pattern, 2).alias("reason")).agg(F.count("*").alias("n"), F.sum(F.regexp_extract(text, pattern, 1).cast("bigint")).alias("seconds"))
+
+
+def due(latest_: DataFrame, now: str, first: int = 60, factor: float = 2.0, longest: int = 3600, most: int = 3, states: tuple[str, ...] = RETRY) -> DataFrame:
+    """Jobs to try again now, with how long each had to wait: ``first`` seconds after the first attempt, and ``factor`` times as long after each further one, up to ``longest``."""
+    wait = F.least(F.lit(float(longest)), F.lit(float(first)) * F.pow(F.lit(float(factor)), F.col("attempts") - 1))
+    rows = to_retry(latest_, most, states).withColumn("wait", wait)
+    return rows.filter(F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")) >= F.col("wait") * 1_000_000)
+
+
+def reasons(log: DataFrame, reason: str) -> DataFrame:
+    """(reason, n, share): how often each reason stands in the log, nulls left out."""
+    rows = log.filter(F.col(reason).isNotNull())
+    total = rows.agg(F.count("*").alias("_total"))
+    return rows.groupBy(F.col(reason).alias("reason")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("reason", "n", (F.col("n") / F.col("_total")).alias("share"))  # one row
+
+
+def wall_times(log: DataFrame, key: str, time: str) -> DataFrame:
+    """Jobs, and the mean, median and longest seconds between a job's first and last event."""
+    t = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
+    per = log.groupBy(key).agg((F.max(t) - F.min(t)).alias("s"))
+    return per.agg(F.count("*").alias("jobs"), F.avg("s").alias("mean"), F.percentile("s", 0.5).alias("median"), F.max("s").alias("longest"))

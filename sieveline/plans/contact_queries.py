@@ -168,3 +168,10 @@ def enrichment(spark, d):
 @query("SELECT CASE WHEN value < 1 THEN 0 WHEN value < 2 THEN 1 WHEN value < 5 THEN 2 ELSE 3 END AS band, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def offset_bands(spark, d):
     return A.offset_bands(table(spark, d, "events"), "value", [0, 1, 2, 5]).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"""WITH {CONTACTS_SQL}, f AS (SELECT system, res_row, min(d_min) FILTER (arm = 'click') AS a, min(d_min) FILTER (arm = 'signup') AS b FROM contacts WHERE arm IN ('click', 'signup') AND d_min <= 150 GROUP BY ALL)
+  SELECT system, round(avg((a IS NOT NULL AND b IS NOT NULL)::INT), 9) AS j_wide, round(coalesce(count(*) FILTER (a <= 50 AND b <= 50) / nullif(count(*) FILTER (coalesce(a <= 50, false) OR coalesce(b <= 50, false)), 0), 0), 9) AS j_narrow, round(avg(abs(a - b)), 9) AS mean_gap FROM f GROUP BY system""")
+def contact_similarity(spark, d):
+    r = A.contact_similarity(contacts(spark, d), "click", TRUTH, 150, 50)
+    return r.select("system", *[F.round(c, 9).alias(c) for c in ("j_wide", "j_narrow", "mean_gap")])

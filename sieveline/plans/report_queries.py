@@ -88,6 +88,42 @@ def histogram(spark, d):
     return S.histogram(table(spark, d, "events"), "value", 25.0)
 
 
+@query("SELECT bin, round(pow(10, bin / 4), 6) AS low, n, round(n / total / (pow(10, (bin + 1) / 4) - pow(10, bin / 4)), 9) AS density FROM (SELECT floor(round(log10(value) * 4, 9))::BIGINT AS bin, count(*) AS n FROM events WHERE value > 0 GROUP BY 1), (SELECT count(*) FILTER (value > 0) AS total FROM events)")
+def log_histogram(spark, d):
+    r = S.log_histogram(table(spark, d, "events"), "value", 4)
+    return r.select("bin", F.round("low", 6).alias("low"), "n", F.round("density", 9).alias("density"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 5")
+def smallest_values(spark, d):
+    """The five least; a report of so many rows."""
+    return S.smallest(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 5)
+
+
+@query("SELECT event_id, x FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'Infinity'::DOUBLE ELSE value END AS x FROM events) WHERE x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x)")
+def finite_rows(spark, d):
+    x = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 5 == 0, F.lit(None).cast("double")).when(F.col("event_id") % 11 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    return S.finite(table(spark, d, "events").select("event_id", x.alias("x")), ["x"])
+
+
+@query("SELECT event_type AS reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM events GROUP BY 1")
+def failure_reasons(spark, d):
+    return W.reasons(log(spark, d), "status").withColumn("share", F.round("share", 9))
+
+
+@query("SELECT count(*) AS jobs, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, round(max(s), 6) AS longest FROM (SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS s FROM events GROUP BY user_id)")
+def wall_times(spark, d):
+    r = W.wall_times(log(spark, d), "user_id", "ts")
+    return r.select("jobs", *[F.round(c, 6).alias(c) for c in ("mean", "median", "longest")])
+
+
+@query("""WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS last, count(*) AS attempts FROM events GROUP BY 1)
+  SELECT user_id, status, attempts FROM l WHERE status IN ('error', 'signup') AND attempts < 70 AND epoch_us(TIMESTAMP '2024-02-01') - epoch_us(last) >= least(86400.0, 60.0 * pow(1.2, attempts - 1)) * 1000000""")
+def retry_after_backoff(spark, d):
+    r = W.due(W.latest(log(spark, d), "user_id", "ts", "event_id"), "2024-02-01", 60, 1.2, 86400, 70, ("error", "signup"))
+    return r.select("user_id", "status", "attempts")
+
+
 @query("SELECT lang, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM documents GROUP BY 1")
 def value_shares(spark, d):
     return S.shares(table(spark, d, "documents"), "lang")
