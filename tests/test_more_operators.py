@@ -264,3 +264,38 @@ def test_reports():
 
 def test_dictionary(spark):
     assert "| k | bigint | yes | the key |" in reports.dictionary({"t": spark.createDataFrame([], "k long").schema}, {("t", "k"): "the key"})
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from sieveline.__main__ import main
+
+    main(["list"])
+    assert "support_gradient" in capsys.readouterr().out.split()
+    main(["run", "value_shares", sf, "--out", str(tmp_path / "q")], spark)
+    assert spark.read.parquet(str(tmp_path / "q")).count() > 0
+    spark.createDataFrame([(k, k % 30, k % 20) for k in range(600)], "system long, pc long, lc long").write.parquet(str(tmp_path / "c"))
+    main(["split", "C2l", str(tmp_path / "c"), str(tmp_path / "s"), "--seed", "7", "--fractions", "0.6,0.2,0.2"], spark)
+    assert {r["fold"] for r in spark.read.parquet(str(tmp_path / "s")).select("fold").distinct().collect()} >= {"train", "test"}
+    spark.createDataFrame([(i, x) for i in range(6) for x in range(i % 2 * 9, i % 2 * 9 + 5)], "id long, feature long").write.parquet(str(tmp_path / "f"))
+    main(["cluster", str(tmp_path / "f"), str(tmp_path / "k"), "--floor", "0.5"], spark)
+    assert spark.read.parquet(str(tmp_path / "k")).select("cluster").distinct().count() == 2
+    main(["neighbours", str(tmp_path / "f"), str(tmp_path / "n"), "--top", "1"], spark)
+    assert spark.read.parquet(str(tmp_path / "n")).count() == 6
+    main(["dictionary", str(tmp_path / "f")], spark)
+    assert "| feature | bigint |" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["split", "C9", str(tmp_path / "c"), str(tmp_path / "x")], spark)
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf):
+    """Selections are read by the scan: pushed filters, and no column that isn't asked for."""
+    from sieveline.operators import selection
+    from sieveline.plans.fixtures import table
+    from sieveline.plans.registry import QUERIES
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    got = plan(selection.qualified(table(spark, sf, "customer"), [F.col("c_acctbal") > 0, F.col("c_nationkey") != 3]).select("c_custkey"))
+    assert "GreaterThan(c_acctbal,0.0)" in got and "c_name" not in got
+    assert "ReadSchema: struct<text:string>" not in plan(QUERIES["value_shares"](spark, sf)) and "struct<lang:string>" in plan(QUERIES["value_shares"](spark, sf))
+    semi = table(spark, sf, "lineitem").join(table(spark, sf, "orders").filter("o_orderstatus = 'F'").selectExpr("o_orderkey AS l_orderkey"), "l_orderkey", "left_semi").select("l_quantity")
+    assert "EqualTo(o_orderstatus,F)" in plan(semi) and "struct<l_orderkey:bigint,l_quantity:double>" in plan(semi)
