@@ -9,6 +9,7 @@ special token's string, is left to the tokenizers library as a whole.
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 
 import numpy as np
@@ -198,70 +199,72 @@ def put(pool: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
 class Memo:
     """Encodings of pre-tokens, found by a hash of their code points and taken only if those are the same.
 
-    Grows to ``most`` pre-tokens and then keeps those that were met again.
-    ``encode`` takes a list of strings and gives a list of id lists.
+    Most different pre-tokens of a corpus stand in it once, so one is kept
+    when it is met again; a table of bits tells.  Grows to ``most`` pre-tokens
+    and then starts again.  ``encode`` takes a list of strings and gives a list
+    of id lists.  Places in the pool hold until the next look.
     """
 
-    def __init__(self, encode, most: int = 300_000) -> None:
+    #: Bits of the table of what was met, and pre-tokens after which it starts again.
+    BITS, MET = 23, 2_000_000
+
+    def __init__(self, encode, most: int = 400_000) -> None:
         self.encode, self.most = encode, most
+        self.met, self.n_met = np.zeros(1 << self.BITS, bool), 0
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.rows = np.zeros(0, _U), np.zeros((0, 4), np.int32)  # place and number of ids, begin and end of code points
-        self.again = np.zeros(0, bool)
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
         self.points, self.n_points = np.zeros(1 << 16, np.uint32), 0
 
-    def _shrink(self) -> None:
-        """Keep what was met again, if that is less than half of what fits; else nothing."""
-        keys, rows, ids, points = self.keys[self.again], self.rows[self.again].astype(np.int64), self.ids, self.points
-        self.clear()
-        n_points = rows[:, 3] - rows[:, 2]
-        if max(len(keys), rows[:, 1].sum() >> 4, n_points.sum() >> 4) <= self.most // 2:
-            self.keys, self.again = keys, np.zeros(len(keys), bool)
-            self.ids, self.n_ids = put(self.ids, 0, ids[spread(rows[:, 0], rows[:, 1])]), int(rows[:, 1].sum())
-            self.points, self.n_points = put(self.points, 0, points[spread(rows[:, 2], n_points)]), int(n_points.sum())
-            stop, at = np.cumsum(n_points), np.cumsum(rows[:, 1])
-            self.rows = np.stack([at - rows[:, 1], rows[:, 1], stop - n_points, stop], axis=1).astype(np.int32)
-
-    def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of ids of strings, whose ids now are in the pool."""
+    def _encoded(self, strings: list[str], keep: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids of strings, whose ids now are in the pool, to stay or up to the next look."""
         lists = self.encode(strings)
         size = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(size.sum()))
         self.ids = put(self.ids, self.n_ids, flat)
         at = self.n_ids + np.cumsum(size) - size
-        self.n_ids += len(flat)
+        if keep:
+            self.n_ids += len(flat)
         return at, size
 
     def _add(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        at, size = self._encoded(strings_of(points, starts, ends))
+        at, size = self._encoded(strings_of(points, starts, ends), True)
         flat = points[spread(starts, ends - starts)]
         self.points = put(self.points, self.n_points, flat)
         stop = self.n_points + np.cumsum(ends - starts)
         self.n_points += len(flat)
         place = np.searchsorted(self.keys, keys)
-        self.keys, self.again = np.insert(self.keys, place, keys), np.insert(self.again, place, False)
+        self.keys = np.insert(self.keys, place, keys)
         self.rows = np.insert(self.rows, place, np.stack([at, size, stop - (ends - starts), stop], axis=1).astype(np.int32), axis=0)
 
     def look_distinct(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in pool, number of ids) of different pre-tokens, given with their hashes in order."""
         if len(self.keys) + len(keys) > self.most or max(self.n_points, self.n_ids) > 16 * self.most:
-            self._shrink()
+            self.clear()
+        here = np.zeros(len(keys), bool)
         place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
         inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == keys[inside]
-        self.again[place[known]] = True
-        if not known.all():
-            new = ~known
-            self._add(keys[new], points, starts[new], ends[new])
+        here[inside] = self.keys[place[inside]] == keys[inside]
+        new = np.flatnonzero(~here)
+        slot = keys[new] >> _U(64 - self.BITS)
+        again = new[self.met[slot]]
+        if self.n_met > self.MET:
+            self.met[:], self.n_met = False, 0
+        self.met[slot] = True
+        self.n_met += len(new) - len(again)
+        if len(again):
+            self._add(keys[again], points, starts[again], ends[again])
+            here[again] = True
             place = np.searchsorted(self.keys, keys)
-        rows = self.rows[place].astype(np.int64)
-        at, size = rows[:, 0].copy(), rows[:, 1].copy()
-        other = np.flatnonzero(~same_spans(points, starts, ends, self.points, rows[:, 2], rows[:, 3]))
-        if len(other):  # another pre-token has that hash here; these are encoded whenever they are met
-            at[other], size[other] = self._encoded(strings_of(points, starts[other], ends[other]))
+        rows = self.rows[place[here]].astype(np.int64)
+        at, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at[here], size[here] = rows[:, 0], rows[:, 1]
+        here[here] = same_spans(points, starts[here], ends[here], self.points, rows[:, 2], rows[:, 3])
+        once = np.flatnonzero(~here)  # those met for the first time, and those whose hash another one has here
+        if len(once):
+            at[once], size[once] = self._encoded(strings_of(points, starts[once], ends[once]), False)
         return at, size
 
     def look(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
