@@ -1,4 +1,4 @@
-"""What the operators share: keys, shared folders and connected components."""
+"""What the operators share: keys, folders, batches and joins by checked size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.iterate import connected_components as components
+from ..operators.iterate import cut as saved
+from ..operators.iterate import removed, shared_folder
+
+__all__ = ["components", "fresh_dir", "in_batches", "keyed", "partitions", "removed", "saved", "sized", "text_hash"]
+
 LEAST_ID = -(1 << 63)
 #: Rows of some 50 bytes that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
@@ -16,53 +22,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one is set only where it is unset, as in tests."""
-    sc = spark.sparkContext
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if conf:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(conf)
-        return conf.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir("/tmp/checkpoints")
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, what: str = "rows") -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again.
-
-    Lineage ends there, so a lost executor costs no more than its running tasks.
-    The folder is a fresh one of this run; dropped() takes it away.
-    """
-    spark = df.sparkSession
-    path = fresh_dir(spark, what)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.sieveline_path = path  # type: ignore[attr-defined]
-    return out
-
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a folder of this run, whatever store holds it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-
-def sized(rows: DataFrame, weight: str = "1", most: int | None = None) -> DataFrame:
-    """Rows to join to a large table: broadcast if they are BROADCAST_ROWS at most (a row counts ``weight`` times), else merged.
+def sized(rows: DataFrame, weight: str = "1") -> DataFrame:
+    """Rows to join to a large table: broadcast if they are BROADCAST_ROWS at most (a row counts ``weight`` times, for each 50 bytes), else merged.
 
     They are counted first, so they should be saved ones; either way the join has the same result.
     """
     n = rows.agg(F.sum(F.expr(weight)).alias("n")).first()["n"] or 0
-    return F.broadcast(rows) if n <= (BROADCAST_ROWS if most is None else most) else rows.hint("merge")
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows.hint("merge")
 
 
 def in_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
@@ -101,30 +71,3 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         text_hash(F.col("text")).alias("h"),
     )
     return base.select(k.alias("k"), "id", "text")
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over edges (a, b), for all nodes that have an edge.
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014).  A
-    node's neighbours are never gathered: each step is a minimum per node and
-    a join back, both of which Spark can split when one node is hot.  It ends
-    when each node hangs from one node that hangs from none.
-    """
-    spark = edges.sparkSession
-    e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "components")
-    for _ in range(most_rounds):
-        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty():
-            roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-        # Large star: link every larger neighbour of u to the least of u and its neighbours.
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        # Small star: link every smaller neighbour of u, and u itself, to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        last, e = e, saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "components")
-        dropped(spark, last.sieveline_path)
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, dropped, in_batches, keyed, saved, sized
+from ._common import components, in_batches, keyed, removed, saved, sized
 from ._text import LOWER, mix, shingle_hashes, signed, slices, span_hashes, text_buffers, word_hashes, words
 
 BINS, BANDS = 512, 64
@@ -282,7 +282,6 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
     are told apart by their texts and reach the same component_id only by
     links; rows that share both get the same result.
     """
-    spark = documents.sparkSession
     docs = in_batches(keyed(documents))
     key = docs.schema["k"].dataType.simpleString()
     sets = saved(docs.select("k", "text", "id").mapInArrow(_signed_sets(w), f"k {key}, id bigint, n bigint, size bigint, set binary, bands array<bigint>"), "sets")
@@ -322,11 +321,10 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
         rows_ = saved(whole.unionByName(loose), "pieces")
         dealt = docs.select("k", "text").join(sized(rows_), "k").select("hub", "a", "b", "loose", "k", "component", "text").repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b")
         found = saved(dealt.mapInArrow(_piece_links(w, percent), f"a {key}, b {key}"), "links")
-        dropped(spark, rows_.sieveline_path)
+        removed(rows_)
         if not found.isEmpty():
             joined = components(links.unionByName(found))
-    for used in (pairs, groups, rows):
-        dropped(spark, used.sieveline_path)
+    removed(pairs, groups, rows)
 
     joined = joined.withColumnRenamed("node", "rep")
     group = classes.join(joined, "rep", "left").select("set", F.coalesce("component", "rep").alias("component"))

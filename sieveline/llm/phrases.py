@@ -8,24 +8,22 @@ Which runs of ``n`` consecutive words also start earlier in the corpus is found
    windows with the same anchor.  Anchors are counted over the whole corpus
    (one long per segment, summed before the shuffle); a window can recur only
    if its anchor does.
-2. Confirming.  Segments whose anchor recurs are compared by a hash of all
-   their words.  All windows of a segment that has been seen before have been
-   seen before; only the first of equal segments is looked at further, and
-   only where unequal segments share the anchor.
-3. Automata.  Those segments go, whole, to shards by anchor.  A shard takes
-   its segments in batches of whole anchors and bounded size: the windows that
-   occur twice in a batch are its confirmed phrases, they are compiled to an
-   Aho-Corasick automaton, and all texts of the batch are streamed through it
-   to locate every place.  (Within a batch each distinct word is coded as two
-   characters, so a phrase is a path of 2n nodes.)  An anchor with more than
-   ``KINDS`` unequal segments, such as the edge of a passage that a third of
-   all documents share, is dealt out window by window instead: a phrase goes
-   to a shard by its own hash, its places are split over copies of it, and
-   again an automaton finds each phrase in its places.
-4. Every place of a phrase but its first is covered; covered words go.
-
-Work and shuffled bytes grow in proportion to the corpus: automata only see
-passages whose anchors recur, never shards times documents.
+2. Candidates.  Segments whose anchor recurs are compared by a digest of all
+   their words: each copy but the first is a candidate.  Where unequal segments
+   share an anchor, or hold it twice, their windows are compared, by digest as
+   well.  Candidates that lie side by side, as their first places do, are one
+   run: a passage, where it stands, and where it first stood.
+3. Automata.  Documents with candidates are dealt to shards by their key.  A
+   shard gets the words of its runs' passages, cut from where they first stood,
+   compiles them to an Aho-Corasick automaton, and streams its documents
+   through it, whole, to locate every place of every passage.  (Each distinct
+   word of the passages is coded as two characters, so words are compared one
+   by one.)  All other documents hold no passage and are left as they are.
+4. A place later than the passage's own is covered; covered words go.  So
+   digests only nominate: what goes was found, word by word, by an automaton.
+
+Work and shuffled bytes grow in proportion to the corpus: a shard's automaton
+has the passages of its own documents, never those of all.
 """
 
 from __future__ import annotations
@@ -38,17 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import in_batches, keyed, partitions, saved
+from ._common import in_batches, keyed, partitions, removed, saved, sized
 from ._text import SPACED, digests, shingle_hashes, signed, sliding_min, slices, text_buffers, word_hashes, words
 
-#: Unequal segments of one anchor that one task takes together.
-KINDS = 2000
-#: Places of one phrase that go to one shard.
-PLACES = 4000
-#: Words of texts after which a batch ends with its anchor.
-BATCH_WORDS = 60_000
-#: Characters of phrases compiled into one automaton.
-AUTOMATON_CHARS = 4_000_000
+#: Words of passages that a shard gets, about; a passage is in one piece.
+SHARD_WORDS = 200_000
+#: Passages cut from one text in one go.
+CUTS = 2000
 
 
 def _single_spaced(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,173 +118,58 @@ def _split(text: bytes) -> list[bytes]:
     return text.split()  # bytes.split() parts at exactly \x20 and \x09-\x0D
 
 
-def _windows(n: int):
-    """(k, text, segs) to one row for each window of the segments, with its text."""
+def _window_digests(n: int):
+    """(k, text, segs) to a row for each window of the segments: its digest, k and place."""
 
     def run(batches):
         for b in batches:
-            keys, texts, out = [], [], ([], [])
-            ws: list[str] = []
+            keys: list[int] = []
+            starts, hashes = [], []
             for row, (text, segs) in enumerate(zip(b.column(1).cast(pa.large_binary()), b.column(2), strict=True)):
                 w = _split(text.as_py() or b"")
                 for s in segs.as_py():
                     for i in range(s["lo"], s["lo"] + s["count"]):
                         keys.append(row)
-                        texts.append(i)
-                        phrase = b" ".join(w[i : i + n])
-                        ws.append(phrase.decode())
-                        out[0].append(int.from_bytes(hashlib.blake2b(phrase, digest_size=8).digest(), "little", signed=True))
-                if len(ws) > 20_000:
-                    yield pa.record_batch([b.column(0).take(pa.array(keys)), pa.array(texts, pa.int32()), pa.array(out[0], pa.int64()), pa.array(ws)], ["k", "start", "w", "phrase"])
-                    keys, texts, out, ws = [], [], ([], []), []
-            if ws:
-                yield pa.record_batch([b.column(0).take(pa.array(keys)), pa.array(texts, pa.int32()), pa.array(out[0], pa.int64()), pa.array(ws)], ["k", "start", "w", "phrase"])
+                        starts.append(i)
+                        hashes.append(int.from_bytes(hashlib.blake2b(b" ".join(w[i : i + n]), digest_size=8).digest(), "little", signed=True))
+            if keys:
+                yield pa.record_batch([pa.array(hashes, pa.int64()), b.column(0).take(pa.array(keys)), pa.array(starts, pa.int32())], ["w", "k", "start"])
 
     return run
 
 
-def _texts(n: int):
-    """(k, text, segs) to one row for each segment, with its words joined by one space."""
-
-    def run(batches):
-        for b in batches:
-            rows, lo, anchors, texts = [], [], [], []
-            for row, (text, segs) in enumerate(zip(b.column(1).cast(pa.large_binary()), b.column(2), strict=True)):
-                w = _split(text.as_py() or b"")
-                for s in segs.as_py():
-                    rows.append(row)
-                    lo.append(s["lo"])
-                    anchors.append(s["a"])
-                    texts.append(b" ".join(w[s["lo"] : s["lo"] + s["count"] + n - 1]).decode())
-            if rows:
-                yield pa.record_batch([b.column(0).take(pa.array(rows)), pa.array(lo, pa.int32()), pa.array(anchors, pa.int64()), pa.array(texts)], ["k", "lo", "a", "text"])
-
-    return run
-
-
-def _later_places(texts: list[str], order: list, n: int) -> Iterator[tuple[int, int]]:
-    """(text, window) for every place of a confirmed phrase but its first, of texts in their order in the corpus."""
-    import ahocorasick
-
-    code: dict[str, str] = {}
-    coded = []
-    for t in texts:
-        out = []
-        for w in t.split(" "):
-            c = code.get(w)
-            if c is None:
-                c = code[w] = chr(0x100 + len(code) // 256) + chr(len(code) % 256)
-            out.append(c)
-        coded.append("".join(out))
-    seen: set[str] = set()
-    phrases: set[str] = set()
-    for c in coded:
-        for i in range(0, len(c) - 2 * n + 1, 2):
-            p = c[i : i + 2 * n]
-            if p in seen:
-                phrases.add(p)
-            else:
-                seen.add(p)
-    if not phrases:
-        return
-    del seen
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, p in enumerate(phrases):
-        automaton.add_word(p, i)
-    automaton.make_automaton()
-    met = bytearray(len(phrases))
-    for x in sorted(range(len(texts)), key=order.__getitem__):
-        for end, i in automaton.iter(coded[x]):
-            # Phrases begin on a word, whose first character no second one equals.
-            if met[i]:
-                yield x, (end + 1) // 2 - n
-            met[i] = 1
-
-
-def _locate_by_anchor(n: int):
-    """Rows (a, k, lo, text) in the order of a; yields the places (k, start) that are not the first."""
-
-    def order(k) -> tuple:
-        return tuple(k.values()) if isinstance(k, dict) else (k,)
-
-    def run(batches):
-        texts: list[str] = []
-        keys: list = []
-        lo: list[int] = []
-        words_ = 0
-        last = None
-        schema = None
-
-        def done():
-            nonlocal words_
-            at = list(_later_places(texts, [(*order(k), x) for k, x in zip(keys, lo, strict=True)], n))
-            if at:
-                out = pa.record_batch([pa.array([keys[x] for x, _ in at], schema), pa.array([lo[x] + i for x, i in at], pa.int32())], ["k", "start"])
-            texts.clear(), keys.clear(), lo.clear()
-            words_ = 0
-            return [out] if at else []
-
-        for b in batches:
-            schema = b.column(1).type
-            for a, k, x, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if a != last and words_ >= BATCH_WORDS:
-                    yield from done()
-                last = a
-                texts.append(t)
-                keys.append(k)
-                lo.append(x)
-                words_ += t.count(" ") + 1
-        if texts:
-            yield from done()
-
-    return run
+def _merged(batches):
+    """(k, spans) to runs: spans side by side whose first places are side by side as well are one."""
+    for b in batches:
+        spans = b.column(1)
+        row = np.repeat(np.arange(b.num_rows), np.diff(spans.offsets.to_numpy()))
+        if not len(row):
+            continue
+        start, stop, k0, s0 = spans.flatten().flatten()
+        start, stop, s0 = (x.to_numpy().astype(np.int64) for x in (start, stop, s0))
+        parts = [x.to_numpy(zero_copy_only=False) for x in (k0.flatten() if pa.types.is_struct(k0.type) else [k0])]
+        same = [row, *parts, start - s0]
+        order = np.lexsort([start, *same[::-1]])
+        row, start, stop, s0 = row[order], start[order], stop[order], s0[order]
+        new = np.ones(len(row), bool)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in same], axis=0)
+        # How far a group's spans reach so far: groups follow one another, each above the one before it.
+        high = int(stop.max()) + 1
+        group = np.cumsum(new) * high
+        reach = np.maximum.accumulate(stop + group) - group
+        new[1:] |= start[1:] > reach[:-1]
+        at = np.flatnonzero(new)
+        end = np.append(at[1:], len(row)) - 1
+        cols = [b.column(0).take(pa.array(row[at])), pa.array(start[at].astype(np.int32)), pa.array(reach[end].astype(np.int32)), k0.take(pa.array(order[at])), pa.array(s0[at].astype(np.int32))]
+        yield pa.record_batch(cols, ["k", "start", "stop", "k0", "s0"])
 
 
-def _locate(rows: Iterator[pa.RecordBatch]):
-    """Rows (shard, block, kind, ...) in order: the phrases of a block (kind 0), then its places (kind 1).
+def repeated_runs(docs: DataFrame, n: int = 20, k: int = 6) -> DataFrame:
+    """(k, start, stop, k0, s0): words [start, stop) of k that seem to stand at s0 of k0 too, which is earlier; a saved table.
 
-    Compiles the phrases of a block to automata of bounded size and streams the
-    places' texts through them; yields the places where a phrase stands whole.
-    """
-    import ahocorasick
-
-    block, automata, current, chars = None, [], None, 0
-    for b in rows:
-        hits = []
-        for r, (blk, kind, phrase) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-            if blk != block:
-                block, automata, current, chars = blk, [], None, 0
-            if kind == 0:
-                if current is None or chars > AUTOMATON_CHARS:
-                    current, chars = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), 0
-                    automata.append(current)
-                current.add_word(phrase)
-                chars += len(phrase)
-            else:
-                if current is not None:
-                    for x in automata:
-                        x.make_automaton()
-                    current = None
-                for x in automata:
-                    if any(length == len(phrase) for _, length in x.iter(phrase)):
-                        hits.append(r)
-                        break
-        if hits:
-            yield pa.record_batch([b.column(3).take(pa.array(hits)), b.column(4).take(pa.array(hits))], ["k", "start"])
-
-
-def _holders(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
-    """(k, text, segs) of the documents of per_doc, once for rows that share a k."""
-    rows = docs.select("k", "text").join(per_doc, "k").select("k", "text", "segs")
-    return rows if docs.schema["k"].dataType.simpleString() == "bigint" else rows.dropDuplicates(["k"])  # see keyed()
-
-
-def repeated_spans(docs: DataFrame, n: int = 20, k: int = 6) -> DataFrame:
-    """(k, start, stop): word ranges of documents (k, text) covered by windows that also start earlier.
-
-    Earlier: in a document of a smaller k, or in the same one before.
+    Earlier: in a document of a smaller k, or in the same one before.  Every
+    window that also starts earlier is in a run.
     """
-    spark = docs.sparkSession
     key = docs.schema["k"].dataType.simpleString()
     counted = docs.select("text").mapInArrow(_anchors(n, k), "a bigint, c bigint")
     recurring = counted.groupBy("a").agg(F.sum("c").alias("c")).filter("c >= 2").select("a")
@@ -301,58 +180,138 @@ def repeated_spans(docs: DataFrame, n: int = 20, k: int = 6) -> DataFrame:
     segs = saved(segs, "distinct-segments")
     # Whole segments that have been seen before.
     again = rec.join(segs.filter("n > 1").select("a", "seg", "first"), ["a", "seg"]).filter((F.col("k") != F.col("first.k")) | (F.col("lo") != F.col("first.lo")))
-    spans = again.select("k", F.col("lo").alias("start"), (F.col("lo") + F.col("count") + F.lit(n - 1)).alias("stop"))
+    spans = again.select("k", F.col("lo").alias("start"), (F.col("lo") + F.col("count") + F.lit(n - 1)).alias("stop"), F.col("first.k").alias("k0"), F.col("first.lo").alias("s0"))
 
     # The rest: unequal segments that share an anchor, or hold one twice.
-    mixed = segs.groupBy("a").agg(F.count("*").alias("kinds"), F.max("rep").alias("rep")).filter("kinds > 1 OR rep").select("a", "kinds")
-    todo = saved(segs.join(mixed, "a").select("a", "kinds", "first", "count"), "mixed-segments")
-    few, many = todo.filter(F.col("kinds") <= KINDS), todo.filter(F.col("kinds") > KINDS)
-
-    per_doc = few.groupBy(F.col("first.k").alias("k")).agg(F.collect_list(F.struct(F.col("first.lo").alias("lo"), "count", "a")).alias("segs"))
-    texts = _holders(docs, per_doc).mapInArrow(_texts(n), f"k {key}, lo int, a bigint, text string")
-    by_anchor = texts.select("a", "k", "lo", "text").repartition("a").sortWithinPartitions("a").mapInArrow(_locate_by_anchor(n), f"k {key}, start int")
-    spans = spans.unionByName(by_anchor.select("k", "start", (F.col("start") + F.lit(n)).alias("stop")))
-    if many.isEmpty():
-        return spans
-
-    per_doc = many.groupBy(F.col("first.k").alias("k")).agg(F.collect_list(F.struct(F.col("first.lo").alias("lo"), "count")).alias("segs"))
-    windows = _holders(docs, per_doc).mapInArrow(_windows(n), f"k {key}, start int, w bigint, phrase string")
-    windows = saved(windows, "windows")
-    phrases = windows.groupBy("w").agg(F.min(F.struct("k", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    known = windows.join(phrases, "w")
-    copies = F.ceil(F.col("n") / F.lit(PLACES)).cast("int")
-    blocks = 4 * partitions(spark)
-    place = F.pmod(F.xxhash64("k", "start"), copies)
-    isfirst = (F.col("k") == F.col("first.k")) & (F.col("start") == F.col("first.start"))
-    rows = known.select(
-        F.explode(F.when(isfirst, F.sequence(F.lit(0), copies - 1)).otherwise(F.array(place.cast("int")))).alias("copy"),
-        F.when(isfirst, 0).otherwise(1).alias("kind"), "w", "phrase", "k", "start",
-    ).select(F.pmod(F.xxhash64("w", "copy"), F.lit(blocks)).cast("int").alias("block"), "kind", "phrase", "k", "start")
-    found = rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_locate, f"k {key}, start int")
-    return spans.unionByName(found.select("k", "start", (F.col("start") + F.lit(n)).alias("stop")))
-
-
-def _kept(texts: bool):
+    mixed = segs.groupBy("a").agg(F.count("*").alias("kinds"), F.max("rep").alias("rep")).filter("kinds > 1 OR rep").select("a")
+    per_doc = segs.join(mixed, "a").groupBy(F.col("first.k").alias("k")).agg(F.collect_list(F.struct(F.col("first.lo").alias("lo"), "count")).alias("segs"))
+    per_doc = saved(per_doc, "mixed-segments")
+    windows = saved(docs.select("k", "text").join(sized(per_doc, "1 + 0.64 * size(segs)"), "k").select("k", "text", "segs").mapInArrow(_window_digests(n), f"w bigint, k {key}, start int"), "windows")
+    firsts = windows.groupBy("w").agg(F.min(F.struct("k", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w", "first")
+    later = windows.join(firsts.hint("merge"), "w").filter((F.col("k") != F.col("first.k")) | (F.col("start") != F.col("first.start")))
+    spans = spans.unionByName(later.select("k", "start", (F.col("start") + F.lit(n)).alias("stop"), F.col("first.k").alias("k0"), F.col("first.start").alias("s0")))
+
+    one = spans.groupBy("k").agg(F.collect_list(F.struct("start", "stop", "k0", "s0")).alias("spans"))  # a document's own
+    runs = saved(one.mapInArrow(_merged, f"k {key}, start int, stop int, k0 {key}, s0 int"), "runs")
+    removed(rec, segs, per_doc, windows)
+    return runs
+
+
+def _passages(batches):
+    """(k, text, cuts) to a row for each cut: its shard, 0, k, where it stood, no id, and its words joined by one space."""
+    for b in batches:
+        rows, out = [], ([], [], [])
+        for row, (text, cuts) in enumerate(zip(b.column(1).cast(pa.large_binary()), b.column(2), strict=True)):
+            w = _split(text.as_py() or b"")
+            for c in cuts.as_py():
+                rows.append(row)
+                out[0].append(c["shard"])
+                out[1].append(c["s0"])
+                out[2].append(b" ".join(w[c["s0"] : c["s0"] + c["len"]]))
+        if rows:
+            n = len(rows)
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array([0] * n, pa.int32()), b.column(0).take(pa.array(rows)), pa.array(out[1], pa.int32()), pa.array([None] * n, pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())], ["shard", "kind", "k", "start", "id", "text"])
+
+
+class Passages:
+    """Passages compiled to an automaton over coded words, with the first place of each."""
+
+    #: A word that no passage has.
+    OTHER = "\x00\x00"
+
+    def __init__(self, passages: list[tuple[tuple, int, bytes]]) -> None:
+        import ahocorasick
+
+        self.code: dict[bytes, str] = {}
+        first: dict[str, tuple[tuple, int]] = {}
+        for k, start, text in passages:
+            coded = "".join([self._coded(w) for w in text.split(b" ")])
+            place = (k, start)
+            if coded not in first or place < first[coded]:
+                first[coded] = place
+        self.first = list(first.values())
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for i, coded in enumerate(first):
+            self.automaton.add_word(coded, (i, len(coded) // 2))
+        if first:
+            self.automaton.make_automaton()
+
+    def _coded(self, word: bytes) -> str:
+        c = self.code.get(word)
+        if c is None:
+            x = len(self.code)
+            c = self.code[word] = chr(0x100 + x // 255) + chr(1 + x % 255)  # a first character is never a second one
+        return c
+
+    def places(self, k: tuple, text: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Begin and end, in words, of each place of a passage that is later than the passage's own."""
+        if not self.first:
+            return
+        get, other = self.code.get, self.OTHER
+        for end, (i, size) in self.automaton.iter("".join([get(w, other) for w in text])):
+            stop = (end + 1) // 2
+            if (k, stop - size) > self.first[i]:
+                yield stop - size, stop
+
+
+def _order(k) -> tuple:
+    return tuple(k.values()) if isinstance(k, dict) else (k,)
+
+
+class Kept:
+    """What is left of texts, gathered to Arrow batches."""
+
+    def __init__(self, texts: bool) -> None:
+        self.texts, self.rows = texts, []
+
+    def add(self, i: int | None, w: list[bytes], places) -> None:
+        left = w
+        if places:
+            cover = np.zeros(len(w) + 1, np.int64)
+            np.add.at(cover, [a for a, _ in places], 1)
+            np.add.at(cover, [b for _, b in places], -1)
+            left = [w[x] for x in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
+        kept = b" ".join(left)
+        self.rows.append((i, len(w), len(w) - len(left), hashlib.sha256(kept).hexdigest(), kept if self.texts else b""))
+
+    def batch(self) -> pa.RecordBatch:
+        cols = [pa.array([r[c] for r in self.rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+        if self.texts:
+            cols.append(pa.array([r[4] for r in self.rows], pa.binary()).cast(pa.string()))
+        self.rows.clear()
+        return pa.record_batch(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(cols)])
+
+
+def _streamed(texts: bool):
+    """Rows (shard, kind, k, start, id, text) in the order of shard and kind: passages (0), then documents (1) to stream through them."""
+
     def run(batches):
+        shard, passages, compiled, out = None, [], None, Kept(texts)
         for b in batches:
-            total, gone, digest, kept_texts = [], [], [], []
-            for text, spans in zip(b.column(1).cast(pa.large_binary()), b.column(2), strict=True):
-                w = _split(text.as_py() or b"")
-                spans = spans.as_py() or []
-                left = w
-                if spans:
-                    cover = np.zeros(len(w) + 1, np.int64)
-                    np.add.at(cover, [s["start"] for s in spans], 1)
-                    np.add.at(cover, [s["stop"] for s in spans], -1)
-                    left = [w[i] for i in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
-                kept = b" ".join(left)
-                total.append(len(w))
-                gone.append(len(w) - len(left))
-                digest.append(hashlib.sha256(kept).hexdigest())
-                if texts:
-                    kept_texts.append(kept.decode())
-            cols = [b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.record_batch(cols + [pa.array(kept_texts, pa.string())] * texts, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts)
+            for s, kind, k, start, i, text in zip(*(b.column(c).to_pylist() for c in range(5)), b.column(5).cast(pa.large_binary()).to_pylist(), strict=True):
+                if s != shard:
+                    shard, passages, compiled = s, [], None
+                if kind == 0:
+                    passages.append((_order(k), start, text))
+                else:
+                    if compiled is None:
+                        compiled, passages = Passages(passages), []
+                    w = _split(text or b"")
+                    out.add(i, w, list(compiled.places(_order(k), w)))
+            if out.rows:
+                yield out.batch()
+
+    return run
+
+
+def _untouched(texts: bool):
+    def run(batches):
+        out = Kept(texts)
+        for b in batches:
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+                out.add(i, _split(text or b""), None)
+            if out.rows:
+                yield out.batch()
 
     return run
 
@@ -368,6 +327,23 @@ def substring_dedup(documents: DataFrame, n: int = 20, k: int = 6, texts: bool =
     as one document; a null doc_id comes before all others.
     """
     docs = in_batches(keyed(documents))
-    spans = repeated_spans(docs, n, k).groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    rows = docs.join(spans, "k", "left").select("id", "text", "spans")
-    return rows.mapInArrow(_kept(texts), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts)
+    spark = docs.sparkSession
+    key = docs.schema["k"].dataType.simpleString()
+    runs = repeated_runs(docs, n, k)
+    mine = saved(runs.groupBy("k").agg(F.sum(F.col("stop") - F.col("start")).alias("words")), "holders")
+    shards = max(partitions(spark), -(-(mine.agg(F.sum("words").alias("n")).first()["n"] or 0) // SHARD_WORDS))
+    shard = F.pmod(F.xxhash64("k"), F.lit(shards)).cast("bigint").alias("shard")
+
+    # Passages by where they stood first, in groups of bounded size.
+    need = saved(runs.select(shard, "k0", "s0", (F.col("stop") - F.col("start")).alias("len")).distinct(), "passages")
+    many = need.groupBy("k0").agg(F.ceil(F.count("*") / F.lit(CUTS)).cast("int").alias("parts"))
+    group = F.pmod(F.xxhash64("shard", "s0", "len"), "parts")
+    cuts = need.join(many, "k0").groupBy(F.col("k0").alias("k"), group.alias("part")).agg(F.collect_list(F.struct("shard", "s0", "len")).alias("cuts")).select("k", "cuts")
+    cuts = sized(saved(cuts, "cuts"), "1 + 0.8 * size(cuts)")
+    passages = docs.select("k", "text").join(cuts, "k").select("k", "text", "cuts").mapInArrow(_passages, f"shard bigint, kind int, k {key}, start int, id bigint, text string")
+
+    holders = sized(mine.select("k"))
+    own = docs.join(holders, "k", "left_semi").select(shard, F.lit(1).alias("kind"), "k", F.lit(None).cast("int").alias("start"), "id", "text")
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts
+    streamed = passages.unionByName(own).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_streamed(texts), schema)
+    return streamed.unionByName(docs.join(holders, "k", "left_anti").select("id", "text").mapInArrow(_untouched(texts), schema))

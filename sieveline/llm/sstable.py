@@ -48,6 +48,12 @@ _FOOTER = struct.Struct("<QQQQQQIIQ")
 _MAGIC = 0x31454C4241545353
 
 
+def store_of(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The store of an address and the path in it; Hadoop's names of stores are Arrow's under another scheme."""
+    scheme, _, rest = uri.partition("://")
+    return pa.fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3', 'wasbs': 'abfss', 'wasb': 'abfs'}.get(scheme, scheme) }://{rest}" if rest else uri)
+
+
 def key_of(doc_id: int | None) -> bytes:
     return b"\x00" if doc_id is None else b"\x01" + struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
 
@@ -129,7 +135,7 @@ class Reader:
     """A shard, read block by block."""
 
     def __init__(self, path: str) -> None:
-        fs, p = pa.fs.FileSystem.from_uri(path)
+        fs, p = store_of(path)
         self.file = fs.open_input_file(p)
         size = self.file.size()
         io, isize, bo, bsize, self.entries, self.ids, self.width, crc, magic = _FOOTER.unpack(self.file.read_at(_FOOTER.size, size - _FOOTER.size))
@@ -211,7 +217,7 @@ def _write(path: str, end_id: int, folder: str, width: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        fs, p = pa.fs.FileSystem.from_uri(folder)
+        fs, p = store_of(folder)
         writer, name, done, rows = None, None, 0, []
 
         def close():

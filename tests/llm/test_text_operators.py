@@ -66,11 +66,12 @@ def brute_dedup(rows, n):
     return out
 
 
-@pytest.mark.parametrize("kinds", [2000, 1])
-def test_substring_dedup(spark, monkeypatch, kinds):
-    """kinds = 1 sends every mixed anchor the way hot ones go."""
-    monkeypatch.setattr(phrases, "KINDS", kinds)
-    monkeypatch.setattr(phrases, "PLACES", 3)
+@pytest.mark.parametrize("shard,cuts,broadcast", [(200_000, 2000, 10**6), (60, 1, 0)])
+def test_substring_dedup(spark, monkeypatch, shard, cuts, broadcast):
+    """Many small shards and groups of passages, joins merged and not broadcast: the same result."""
+    monkeypatch.setattr(phrases, "SHARD_WORDS", shard)
+    monkeypatch.setattr(phrases, "CUTS", cuts)
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", broadcast)
     rng = random.Random(2)
     passage = [f"p{i}" for i in range(45)]
     rows = []
@@ -95,9 +96,24 @@ def test_substring_dedup_of_periodic_texts(spark, copies):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()} == brute_dedup(rows, 20)
 
 
-@pytest.mark.parametrize("kinds", [2000, 1])
-def test_substring_dedup_of_a_repeated_row_that_comes_first(spark, monkeypatch, kinds):
-    monkeypatch.setattr(phrases, "KINDS", kinds)
+def test_nothing_goes_that_an_automaton_does_not_find(spark, monkeypatch):
+    """Digests that agree too often nominate too much; words decide, so unlike texts keep all of theirs."""
+    monkeypatch.setattr(phrases, "digests", lambda units, starts, ends, salt=0: ((ends - starts) % 2).astype(np.uint64))
+    monkeypatch.setattr(phrases, "shingle_hashes", lambda wh, n: np.zeros(max(0, len(wh) - n + 1), np.uint64))
+    rows = [(i, " ".join(f"d{i}x{j}" for j in range(40))) for i in range(6)]
+    rows.append((9, rows[2][1]))
+    got = phrases.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), texts=False).collect()
+    assert all(r["n_removed"] == 0 for r in got if r["doc_id"] < 9)
+
+
+def test_places_of_passages():
+    p = phrases.Passages([((1,), 0, b"a b c"), ((1,), 5, b"b c"), ((0,), 2, b"c d"), ((3,), 1, b"a b c")])
+    assert sorted(p.places((2,), b"x a b c d".split())) == [(1, 4), (2, 4), (3, 5)]
+    assert sorted(p.places((1,), b"a b c z a b c".split())) == [(4, 7)]  # "b c" at 5 is its own first place
+    assert list(phrases.Passages([]).places((2,), [b"a"])) == []
+
+
+def test_substring_dedup_of_a_repeated_row_that_comes_first(spark):
     words = [f"r{i}" for i in range(70)]
     rows = [(1, " ".join(words)), (2, " ".join([*words[:33], "edit", *words[33:]])), (3, " ".join(["new", *words[5:60]]))]
     got = phrases.substring_dedup(spark.createDataFrame([rows[0], *rows], "doc_id long, text string"), texts=False).collect()
@@ -434,3 +450,41 @@ def test_a_small_memo_gives_the_same_ids(monkeypatch, most):
         want = [e.ids for e in _pretok.tokenizer(byte).encode_batch([t or "" for t in part], add_special_tokens=False)]
         for a in range(0, len(part), 7):
             assert [x.tolist() for x in sstable.encoded(pa.array(part[a : a + 7], pa.string()), byte)] == want[a : a + 7]
+
+
+def test_spans_side_by_side_are_one_run():
+    """Against going through them one by one."""
+    rng = random.Random(13)
+    rows = [[{"start": (a := rng.randrange(40)), "stop": a + rng.randrange(2, 9), "k0": rng.randrange(2), "s0": a + rng.choice([0, 3])} for _ in range(rng.randrange(25))] for _ in range(30)]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("k0", pa.int64()), ("s0", pa.int32())]))
+    got = [tuple(r.values()) for b in phrases._merged([pa.record_batch([pa.array(range(30)), pa.array(rows, kind)], ["k", "spans"])]) for r in b.to_pylist()]
+    want = []
+    for k, spans in enumerate(rows):
+        for k0, gap in {(s["k0"], s["start"] - s["s0"]) for s in spans}:
+            mine = sorted((s["start"], s["stop"]) for s in spans if (s["k0"], s["start"] - s["s0"]) == (k0, gap))
+            run = list(mine[0])
+            for x, y in [*mine[1:], (10**6, 0)]:
+                if x <= run[1]:
+                    run[1] = max(run[1], y)
+                else:
+                    want.append((k, *run, k0, run[0] - gap))
+                    run = [x, y]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("label,text", [t for t in licenses.TEMPLATES if len(licenses.tokens(t[1])) > 15])
+def test_chains_bridge_short_gaps_only(spark, label, text):
+    """A template in two parts, with so many foreign words between them; and edited; and with another template between its parts."""
+    w = licenses.tokens(text)
+    cut = len(w) * 3 // 5
+    other = next(licenses.tokens(t) for g, t in licenses.TEMPLATES if g != label and not set(licenses.tokens(t)) <= set(w))
+    gap = lambda n: " ".join([*w[:cut], *["zzz"] * n, *w[cut:]])
+    edited = " ".join(x if i % 15 != 14 else "zzz" for i, x in enumerate(w))
+    texts = [gap(0), gap(licenses.GAP), gap(licenses.GAP + 1), edited, " ".join([*w, *["zzz"] * 30, *other]), " ".join(w[: licenses.ANCHOR - 1])]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [label in got[i]["labels"].split(",") for i in range(len(texts))]
+    part = max(cut, len(w) - cut) / len(w)
+    assert found[0] and found[1] and (found[2] == (part >= licenses.SHARE) or got[2]["base_labels"]) and found[4] and not found[5]
+    assert got[0]["score"] == 1 and got[1]["score"] == 1 and (got[2]["score"] < 1 or got[2]["base_labels"])
+    kept = sum(b - a for a, b in zip([-1, *range(14, len(w), 15)], [*range(14, len(w), 15), len(w)], strict=True) if b - a - 1 >= licenses.ANCHOR) / len(w)
+    assert found[3] or kept < licenses.SHARE + 0.1
