@@ -150,7 +150,12 @@ def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def secret_spans(documents: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, the number of spans of each base kind, base_sha256 and all spans as text."""
+    """doc_id, the number of spans of each base kind, base_sha256 and all spans as text.
+
+    A row for each row of the documents, whatever other columns they have.  A
+    null or empty text has no spans: counts of 0, the digest of nothing and an
+    empty text; rows that share a doc_id, null ones too, each have their own.
+    """
     found = find_secrets(documents, ledger, rules)
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
 
