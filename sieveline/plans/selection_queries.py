@@ -196,7 +196,7 @@ def shingles(df, key):
     """(id, feature) for each three words of a text that stand in a row."""
     words = F.filter(F.split("text", "[ \n\t]+"), lambda x: x != "")
     rows = df.select(F.col(key).alias("id"), words.alias("w")).filter(F.size("w") > 2)
-    at = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: F.concat_ws(" ", F.slice("w", k, 3)))
+    at = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda k: F.concat_ws(" ", F.get("w", k), F.get("w", k + 1), F.get("w", k + 2)))
     number = F.conv(F.substring(F.md5(F.col("s").cast("binary")), 1, 7), 16, 10).cast("bigint")
     return rows.select("id", F.explode(at).alias("s")).select("id", number.alias("feature"))
 
