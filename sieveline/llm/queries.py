@@ -14,9 +14,12 @@ from .licenses import license_scan
 from .minhash import near_duplicates
 from .oracles import ORACLES
 from .phrases import substring_dedup
+from .ranking import ranked_search
 from .simjoin import similar_vectors
 from .sstable import read_token_ids, write_token_ids
+from .suffixes import suffix_dedup
 from .tokencount import token_counts
+from .whitening import whiten
 
 
 def vocabulary(name: str) -> str:
@@ -70,6 +73,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), n=50, texts=False)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"), components=32)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_license_scan, op4_token_counts, op5_bpe_codec, op6_embedding_near_dedup, op7_token_id_output, op8_minhash_near_dedup, op9_language_id, op10_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_license_scan, op4_token_counts, op5_bpe_codec, op6_embedding_near_dedup, op7_token_id_output, op8_minhash_near_dedup, op9_language_id, op10_decontamination, op11_ranked_search, op12_suffix_dedup, op13_whitening, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
