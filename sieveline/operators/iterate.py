@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,29 @@ def shared_folder(spark: SparkSession) -> str:
         folder = "/tmp/checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return _scratch[-1] if _scratch else folder.rstrip("/")
+
+
+#: Folders of the scratch() blocks that are open, the innermost last.
+_scratch: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Everything cut() writes inside the block is deleted at its end; results that are still needed are written elsewhere before."""
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.remove(folder)
+        _delete(spark, folder)
 
 
 def cut(df: DataFrame, what: str = "round") -> DataFrame:
@@ -40,9 +64,7 @@ def cut(df: DataFrame, what: str = "round") -> DataFrame:
 def removed(*tables: DataFrame) -> None:
     """Delete the folders of tables that cut() wrote, whatever store holds them; nothing may still read them."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, df.cut_path)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
