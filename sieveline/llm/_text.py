@@ -164,6 +164,17 @@ def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = SPACED, cuts
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
+def single_spaced(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts with one space before each, and where each word begins and ends in that."""
+    size = ends - starts
+    total = np.cumsum(size + 1)
+    out = np.full(int(total[-1]), 0x20, np.uint8)
+    inside = np.ones(len(out), bool)
+    inside[total - size - 1] = False
+    out[inside] = part[SPACED[part]]
+    return out, total - size, total
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
     return unit_hashes(data, byte_table(salt), starts, ends, salt)
 

@@ -2,21 +2,24 @@
 
 * A document's set is its distinct ``w``-word shingles, lower-cased in A-Z; a
   document of fewer words has its whole word sequence as its one shingle.
-* One 64-bit hash per shingle fills K bins (the bin is the hash's top bits, the
+* A shingle is known by 128 bits of BLAKE2b over its words, so counts and equal
+  sets are decided by words.  Half of that, a 64-bit hash, fills K bins (the bin is the hash's top bits, the
   bin's value its least hash).  An empty bin borrows from the first filled bin
   in a random order of its own, which is optimal densification (Shrivastava,
   2017): any bin agrees with probability equal to the Jaccard similarity.
 * Bins are banded.  With 64 bands of 8 bins, a pair at similarity 0.8 shares
   no band with probability 8e-6, and one at 0.2 shares one with 2e-4.
 * Documents with equal sets are one class; only its smallest member is banded.
+  A set too small to be like any other but an equal one isn't banded at all.
 * A bucket does not give all its pairs but a star: edges from its smallest
   member, the hub, to the others.  A hub's members over all its buckets are one
   group, whose texts move once: in chunks of bounded size, each with the hub.
   A chunk compares its members' full sets, word by word and not by hash, until
   any two are compared or joined by links.
 * Groups of several chunks that links leave in pieces are looked at again:
-  members outside the largest piece meet all the group's chunks.  So no pair of
-  a bucket is given up.
+  members of different pieces meet where they share one of their rarest
+  shingles, as many as two like sets must share one of (a prefix filter).  So no
+  pair of a bucket is given up, and none is met for what all members have.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import components, in_batches, keyed, removed, saved, sized
-from ._text import LOWER, mix, shingle_hashes, signed, slices, span_hashes, text_buffers, word_hashes, words
+from ._text import LOWER, mix, signed, single_spaced, slices, text_buffers, words
 
 BINS, BANDS = 512, 64
 #: Members, and bytes of their texts, of a chunk of a group; a longer text is a chunk of its own.
@@ -53,7 +56,7 @@ def _band_factors() -> np.ndarray:
 
 
 def signature(u: np.ndarray) -> np.ndarray:
-    """The bins of a sorted set of hashes."""
+    """The bins of hashes in order."""
     b = (u >> _U(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.flatnonzero(np.diff(b, prepend=-1))
     sig = np.zeros(BINS, _U)
@@ -83,22 +86,31 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: pa.Array, w: int):
-    """Yields (index, sorted distinct shingle hashes) for every text, also the empty ones."""
+    """Yields (index, distinct shingles) for every text, also the empty ones: 128 bits of BLAKE2b over a shingle's words, as two columns, in order."""
     data, offs = text_buffers(texts)
     for i, j in slices(offs):
         part, o = LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i]
         starts, ends, doc = words(part, o)
         bounds = np.searchsorted(doc, np.arange(j - i + 1))
-        if len(starts):
-            wh = word_hashes(part, starts, ends)
-            grams = shingle_hashes(wh, w)
-            whole = span_hashes(wh, bounds[:-1], bounds[1:], 1)
-        for d in range(j - i):
-            a, b = bounds[d], bounds[d + 1]
-            if b - a >= w:
-                yield i + d, np.unique(grams[a : b - w + 1])
-            else:
-                yield i + d, whole[d : d + 1] if b > a else np.zeros(0, _U)
+        if not len(starts):
+            yield from ((i + d, np.zeros((0, 2), _U)) for d in range(j - i))
+            continue
+        text, begin, end = single_spaced(part, starts, ends)
+        raw, last = memoryview(text).cast("B"), np.repeat(bounds[1:], np.diff(bounds))
+        at = np.arange(len(starts))
+        # A text of fewer words is one shingle; else each has w words.
+        one = at == bounds[doc]
+        at = at[(at + w <= last) | one]
+        stop = end[np.minimum(at + w, last[at]) - 1]
+        d = np.frombuffer(b"".join([hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(begin[at].tolist(), stop.tolist(), strict=True)]), _U).reshape(-1, 2)
+        own = doc[at]
+        order = np.lexsort([d[:, 1], d[:, 0], own])
+        d, own = d[order], own[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (own[1:] != own[:-1]) | (d[1:] != d[:-1]).any(axis=1)
+        d, own = d[new], own[new]
+        cut = np.searchsorted(own, np.arange(j - i + 1))
+        yield from ((i + x, d[cut[x] : cut[x + 1]]) for x in range(j - i))
 
 
 def _signed_sets(w: int):
@@ -108,7 +120,7 @@ def _signed_sets(w: int):
             for _, u in shingle_sets(b.column(1), w):
                 n.append(len(u))
                 sets.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
-                bands.append(signed(band_hashes(signature(u))) if len(u) else np.zeros(0, np.int64))
+                bands.append(signed(band_hashes(signature(u[:, 0]))) if len(u) else np.zeros(0, np.int64))
             offsets = np.cumsum([0, *map(len, bands)])
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
@@ -118,6 +130,17 @@ def _signed_sets(w: int):
     return run
 
 
+def _listed_sets(w: int):
+    """(text, hub, k, component) to hub, k, component and the set, a shingle in hexadecimal."""
+
+    def run(batches):
+        for b in batches:
+            lists = [[row.tobytes().hex() for row in u] for _, u in shingle_sets(b.column(0), w)]
+            yield pa.record_batch([*b.columns[1:], pa.array(lists, pa.list_(pa.string()))], ["hub", "k", "component", "s"])
+
+    return run
+
+
 def exact_sets(texts: list[bytes], w: int) -> list[np.ndarray]:
     """The sorted shingle sets of texts as whole numbers, equal where and only where the words are."""
     code: dict[bytes, int] = {}
@@ -249,27 +272,24 @@ def _chunk_links(w: int, percent: int):
     return run
 
 
-def _piece_links(w: int, percent: int):
-    """Rows (hub, a, b, loose, k, component, text): members outside the largest piece (loose) against a chunk; yields links between components."""
-
-    def run(batches):
-        for table in _by_group(batches, 3):
-            loose = table.column("loose").to_numpy()
-            if not loose.any() or loose.all():
-                continue
-            sets = Sets(exact_sets(_texts(table.column("text")), w))
-            codes: dict[str, int] = {}
-            own = np.array([codes.setdefault(str(c), len(codes)) for c in table.column("component").to_pylist()])
-            groups, left, right = Groups(own), [], []
-            for i in np.flatnonzero(loose):
-                found = groups.join(i, np.flatnonzero(sets.linked(i, percent) & ~loose))
-                left += [i] * len(found)
-                right += found.tolist()
-            if left:
-                keys = table.column("k").combine_chunks()
-                yield pa.record_batch([keys.take(pa.array(left)), keys.take(pa.array(right))], ["a", "b"])
+def _piece_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components of a group; sets: hub, k, component, s (the shingles).
 
-    return run
+    Shingles are taken from the rarest of the group on.  Two sets that are
+    alike share at least percent of the larger one, so they share one of the
+    first n - ceil(percent * n / 100) + 1 of each.
+    """
+    each = sets.select("hub", "k", "component", F.size("s").alias("n"), F.explode("s").alias("x"))
+    often = each.groupBy("hub", "x").agg(F.count("*").alias("f"))
+    own = each.join(often.hint("merge"), ["hub", "x"]).groupBy("hub", "k", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("own"))  # a document's own
+    first = own.select("hub", "k", "component", "n", F.explode(F.expr(f"slice(own, 1, int(n - ceil({percent} * n / 100) + 1))")).alias("p"))
+    a, b = (first.select("hub", F.col("p.x").alias("x"), *[F.col(c).alias(c + side) for c in ("k", "component", "n")]) for side in "ab")
+    near = F.expr(f"ka < kb AND componenta <> componentb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    pairs = a.join(b.hint("merge"), ["hub", "x"]).filter(near).select("ka", "kb").distinct()
+    s = sets.select("k", "s").dropDuplicates(["k"])
+    both = pairs.join(s.select(F.col("k").alias("ka"), F.col("s").alias("sa")).hint("merge"), "ka").join(s.select(F.col("k").alias("kb"), F.col("s").alias("sb")).hint("merge"), "kb")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
 def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> DataFrame:
@@ -288,7 +308,8 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
     classes = saved(sets.filter("n > 0").groupBy("set").agg(F.min("k").alias("rep"), F.count("*").alias("copies")), "classes")
 
     # Joins with tables that grow with the input are merged at every size, so that the plan is the same at every size.
-    banded = sets.select("k", "bands").join(classes.select(F.col("rep").alias("k")).hint("merge"), "k", "left_semi").select("k", F.explode("bands").alias("band"))
+    # A set of n is at most n / (n + 1) like an unequal one.
+    banded = sets.filter(F.lit(100) * F.col("n") >= percent * (F.col("n") + 1)).select("k", "bands").join(classes.select(F.col("rep").alias("k")).hint("merge"), "k", "left_semi").select("k", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("k").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
     pairs = saved(banded.join(shared.hint("merge"), "band").filter("k <> hub").select("hub", "k").distinct(), "pairs")
 
@@ -308,20 +329,16 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
     links = saved(dealt.mapInArrow(_chunk_links(w, percent), f"a {key}, b {key}"), "links")
     joined = components(links)
 
-    # Members of one chunk are joined or compared.  Two of different chunks are still to be, unless both are in the group's largest piece.
+    # Members of one chunk are joined or compared.  Two of different chunks are still to be, unless they are in one component.
     split = groups.filter("chunks > 1")
     if not split.isEmpty():
-        left = split.join(joined.withColumnRenamed("node", "k"), "k", "left").select("hub", "k", "chunks", place.alias("chunk"), F.coalesce("component", "k").alias("component"))
-        pieces = left.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("loose"))
-        few = pieces.filter("loose > 0").select("hub", "largest", F.ceil(F.col("loose") / F.lit(CHUNK)).cast("int").alias("parts"))
-        left = left.join(few, "hub").withColumn("part", F.pmod(F.xxhash64("k", F.lit(1)), "parts").cast("int"))
-        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a")
-        whole = left.select("hub", every, F.col("chunk").alias("b"), F.lit(False).alias("loose"), "k", "component")
-        loose = left.filter("component <> largest").select("hub", F.col("part").alias("a"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b"), F.lit(True).alias("loose"), "k", "component")
-        rows_ = saved(whole.unionByName(loose), "pieces")
-        dealt = docs.select("k", "text").join(sized(rows_), "k").select("hub", "a", "b", "loose", "k", "component", "text").repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b")
-        found = saved(dealt.mapInArrow(_piece_links(w, percent), f"a {key}, b {key}"), "links")
-        removed(rows_)
+        both = split.select("hub", "k").unionByName(split.select("hub", F.col("hub").alias("k")).distinct())
+        left = both.join(joined.withColumnRenamed("node", "k"), "k", "left").select("hub", "k", F.coalesce("component", "k").alias("component"))
+        several = left.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("hub")
+        left = saved(left.join(several.hint("merge"), "hub"), "pieces")
+        listed = saved(docs.select("k", "text").join(sized(left), "k").select("text", "hub", "k", "component").mapInArrow(_listed_sets(w), f"hub {key}, k {key}, component {key}, s array<string>"), "listed")
+        found = saved(_piece_links(listed, percent), "links")
+        removed(left, listed)
         if not found.isEmpty():
             joined = components(links.unionByName(found))
     removed(pairs, groups, rows)

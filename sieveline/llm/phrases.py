@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import in_batches, keyed, partitions, removed, saved, sized
-from ._text import SPACED, digests, shingle_hashes, signed, sliding_min, slices, text_buffers, word_hashes, words
+from ._text import digests, shingle_hashes, signed, single_spaced, sliding_min, slices, text_buffers, word_hashes, words
 
 #: Words of passages that a shard gets, about; a passage is in one piece.
 SHARD_WORDS = 200_000
@@ -45,17 +45,6 @@ SHARD_WORDS = 200_000
 CUTS = 2000
 
 
-def _single_spaced(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of texts with one space before each, and where each word begins and ends in that."""
-    size = ends - starts
-    total = np.cumsum(size + 1)
-    out = np.full(int(total[-1]), 0x20, np.uint8)
-    inside = np.ones(len(out), bool)
-    inside[total - size - 1] = False
-    out[inside] = part[SPACED[part]]
-    return out, total - size, total
-
-
 def _segments(texts: pa.Array, n: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
     """For each slice: text index, anchor, digest of the words, first window, windows, whether the anchor stands there twice."""
     data, offs = text_buffers(texts)
@@ -85,7 +74,7 @@ def _segments(texts: pa.Array, n: int, k: int) -> Iterator[tuple[np.ndarray, ...
         np.cumsum(twice, out=twice)
         rep = twice[np.minimum(lo + count + span - 1, len(grams))] > twice[lo]
         first_word = np.searchsorted(doc, np.arange(j - i))
-        text, begin, end = _single_spaced(part, starts, ends)
+        text, begin, end = single_spaced(part, starts, ends)
         yield doc[lo] + i, a[at], digests(text, begin[lo], end[lo + count + n - 2]), lo - first_word[doc[lo]], count, rep
 
 
