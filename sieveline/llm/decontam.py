@@ -9,7 +9,8 @@
    sequence of words as its seed.
 2. Seeds meet the n-grams of each document in a table that is broadcast.  Its
    size is bounded: a benchmark of more than ``BLOCK_BYTES`` bytes of text is
-   taken in blocks, each against all documents.
+   taken in blocks, each against all documents.  Words are told apart by their
+   bytes: a hash only finds a word of the benchmark, and its bytes are compared.
 3. Around the seeds an item shares with a document, the words of both are
    aligned (match +2, mismatch and gap -1, local), many pairs at once.  The
    score is that of the best alignment over that of the whole item with
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import in_batches, text_hash
-from ._text import ALNUM, LOWER, shingle_hashes, slices, text_buffers, word_hashes, words
+from ._text import ALNUM, LOWER, slices, text_buffers, word_hashes, words
 
 N = 3
 #: Code points of scripts written without spaces: Thai to Lao, Tibetan, Myanmar, Khmer, Tai scripts, kana and Han; and what parts words among them.
@@ -96,38 +97,75 @@ def align_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def align(a: np.ndarray, b: np.ndarray) -> int:
-    """The best local alignment score of two sequences of word hashes."""
+    """The best local alignment score of two sequences of words."""
     _, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
     return int(align_all([(codes[: len(a)], codes[len(a) :])])[0])
 
 
-def _grams(wh: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of n-grams; those of different n differ."""
-    return shingle_hashes(wh, n) ^ np.uint64(n)
-
-
 class Items:
-    """A block of benchmark items as word hashes."""
+    """A block of benchmark items as codes of words: equal codes where and only where the bytes are equal."""
 
     def __init__(self, ids: list, texts: list[str]) -> None:
-        self.ids, self.words = [], []
+        self.ids, self.codes = [], []
+        self.code: dict[bytes, int] = {}
         for i, t in zip(ids, texts, strict=True):
             data = LOWER[np.frombuffer((t or "").encode(), np.uint8)]
             s, e, _ = tokens(data, np.array([0, len(data)]))
             if len(s):
+                raw = data.tobytes()
                 self.ids.append(i)
-                self.words.append(word_hashes(data, s, e))
-        self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
-        self.codes = [np.searchsorted(self.vocabulary, w).astype(np.int32) for w in self.words]
+                self.codes.append(np.array([self.code.setdefault(raw[x:y], len(self.code)) for x, y in zip(s.tolist(), e.tolist(), strict=True)], np.int64))
+        size = np.array([len(w) for w in self.code], np.int64)
+        self.data = np.frombuffer(b"".join(self.code), np.uint8)
+        self.stop = np.cumsum(size)
+        self.start = self.stop - size
+        self.hashes, self.first = np.unique(word_hashes(self.data, self.start, self.stop), return_index=True)
 
     def seeds(self, n: int) -> None:
-        """All seeds: hashes in order, and for each the items that have it."""
-        found = sorted({(int(g), item) for item, w in enumerate(self.words) for g in _grams(w, min(n, len(w)))})
-        self.sizes = sorted({min(n, len(w)) for w in self.words})
+        """All seeds: n-grams in order, and for each the items that have it."""
+        if n * len(self.code) ** n >= 1 << 64:  # not with N words from a block of BLOCK_BYTES
+            raise ValueError(f"{n}-grams of {len(self.code)} words don't fit 64 bits")
+        self.sizes = sorted({min(n, len(w)) for w in self.codes})
+        found = sorted({(int(g), item) for item, w in enumerate(self.codes) for g in self.grams(w, min(n, len(w)))[0]})
         self.at = np.array([f[1] for f in found], np.int32)
-        hashes = np.array([f[0] for f in found], np.uint64)
-        self.hashes, self.first = np.unique(hashes, return_index=True)
-        self.first = np.append(self.first, len(found))
+        self.keys, self.owners = np.unique(np.array([f[0] for f in found], np.uint64), return_index=True)
+        self.owners = np.append(self.owners, len(found))
+
+    def grams(self, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of n words that have codes, as numbers that differ where the words do, also for other n; and where they begin."""
+        at = np.flatnonzero(codes >= 0)
+        at = at[at + n <= len(codes)]
+        key = np.full(len(at), n - 1, np.uint64)
+        size = np.uint64(len(self.code))
+        for j in range(n):
+            c = codes[at + j]
+            at, key, c = (x[c >= 0] for x in (at, key, c))
+            key = key * size + c.astype(np.uint64)
+        return key, at
+
+    def coded(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """The codes of words; -1 for words that no item has.  A hash finds a code, and the bytes decide."""
+        out = np.full(len(s), -1, np.int64)
+        if not self.code:
+            return out
+        wh = word_hashes(data, s, e)
+        place = np.minimum(np.searchsorted(self.hashes, wh), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[place] == wh)
+        if not len(hit):
+            return out
+        code = self.first[place[hit]]
+        size = e[hit] - s[hit]
+        same = size == self.stop[code] - self.start[code]
+        h, c, size = hit[same], code[same], size[same]
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        unlike = data[np.repeat(s[h], size) + step] != self.data[np.repeat(self.start[c], size) + step]
+        bad = np.zeros(len(h), bool)
+        bad[np.repeat(np.arange(len(h)), size)[unlike]] = True
+        out[h[~bad]] = c[~bad]
+        # Words that share a hash but not their bytes are looked up by those.
+        for x in [*hit[~same].tolist(), *h[bad].tolist()]:
+            out[x] = self.code.get(data[s[x] : e[x]].tobytes(), -1)
+        return out
 
 
 def _score(items_, n: int):
@@ -139,23 +177,21 @@ def _score(items_, n: int):
             for i, j in slices(offs):
                 part, o = LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i]
                 s, e, doc = tokens(part, o)
-                if not len(s) or not len(items.hashes):
+                if not len(s) or not len(items.keys):
                     continue
-                wh = word_hashes(part, s, e)
+                codes = items.coded(part, s, e)
                 hits = []
                 for size in items.sizes:
-                    grams = _grams(wh, size)
-                    at = np.minimum(np.searchsorted(items.hashes, grams), len(items.hashes) - 1)
-                    found = np.flatnonzero((items.hashes[at] == grams) & (doc[: len(grams)] == doc[size - 1 :]))
-                    hits += zip(found.tolist(), at[found].tolist(), strict=True)
+                    grams, where = items.grams(codes, size)
+                    at = np.minimum(np.searchsorted(items.keys, grams), len(items.keys) - 1)
+                    found = np.flatnonzero((items.keys[at] == grams) & (doc[where] == doc[where + size - 1]))
+                    hits += zip(where[found].tolist(), at[found].tolist(), strict=True)
                 if not hits:
                     continue
-                place = np.minimum(np.searchsorted(items.vocabulary, wh), len(items.vocabulary) - 1)
-                codes = np.where(items.vocabulary[place] == wh, place, -1).astype(np.int32)
                 bounds = np.searchsorted(doc, np.arange(j - i + 1))
                 near: dict[tuple[int, int], list[int]] = {}
                 for h, seed in hits:
-                    for item in items.at[items.first[seed] : items.first[seed + 1]].tolist():
+                    for item in items.at[items.owners[seed] : items.owners[seed + 1]].tolist():
                         near.setdefault((int(doc[h]), item), []).append(h)
                 best: dict[tuple[int, int], int] = dict.fromkeys(near, 0)
                 owners: list[tuple[int, int]] = []
