@@ -16,6 +16,7 @@ to the driver.  The number of languages is checked against ``MOST_LANGUAGES``.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -180,8 +181,11 @@ def learn(labelled: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     return langs, np.array(protos, np.float32).reshape(len(langs), dim)
 
 
-def predicted(langs: list[str], protos: np.ndarray):
-    """A function of a text column to its language and cosine; only texts go to Python, whatever other columns there are."""
+def predicted(langs: list[str], protos: np.ndarray, once: bool = False):
+    """A function of a text column to its language and cosine; only texts go to Python, whatever other columns there are.
+
+    With ``once``, a filter on the result isn't moved before it, where it would be worked out again.
+    """
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def of(texts: pa.Array) -> pa.Array:
@@ -200,7 +204,12 @@ def predicted(langs: list[str], protos: np.ndarray):
                     pred[d] = langs[0]
         return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score)], ["lang", "score"])
 
-    return lambda text: of(text.cast("string"))
+    return lambda text: (of.asNondeterministic() if once else of)(text.cast("string"))
+
+
+def chance(protos: np.ndarray) -> float:
+    """A cosine that a text in none of the languages hardly reaches: three standard deviations of that of unrelated vectors."""
+    return 3 / math.sqrt(protos.shape[1])
 
 
 def held_out(doc_id) -> F.Column:

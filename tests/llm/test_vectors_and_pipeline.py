@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontam, langid, secrets, simjoin
+from sieveline.llm import _text, decontam, langid, minhash, secrets, simjoin
 
 
 def brute(rows, c=0.95):
@@ -222,3 +222,145 @@ def test_operators_survive_clashing_columns(spark):
     assert decontam.decontaminate(docs, spark.createDataFrame([(1, "other words", "z", 1)], "item_id long, text string, h string, score int")).count() == n
     vectors = spark.createDataFrame([(1, [1.0, 0.0], "z"), (2, [1.0, 0.1], "z"), (None, None, "z")], "vec_id long, embedding array<double>, h string").withColumns({c: F.lit("z") for c in ("k", "id", "v", "n", "block", "cell", "component", "links")})
     assert sorted(r["n_links"] for r in simjoin.similar_vectors(vectors).collect()) == [0, 1, 1]
+
+
+#: Words of 64 letters that agree under the library's 64-bit word hash.
+ALIKE = ("aafmpzuhzlrayahljnpvsoegfbwsrcgpkconabmbljugttmvfuxijxgrjzpkealu", "ijenhahczjryagwngszpgqiwhwssylobltogrsvzoisfqtwyvesjxbkttlqftqlg")
+
+
+def test_words_of_one_hash_are_two_words(spark, tmp_path):
+    import corpus_pipeline as C
+
+    x, y = ALIKE
+    raw = np.frombuffer(f"{x} {y}".encode(), np.uint8)
+    h = _text.word_hashes(raw, np.array([0, 65]), np.array([64, 129]))
+    assert h[0] == h[1]
+    texts = [x, y, f"alpha {x} beta", f"alpha {y} beta", f"{x} {x} {y} {y}", f"{x} {y} {x} {y}"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    for w in (2, 5):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, w=w).collect()}
+        s = [{tuple(t.split()[a : a + w]) for a in range(max(1, len(t.split()) - w + 1))} for t in texts]
+        assert got == {i: (len(s[i]), i) for i in range(len(texts))}
+    item = spark.createDataFrame([(1, x)], "item_id long, text string")
+    assert {r["doc_id"]: r["score"] for r in decontam.decontaminate(df, item).collect()} == {0: 1.0, 1: 0.0, 2: 1.0, 3: 0.0, 4: 1.0, 5: 1.0}
+    both = spark.createDataFrame([(1, f"{x} one two three"), (2, f"{y} one two three")], "item_id long, text string")
+    text = spark.createDataFrame([(1, f"{x} one two three"), (2, f"{y} one two three")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.overlaps(text, both).collect()} == {(1, 1): 1.0, (1, 2): 0.75, (2, 1): 0.75, (2, 2): 1.0}
+    item.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert C.near_dedup(spark, df, str(tmp_path)).count() == len(texts)
+    assert {r["doc_id"] for r in C.decontamination(spark, df, str(tmp_path)).collect()} == {1, 3}
+
+
+def test_short_texts_that_share_a_shingle_are_not_compared(spark, monkeypatch):
+    made = []
+    saved = minhash.saved
+
+    def noted(df, what=""):
+        out = saved(df, what)
+        made.append((what, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "saved", noted)
+    n = 20_000
+    two = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("common words x"), F.col("id")).alias("text"))
+    got = minhash.near_duplicates(two, w=2)
+    assert got.filter("kept").count() == n
+    assert all(rows == 0 for what, rows in made if what in ("pairs", "members", "pieces", "links"))
+    made.clear()
+    # Four shingles of five are shared: most fall in one bucket, but each one's rarest shingle is its own.
+    four = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four x"), F.col("id")).alias("text")).unionByName(spark.createDataFrame([(10**6, "one two three four x7 x8")], "doc_id long, text string"))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(four, w=2).collect()}
+    assert got == {**{i: i for i in range(3000)}, 10**6: 7}
+    assert all(rows <= 3001 * 8 for what, rows in made), made  # a document is in a few groups, and once in each
+
+
+def stage_docs(spark, sf):
+    return spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+
+
+def test_near_dedup_stage_is_every_pairs_similarity(spark, sf):
+    """On the 0.01 tables: five-word shingles of all texts, all pairs that share one."""
+    import corpus_pipeline as C
+
+    docs = stage_docs(spark, sf)
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"] or "").encode().split()
+        sets[r["doc_id"]] = {tuple(w[a : a + 5]) for a in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    holders, parent = {}, {i: i for i in sets}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in sets.items():
+        for j in {j for x in s for j in holders[x] if j < i}:
+            both = len(s & sets[j])
+            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    assert {r["doc_id"] for r in C.near_dedup(spark, docs, sf).select("doc_id").collect()} == {i for i in sets if find(i) == i}
+
+
+def test_decontamination_stage_is_every_pairs_alignment(spark, sf):
+    """On the 0.01 tables: Smith-Waterman of every document with every item that shares three words in a row, written row by row."""
+    import re
+
+    import corpus_pipeline as C
+
+    docs = stage_docs(spark, sf)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    items = [words(r["text"]) for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/benchmark.parquet").collect()]
+    keep = set()
+    for r in docs.select("doc_id", "text").collect():
+        w, worst = words(r["text"]), 0.0
+        grams = {n: {tuple(w[a : a + n]) for a in range(len(w) - n + 1)} for n in (1, 2, 3)}
+        for x in items:
+            n = min(3, len(x))
+            if n and any(tuple(x[a : a + n]) in grams[n] for a in range(len(x) - n + 1)):
+                h, best = [0] * (len(x) + 1), 0
+                for c in w:
+                    new = [0]
+                    for a, q in enumerate(x):
+                        new.append(max(0, h[a] + (2 if q == c else -1), h[a + 1] - 1, new[a] - 1))
+                    h, best = new, max(best, *new)
+                worst = max(worst, best / (2 * len(x)))
+        if worst < 0.5:
+            keep.add(r["doc_id"])
+    assert {r["doc_id"] for r in C.decontamination(spark, docs, sf.replace("0.001", "0.01")).select("doc_id").collect()} == keep
+
+
+def test_language_stage_follows_its_predictions(spark, sf, monkeypatch):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.limit(1).withColumn("doc_id", F.lit(10**6).cast("bigint"))
+    rows = docs.unionByName(odd.withColumn("text", F.lit("дом и сад у реки " * 9))).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 1).withColumn("text", F.lit("дом")))
+    out = {r["doc_id"]: r for r in C.language(spark, rows, sf).collect()}
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert set(out) == set(truth) | {10**6 + 1}  # in none of the languages, or too short to tell
+    assert sum(out[i]["lang"] == truth[i] for i in truth) > 0.9 * len(truth)
+    blank = docs.filter("doc_id % 3 = 0").withColumn("lang", F.lit(None).cast("string"))
+    told = {r["doc_id"]: r["lang"] for r in C.language(spark, docs.filter("doc_id % 3 > 0").unionByName(blank), sf).collect()}
+    assert all(told[i] is not None for i in truth) and sum(told[i] == truth[i] for i in truth) > 0.9 * len(truth)
+    langs, protos = langid.learn(docs.select("text", "lang"))
+    monkeypatch.setattr(C, "learn", lambda _: (langs[::-1], protos))
+    other = {r["doc_id"]: r["lang"] for r in C.language(spark, docs, sf).collect()}
+    assert all(other[i] == langs[::-1][langs.index(out[i]["lang"])] for i in truth)
+    monkeypatch.setattr(C, "learn", lambda _: (langs[:1], -protos[:1]))
+    assert C.language(spark, docs, sf).count() < len(truth) // 2
+
+
+def test_a_run_leaves_only_its_result(spark, sf, tmp_path, monkeypatch):
+    import os
+
+    import corpus_pipeline as C
+    from sieveline.operators import iterate
+
+    monkeypatch.setattr(iterate, "_scratch", [str(tmp_path)])
+    assert C.run(spark, sf).count() > 0
+    assert len(os.listdir(tmp_path)) == 1
