@@ -27,7 +27,7 @@ def saturated(q: Column) -> Column:
     return (q == 32767) | (q == -32768)
 
 
-def stable_order(key: Column, seed: str) -> Column:
+def stable_order(key: Column, seed: str | Column) -> Column:
     """A pseudo-random sort key that any engine reproduces."""
     return F.md5(F.concat_ws("|", F.lit(seed), key.cast("string")).cast("binary"))
 

@@ -28,40 +28,47 @@ def axis_fractions(fractions: tuple[float, float, float] = FRACTIONS) -> tuple[f
     return tuple(r / sum(roots) for r in roots)
 
 
-def greedy_partition(sizes: DataFrame, key: str, seed: str, fractions: tuple[float, float, float] = FRACTIONS) -> DataFrame:
+def greedy_partition(sizes: DataFrame, key: str, seed: str | Column, fractions: tuple[float, float, float] = FRACTIONS, by: tuple[str, ...] = ()) -> DataFrame:
     """(key, fold): groups, largest first, each to the fold that lacks most of its due.
 
     sizes: key, n.  Ties between groups follow a stable hash, between folds
     their order.  Each step depends on all before it, so groups (clusters, of
     which there are far fewer than systems) stream in order through one task,
-    in Arrow batches; what it keeps is what each fold lacks.
+    in Arrow batches; what it keeps is what each fold lacks.  With ``by``,
+    every value of those columns is a partition of its own, dealt to a task as
+    a whole, and seed may be a column.
     """
     import pyarrow as pa
 
-    total = sizes.agg(F.sum("n").alias("_total"))
-    turn = [F.desc("n"), stable_order(F.col(key), seed), F.col(key)]
-    rows = sizes.select(key, "n").crossJoin(F.broadcast(total)).repartition(1).sortWithinPartitions(*turn)  # one row
+    total = sizes.groupBy(*by).agg(F.sum("n").alias("_total"))
+    turn = [*by, F.desc("n"), F.col("_turn"), F.col(key)]
+    rows = sizes.select(*by, key, "n", stable_order(F.col(key), seed).alias("_turn"))
+    rows = rows.join(total, [*by]) if by else rows.crossJoin(F.broadcast(total))  # one row
+    rows = (rows.repartition(*by) if by else rows.repartition(1)).sortWithinPartitions(*turn).select(*by, key, "n", "_total")
+    k = len(by)
 
     def fold(batches):
-        lack = None
+        own, lack = None, None
         for b in batches:
             out = []
-            for n, all_ in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                lack = lack or [f * all_ for f in fractions]
+            groups = zip(*(b.column(c).to_pylist() for c in range(k)), strict=True) if k else [()] * b.num_rows
+            for group, n, all_ in zip(groups, b.column(k + 1).to_pylist(), b.column(k + 2).to_pylist(), strict=True):
+                if group != own:
+                    own, lack = group, [f * all_ for f in fractions]
                 most = max(lack) - 1e-9
                 best = next(i for i, v in enumerate(lack) if v >= most)
                 lack[best] -= n
                 out.append(FOLDS[best])
-            yield pa.record_batch([b.column(0), pa.array(out, pa.string())], [key, "fold"])
+            yield pa.record_batch([*b.columns[: k + 1], pa.array(out, pa.string())], [*by, key, "fold"])
 
-    return rows.mapInArrow(fold, f"`{key}` {sizes.schema[key].dataType.simpleString()}, fold string")
+    return rows.mapInArrow(fold, ", ".join(f"`{c}` {sizes.schema[c].dataType.simpleString()}" for c in (*by, key)) + ", fold string")
 
 
-def _sizes(context: DataFrame, key: str) -> DataFrame:
-    return context.groupBy(key).agg(F.count("*").alias("n"))
+def _sizes(context: DataFrame, key: str, by: tuple[str, ...] = ()) -> DataFrame:
+    return context.groupBy(*by, key).agg(F.count("*").alias("n"))
 
 
-def random_covered(context: DataFrame, seed: str, fractions: tuple[float, float, float] = FRACTIONS, rounds: int = 100) -> DataFrame:
+def random_covered(context: DataFrame, seed: str | Column, fractions: tuple[float, float, float] = FRACTIONS, rounds: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
     """A random split whose val and test systems keep both clusters in train.
 
     In a stable order the first systems are due for test, the next for val, in
@@ -71,20 +78,30 @@ def random_covered(context: DataFrame, seed: str, fractions: tuple[float, float,
     Only a cluster whose members are all due can run out, and only its last
     one in the order can find itself alone.  So all others leave at once, and
     the last ones are decided in rounds: a round decides those whose clusters
-    have no other undecided member.  That gives the folds of the walk.
+    have no other undecided member.  That gives the folds of the walk.  With
+    ``by``, every value of those columns is walked by itself, in the same rounds.
     """
     h = stable_order(F.col("system"), seed)
-    n = context.count()
-    n_test, n_val = round(fractions[2] * n), round(fractions[1] * n)
+    rows = ranked(context.withColumn("_h", h), [*by, "_h", "system"], "_r")
+    if by:
+        rows = cut(rows)
+        sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"), (F.min("_r") - 1).alias("_before"))
+        rows = rows.join(sizes, [*by]).withColumn("_r", F.col("_r") - F.col("_before")).drop("_before")
+        # round(): halves to even, as the number of one split is.
+        n_test, n_val = (F.bround(F.lit(f) * F.col("_n")) for f in fractions[:0:-1])
+    else:
+        n = context.count()
+        rows = rows.withColumn("_n", F.lit(n))
+        n_test, n_val = (F.lit(round(f * n)) for f in fractions[:0:-1])
     due = F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "val")
-    rows = cut(ranked(context.withColumn("_h", h), ["_h", "system"], "_r").withColumn("_due", due).drop("_h"))
-    going = rows.filter("_due IS NOT NULL").select("system", "pc", "lc", "_r")
+    rows = cut(rows.withColumn("_due", due).drop("_h", "_n"))
+    going = rows.filter("_due IS NOT NULL").select(*by, "system", "pc", "lc", "_r")
     # Clusters all of whose members are due, and their last ones.
-    last = going.select("system", "_r", "pc", "lc")
+    last = going
     for c in ("pc", "lc"):
-        full = rows.groupBy(c).agg(F.count("*").alias("_size"), F.count("_due").alias("_n"), F.max("_r").alias("_last")).filter("_size = _n").select(c, F.col("_last").alias(f"_last_{c}"))
-        last = last.join(full, c, "left")
-    state = last.select("system", "pc", "lc", *[(F.col("_r") == F.col(f"_last_{c}")).alias(f"at_{c}") for c in ("pc", "lc")], *[F.col(f"_last_{c}").isNotNull().alias(f"full_{c}") for c in ("pc", "lc")])
+        full = rows.groupBy(*by, c).agg(F.count("*").alias("_size"), F.count("_due").alias("_n"), F.max("_r").alias("_last")).filter("_size = _n").select(*by, c, F.col("_last").alias(f"_last_{c}"))
+        last = last.join(full, [*by, c], "left")
+    state = last.select(*by, "system", "pc", "lc", *[(F.col("_r") == F.col(f"_last_{c}")).alias(f"at_{c}") for c in ("pc", "lc")], *[F.col(f"_last_{c}").isNotNull().alias(f"full_{c}") for c in ("pc", "lc")])
     # stays: null while it is undecided.
     either = F.coalesce("at_pc", F.lit(False)) | F.coalesce("at_lc", F.lit(False))
     state = cut(state.withColumn("stays", F.when(either, F.lit(None).cast("boolean")).otherwise(F.lit(False))))
@@ -92,42 +109,49 @@ def random_covered(context: DataFrame, seed: str, fractions: tuple[float, float,
         if state.filter("stays IS NULL").isEmpty():
             break
         for c in ("pc", "lc"):
-            other = state.filter(f"full_{c} AND NOT at_{c}").groupBy(c).agg(F.bool_or("stays").alias(f"kept_{c}"), F.count_if(F.col("stays").isNull()).alias(f"open_{c}"))
-            state = state.join(other, c, "left")
+            other = state.filter(f"full_{c} AND NOT at_{c}").groupBy(*by, c).agg(F.bool_or("stays").alias(f"kept_{c}"), F.count_if(F.col("stays").isNull()).alias(f"open_{c}"))
+            state = state.join(other, [*by, c], "left")
         alone = {c: F.when(~F.coalesce(f"at_{c}", F.lit(False)) | F.coalesce(f"kept_{c}", F.lit(False)), False).when(F.coalesce(f"open_{c}", F.lit(0)) == 0, True) for c in ("pc", "lc")}
         now = F.when(alone["pc"] | alone["lc"], True).when(~alone["pc"] & ~alone["lc"], False)
         state = cut(state.withColumn("stays", F.coalesce("stays", now)).drop("kept_pc", "open_pc", "kept_lc", "open_lc"))
     else:
         raise RuntimeError(f"systems are undecided after {rounds} rounds")
-    stay = state.filter("stays").select("system", F.lit(True).alias("_stay"))
+    stay = state.filter("stays").select(*by, "system", F.lit(True).alias("_stay"))
     fold = F.when(F.col("_due").isNull() | F.col("_stay"), "train").otherwise(F.col("_due"))
-    return rows.join(stay, "system", "left").withColumn("fold", fold).drop("_r", "_due", "_stay")
+    return rows.join(stay, [*by, "system"], "left").withColumn("fold", fold).drop("_r", "_due", "_stay")
 
 
-def cold_axis(context: DataFrame, cold: str, warm: str, seed: str, fractions: tuple[float, float, float] = FRACTIONS) -> DataFrame:
+def cold_axis(context: DataFrame, cold: str, warm: str, seed: str | Column, fractions: tuple[float, float, float] = FRACTIONS, by: tuple[str, ...] = ()) -> DataFrame:
     """The cold axis is partitioned; val and test keep systems whose warm cluster train has, the rest is excluded."""
-    folds = greedy_partition(_sizes(context, cold), cold, seed, fractions)
-    rows = context.join(folds, cold)
-    seen = rows.filter("fold = 'train'").select(warm).distinct().withColumn("seen", F.lit(True))
+    folds = greedy_partition(_sizes(context, cold, by), cold, seed, fractions, by)
+    rows = context.join(folds, [*by, cold])
+    seen = rows.filter("fold = 'train'").select(*by, warm).distinct().withColumn("seen", F.lit(True))
     fold = F.when((F.col("fold") == "train") | F.col("seen"), F.col("fold")).otherwise("excluded")
-    return rows.join(seen, warm, "left").withColumn("fold", fold).drop("seen")
+    return rows.join(seen, [*by, warm], "left").withColumn("fold", fold).drop("seen")
 
 
-def block(context: DataFrame, seed: str, fractions: tuple[float, float, float] = FRACTIONS) -> DataFrame:
+def block(context: DataFrame, seed: str | Column, fractions: tuple[float, float, float] = FRACTIONS, by: tuple[str, ...] = ()) -> DataFrame:
     """Both axes are partitioned, by roots of the fractions; a system is in a fold if its clusters are in the same one, else excluded."""
     parts = axis_fractions(fractions)
-    p = greedy_partition(_sizes(context, "pc"), "pc", seed + "p", parts).withColumnRenamed("fold", "pf")
-    q = greedy_partition(_sizes(context, "lc"), "lc", seed + "l", parts).withColumnRenamed("fold", "lf")
+    p, q = (greedy_partition(_sizes(context, c, by), c, F.concat(F.lit(seed), F.lit(axis)), parts, by).withColumnRenamed("fold", f"{axis}f") for c, axis in (("pc", "p"), ("lc", "l")))
     fold = F.when(F.col("pf") == F.col("lf"), F.col("pf")).otherwise("excluded")
-    return context.join(p, "pc").join(q, "lc").withColumn("fold", fold).drop("pf", "lf")
+    return context.join(p, [*by, "pc"]).join(q, [*by, "lc"]).withColumn("fold", fold).drop("pf", "lf")
+
+
+def cluster_components(context: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, pc, component): connected components of the graph of clusters, named by their least one; edges are distinct pairs of clusters, not systems."""
+    name = lambda axis, c: F.struct(*by, F.concat(F.lit(axis), F.col(c).cast("string")).alias("_name"))
+    edges = context.select(name("p", "pc").alias("a"), name("l", "lc").alias("b")).distinct()
+    comp = connected_components(edges).filter("node._name LIKE 'p%'").select("node", F.col("component._name").alias("component"))
+    return context.select(*by, "pc", name("p", "pc").alias("node")).distinct().join(comp, "node").drop("node")
 
 
-def component_block(context: DataFrame, seed: str, fractions: tuple[float, float, float] = FRACTIONS) -> DataFrame:
-    """C3comp: whole connected components of the graph of clusters go to folds; edges are distinct pairs of clusters, not systems."""
-    edges = context.select(F.concat(F.lit("p"), F.col("pc")).alias("a"), F.concat(F.lit("l"), F.col("lc")).alias("b")).distinct()
-    comp = connected_components(edges).filter("node LIKE 'p%'").select(F.expr("substring(node, 2)").alias("_pc"), "component")
-    rows = context.join(comp, F.col("pc").cast("string") == F.col("_pc")).drop("_pc")
-    return rows.join(greedy_partition(_sizes(rows, "component"), "component", seed, fractions), "component")
+def component_block(context: DataFrame, seed: str | Column, fractions: tuple[float, float, float] = FRACTIONS, by: tuple[str, ...] = (), components: DataFrame | None = None) -> DataFrame:
+    """C3comp: whole components of the graph of clusters go to folds; components (by, pc, component) may be given."""
+    if components is None:
+        components = cluster_components(context, by)
+    rows = context.join(components, [*by, "pc"])
+    return rows.join(greedy_partition(_sizes(rows, "component", by), "component", seed, fractions, by), [*by, "component"])
 
 
 def temporal(df: DataFrame, date: str, val_start: str | None = None, test_start: str | None = None, low: float = 0.8, high: float = 0.9) -> DataFrame:
@@ -183,10 +207,10 @@ def temporal_checks(split: DataFrame, tier: DataFrame, index: DataFrame, key: st
     ])
 
 
-ASSIGNERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
+ASSIGNERS: dict[str, Callable[..., DataFrame]] = {
     "C1": random_covered,
-    "C2p": lambda c, seed: cold_axis(c, "pc", "lc", seed),
-    "C2l": lambda c, seed: cold_axis(c, "lc", "pc", seed),
+    "C2p": lambda c, seed, *a, **k: cold_axis(c, "pc", "lc", seed, *a, **k),
+    "C2l": lambda c, seed, *a, **k: cold_axis(c, "lc", "pc", seed, *a, **k),
     "C3": block,
     "C3comp": component_block,
 }

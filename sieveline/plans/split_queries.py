@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import shift as M
 from ..operators import splits as L
+from ..operators import sweep as S
 from .contact_queries import _SCORES, scores
 from .fixtures import table
 
@@ -96,6 +97,143 @@ def split_c3_component(spark, d):
     return L.component_block(p, "s0").select("system", "component", "fold")
 
 
+# The sweep: every family over clusterings of suppliers and parts.
+
+THRESHOLDS = ("0.30", "0.40", "0.50")
+VARIANTS = ("scaffold", "butina_0.30", "butina_0.40", "butina_0.50", "butina_0.60")
+_PC = "unnest([{'t': '0.30', 'c': p}, {'t': '0.40', 'c': p // 2}, {'t': '0.50', 'c': p // 5}])"
+_LC = "unnest([{'v': 'scaffold', 'c': b || t}, {'v': 'butina_0.30', 'c': 'k' || l // 3}, {'v': 'butina_0.40', 'c': 'k' || l // 7}, {'v': 'butina_0.50', 'c': b || '|' || s}, {'v': 'butina_0.60', 'c': t}])"
+
+
+def sweep_inputs(spark, d):
+    """Entities, clusterings of suppliers (proteins) at three thresholds, and of parts (ligands) in five variants."""
+    part = table(spark, d, "part")
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("protein"), F.col("l_partkey").alias("ligand")).distinct()
+    e = e.select((F.col("protein") * 1000000 + F.col("ligand")).alias("system"), "protein", "ligand")
+    one = lambda name, c: F.struct(F.lit(name).alias("name"), c.cast("string").alias("c"))
+    p, k, brand = F.col("s_suppkey"), F.col("p_partkey"), F.col("p_brand")
+    pcs = [one(n, c) for n, c in zip(THRESHOLDS, (p, F.floor(p / 2), F.floor(p / 5)), strict=True)]
+    lcs = [one(n, c) for n, c in zip(VARIANTS, (F.concat(brand, "p_type"), F.concat(F.lit("k"), F.floor(k / 3)), F.concat(F.lit("k"), F.floor(k / 7)), F.concat(brand, F.lit("|"), "p_size"), F.col("p_type")), strict=True)]
+    proteins = table(spark, d, "supplier").select(p.alias("protein"), F.inline(F.array(*pcs))).select(F.col("name").alias("protein_threshold"), "protein", F.col("c").alias("pc"))
+    ligands = part.select(k.alias("ligand"), F.inline(F.array(*lcs))).select(F.col("name").alias("ligand_variant"), "ligand", F.col("c").alias("lc"))
+    return e, proteins, ligands
+
+
+def swept(spark, d, families, seeds=(0,)):
+    wanted = S.tags(spark, families, THRESHOLDS, VARIANTS, seeds)
+    audit = S.contexts(*sweep_inputs(spark, d), wanted)
+    return S.sweep(audit, wanted), wanted, audit
+
+
+def _tags(families, seeds=(0,)):
+    rows = ", ".join(f"('{S.tag_name(f, p, v, s)}', '{f}', '{p}', '{v}', {s})" for p in THRESHOLDS for v in VARIANTS for f in families for s in seeds)
+    return f"tags(tag, family, protein_threshold, ligand_variant, seed) AS (VALUES {rows})"
+
+
+_AUDIT = f"""e AS (SELECT DISTINCT l_suppkey * 1000000 + l_partkey AS system, l_suppkey AS protein, l_partkey AS ligand FROM lineitem),
+  pcl AS (SELECT p AS protein, x.t AS protein_threshold, x.c::VARCHAR AS pc FROM (SELECT s_suppkey AS p, {_PC} AS x FROM (SELECT s_suppkey, s_suppkey AS p FROM supplier))),
+  lcl AS (SELECT l AS ligand, x.v AS ligand_variant, x.c AS lc FROM (SELECT l, {_LC} AS x FROM (SELECT p_partkey AS l, p_brand AS b, p_type AS t, p_size AS s FROM part))),
+  ctx AS (SELECT protein_threshold, ligand_variant, system, protein, ligand, pc, lc FROM e JOIN pcl USING (protein) JOIN lcl USING (ligand))"""
+
+
+def _greedy_all(name, source, key, suffix, fractions=L.FRACTIONS):
+    """_greedy of every tag, side by side."""
+    x, y, z = ("({:.17g}::DOUBLE * total)".format(f) for f in fractions)
+    first, second = "a >= greatest(a, b, c) - 1e-9", "b >= greatest(a, b, c) - 1e-9"
+    return f"""{name}_g AS MATERIALIZED (SELECT tag, {key} AS g, count(*) AS n, row_number() OVER (PARTITION BY tag ORDER BY count(*) DESC, md5(tag || '{suffix}|' || {key}), {key}) AS r, sum(count(*)) OVER (PARTITION BY tag) AS total FROM {source} GROUP BY tag, {key}),
+  {name}_r AS (SELECT tag, 0::BIGINT AS r, NULL::VARCHAR AS g, 0 AS f, {x} AS a, {y} AS b, {z} AS c FROM (SELECT DISTINCT tag, total FROM {name}_g)
+    UNION ALL SELECT y.tag, y.r, y.g::VARCHAR, CASE WHEN {first} THEN 1 WHEN {second} THEN 2 ELSE 3 END, CASE WHEN {first} THEN a - n ELSE a END, CASE WHEN NOT ({first}) AND {second} THEN b - n ELSE b END,
+      CASE WHEN NOT ({first}) AND NOT ({second}) THEN c - n ELSE c END FROM {name}_r x JOIN {name}_g y ON y.tag = x.tag AND y.r = x.r + 1),
+  {name} AS MATERIALIZED (SELECT tag, g, ['train', 'val', 'test'][f] AS fold FROM {name}_r WHERE r > 0)"""
+
+
+def _cold_all(name, family, cold, warm):
+    return f"""{name}_c AS (SELECT tag, ctx.* FROM ctx JOIN tags USING (protein_threshold, ligand_variant) WHERE family = '{family}'), {_greedy_all(name + "_p", name + "_c", cold, "")},
+  {name}_f AS (SELECT c.*, fold FROM {name}_c c JOIN {name}_p p ON p.tag = c.tag AND p.g = c.{cold}), {name}_s AS (SELECT DISTINCT tag, {warm} FROM {name}_f WHERE fold = 'train'),
+  {name} AS (SELECT f.tag, system, protein, ligand, f.pc, f.lc, CASE WHEN fold = 'train' OR s.tag IS NOT NULL THEN fold ELSE 'excluded' END AS fold FROM {name}_f f LEFT JOIN {name}_s s ON s.tag = f.tag AND s.{warm} = f.{warm})"""
+
+
+_BLOCKS = f"""c3_c AS (SELECT tag, ctx.* FROM ctx JOIN tags USING (protein_threshold, ligand_variant) WHERE family = 'C3'), {_greedy_all("c3_p", "c3_c", "pc", "p", L.axis_fractions())}, {_greedy_all("c3_l", "c3_c", "lc", "l", L.axis_fractions())},
+  c3 AS (SELECT c.tag, system, protein, ligand, pc, lc, CASE WHEN p.fold = l.fold THEN p.fold ELSE 'excluded' END AS fold FROM c3_c c JOIN c3_p p ON p.tag = c.tag AND p.g = pc JOIN c3_l l ON l.tag = c.tag AND l.g = lc)"""
+_COMPONENTS = """link AS (SELECT protein_threshold || '|' || ligand_variant AS k, 'p' || pc AS a, 'l' || lc AS b FROM ctx), sides AS MATERIALIZED (SELECT k || '#' || a AS a, k || '#' || b AS b FROM link UNION SELECT k || '#' || b, k || '#' || a FROM link),
+  comp(node, component) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM sides GROUP BY a UNION SELECT e.b, min(c.component) FROM comp c JOIN sides e ON e.a = c.node JOIN recurring.comp r ON r.node = e.b WHERE c.component < r.component GROUP BY e.b),
+  aud AS (SELECT ctx.*, split_part(component, '#', 2) AS component FROM ctx JOIN comp ON node = protein_threshold || '|' || ligand_variant || '#p' || pc)"""
+_WHOLE = f"""cc_c AS (SELECT tag, aud.* FROM aud JOIN tags USING (protein_threshold, ligand_variant) WHERE family = 'C3comp'), {_greedy_all("cc_p", "cc_c", "component", "")},
+  cc AS (SELECT c.tag, system, protein, ligand, pc, lc, fold FROM cc_c c JOIN cc_p p ON p.tag = c.tag AND p.g = component)"""
+_COLD = ("C2p", "C2l", "C3", "C3comp")
+_SWEPT = f"WITH RECURSIVE {_tags(_COLD)}, {_AUDIT}, {_COMPONENTS}, {_cold_all('c2p', 'C2p', 'pc', 'lc')}, {_cold_all('c2l', 'C2l', 'lc', 'pc')}, {_BLOCKS}, {_WHOLE}, s AS (SELECT * FROM c2p UNION ALL SELECT * FROM c2l UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM cc)"
+
+
+@query(f"{_SWEPT} SELECT tag, fold, count(*) AS n, sum(system)::DOUBLE AS total, bit_xor(system) AS mixed, sum(system * system % 1000003)::BIGINT AS squares FROM s GROUP BY tag, fold")
+def split_sweep(spark, d):
+    """Sixty splits in one plan: four families over fifteen contexts; each fold as what tells its systems apart from others."""
+    folds, _, _ = swept(spark, d, _COLD)
+    system = F.col("system")
+    return folds.groupBy("tag", "fold").agg(F.count("*").alias("n"), F.sum(system.cast("double")).alias("total"), F.bit_xor(system).alias("mixed"), F.sum(system * system % 1000003).alias("squares"))
+
+
+_FRACTION = "avg((EXISTS (SELECT 1 FROM s t WHERE t.tag = s.tag AND t.fold = 'train' AND t.{c} = s.{c}))::INT) FILTER (fold = 'test') AS test_frac_exact_{c}_seen"
+_INDEX = f"""per AS (SELECT tag, count(*) AS n_systems, count(*) FILTER (fold = 'train') AS n_train, count(*) FILTER (fold = 'val') AS n_val, count(*) FILTER (fold = 'test') AS n_test, count(*) FILTER (fold = 'excluded') AS n_excluded,
+    count(DISTINCT pc) FILTER (fold = 'train') AS n_train_protein_clusters, count(DISTINCT pc) FILTER (fold = 'test') AS n_test_protein_clusters, count(DISTINCT lc) FILTER (fold = 'train') AS n_train_ligand_clusters, count(DISTINCT lc) FILTER (fold = 'test') AS n_test_ligand_clusters,
+    {_FRACTION.format(c="protein")}, {_FRACTION.format(c="ligand")} FROM s GROUP BY tag),
+  comps AS (SELECT protein_threshold, ligand_variant, count(*) AS n_components, max(n) / sum(n) AS largest_component_fraction FROM (SELECT protein_threshold, ligand_variant, component, count(*) AS n FROM aud GROUP BY ALL) GROUP BY ALL),
+  idx AS (SELECT tag, family, protein_threshold, ligand_variant, seed, per.* EXCLUDE (tag), n_components, largest_component_fraction FROM tags JOIN per USING (tag) JOIN comps USING (protein_threshold, ligand_variant))"""
+
+
+@query(f"{_SWEPT}, {_INDEX} SELECT * FROM idx")
+def sweep_index(spark, d):
+    """The index of the sweep: a row for each tag."""
+    folds, wanted, audit = swept(spark, d, _COLD)
+    return S.split_index(folds, wanted, audit).drop("family_desc")
+
+
+@query(f"{_SWEPT}, {_INDEX} SELECT family, count(*) AS tags, avg(n_test / n_systems) AS mean_test_share, min(n_test / n_systems) AS least_test_share, avg(n_excluded / n_systems) AS mean_excluded_share, count(*) FILTER (n_test / n_systems < 0.05) AS underpowered FROM idx GROUP BY family")
+def sweep_summary(spark, d):
+    """Figures of the families over their tags: test sizes, excluded systems, underpowered splits."""
+    folds, wanted, audit = swept(spark, d, _COLD)
+    return S.summary(S.split_index(folds, wanted, audit))
+
+
+@query(f"WITH RECURSIVE {_AUDIT}, {_COMPONENTS}, n AS (SELECT protein_threshold, ligand_variant, component, count(*) AS n FROM aud GROUP BY ALL) SELECT protein_threshold, ligand_variant, count(*) AS n_components, max(n) / sum(n) AS largest_component_fraction, count(*) FILTER (n = 1) AS singleton_components, max(n) / sum(n) <= 0.85 AS balanceable FROM n GROUP BY ALL")
+def sweep_contexts(spark, d):
+    return S.component_stats(S.contexts(*sweep_inputs(spark, d)))
+
+
+_BROKEN = "SELECT tag, '{a} clusters {what}' AS problem FROM (SELECT s.tag, {a}, max((fold = 'train')::INT) AS t, max((fold = 'val')::INT) AS v, max((fold = 'test')::INT) AS e FROM s JOIN tags USING (tag) WHERE fold <> 'excluded' AND family IN {families} GROUP BY s.tag, {a}) GROUP BY tag HAVING count(*) FILTER ({test}) > 0"
+
+
+def _broken(axis, of, what, test):
+    families = tuple(f for f, c in L.CONTRACTS.items() if axis in c[of])
+    return _BROKEN.format(a=axis, what=what, families=families, test=test)
+
+
+@query(f"{_SWEPT} SELECT tag, 'no test fold' AS problem FROM s GROUP BY tag HAVING count(*) FILTER (fold = 'test') = 0 UNION ALL " + " UNION ALL ".join(_broken(a, of, what, test) for a in ("pc", "lc") for of, what, test in ((0, "in several folds", "t + v + e > 1"), (1, "that train lacks", "v + e > 0 AND t = 0"))))
+def sweep_breaches(spark, d):
+    """Tags whose contract is broken: here those of whole components, since nearly all systems are in one."""
+    folds, wanted, _ = swept(spark, d, _COLD)
+    return S.contract_breaches(folds, wanted)
+
+
+# The walk of C1, for every seed and clustering of orders at once; one list for each tag holds what each cluster still has in train.
+_C1_TAGS = tuple(f"C1__p{p}__{v}__seed{s}" for p in ("1", "2") for v in ("day", "week") for s in range(3))
+_C1_ALL = f"""c AS (SELECT o_orderkey AS system, o_custkey // x.p AS pc, epoch(o_orderdate)::BIGINT // 86400 // x.v AS lc, x.tag FROM orders, (SELECT unnest([{", ".join(f"{{'tag': '{t}', 'p': {t[5]}, 'v': {1 if 'day' in t else 7}}}" for t in _C1_TAGS)}]) AS x)),
+  o AS MATERIALIZED (SELECT tag, system, dense_rank() OVER (PARTITION BY tag ORDER BY pc) AS p, dense_rank() OVER (PARTITION BY tag ORDER BY lc) AS q, row_number() OVER (PARTITION BY tag ORDER BY md5(tag || '|' || system), system) AS r, count(*) OVER (PARTITION BY tag) AS n FROM c),
+  np AS (SELECT tag, list(x ORDER BY p) AS a FROM (SELECT tag, p, count(*) AS x FROM o GROUP BY tag, p) GROUP BY tag), nq AS (SELECT tag, list(x ORDER BY q) AS b FROM (SELECT tag, q, count(*) AS x FROM o GROUP BY tag, q) GROUP BY tag),
+  walk AS (SELECT tag, 0::BIGINT AS r, NULL::BIGINT AS system, false AS left_train, a, b FROM np JOIN nq USING (tag)
+    UNION ALL SELECT y.tag, y.r, y.system, a[p] > 1 AND b[q] > 1, CASE WHEN a[p] > 1 AND b[q] > 1 THEN list_concat(a[:p - 1], [a[p] - 1], a[p + 1:]) ELSE a END, CASE WHEN a[p] > 1 AND b[q] > 1 THEN list_concat(b[:q - 1], [b[q] - 1], b[q + 1:]) ELSE b END
+    FROM walk x JOIN o y ON y.tag = x.tag AND y.r = x.r + 1 WHERE y.r <= round_even(0.1 * n, 0) + round_even(0.1 * n, 0))"""
+
+
+@query(f"WITH RECURSIVE {_C1_ALL} SELECT o.tag, o.system, CASE WHEN left_train AND o.r <= round_even(0.1 * n, 0) THEN 'test' WHEN left_train THEN 'val' ELSE 'train' END AS fold FROM o LEFT JOIN walk w ON w.tag = o.tag AND w.system = o.system")
+def sweep_random_covered(spark, d):
+    """C1 of orders (customers, days): two clusterings of each axis, three seeds, walked together."""
+    o = table(spark, d, "orders")
+    tags = spark.createDataFrame([(t, int(t[5]), 1 if "day" in t else 7) for t in _C1_TAGS], "tag string, p int, v int")
+    day = F.floor(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) / 86400)
+    c = o.crossJoin(F.broadcast(tags)).select("tag", F.col("o_orderkey").alias("system"), F.floor(F.col("o_custkey") / F.col("p")).alias("pc"), F.floor(day / F.col("v")).alias("lc"))  # settings, not rows
+    return L.random_covered(c, F.col("tag"), by=("tag",)).select("tag", "system", "fold")
+
+
 _T1 = "t AS (SELECT quantile_cont(epoch_us(o_orderdate), 0.8) AS v, quantile_cont(epoch_us(o_orderdate), 0.9) AS w FROM orders), s AS (SELECT orders.*, CASE WHEN epoch_us(o_orderdate) < v THEN 'train' WHEN epoch_us(o_orderdate) < w THEN 'val' ELSE 'test' END AS fold FROM orders, t)"
 
 
