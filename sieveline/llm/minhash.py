@@ -16,10 +16,12 @@
   group, whose texts move once: in chunks of bounded size, each with the hub.
   A chunk compares its members' full sets, word by word and not by hash, until
   any two are compared or joined by links.
-* Groups of several chunks that links leave in pieces are looked at again:
-  members of different pieces meet where they share one of their rarest
-  shingles, as many as two like sets must share one of (a prefix filter).  So no
-  pair of a bucket is given up, and none is met for what all members have.
+* Groups of several chunks that links leave in pieces are looked at again.  Up
+  to a chunk of members outside the largest piece meet the other chunks one by
+  one.  Where more are outside, members of different pieces meet if they share
+  one of their rarest shingles, as many as two like sets must share one of (a
+  prefix filter).  So no pair of a bucket is given up, and chunks don't meet in
+  a square.
 """
 
 from __future__ import annotations
@@ -131,12 +133,12 @@ def _signed_sets(w: int):
 
 
 def _listed_sets(w: int):
-    """(text, hub, k, component) to hub, k, component and the set, a shingle in hexadecimal."""
+    """(text, hub, k, component) to hub, k, component and the set: its shingles in hexadecimal, and half of each as a number."""
 
     def run(batches):
         for b in batches:
-            lists = [[row.tobytes().hex() for row in u] for _, u in shingle_sets(b.column(0), w)]
-            yield pa.record_batch([*b.columns[1:], pa.array(lists, pa.list_(pa.string()))], ["hub", "k", "component", "s"])
+            sets = [u for _, u in shingle_sets(b.column(0), w)]
+            yield pa.record_batch([*b.columns[1:], pa.array([[row.tobytes().hex() for row in u] for u in sets], pa.list_(pa.string())), pa.array([signed(u[:, 0].copy()) for u in sets], pa.list_(pa.int64()))], ["hub", "k", "component", "s", "x"])
 
     return run
 
@@ -272,14 +274,38 @@ def _chunk_links(w: int, percent: int):
     return run
 
 
+def _loose_links(w: int, percent: int):
+    """Rows (hub, a, b, loose, k, component, text): members outside the largest piece (loose) against a chunk; yields links between components."""
+
+    def run(batches):
+        for table in _by_group(batches, 3):
+            loose = table.column("loose").to_numpy()
+            if not loose.any() or loose.all():
+                continue
+            sets = Sets(exact_sets(_texts(table.column("text")), w))
+            codes: dict[str, int] = {}
+            own = np.array([codes.setdefault(str(c), len(codes)) for c in table.column("component").to_pylist()])
+            groups, left, right = Groups(own), [], []
+            for i in np.flatnonzero(loose):
+                found = groups.join(i, np.flatnonzero(sets.linked(i, percent) & ~loose))
+                left += [i] * len(found)
+                right += found.tolist()
+            if left:
+                keys = table.column("k").combine_chunks()
+                yield pa.record_batch([keys.take(pa.array(left)), keys.take(pa.array(right))], ["a", "b"])
+
+    return run
+
+
 def _piece_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of different components of a group; sets: hub, k, component, s (the shingles).
+    """Links (a, b) between members of different components of a group; sets: hub, k, component, and s and x, the shingles.
 
+    Candidates share numbers x, which can only be too many; s decides.
     Shingles are taken from the rarest of the group on.  Two sets that are
     alike share at least percent of the larger one, so they share one of the
     first n - ceil(percent * n / 100) + 1 of each.
     """
-    each = sets.select("hub", "k", "component", F.size("s").alias("n"), F.explode("s").alias("x"))
+    each = sets.select("hub", "k", "component", F.size("x").alias("n"), F.explode("x").alias("x"))
     often = each.groupBy("hub", "x").agg(F.count("*").alias("f"))
     own = each.join(often.hint("merge"), ["hub", "x"]).groupBy("hub", "k", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("own"))  # a document's own
     first = own.select("hub", "k", "component", "n", F.explode(F.expr(f"slice(own, 1, int(n - ceil({percent} * n / 100) + 1))")).alias("p"))
@@ -332,13 +358,22 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
     # Members of one chunk are joined or compared.  Two of different chunks are still to be, unless they are in one component.
     split = groups.filter("chunks > 1")
     if not split.isEmpty():
-        both = split.select("hub", "k").unionByName(split.select("hub", F.col("hub").alias("k")).distinct())
-        left = both.join(joined.withColumnRenamed("node", "k"), "k", "left").select("hub", "k", F.coalesce("component", "k").alias("component"))
-        several = left.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("hub")
-        left = saved(left.join(several.hint("merge"), "hub"), "pieces")
-        listed = saved(docs.select("k", "text").join(sized(left), "k").select("text", "hub", "k", "component").mapInArrow(_listed_sets(w), f"hub {key}, k {key}, component {key}, s array<string>"), "listed")
-        found = saved(_piece_links(listed, percent), "links")
-        removed(left, listed)
+        left = split.join(joined.withColumnRenamed("node", "k"), "k", "left").select("hub", "k", "chunks", place.alias("chunk"), F.coalesce("component", "k").alias("component"))
+        pieces = left.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("loose"))
+        left = saved(left.join(pieces.filter("loose > 0"), "hub"), "pieces")
+        # Up to a chunk of members outside the largest piece meet the group's chunks, one by one.
+        few = left.filter(F.col("loose") <= CHUNK)
+        whole = few.select("hub", F.lit(0).alias("a"), F.col("chunk").alias("b"), F.lit(False).alias("loose"), "k", "component")
+        loose = few.filter("component <> largest").select("hub", F.lit(0).alias("a"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b"), F.lit(True).alias("loose"), "k", "component")
+        rows_ = saved(whole.unionByName(loose), "loose")
+        dealt = docs.select("k", "text").join(sized(rows_), "k").select("hub", "a", "b", "loose", "k", "component", "text").repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b")
+        found = saved(dealt.mapInArrow(_loose_links(w, percent), f"a {key}, b {key}"), "links")
+        # More of them would meet in a square of chunks: they meet by their rarest shingles.
+        many = left.filter(F.col("loose") > CHUNK).select("hub", "k", "component")
+        listed = saved(docs.select("k", "text").join(sized(many), "k").select("text", "hub", "k", "component").mapInArrow(_listed_sets(w), f"hub {key}, k {key}, component {key}, s array<string>, x array<bigint>"), "listed")
+        if not listed.isEmpty():
+            found = found.unionByName(saved(_piece_links(listed, percent), "links"))
+        removed(left, rows_, listed)
         if not found.isEmpty():
             joined = components(links.unionByName(found))
     removed(pairs, groups, rows)
