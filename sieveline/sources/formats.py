@@ -57,14 +57,38 @@ def sdf_atoms(text: DataFrame, column: str = "value") -> DataFrame:
     return out.filter(~F.col("element").isin("H", "D"))
 
 
-def mmcif_atoms(text: DataFrame, column: str = "value") -> DataFrame:
-    """The _atom_site loop of mmCIF texts: one row an atom as a map from item to value."""
-    loop = F.regexp_extract(column, r"loop_\s*\n((?:_atom_site\.\S+\s*\n)+)((?:(?!#|loop_|_).*\n?)*)", 1)
-    body = F.regexp_extract(column, r"loop_\s*\n((?:_atom_site\.\S+\s*\n)+)((?:(?!#|loop_|_).*\n?)*)", 2)
-    names = F.transform(F.regexp_extract_all(loop, F.lit(r"_atom_site\.(\S+)"), 1), lambda x: x)
-    rows = text.select(names.alias("names"), F.explode(F.filter(F.split(body, "\n"), lambda x: F.length(F.trim(x)) > 0)).alias("row"))
-    values = F.transform(F.regexp_extract_all("row", F.lit(r"('[^']*'|\"[^\"]*\"|\S+)"), 1), lambda v: F.regexp_replace(v, "^['\"]|['\"]$", ""))
-    return rows.select(F.map_from_arrays("names", F.slice(values, F.lit(1), F.size("names"))).alias("atom"))
+def mmcif_atoms(text: DataFrame, column: str = "value", by: list[str] | None = None) -> DataFrame:
+    """The _atom_site loop of mmCIF texts: one row an atom as a map from item to value ('.' and '?' are null), with the columns ``by`` of its text's row.
+
+    Texts are read token by token, so values may be quoted or go over lines,
+    and however many atoms there are, a batch of them is in memory beside the text.
+    """
+    import io
+
+    import pyarrow as pa
+
+    from .streamed import ROWS, cif_loop, cif_tokens
+
+    by = by or []
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                rows = []
+                for items, values in cif_loop(cif_tokens(io.StringIO(b.column(len(by))[r].as_py() or "")), "_atom_site"):
+                    rows.append(list(zip(items, values, strict=True)))
+                    if len(rows) == ROWS:
+                        yield batch(b, r, rows)
+                        rows = []
+                if rows:
+                    yield batch(b, r, rows)
+
+    def batch(b, r, rows):
+        own = [b.column(c).take(pa.array([r] * len(rows))) for c in range(len(by))]
+        return pa.record_batch([*own, pa.array(rows, pa.map_(pa.string(), pa.string()))], [*by, "atom"])
+
+    own = [f"`{c}` {text.schema[c].dataType.simpleString()}" for c in by]
+    return text.select(*by, column).mapInArrow(run, ", ".join([*own, "atom map<string, string>"]))
 
 
 def manifest(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -122,41 +122,6 @@ def footers(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(run, "path string, rows bigint, row_groups int, codec string, columns array<string>, keys string")
 
 
-def npz_shards(spark: SparkSession, path: str, arrays: list[str]) -> DataFrame:
-    """(path, array, i, values) of NPZ shards: one row for each array's first axis; values are doubles, or text as it is."""
-    import pyarrow as pa
-
-    def run(batches):
-        import io
-
-        import numpy as np
-
-        for b in batches:
-            for p, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    for name in arrays:
-                        x = np.atleast_1d(z[name])
-                        flat = x.reshape(len(x), -1)
-                        text = flat.dtype.kind in "US"
-                        for s in range(0, len(flat), 10_000):
-                            part = flat[s : s + 10_000]
-                            numbers = pa.array([None] * len(part) if text else list(part.astype(float)), pa.list_(pa.float64()))
-                            strings = pa.array([v.decode() if isinstance(v, bytes) else str(v) for v in part[:, 0]] if text else [None] * len(part), pa.string())
-                            yield pa.record_batch([pa.array([p] * len(part)), pa.array([name] * len(part)), pa.array(np.arange(s, s + len(part))), numbers, strings], ["path", "array", "i", "values", "text"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, array string, i bigint, values array<double>, text string")
-
-
-def csr_rows(shards: DataFrame, offsets: str, values: str) -> DataFrame:
-    """(path, row, values) of shards from npz_shards: the slice of ``values`` between each two ``offsets``, in order; an empty slice has no row."""
-    w = Window.partitionBy("path").orderBy("i")
-    spans = shards.filter(F.col("array") == offsets).select("path", F.col("i").alias("row"), F.col("values")[0].cast("bigint").alias("offset"), F.lead(F.col("values")[0].cast("bigint")).over(w).alias("stop")).filter("stop > offset")
-    data = shards.filter(F.col("array") == values).select("path", "i", F.col("values").alias("v"))
-    inside = data.join(spans, "path").filter("i >= offset AND i < stop")
-    return inside.groupBy("path", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("values"))
-
-
 def job_entities(texts: DataFrame, key: str, column: str = "value") -> DataFrame:
     """Whole YAML job inputs to (key, entity, kind, sequence, chains, has_msa).
 

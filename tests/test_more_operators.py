@@ -217,16 +217,6 @@ def test_mmcif_residues(spark):
     assert [(r["chain"], r["x"]) for r in structures.first_ligand(atoms, ["system"], ["LIG"]).collect()] == [("C", 1.0)]
 
 
-def test_array_shards(spark, tmp_path):
-    for k in (1, 2):
-        np.savez_compressed(tmp_path / f"p{k}.npz", system_id=np.array([f"a{k}", f"b{k}", f"c{k}"]), offsets=np.array([0, 2, 2, 5]), rows=np.arange(5) * k, xyz=np.ones((5, 3)))
-    shards = structures.npz_shards(spark, str(tmp_path / "*.npz"), ["system_id", "offsets", "rows", "xyz"])
-    assert {r["text"] for r in shards.filter("array = 'system_id'").collect()} == {f"{c}{k}" for c in "abc" for k in (1, 2)}
-    assert shards.filter("array = 'xyz'").first()["values"] == [1.0] * 3
-    got = {(r["path"][-6:-4], r["row"]): [v[0] for v in r["values"]] for r in structures.csr_rows(shards, "offsets", "rows").collect()}
-    assert got == {(f"p{k}", r): [float(i * k) for i in v] for k in (1, 2) for r, v in ((0, (0, 1)), (2, (2, 3, 4)))}
-
-
 def test_footers(spark, tmp_path):
     pq.write_table(pa.table({"a": [1, 2]}), tmp_path / "x.parquet", compression="zstd")
     (tmp_path / "y").mkdir()
