@@ -17,6 +17,8 @@ Q, O = {}, {}  # noqa: E741
 
 def query(sql=None):
     def add(f):
+        if f.__name__ in Q:
+            raise ValueError(f"{f.__name__} is registered twice")
         Q[f.__name__] = f
         if sql:
             O[f.__name__] = sql

@@ -20,6 +20,8 @@ Q, O = {}, {}  # noqa: E741
 
 def query(sql=None):
     def add(f):
+        if f.__name__ in Q:
+            raise ValueError(f"{f.__name__} is registered twice")
         Q[f.__name__] = f
         if sql:
             O[f.__name__] = sql
@@ -235,7 +237,7 @@ def arms_per_system(spark, d):
 
 
 @query("SELECT user_id AS system, first(event_id ORDER BY CASE WHEN event_type = 'error' THEN NULL ELSE value END NULLS LAST, event_id) AS event_id FROM events GROUP BY 1")
-def best_pose(spark, d):
+def best_pose_nulls_last(spark, d):
     """The event with the least value of each user; errors have none and come last."""
     e = table(spark, d, "events").select(F.col("user_id").alias("system"), "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("score"))
     return T.best_pose(e, ["system"], "score", "event_id").select("system", "event_id")

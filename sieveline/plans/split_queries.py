@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import shift as M
 from ..operators import splits as L
 from ..operators import sweep as S
+from ..operators import sweep_shift as D
+from ..operators.kernels import kernel_null, numbered, tanimoto
 from .contact_queries import _SCORES, scores
 from .fixtures import table
 
@@ -15,6 +17,8 @@ Q, O = {}, {}  # noqa: E741
 
 def query(sql=None):
     def add(f):
+        if f.__name__ in Q:
+            raise ValueError(f"{f.__name__} is registered twice")
         Q[f.__name__] = f
         if sql:
             O[f.__name__] = sql
@@ -214,6 +218,73 @@ def sweep_breaches(spark, d):
     return S.contract_breaches(folds, wanted)
 
 
+# Shift between the folds of every tag.  Parts are alike if their keys are close, suppliers too.
+
+
+def _near(spark, d, name, key, gap):
+    k = table(spark, d, name).select(F.col(key).alias("i"))
+    return k.select("i", F.explode(F.sequence(F.col("i") + 1, F.col("i") + gap)).alias("j")).join(k.select(F.col("i").alias("j")), "j").select("i", "j", (1 / (1 + F.col("j") - F.col("i"))).alias("sim"))
+
+
+def _marks(spark, d):
+    """Parts as 0/1 vectors of 34: type, a third of the brand, a fifth of the size."""
+    part = table(spark, d, "part")
+    on = F.array(F.crc32(F.col("p_type").cast("binary")) % 12, 12 + F.crc32(F.col("p_brand").cast("binary")) % 12, 24 + F.floor(F.col("p_size") % 50 / 5))
+    return part.select(F.col("p_partkey").alias("ligand"), F.transform(F.sequence(F.lit(0), F.lit(33)), lambda x: F.array_contains(on, x.cast("long")).cast("double")).alias("v"))
+
+
+_NN = """{name}_seen AS (SELECT tag, {c} AS i, bool_or(fold = 'train') AS train, bool_or(fold = 'test') AS test FROM s WHERE fold IN ('train', 'test') GROUP BY ALL),
+  {name}_one AS (SELECT DISTINCT {k} AS i, {k} + g AS j, 1 / (1 + abs(g)) AS sim FROM {t}, range(-{gap}, {gap} + 1) x(g) WHERE g <> 0),
+  {name}_best AS (SELECT a.tag, a.i, CASE WHEN a.train THEN 1.0 ELSE max(CASE WHEN b.i IS NOT NULL THEN sim END) END AS near FROM {name}_seen a LEFT JOIN {name}_one p ON p.i = a.i LEFT JOIN {name}_seen b ON b.tag = a.tag AND b.i = p.j AND b.train WHERE a.test GROUP BY a.tag, a.i, a.train),
+  {name}_nn AS (SELECT tag, count(*) AS n_test_{name}s, max(coalesce(near, 0)) AS max_{name}_nn, avg(coalesce(near, 0)) AS mean_{name}_nn, avg((coalesce(near, 0) >= {at})::INT) AS "frac_test_{name}s_nn_ge_{at}", count(*) FILTER (near IS NULL) AS n_{name}_nn_below_floor, quantile_cont(coalesce(near, 0), 0.95) AS p95_{name}_nn FROM {name}_best GROUP BY tag),
+  {name}_all AS (SELECT n.*, n_train_{name}s FROM {name}_nn n JOIN (SELECT tag, count(*) AS n_train_{name}s FROM {name}_seen WHERE train GROUP BY tag) USING (tag))"""
+_LIGAND_NN = _NN.format(name="ligand", c="ligand", k="p_partkey", t="part", gap=3, at=0.4)
+_PROTEIN_NN = _NN.format(name="protein", c="protein", k="s_suppkey", t="supplier", gap=2, at=0.3)
+
+
+@query(f"{_SWEPT}, {_LIGAND_NN}, {_PROTEIN_NN} SELECT * FROM ligand_all JOIN protein_all USING (tag)")
+def sweep_neighbours(spark, d):
+    """For each tag, how like train its test entities are."""
+    folds, _, _ = swept(spark, d, _COLD)
+    one = D.neighbour_rows(folds, _near(spark, d, "part", "p_partkey", 3), "ligand", "ligand", 0.4)
+    return one.join(D.neighbour_rows(folds, _near(spark, d, "supplier", "s_suppkey", 2), "protein", "protein", 0.3), "tag")
+
+
+_SIDE = 40
+_MMD = f"""side AS (SELECT tag, system, ligand, (fold = 'test')::INT AS y, row_number() OVER (PARTITION BY tag, fold ORDER BY md5(tag || '|shift|' || system), system) AS turn FROM s WHERE fold IN ('train', 'test')),
+  m AS (SELECT tag, least(count(*) FILTER (y = 0), count(*) FILTER (y = 1)) AS m FROM side WHERE turn <= {_SIDE} GROUP BY tag),
+  x AS (SELECT side.*, m, p_type AS a, p_brand AS b, p_size % 50 // 5 AS c FROM side JOIN m USING (tag) JOIN part ON p_partkey = ligand WHERE turn <= m),
+  hashed AS (SELECT * EXCLUDE (a, b), ta AS a, tb AS b FROM x JOIN (SELECT DISTINCT p_type AS a, CRC_A AS ta FROM part) USING (a) JOIN (SELECT DISTINCT p_brand AS b, CRC_B AS tb FROM part) USING (b)),
+  k AS (SELECT p.tag, p.m, p.y AS py, q.y AS qy, ((p.a = q.a)::INT + (p.b = q.b)::INT + (p.c = q.c)::INT) AS i FROM hashed p JOIN hashed q ON q.tag = p.tag AND q.system <> p.system)
+  SELECT tag, m AS n_per_side, sum(CASE WHEN py = qy THEN i / (6 - i) / (m * (m - 1)) ELSE -i / (6 - i) / (m * m) END) AS mmd2 FROM k GROUP BY tag, m HAVING m > 1"""
+
+
+def _crc_table(values, parts):
+    import zlib
+
+    return "CASE {c} " + " ".join(f"WHEN '{v}' THEN {zlib.crc32(v.encode()) % parts}" for v in values) + " END"
+
+
+_TYPES = ("ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE")
+_MMD = _MMD.replace("CRC_A", _crc_table(_TYPES, 12).format(c="p_type")).replace("CRC_B", _crc_table([f"Brand#{i}" for i in range(100)], 12).format(c="p_brand"))
+
+
+@query(f"{_SWEPT}, {_MMD}")
+def sweep_mmd(spark, d):
+    """For each tag, MMD with the Tanimoto kernel between samples of train and test, from blocks of the kernel."""
+    folds, _, _ = swept(spark, d, _COLD)
+    sample = D.sampled_sides(folds, _SIDE).join(_marks(spark, d), "ligand")
+    null = kernel_null(numbered(sample, "y", "v", "system", ("tag",)), tanimoto, ("tag",), 1)
+    return null.filter("mmd2 IS NOT NULL").select("tag", F.col("n1").alias("n_per_side"), "mmd2")
+
+
+@query()
+def sweep_shift(spark, d):
+    """The shift row of every tag: MMD and its p value, classifier test, neighbours."""
+    folds, _, _ = swept(spark, d, _COLD)
+    return D.shift_rows(folds, _marks(spark, d), _near(spark, d, "part", "p_partkey", 3), {"near": _near(spark, d, "supplier", "s_suppkey", 2)}, most=300, permutations=100)
+
+
 # The walk of C1, for every seed and clustering of orders at once; one list for each tag holds what each cluster still has in train.
 _C1_TAGS = tuple(f"C1__p{p}__{v}__seed{s}" for p in ("1", "2") for v in ("day", "week") for s in range(3))
 _C1_ALL = f"""c AS (SELECT o_orderkey AS system, o_custkey // x.p AS pc, epoch(o_orderdate)::BIGINT // 86400 // x.v AS lc, x.tag FROM orders, (SELECT unnest([{", ".join(f"{{'tag': '{t}', 'p': {t[5]}, 'v': {1 if 'day' in t else 7}}}" for t in _C1_TAGS)}]) AS x)),
