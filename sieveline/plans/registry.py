@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import calibration_queries, contact_queries, quality_queries, reliability_queries, report_queries, selection_queries, split_queries
+from . import calibration_queries, contact_queries, matching_queries, quality_queries, reliability_queries, report_queries, selection_queries, split_queries
 
-MODULES = (contact_queries, selection_queries, split_queries, reliability_queries, calibration_queries, report_queries, quality_queries)
+MODULES = (contact_queries, selection_queries, split_queries, reliability_queries, calibration_queries, report_queries, quality_queries, matching_queries)
 
 
 def gathered(modules) -> tuple[dict, dict]:
