@@ -104,7 +104,13 @@ def leader_clusters(nodes: DataFrame, pairs: DataFrame, rounds: int = 200) -> Da
     """
     both = pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))).filter("i <> j").distinct()
     degree = both.groupBy("i").agg(F.count("*").alias("degree")).withColumnRenamed("i", "node")
-    order = cut(nodes.select("node").join(degree, "node", "left").select("node", F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), (-F.col("node")).alias("n")).alias("turn")))
+    order = nodes.select("node").join(degree, "node", "left").select("node", F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), (-F.col("node")).alias("n")).alias("turn"))
+    return clusters_in_order(order, both, rounds)
+
+
+def clusters_in_order(order: DataFrame, both: DataFrame, rounds: int = 200) -> DataFrame:
+    """leader_clusters of nodes visited in any order: (node, turn), turn a struct that orders them without ties; both: (i, j) in both directions."""
+    order = cut(order)
     edges = cut(both.join(order.withColumnRenamed("node", "i").withColumnRenamed("turn", "ti"), "i").join(order.withColumnRenamed("node", "j").withColumnRenamed("turn", "tj"), "j"))
     open_, leaders = order, None
     for _ in range(rounds):
@@ -123,5 +129,5 @@ def leader_clusters(nodes: DataFrame, pairs: DataFrame, rounds: int = 200) -> Da
     # Ids follow the order of visits.
     from .ranking import ranked
 
-    ids = ranked(leaders, [F.col("turn.d"), F.col("turn.n")], "cluster").select(F.col("node").alias("leader"), (F.col("cluster") - 1).alias("cluster"))
+    ids = ranked(leaders, [F.col(f"turn.{f.name}") for f in order.schema["turn"].dataType.fields], "cluster").select(F.col("node").alias("leader"), (F.col("cluster") - 1).alias("cluster"))
     return out.join(ids, "leader").select("node", "leader", "cluster")
