@@ -339,7 +339,7 @@ def test_language_stage_follows_its_predictions(spark, sf, monkeypatch):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = docs.limit(1).withColumn("doc_id", F.lit(10**6).cast("bigint"))
-    rows = docs.unionByName(odd.withColumn("text", F.lit("дом и сад у реки " * 9))).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 1).withColumn("text", F.lit("дом")))
+    rows = docs.unionByName(odd.withColumn("text", F.lit("дом и сад у реки " * 20))).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 1).withColumn("text", F.lit("дом")))
     out = {r["doc_id"]: r for r in C.language(spark, rows, sf).collect()}
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
     assert set(out) == set(truth) | {10**6 + 1}  # in none of the languages, or too short to tell
