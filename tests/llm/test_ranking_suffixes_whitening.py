@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sieveline.llm import ranking, suffixes, whitening
@@ -43,17 +44,33 @@ def repetitive(seed):
     return [(int(i), "".join(pieces[p] for p in rng.integers(0, len(pieces), int(rng.integers(0, 9))))) for i in rng.permutation(60)]
 
 
-@pytest.mark.parametrize(("wide", "slice_", "sorted_"), [(None, None, None), (0, 200, None), (1, 97, 50), (None, 64, 1)])
-def test_suffix_dedup(spark, monkeypatch, wide, slice_, sorted_):
-    if slice_:
-        monkeypatch.setattr(suffixes, "SLICE", slice_)
-    if sorted_:
-        monkeypatch.setattr(suffixes, "SORTED", sorted_)
+@pytest.mark.parametrize("wide", [None, 0, 1])
+def test_suffix_dedup(spark, wide):
     rows = repetitive(wide or 7) + [(100, None), (101, ""), (102, "x" * 49), (103, "x" * 50), (104, "x" * 51)]
     df = spark.createDataFrame([(i, t, "x", 1, b"b") for i, t in rows], "doc_id long, text string, k string, h int, bytes binary").repartition(5)
     assert found(suffixes.suffix_dedup(df, 50, wide=wide)) == brute_suffixes(rows, 50)
 
 
+@pytest.mark.parametrize(("slice_", "sorted_", "seed"), [(64, 1, 1), (97, 50, 2), (300, 1000, 3)])
+def test_suffix_dedup_in_small_pieces(monkeypatch, slice_, sorted_, seed):
+    """The same steps in this process, where pieces of texts and shards can be made small."""
+    monkeypatch.setattr(suffixes, "SLICE", slice_)
+    monkeypatch.setattr(suffixes, "SORTED", sorted_)
+    rows = repetitive(seed)
+    docs = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([0] * len(rows)), pa.array([t for _, t in rows])], ["id", "h", "text"])
+    packed = pa.Table.from_batches(suffixes._packed(50, 3, b"0" * 16)([docs])).sort_by("bucket")
+    found = [r for b in suffixes._compared(50, 10**6)(packed.to_batches(max_chunksize=4)) for r in b.to_pylist()]
+    spans = [(r["id"], r["lo"], r["lo"] + r["count"] + 49) for r in found if r["anchor"] is None]
+    firsts = [[{"anchor": r["anchor"], "lo": r["lo"], "count": r["count"], "wide": False} for r in found if r["id"] == i and r["anchor"] is not None] for i, _ in rows]
+    cut = pa.Table.from_batches(suffixes._fragments(50)([docs.append_column("firsts", pa.array(firsts))])).sort_by("anchor")
+    shard = cut.add_column(0, "shard", pa.array([0] * len(cut)))
+    spans += [(r["id"], r["start"], r["stop"]) for b in suffixes._covered(50, 12345)(shard.to_batches(max_chunksize=3)) for r in b.to_pylist()]
+    for i, n, gone, _, digest in brute_suffixes(rows, 50):
+        raw = dict(rows)[i].encode()
+        cover = {x for j, a, z in spans if j == i for x in range(a, z)}
+        assert (len(raw), len(cover)) == (n, gone) and hashlib.sha256(bytes(c for x, c in enumerate(raw) if x not in cover)).hexdigest() == digest
+
+
 def test_suffix_dedup_of_repeated_and_missing_ids(spark):
     one, two = "the quick brown fox jumps over the lazy dog again and again ", "pack my box with five dozen liquor jugs, said the man in the hat "
     rows = [(5, one * 2), (5, one * 2), (5, one + two), (3, two), (None, one), (None, two), (9, one + "z" + two), (9, one), (None, None)]
@@ -76,7 +93,9 @@ def test_suffix_sort(monkeypatch):
         assert new.tolist() == [x == 0 or want[x] != want[x - 1] for x in range(len(want))]
 
 
-def test_segments_cover_each_window_once():
+@pytest.mark.parametrize("slice_", [64, 97, 500, 1 << 19])
+def test_segments_cover_each_window_once(monkeypatch, slice_):
+    monkeypatch.setattr(suffixes, "SLICE", slice_)
     texts = ["a" * 500, "", "short", "".join(chr(97 + i * i % 26) for i in range(700)), "é" * 60]
     raw = [t.encode() for t in texts]
     offs = np.cumsum([0, *map(len, raw)])
