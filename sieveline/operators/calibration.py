@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import stable_order
 from .iterate import cut
+from .quantiles import quantiles
 
 
 def balanced_folds(rows: DataFrame, group: str, folds: int = 5) -> DataFrame:
@@ -123,7 +124,7 @@ def transfer(rows: DataFrame, x: str, y: str, before: Column) -> DataFrame:
 
 def coverage_by_group(rows: DataFrame, x: str, residual: str, half_width: DataFrame, groups: int = 10) -> DataFrame:
     """(group, n, covered): the share of residuals within the half-width by quantile group of x. half_width: one row."""
-    edges = rows.agg(F.percentile(x, [i / groups for i in range(1, groups)]).alias("_e"))
+    edges = quantiles(rows, x, [i / groups for i in range(1, groups)]).toDF("_e")
     out = rows.crossJoin(F.broadcast(edges)).crossJoin(F.broadcast(half_width.toDF("_h")))  # single rows
     return out.groupBy(F.size(F.filter("_e", lambda e: e < F.col(x))).alias("group")).agg(F.count("*").alias("n"), F.avg((F.col(residual) <= F.col("_h")).cast("int")).alias("covered"))
 
@@ -137,7 +138,7 @@ def density_ratio(source: DataFrame, target: DataFrame, x: str, knots: int = 4)
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     both = source.select(F.col(x).cast("double").alias("x"), F.lit(0.0).alias("t")).unionByName(target.select(F.col(x).cast("double").alias("x"), F.lit(1.0).alias("t")))
-    edges = both.agg(F.percentile("x", [i / (knots + 1) for i in range(1, knots + 1)]).alias("e")).first()["e"]
+    edges = quantiles(both, "x", [i / (knots + 1) for i in range(1, knots + 1)]).first()["quantiles"]
     basis = lambda c: array_to_vector(F.array(c, *[F.greatest(c - e, F.lit(0.0)) for e in edges]))
     model = LogisticRegression(featuresCol="_f", labelCol="t", probabilityCol="_p", regParam=1e-4, maxIter=200).fit(both.withColumn("_f", basis(F.col("x"))))
     p = vector_to_array("_p")

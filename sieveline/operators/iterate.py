@@ -61,6 +61,12 @@ def cut(df: DataFrame, what: str = "round") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to as many tasks as the cluster runs at once, if a small source comes in fewer; a larger one stays as it is read."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(most) if df.rdd.getNumPartitions() < most else df
+
+
 def removed(*tables: DataFrame) -> None:
     """Delete the folders of tables that cut() wrote, whatever store holds them; nothing may still read them."""
     for df in tables:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dot, norm, stable_fold, stable_order
 from .calibration import balanced_sample, binomial_tail, poisson_weight
 from .iterate import cut
+from .quantiles import order_statistics, quantile, quantiles
 from .ranking import ranked, running_sums
 
 
@@ -208,10 +211,13 @@ def first_component(df: DataFrame, vector: str, key: str) -> DataFrame:
 
 def half_widths(df: DataFrame, residual: str, coverage: float = 0.9) -> DataFrame:
     """Conformal half-width by two formulas: the interpolated quantile, and the ceil((n + 1) * coverage)-th residual."""
-    rows = ranked(df.select(residual).filter(F.col(residual).isNotNull()), [F.col(residual)], "_turn")
-    n = df.agg(F.count(residual).alias("_n"), F.percentile(residual, coverage).alias("interpolated"))
-    at = F.least(F.ceil((F.col("_n") + 1) * F.lit(coverage)), F.col("_n"))
-    return rows.crossJoin(F.broadcast(n)).filter(F.col("_turn") == at).select("interpolated", F.col(residual).alias("order_statistic"))  # one row
+    rows = df.select(F.col(residual).cast("double").alias("x")).filter("x IS NOT NULL")
+    n = rows.count()
+    if not n:
+        return df.select(F.lit(None).cast("double").alias("interpolated"), F.lit(None).cast("double").alias("order_statistic")).limit(0)
+    at = min(math.ceil((n + 1) * coverage), n) - 1
+    one = order_statistics(rows, df.sparkSession.range(1).select(F.lit(at).cast("long").alias("r")))
+    return quantile(df, residual, coverage, "interpolated").crossJoin(one.select(F.col("value").alias("order_statistic")))  # single rows
 
 
 def baselines(df: DataFrame, x: str, y: str, key: str, folds: int = 5) -> DataFrame:
@@ -231,7 +237,7 @@ def fixed_bins(df: DataFrame, p: str, y: str, bins: int, least: int) -> DataFram
 
 def quantile_bins(df: DataFrame, p: str, y: str, bins: int) -> DataFrame:
     """Mean, spread and gap in bins between distinct quantiles of p, closed on the right."""
-    edges = df.agg(F.array_distinct(F.percentile(p, [i / bins for i in range(bins + 1)])).alias("edges"))
+    edges = quantiles(df, p, [i / bins for i in range(bins + 1)]).select(F.array_distinct("quantiles").alias("edges"))
     b = F.greatest(F.size(F.filter("edges", lambda e: e < F.col(p))), F.lit(1))
     rows = df.crossJoin(F.broadcast(edges)).withColumn("bin", b)
     return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("predicted"), F.avg(y).alias("observed"), (1.96 * F.stddev(y) / F.sqrt(F.count("*"))).alias("half_width"), F.abs(F.avg(p) - F.avg(y)).alias("gap"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import stable_order
 from .iterate import connected_components, cut
+from .quantiles import quantiles
 from .ranking import ranked
 
 FOLDS = ("train", "val", "test")
@@ -161,7 +162,7 @@ def temporal(df: DataFrame, date: str, val_start: str | None = None, test_start:
     """
     t = F.unix_micros(F.col(date).cast("timestamp"))
     if val_start is None:
-        cuts = df.agg(*[F.percentile(t, q).alias(n) for q, n in ((low, "val_start"), (high, "test_start"))])
+        cuts = quantiles(df, t, [low, high]).select(*[F.col("quantiles")[i].alias(n) for i, n in enumerate(("val_start", "test_start"))])
     else:
         if not val_start <= test_start:
             raise ValueError(f"val begins {val_start}, after test: {test_start}")

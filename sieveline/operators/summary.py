@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import cut
+from .quantiles import quantile, quantiles
 from .ranking import ranked, running_sums
 
 
@@ -54,11 +56,22 @@ def scaffold_clusters(df: DataFrame, key: str, empty: str = "group") -> DataFram
 
 def stratified(df: DataFrame, strata: list[str], value: str, below: float) -> DataFrame:
     """Rows, median and share below a limit by every stratum and over all: grouping sets, one pass."""
-    return df.cube(*strata).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median"), F.avg((F.col(value) < below).cast("int")).alias("share_below"))
+    out = cut(df.cube(*strata).agg(F.grouping_id().alias("_id"), F.count("*").alias("n"), F.avg((F.col(value) < below).cast("int")).alias("share_below")))
+    # A row once for each set of strata, with nulls for the others, as cube() has them.
+    sets = [tuple(i >> len(strata) - 1 - k & 1 for k in range(len(strata))) for i in range(1 << len(strata))]
+    dropped = lambda c, off: F.lit(None).cast(df.schema[c].dataType) if off else F.col(c)
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("_id"), *[dropped(c, off).alias(c) for c, off in zip(strata, s, strict=True)]) for i, s in enumerate(sets)])).alias("_s")
+    median = quantile(df.select(F.col(value).alias("_v"), each).select("_v", "_s.*"), "_v", 0.5, "median", ("_id", *strata))
+    same = F.col("a._id") == F.col("b._id")
+    for c in strata:
+        same = same & F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))
+    return out.alias("a").join(median.alias("b"), same, "left").select(*[F.col(f"a.`{c}`") for c in strata], "a.n", "b.median", "a.share_below")
 
 
 def spread(df: DataFrame, by: str, value: str) -> DataFrame:
-    return df.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.95).alias("p95"), F.max(value).alias("largest"))
+    out = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("largest"))
+    q = quantiles(df, value, [0.5, 0.95], (by,)).select(F.col(by).alias("_by"), F.col("quantiles")[0].alias("median"), F.col("quantiles")[1].alias("p95"))
+    return out.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mean", "median", "p95", "largest")
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:

@@ -8,7 +8,7 @@ from ..operators import entities as E
 from ..operators import selection as S
 from ..operators import similarity as G
 from ..operators.iterate import connected_components as components
-from ..operators.iterate import leader_clusters
+from ..operators.iterate import leader_clusters, spread
 from .fixtures import CONTACTS_SQL, SYSTEMS_SQL, contacts, systems, table
 
 Q, O = {}, {}  # noqa: E741
@@ -197,7 +197,7 @@ _PAIRS = _FEATURES + ", c AS (SELECT a.id AS i, b.id AS j, count(*) AS c FROM fe
 def shingles(df, key):
     """(id, feature) for each three words of a text that stand in a row."""
     words = F.filter(F.split("text", "[ \n\t]+"), lambda x: x != "")
-    rows = df.select(F.col(key).alias("id"), words.alias("w")).filter(F.size("w") > 2)
+    rows = spread(df.select(key, "text")).select(F.col(key).alias("id"), words.alias("w")).filter(F.size("w") > 2)
     at = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda k: F.concat_ws(" ", F.get("w", k), F.get("w", k + 1), F.get("w", k + 2)))
     number = F.conv(F.substring(F.md5(F.col("s").cast("binary")), 1, 7), 16, 10).cast("bigint")
     return rows.select("id", F.explode(at).alias("s")).select("id", number.alias("feature"))
