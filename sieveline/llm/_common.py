@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.iterate import connected_components as components
 from ..operators.iterate import cut as saved
-from ..operators.iterate import removed, shared_folder
+from ..operators.iterate import removed, shared_folder, spread
 
 __all__ = ["components", "fresh_dir", "in_batches", "keyed", "partitions", "removed", "saved", "sized", "text_hash"]
 
@@ -36,7 +36,7 @@ def sized(rows: DataFrame, weight: str = "1") -> DataFrame:
 
 
 def in_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
-    """The same rows; from now on the session sends them to Python in Arrow batches of so many bytes at most.
+    """The same rows, of a small source dealt to all cores; from now on the session sends them to Python in Arrow batches of so many bytes at most.
 
     Batches are bounded by rows alone otherwise, or by 64 MB, which a few
     workers and the buffers of their executor multiply.  A smaller bound stays.
@@ -45,7 +45,7 @@ def in_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
     now = df.sparkSession.conf.get(key, None)
     if now is None or not now.isdigit() or not 0 < int(now) <= most:
         df.sparkSession.conf.set(key, str(most))
-    return df
+    return spread(df)
 
 
 def text_hash(text: F.Column) -> F.Column:
