@@ -122,6 +122,19 @@ def transfer(rows: DataFrame, x: str, y: str, before: Column) -> DataFrame:
     return scored.groupBy(F.when(F.col("_before"), "before").otherwise("after").alias("era")).agg(F.count("*").alias("n"), F.avg(F.abs(F.col(y) - F.col("predicted"))).alias("mae"), F.avg(F.abs(F.col(y) - F.col("constant"))).alias("mae_constant"))
 
 
+def accuracy_by_era(scores: DataFrame, arm: str, accuracy: str, before: Column, key: str, rounds: int = 200) -> DataFrame:
+    """(arm, n_before, n_after, before, after, difference, low, high): each arm's mean accuracy before and after a date, their difference, and its interval from whole keys drawn with replacement."""
+    from .resampling import resampled
+
+    rows = cut(scores.select(F.col(arm).alias("arm"), F.col(key).alias("_k"), F.col(accuracy).cast("double").alias("_a"), F.when(before, "before").otherwise("after").alias("_era")).filter("_a IS NOT NULL"))
+    mean = lambda e: F.avg(F.when(F.col("_era") == e, F.col("_a")))
+    seen = rows.groupBy("arm").agg(*[F.count_if(F.col("_era") == e).alias(f"n_{e}") for e in ("before", "after")], mean("before").alias("before"), mean("after").alias("after"))
+    tried = resampled(rows.withColumn("_n", F.lit(1)), "_k", ["_a", "_n"], ("arm", "_era"), rounds)
+    at = lambda e: F.sum(F.when(F.col("_era") == e, F.col("_a"))) / F.nullif(F.sum(F.when(F.col("_era") == e, F.col("_n"))), F.lit(0.0))
+    gaps = tried.groupBy("arm", "b").agg((at("after") - at("before")).alias("_d"))
+    return seen.withColumn("difference", F.col("after") - F.col("before")).join(_interval(gaps, "_d", "arm"), "arm", "left")
+
+
 def coverage_by_group(rows: DataFrame, x: str, residual: str, half_width: DataFrame, groups: int = 10) -> DataFrame:
     """(group, n, covered): the share of residuals within the half-width by quantile group of x. half_width: one row."""
     edges = quantiles(rows, x, [i / groups for i in range(1, groups)]).toDF("_e")

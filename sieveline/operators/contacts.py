@@ -24,17 +24,19 @@ def distance_join(residues: DataFrame, ligand: DataFrame, cutoff: float = 15.0)
     return out.filter(F.col("d_min") <= cutoff)
 
 
+def _cells_around(cutoff: float) -> Column:
+    """The 27 cells as wide as the cutoff around a point, as structs cx, cy, cz."""
+    cell = lambda c: F.floor(F.col(c) / cutoff)
+    return F.array(*[F.struct(*[(cell(c) + d).alias(f"c{c}") for c, d in zip(XYZ, (i, j, k), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+
+
 def distance_join_grid(residues: DataFrame, ligand: DataFrame, cutoff: float = 15.0) -> DataFrame:
     """The rows of distance_join by way of cells as wide as the cutoff: each ligand atom goes to the 27 cells around it.
 
     For systems with many atoms; anchors are joined afterwards, as an anchor may lie outside the neighbouring cells.
     """
-    def cell(c: str) -> Column:
-        return F.floor(F.col(c) / cutoff)
-
-    around = F.array(*[F.struct(*[(cell(c) + d).alias(f"c{c}") for c, d in zip(XYZ, (i, j, k), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    left = residues.select("system", "res_row", *[cell(c).alias(f"c{c}") for c in XYZ], *[F.col(c).alias(f"r{c}") for c in XYZ])
-    right = ligand.select("system", "atom_idx", *XYZ, F.inline(around))
+    left = residues.select("system", "res_row", *[F.floor(F.col(c) / cutoff).alias(f"c{c}") for c in XYZ], *[F.col(c).alias(f"r{c}") for c in XYZ])
+    right = ligand.select("system", "atom_idx", *XYZ, F.inline(_cells_around(cutoff)))
     d = F.sqrt(squared_distance([F.col(f"r{c}") for c in XYZ], [F.col(c) for c in XYZ]))
     near = left.join(right, ["system", *[f"c{c}" for c in XYZ]]).withColumn("d", d).filter(F.col("d") <= cutoff)
     hits = near.groupBy("system", "res_row", "atom_idx").agg(F.min("d").alias("d_min"))
@@ -88,10 +90,15 @@ def pocket_extension(residues: DataFrame, pocket: DataFrame, centre: DataFrame,
 
 
 def shell_atoms(atoms: DataFrame, ligand: DataFrame, cutoff: float = 15.0) -> DataFrame:
-    """Atoms (system, atom_id, x, y, z) whose least distance to the ligand is within the cutoff."""
-    left = atoms.select("system", "atom_id", *[F.col(c).alias(f"r{c}") for c in XYZ])
+    """Atoms (system, atom_id, x, y, z) whose least distance to the ligand is within the cutoff.
+
+    Atoms meet the ligand's in cells as wide as the cutoff, so atoms far from it meet none.
+    """
+    left = atoms.select("system", "atom_id", *[F.floor(F.col(c) / cutoff).alias(f"c{c}") for c in XYZ], *[F.col(c).alias(f"r{c}") for c in XYZ])
+    right = ligand.select("system", *XYZ, F.inline(_cells_around(cutoff)))
     d = F.sqrt(squared_distance([F.col(f"r{c}") for c in XYZ], [F.col(c) for c in XYZ]))
-    return left.join(ligand.select("system", *XYZ), "system").groupBy("system", "atom_id").agg(F.min(d).alias("d_min")).filter(F.col("d_min") <= cutoff)
+    near = left.join(right, ["system", *[f"c{c}" for c in XYZ]]).withColumn("d", d).filter(F.col("d") <= cutoff)
+    return near.groupBy("system", "atom_id").agg(F.min("d").alias("d_min"))
 
 
 def residue_minimum(contacts: DataFrame) -> DataFrame:

@@ -91,3 +91,51 @@ def remapped(predicted: DataFrame, deposited: DataFrame) -> DataFrame:
     per = rows.groupBy("system").agg(F.count("row").alias("rows"), F.count_distinct("row").alias("distinct_rows"), F.min("row").alias("low"), F.max("row").alias("high"), F.coalesce(F.bool_and("inside"), F.lit(False)).alias("inside"))
     ok = F.col("inside") & (F.col("rows") == F.col("n")) & (F.col("distinct_rows") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1)
     return per.join(total, "system").select("system", "rows", ok.alias("is_permutation"))
+
+
+def consistency_report(base: DataFrame, key: str, sources: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """(source, column, rows, known, agree, share): for every source and column, base's rows whose key it knows, and those it agrees on.
+
+    Sources have the key once, and some of the columns; nulls agree with nulls.
+    A source that has none of the columns, or a key twice, is an error.
+    """
+    out = None
+    for name, source in sources.items():
+        mine = [c for c in columns if c in source.columns]
+        if not mine:
+            raise JoinError(f"{name} has none of {columns}")
+        twice = source.groupBy(key).count().filter("count > 1").limit(5).collect()
+        if twice:
+            raise JoinError(f"{name} has keys twice: {[r[key] for r in twice]}")
+        s = source.select(key, F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in mine])
+        both = base.join(s, key, "left").agg(F.count("*").alias("rows"), F.count("_known").alias("known"), *[F.count_if(F.col("_known") & F.col(c).eqNullSafe(F.col(f"_{c}"))).alias(f"_{c}") for c in mine])
+        one = both.select("rows", "known", F.inline(F.array(*[F.struct(F.lit(name).alias("source"), F.lit(c).alias("column"), F.col(f"_{c}").alias("agree")) for c in mine])))
+        one = one.select("source", "column", "rows", "known", "agree", (F.col("agree") / F.nullif(F.col("known"), F.lit(0))).alias("share"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def require_consistency(base: DataFrame, key: str, sources: dict[str, DataFrame], columns: list[str], complete: bool = True) -> DataFrame:
+    """The report, or JoinError: every source agrees with base on all it knows, and, if complete, knows every row."""
+    rows = consistency_report(base, key, sources, columns).collect()
+    bad = [r.asDict() for r in rows if r["agree"] < r["known"] or (complete and r["known"] < r["rows"])]
+    if bad:
+        raise JoinError(f"sources disagree: {bad}")
+    return base.sparkSession.createDataFrame(rows, "source string, column string, rows bigint, known bigint, agree bigint, share double")
+
+
+def remap_problems(predicted: DataFrame, deposited: DataFrame) -> DataFrame:
+    """(system, chain, problem) where chains can't be told by their names: unknown, repeated or lacking ones, and those whose length or sequence differs.
+
+    Both: system, chain, sequence.
+    """
+    sides = []
+    for df, c in ((predicted, "p"), (deposited, "d")):
+        sides.append(df.groupBy("system", "chain").agg(F.count("*").alias(f"n_{c}"), F.first("sequence").alias(f"s_{c}")))
+    both = sides[0].join(sides[1], ["system", "chain"], "full")
+    rules = [
+        ("unknown", F.col("n_d").isNull()), ("lacking", F.col("n_p").isNull()), ("repeated", (F.coalesce("n_p", F.lit(0)) > 1) | (F.coalesce("n_d", F.lit(0)) > 1)),
+        ("length", F.length("s_p") != F.length("s_d")), ("sequence", ~F.col("s_p").eqNullSafe(F.col("s_d"))),
+    ]
+    problem = F.coalesce(*[F.when(test, F.lit(name)) for name, test in rules])
+    return both.select("system", "chain", problem.alias("problem")).filter("problem IS NOT NULL")

@@ -89,10 +89,10 @@ def resampled(df: DataFrame, key: str, values: list[str], by: tuple[str, ...] =
     """
     per = df.groupBy(key, *by).agg(*[F.coalesce(F.sum(F.col(v).cast("double")), F.lit(0.0)).alias(v) for v in values])
     per = cut(per)
-    numbers = cut(ranked(per.select(key).distinct(), [F.col(key)], "_n"))
+    numbers = cut(ranked(per.select(key).distinct(), [F.col(key)], "_number"))
     n = numbers.count()
-    rows = per.join(numbers, key).select(*by, *values, (F.col("_n") - 1).alias("_n"))
-    rows = rows.repartitionByRange("_n").sortWithinPartitions("_n")
+    rows = per.join(numbers, key).select(*by, *values, (F.col("_number") - 1).alias("_number"))
+    rows = rows.repartitionByRange("_number").sortWithinPartitions("_number")
     kinds = "".join(f"`{c}` {per.schema[c].dataType.simpleString()}, " for c in by)
     parts = rows.mapInArrow(_summed(n, rounds, seed, len(by), len(values), block), f"{kinds}b long, " + ", ".join(f"`{v}` double" for v in values))
     return parts.groupBy(*by, "b").agg(*[F.sum(v).alias(v) for v in values])

@@ -157,3 +157,9 @@ def summary(index: DataFrame, test_fraction: float = FRACTIONS[2]) -> DataFrame:
     """For each family, over its tags: how many, mean and least test size as a share, mean share of excluded systems, tags with under half the test fraction."""
     share = F.col("n_test") / F.col("n_systems")
     return index.groupBy("family").agg(F.count("*").alias("tags"), F.avg(share).alias("mean_test_share"), F.min(share).alias("least_test_share"), F.avg(F.col("n_excluded") / F.col("n_systems")).alias("mean_excluded_share"), F.count_if(share < 0.5 * test_fraction).alias("underpowered"))
+
+
+def seed_pivot(index: DataFrame) -> DataFrame:
+    """For each family and ligand variant, over thresholds and seeds: mean sizes of the folds, the test fold's share and the share of systems that are kept."""
+    kept = 1 - F.col("n_excluded") / F.col("n_systems")
+    return index.groupBy("family", "ligand_variant").agg(F.count("*").alias("tags"), *[F.avg(f"n_{f}").alias(f"mean_{f}") for f in (*FOLDS, "excluded")], F.avg(F.col("n_test") / F.col("n_systems")).alias("test_share"), F.avg(kept).alias("retained_share"))

@@ -160,6 +160,33 @@ def job_entities(texts: DataFrame, key: str, column: str = "value") -> DataFrame
     return texts.select(key, column).mapInArrow(run, f"`{key}` {kind}, entity int, kind string, sequence string, chains int, has_msa boolean")
 
 
+def job_texts(chains: DataFrame, key: str) -> DataFrame:
+    """(key, value): a whole YAML job input for each key, from its chains (key, chain, kind, sequence, msa), in the order of chains; job_entities() reads it.
+
+    Chains of one kind and sequence are one entity with several ids.  msa, if
+    not null, is the path that is written for a protein.
+    """
+    q = lambda c: F.to_json(F.struct(F.col(c).alias("v")))  # noqa: E731  # a quoted string is the same in YAML and JSON
+    text = lambda c: F.regexp_extract(q(c), r'^\{"v":(.*)\}$', 1)
+    body = F.when(F.lower("kind") == "ligand", F.concat(F.lit("      smiles: "), text("sequence"), F.lit("\n"))).otherwise(F.concat(F.lit("      sequence: "), text("sequence"), F.lit("\n")))
+    per = chains.groupBy(key, "kind", "sequence").agg(F.min("chain").alias("first"), F.array_sort(F.collect_list("chain")).alias("ids"), F.max("msa").alias("msa"))
+    msa = F.when(F.col("msa").isNotNull() & (F.lower("kind") == "protein"), F.concat(F.lit("      msa: "), text("msa"), F.lit("\n"))).otherwise("")
+    ids = F.concat(F.lit("      id: "), F.to_json("ids"), F.lit("\n"))
+    item = F.concat(F.lit("  - "), F.lower("kind"), F.lit(":\n"), ids, body, msa)
+    items = per.select(key, F.struct("first", item.alias("item")).alias("i")).groupBy(key).agg(F.array_sort(F.collect_list("i")).alias("items"))
+    return items.select(key, F.concat(F.lit("version: 1\nsequences:\n"), F.array_join(F.transform("items", lambda x: x["item"]), "")).alias("value"))
+
+
+def write_texts(texts: DataFrame, key: str, path: str) -> None:
+    """One folder for each key with its text: partitioned by the key, so that a lost task is written again."""
+    texts.select(F.col(key).cast("string").alias("key"), "value").write.partitionBy("key").mode("overwrite").option("lineSep", "\u0000").text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of what write_texts() wrote; a key is a string, also if all look like numbers."""
+    return spark.read.schema("value string, key string").option("lineSep", "\u0000").text(path).select("key", "value")
+
+
 def within_lengths(chains: DataFrame, by: str, sequence: str, least: int = 10, most: int = 800, longest: int | None = None) -> DataFrame:
     """(by, total, longest) of the groups whose summed length is within bounds, or whose longest chain is, if that bound is given."""
     per = chains.groupBy(by).agg(F.sum(F.length(sequence)).alias("total"), F.max(F.length(sequence)).alias("longest"))
