@@ -52,6 +52,19 @@ def parser() -> argparse.ArgumentParser:
     for a, d in (("x", "agreement"), ("y", "accuracy"), ("group", "system")):
         s.add_argument(f"--{a}", default=d)
     s.add_argument("--folds", type=int, default=5)
+    s = add("sweep", "all splits of entities (system, protein, ligand) over clusterings of proteins and ligands; folds, audit and index go to the folder", "entities", "proteins", "ligands", "out")
+    s.add_argument("--families", nargs="*", default=["C1", "C2p", "C2l", "C3", "C3comp"])
+    s.add_argument("--protein-thresholds", nargs="*")
+    s.add_argument("--ligand-variants", nargs="*")
+    s.add_argument("--seeds", nargs="*", type=int, default=[0, 1, 2, 3, 4])
+    s.add_argument("--fractions", type=_fractions, default=(0.8, 0.1, 0.1))
+    add("validate", "problems of a sweep that was written; exits with 1 if there are any", "sweep")
+    s = add("shift", "the shift row of every split of a sweep, from vectors (ligand, v) and pairs (i, j, sim) of ligands and proteins", "sweep", "vectors", "ligand_pairs", "protein_pairs", "out")
+    s.add_argument("--n-sample", type=int, default=1500)
+    s.add_argument("--n-perm", type=int, default=200)
+    s = add("sequences", "greedy clusters of sequences (id, s) by identity", "sequences", "out")
+    s.add_argument("--identity", type=float, default=0.5)
+    add("manifest", "files of a folder against its sha256 manifest; exits with 1 if one fails", "folder", "manifest")
     s = sub.add_parser("dictionary", help="a Markdown dictionary of tables' fields")
     s.add_argument("tables", nargs="+")
     return p
@@ -112,6 +125,43 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         scored = calibration.out_of_fold(rows.join(calibration.balanced_folds(rows, a.group, a.folds), a.group), a.x, a.y)
         write(scored, a.out)
         calibration.skill(read(a.out), a.y).show(truncate=False)
+    elif a.what == "sweep":
+        from .operators import sweep
+
+        proteins, ligands = read(a.proteins), read(a.ligands)
+        names = lambda df, c: sorted(r[0] for r in df.select(c).distinct().collect())  # noqa: E731  # settings, not rows
+        wanted = sweep.tags(spark, a.families, a.protein_thresholds or names(proteins, "protein_threshold"), a.ligand_variants or names(ligands, "ligand_variant"), a.seeds)
+        audit = sweep.contexts(read(a.entities), proteins, ligands, wanted)
+        sweep.write_sweep(sweep.sweep(audit, wanted, a.fractions), wanted, audit, a.out)
+        sweep.summary(sweep.read_sweep(spark, a.out)[2], a.fractions[2]).show(truncate=False)
+    elif a.what == "validate":
+        from .operators import sweep
+
+        problems = sweep.validate_sweep(*sweep.read_sweep(spark, a.sweep)).orderBy("tag", "problem").limit(100).collect()
+        if problems:
+            raise SystemExit("\n".join(f"{r['tag']}: {r['problem']}" for r in problems))
+    elif a.what == "shift":
+        from .operators import sweep, sweep_shift
+
+        folds, audit, index = sweep.read_sweep(spark, a.sweep)
+        full = folds.join(index.select("tag", *sweep.CONTEXT), "tag").join(audit, [*sweep.CONTEXT, "system"]).select("tag", "system", "protein", "ligand", "fold")
+        write(index.join(sweep_shift.shift_rows(full, read(a.vectors), read(a.ligand_pairs), {"identity": read(a.protein_pairs)}, a.n_sample, a.n_perm), "tag"), a.out)
+    elif a.what == "sequences":
+        from .operators import sequences
+
+        rows = read(a.sequences)
+        write(sequences.require_cover(sequences.sequence_clusters(rows, a.identity), rows), a.out)
+        sequences.cluster_report(read(a.out)).show(truncate=False)
+    elif a.what == "manifest":
+        from pyspark.sql import functions as F
+
+        from .sources import formats
+
+        files = formats.file_hashes(spark, a.folder).select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("sha256").alias("is"))
+        listed = formats.manifest(spark.read.text(a.manifest))
+        bad = listed.join(files, "path", "full").filter(~F.col("sha256").eqNullSafe(F.col("is"))).orderBy("path").limit(100).collect()
+        if bad or listed.isEmpty():
+            raise SystemExit("\n".join(f"{r['path']}: {'unlisted' if r['sha256'] is None else 'missing' if r['is'] is None else 'differs'}" for r in bad) or "nothing is listed")
     else:
         from .operators.reports import dictionary
 

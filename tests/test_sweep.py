@@ -239,3 +239,44 @@ def test_shift_rows(spark, parts):
             assert r[f"max_{name}_nn"] == pytest.approx(max(near)) and r[f"mean_{name}_nn"] == pytest.approx(np.mean(near)) and r[f"p95_{name}_nn"] == pytest.approx(np.percentile(near, 95))
             assert r[f"frac_test_{name}s_nn_ge_{at}"] == pytest.approx(np.mean(np.array(near) >= at))
     assert math.isfinite(got["C1__p0.30__a__seed0"]["c2st_auc"])
+
+
+def test_command_line(spark, parts, tmp_path):
+    from sieveline.__main__ import main
+
+    entities, proteins, ligands, *_ = parts
+    at = lambda x: str(tmp_path / x)
+    for name, df in (("e", entities), ("p", proteins), ("l", ligands)):
+        df.write.parquet(at(name))
+    main(["sweep", at("e"), at("p"), at("l"), at("s"), "--families", "C2p", "C3", "--ligand-variants", "a", "--seeds", "3"], spark)
+    main(["validate", at("s")], spark)
+    names = entities.select("ligand").distinct()
+    names.select("ligand", F.array(F.lit(1.0), (F.crc32(F.col("ligand").cast("binary")) % 2).cast("double")).alias("v")).write.parquet(at("v"))
+    spark.createDataFrame([], "i string, j string, sim double").write.parquet(at("lp"))
+    spark.createDataFrame([], "i long, j long, sim double").write.parquet(at("pp"))
+    main(["shift", at("s"), at("v"), at("lp"), at("pp"), at("r"), "--n-sample", "20", "--n-perm", "10"], spark)
+    assert spark.read.parquet(at("r")).filter("measurable AND mmd_p > 0").count() == 4
+    spark.createDataFrame([(1, "aaaaa"), (2, "aaaab"), (3, "zzzzz")], "id long, s string").write.parquet(at("q"))
+    main(["sequences", at("q"), at("c"), "--identity", "0.8"], spark)
+    assert {(r["id"], r["representative"]) for r in spark.read.parquet(at("c")).collect()} == {(1, 1), (2, 1), (3, 3)}
+    folds = spark.read.parquet(at("s") + "/folds")
+    folds.limit(1).select("system", "fold", "tag").write.partitionBy("tag").mode("append").parquet(at("s") + "/folds")
+    with pytest.raises(SystemExit, match="repeated"):
+        main(["validate", at("s")], spark)
+
+
+def test_manifest_command(spark, tmp_path):
+    import hashlib
+
+    from sieveline.__main__ import main
+
+    (tmp_path / "d").mkdir()
+    for n in "ab":
+        (tmp_path / "d" / n).write_text(n * 3)
+    lines = [f"{hashlib.sha256((n * 3).encode()).hexdigest()}  {n}" for n in "ab"]
+    (tmp_path / "m").write_text("\n".join(lines))
+    main(["manifest", str(tmp_path / "d"), str(tmp_path / "m")], spark)
+    (tmp_path / "d" / "a").write_text("other")
+    (tmp_path / "d" / "c").write_text("new")
+    with pytest.raises(SystemExit, match="a: differs\nc: unlisted"):
+        main(["manifest", str(tmp_path / "d"), str(tmp_path / "m")], spark)
