@@ -297,7 +297,9 @@ def identity_to_train(spark, d):
   fin AS (SELECT unnest(lab) AS lead, generate_subscripts(lab, 1) AS t FROM run WHERE k = len(lab))
   SELECT a.node, l.node AS leader, dense_rank() OVER (ORDER BY fin.lead) - 1 AS cluster FROM fin JOIN turn a ON a.t = fin.t JOIN turn l ON l.t = fin.lead""")
 def butina(spark, d):
-    return leader_clusters(_features(spark, d).select(F.col("id").alias("node")).distinct(), _pairs(spark, d))
+    words = F.filter(F.split("text", "[ \n\t]+"), lambda x: x != "")
+    nodes = table(spark, d, "documents").filter(F.size(words) > 2).select(F.col("doc_id").alias("node")).distinct()  # texts that have a shingle
+    return leader_clusters(nodes, _pairs(spark, d))
 
 
 _EDGES = "edges AS (SELECT DISTINCT o_custkey AS a, l_partkey + 1000000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
