@@ -1,6 +1,6 @@
 """Exact order statistics by refining counted ranges, so that no task keeps or sorts all values.
 
-A group of few rows is sorted as it is.  For a larger one, a round takes
+A group of bounded size is sorted as it is.  For a larger one, a round takes
 splitters from the values between two bounds (an approximate sketch of bounded
 size), counts the values at and between splitters, and goes on between the two
 that enclose the wanted rank.  Splitters are values of the data, so each round
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .iterate import cut, removed
 
-#: Values that are sorted in one place.
-SMALL = 10_000
+#: Values that are sorted in one place; and those of a group that percentile() may hold at once, some 25 MB.
+SMALL, DIRECT = 10_000, 250_000
 #: Splitters of a round, and the accuracy of the sketch that gives them.
 SPLITTERS, ACCURACY = 64, 10_000
 
@@ -65,9 +65,9 @@ def quantiles(df: DataFrame, value: str | Column, at: list[float], by: tuple[str
     value = F.col(value) if isinstance(value, str) else value
     names = [f"g{i}" for i in range(len(by))]
     rows = df.select(*[F.col(c).alias(g) for c, g in zip(by, names, strict=True)], value.cast("double").alias("x")).filter("x IS NOT NULL")
-    small = SMALL if small is None else small
+    direct, small = (DIRECT, SMALL) if small is None else (small, small)
     most = rows.groupBy(*names).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    if most <= small:
+    if most <= direct:
         out = rows.groupBy(*names).agg(F.percentile("x", at).alias("quantiles"))
         return out.toDF(*by, "quantiles")
     # Null groups are groups as well; a number stands for each.
