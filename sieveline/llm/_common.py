@@ -35,17 +35,19 @@ def sized(rows: DataFrame, weight: str = "1") -> DataFrame:
     return F.broadcast(rows) if n <= BROADCAST_ROWS else rows.hint("merge")
 
 
-def in_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+def in_batches(df: DataFrame, most: int = 4 << 20, deal: bool = True) -> DataFrame:
     """The same rows, of a small source dealt to all cores; from now on the session sends them to Python in Arrow batches of so many bytes at most.
 
     Batches are bounded by rows alone otherwise, or by 64 MB, which a few
     workers and the buffers of their executor multiply.  A smaller bound stays.
+    Rows that were shuffled are not dealt again (deal=False): asking for their
+    partitions would run the shuffle a first time.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = df.sparkSession.conf.get(key, None)
     if now is None or not now.isdigit() or not 0 < int(now) <= most:
         df.sparkSession.conf.set(key, str(most))
-    return spread(df)
+    return spread(df) if deal else df
 
 
 def text_hash(text: F.Column) -> F.Column:

@@ -254,7 +254,7 @@ def write_token_ids(documents: DataFrame, path: str, end_id: int = 0, folder: st
     width = 2 if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else 4
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    manifest = saved(in_batches(dealt).mapInArrow(_write(path, end_id, folder, width), "path string, part int, seq int, docs bigint, ids bigint"), "manifest")
+    manifest = saved(in_batches(dealt, deal=False).mapInArrow(_write(path, end_id, folder, width), "path string, part int, seq int, docs bigint, ids bigint"), "manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0).cast("bigint")))
 
