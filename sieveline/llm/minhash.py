@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, in_batches, keyed, removed, saved, sized
+from ._common import components, in_batches, in_slices, keyed, removed, saved, together
 from ._text import LOWER, mix, signed, single_spaced, slices, text_buffers, words
 
 BINS, BANDS = 512, 64
@@ -335,7 +335,9 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
 
     # Joins with tables that grow with the input are merged at every size, so that the plan is the same at every size.
     # A set of n is at most n / (n + 1) like an unequal one.
-    banded = sets.filter(F.lit(100) * F.col("n") >= percent * (F.col("n") + 1)).select("k", "bands").join(classes.select(F.col("rep").alias("k")).hint("merge"), "k", "left_semi").select("k", F.explode("bands").alias("band"))
+    # What isn't its class's smallest goes; bands, which are most of the rows' bytes, stay where they are.
+    copies = saved(sets.filter("n > 0").select("k", "set").join(classes.filter("copies > 1").hint("merge"), "set").filter("k <> rep").select("k").distinct(), "copies")
+    banded = together(in_slices(sets.filter((F.col("n") > 0) & (F.lit(100) * F.col("n") >= percent * (F.col("n") + 1))).select("k", "bands"), copies, ["k"], "left_anti")).select("k", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("k").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
     pairs = saved(banded.join(shared.hint("merge"), "band").filter("k <> hub").select("hub", "k").distinct(), "pairs")
 
@@ -350,9 +352,15 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
     place = F.pmod(F.xxhash64("k"), "chunks").cast("int")
     members = groups.select("hub", place.alias("chunk"), "k")
     hubs = groups.select("hub", "chunks").distinct().select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("k"))
-    rows = saved(members.unionByName(hubs), "members")
-    dealt = docs.select("k", "text").join(sized(rows), "k").select("hub", "chunk", "k", "text").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "k")  # the hub is its group's smallest
-    links = saved(dealt.mapInArrow(_chunk_links(w, percent), f"a {key}, b {key}"), "links")
+    rows = saved(members.unionByName(hubs).select("hub", "chunk", "k"), "members")
+    texts = docs.select("k", "text")
+
+    def dealt(rows, by, links):
+        """Links of the groups of saved rows, slice by slice: whole groups, so that one slice at a time is broadcast and texts move once for each group."""
+        parts = in_slices(texts, rows, ["k"], by=by)
+        return together([saved(part.select(*rows.columns, "text").repartition(*by).sortWithinPartitions(*by, "k").mapInArrow(links(w, percent), f"a {key}, b {key}"), "links") for part in parts])
+
+    links = dealt(rows, ["hub", "chunk"], _chunk_links)  # the hub is its group's smallest
     joined = components(links)
 
     # Members of one chunk are joined or compared.  Two of different chunks are still to be, unless they are in one component.
@@ -365,18 +373,18 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
         few = left.filter(F.col("loose") <= CHUNK)
         whole = few.select("hub", F.lit(0).alias("a"), F.col("chunk").alias("b"), F.lit(False).alias("loose"), "k", "component")
         loose = few.filter("component <> largest").select("hub", F.lit(0).alias("a"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b"), F.lit(True).alias("loose"), "k", "component")
-        rows_ = saved(whole.unionByName(loose), "loose")
-        dealt = docs.select("k", "text").join(sized(rows_), "k").select("hub", "a", "b", "loose", "k", "component", "text").repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b")
-        found = saved(dealt.mapInArrow(_loose_links(w, percent), f"a {key}, b {key}"), "links")
+        rows_ = saved(whole.unionByName(loose).select("hub", "a", "b", "loose", "k", "component"), "loose")
+        found = dealt(rows_, ["hub", "a", "b"], _loose_links)
         # More of them would meet in a square of chunks: they meet by their rarest shingles.
         many = left.filter(F.col("loose") > CHUNK).select("hub", "k", "component")
-        listed = saved(docs.select("k", "text").join(sized(many), "k").select("text", "hub", "k", "component").mapInArrow(_listed_sets(w), f"hub {key}, k {key}, component {key}, s array<string>, x array<bigint>"), "listed")
+        listed_ = [saved(part.select("text", "hub", "k", "component").mapInArrow(_listed_sets(w), f"hub {key}, k {key}, component {key}, s array<string>, x array<bigint>"), "listed") for part in in_slices(texts, many, ["k"])]
+        listed = together(listed_)
         if not listed.isEmpty():
             found = found.unionByName(saved(_piece_links(listed, percent), "links"))
-        removed(left, rows_, listed)
+        removed(left, rows_, *listed_)
         if not found.isEmpty():
             joined = components(links.unionByName(found))
-    removed(pairs, groups, rows)
+    removed(pairs, groups, rows, copies)
 
     joined = joined.withColumnRenamed("node", "rep")
     group = classes.join(joined, "rep", "left").select("set", F.coalesce("component", "rep").alias("component"))
