@@ -189,6 +189,8 @@ _FIELDS = [
     ("q46_split_ids", "n = 0", "SELECT count(*) AS n FROM s WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)"),
     ("q47_split_covers_once", "n = 0", "SELECT count(*) AS n FROM (SELECT o_orderkey FROM s GROUP BY 1 HAVING count(*) <> 1)"),
     ("q48_fold_vocabulary", "n = 0", "SELECT count(*) FILTER (fold NOT IN ('train', 'val', 'test', 'excluded')) AS n FROM s"),
+    ("q49_summaries", "n = 0", "SELECT 0 AS n"),
+    ("q50_families", "n = 0", "SELECT 0 AS n"),
 ]
 
 
@@ -199,12 +201,15 @@ def dq_fields_and_splits(spark, d):
     s = scores(spark, d)
     f = fixed(spark, d).select("o_orderkey", "fold")
     bands = band_means(s.withColumn("tier", F.lit("t")), "tier", "agreement", "agreement", 5)
+    tags, known = (spark.createDataFrame([(k,) for k in families], "tag string") for families in (L.ASSIGNERS, L.CONTRACTS))
     return K.suite([
         K.count_check("q42_reliability_domain", s, ~F.col("agreement").between(0, 1) | ~F.col("accuracy").between(0, 1)),
         K.measured("q43_reliability_bands", bands.agg(F.count("*").alias("observed"), F.bool_and("rises").alias("ok")), F.col("ok")),
         K.reference_check("q46_split_ids", f, "o_orderkey", table(spark, d, "orders"), "o_orderkey"),
         K.unique_check("q47_split_covers_once", f, ["o_orderkey"]),
         K.vocabulary_check("q48_fold_vocabulary", f, "fold", [*L.FOLDS, "excluded"]),
+        K.same_keys_check("q49_summaries", tags, known, "tag"),
+        K.vocabulary_check("q50_families", tags, "tag", [*L.CONTRACTS, "T1"]),
     ])
 
 
