@@ -14,14 +14,27 @@ def distance_join(residues: DataFrame, ligand: DataFrame, cutoff: float = 15.0)
     """Least distance of each (system, res_row, atom_idx) within the cutoff, and the distance to the residue's anchor.
 
     residues: system, res_row, is_anchor, x, y, z (a row for each heavy atom);
-    ligand: system, atom_idx, x, y, z.  An equi-join on the system, then the
-    theta condition; d_anchor is null where a residue has no anchor atom.
+    ligand: system, atom_idx, x, y, z.  Atoms meet in square columns as wide as
+    the cutoff, a ligand atom in its own and the eight around it, so no system
+    is one key; then the theta condition.  d_anchor is null where a residue has
+    no anchor atom.
     """
-    left = residues.select("system", "res_row", "is_anchor", *[F.col(c).alias(f"r{c}") for c in XYZ])
-    pairs = left.join(ligand.select("system", "atom_idx", *XYZ), "system")
+    bands = lambda df: df.withColumn("band", F.floor(F.col("x") / cutoff)).withColumn("lane", F.floor(F.col("y") / cutoff))
+    left = bands(residues).select("system", "band", "lane", *[F.col(c).alias(f"r{c}") for c in XYZ], "res_row")
+    steps = [F.struct((F.col("band") + i).alias("band"), (F.col("lane") + j).alias("lane")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    right = bands(ligand).select("system", "atom_idx", *XYZ, F.inline(F.array(*steps)))
     d = F.sqrt(squared_distance([F.col(f"r{c}") for c in XYZ], [F.col(c) for c in XYZ]))
-    out = pairs.groupBy("system", "res_row", "atom_idx").agg(F.min(d).alias("d_min"), F.min(F.when(F.col("is_anchor"), d)).alias("d_anchor"))
-    return out.filter(F.col("d_min") <= cutoff)
+    near = left.join(right, ["system", "band", "lane"]).filter(d <= cutoff)
+    hits = near.groupBy("system", "res_row", "atom_idx").agg(F.min(d).alias("d_min"))
+    return _with_anchors(hits, residues, ligand)
+
+
+def _with_anchors(hits: DataFrame, residues: DataFrame, ligand: DataFrame) -> DataFrame:
+    """The hits with the distance to the residue's anchor, wherever that lies."""
+    d = F.sqrt(squared_distance([F.col(f"r{c}") for c in XYZ], [F.col(c) for c in XYZ]))
+    anchors = residues.filter("is_anchor").select("system", "res_row", *[F.col(c).alias(f"r{c}") for c in XYZ])
+    full = hits.join(anchors, ["system", "res_row"], "left").join(ligand.select("system", "atom_idx", *XYZ), ["system", "atom_idx"])
+    return full.groupBy("system", "res_row", "atom_idx").agg(F.first("d_min").alias("d_min"), F.min(d).alias("d_anchor"))
 
 
 def _cells_around(cutoff: float) -> Column:
@@ -40,9 +53,7 @@ def distance_join_grid(residues: DataFrame, ligand: DataFrame, cutoff: float = 1
     d = F.sqrt(squared_distance([F.col(f"r{c}") for c in XYZ], [F.col(c) for c in XYZ]))
     near = left.join(right, ["system", *[f"c{c}" for c in XYZ]]).withColumn("d", d).filter(F.col("d") <= cutoff)
     hits = near.groupBy("system", "res_row", "atom_idx").agg(F.min("d").alias("d_min"))
-    anchors = residues.filter("is_anchor").select("system", "res_row", *[F.col(c).alias(f"r{c}") for c in XYZ])
-    full = hits.join(anchors, ["system", "res_row"], "left").join(ligand.select("system", "atom_idx", *XYZ), ["system", "atom_idx"])
-    return full.groupBy("system", "res_row", "atom_idx").agg(F.first("d_min").alias("d_min"), F.min(d).alias("d_anchor"))
+    return _with_anchors(hits, residues, ligand)
 
 
 def flags(contacts: DataFrame, thresholds: tuple[float, ...] = (4, 5, 8), column: str = "d_min") -> DataFrame:
