@@ -1,8 +1,9 @@
-"""Matching of labelled graphs: colour refinement in rounds of joins, then exact search inside colour classes.
+"""Matching of labelled graphs: colour refinement, then exact search inside colour classes.
 
 nodes: graph, node, label.  edges: graph, a, b, label, undirected, each once.
-A graph is small (a molecule); there may be any number of them, and all are
-refined in the same rounds.  Colours of different graphs are comparable.
+A graph is small (a molecule); there may be any number of them.  colours()
+refines all in the same rounds of joins, and colours of different graphs are
+comparable; a pair that is matched is refined where its graphs meet.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .iterate import cut, removed
 
 #: Matches of two graphs that are listed, and partial ones that are tried at most before a pair counts as undecided.
 MOST, STEPS = 64, 1_000_000
+#: Forms of pairs of graphs whose maps a task remembers.
+FORMS = 20_000
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -50,7 +53,7 @@ def colours(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"colours still change after {rounds} rounds")
 
 
-def _search(one: list[str], near_one: dict, two: list[str], near_two: dict, most: int, steps: int) -> tuple[list[tuple[int, ...]], bool]:
+def _search(one: list, near_one: list[dict], two: list, near_two: list[dict], most: int, steps: int) -> tuple[list[tuple[int, ...]], bool]:
     """Maps from places of two to places of one that keep colours and edges, in lexicographic order; and whether the search was cut short."""
     places: dict[str, list[int]] = {}
     for i, c in enumerate(one):
@@ -90,6 +93,104 @@ def _search(one: list[str], near_one: dict, two: list[str], near_two: dict, most
     return found, False
 
 
+def _all_maps(one: list, near_one: list[dict], two: list, near_two: list[dict], most: int, steps: int) -> list[tuple[int, ...]] | None:
+    """All maps as _search() lists them, if they are no more than most; else, or after so many steps, None.
+
+    Places of two are taken from neighbour to neighbour, so a partial map that leads nowhere ends soon.
+    """
+    places: dict = {}
+    for i, c in enumerate(one):
+        places.setdefault(c, []).append(i)
+    n, order, met = len(two), [], {}
+    rare = lambda i: (len(places.get(two[i], ())), i)
+    left = set(range(n))
+    while left:
+        beside = [i for i in left if any(j in met for j in near_two[i])]
+        i = min(beside or left, key=rare)
+        # Its neighbours that are placed before it.
+        order.append((i, [(j, label) for j, label in near_two[i].items() if j in met]))
+        met[i] = True
+        left.discard(i)
+    found: list[tuple[int, ...]] = []
+    at: list[int] = [-1] * n
+    used: set[int] = set()
+
+    def fits(k: int) -> Iterator[int]:
+        i, before = order[k]
+        for x in near_one[at[before[0][0]]] if before else places.get(two[i], ()):
+            if x not in used and one[x] == two[i] and all(near_one[x].get(at[j]) == label for j, label in before) and sum(y in used for y in near_one[x]) == len(before):
+                yield x
+
+    stack, tried = [fits(0)], 0
+    while stack:
+        tried += 1
+        if tried > steps:
+            return None
+        x = next(stack[-1], None)
+        if x is None:
+            stack.pop()
+            if stack:
+                i = order[len(stack) - 1][0]
+                used.discard(at[i])
+            continue
+        i = order[len(stack) - 1][0]
+        at[i] = x
+        if len(stack) == n:
+            found.append(tuple(at))
+            if len(found) > most:
+                return None
+        else:
+            used.add(x)
+            stack.append(fits(len(stack)))
+    return sorted(found)
+
+
+def _graphs(nodes, edges) -> Iterator[tuple[list, tuple, tuple]]:
+    """Of each row's graph: its nodes, their labels, and its edges between places as (place, place, label)."""
+    flat = nodes.flatten()
+    names, labels = flat.field("node").to_pylist(), flat.field("l").to_pylist()
+    flat = edges.flatten()
+    lines = list(zip(flat.field("a").to_pylist(), flat.field("b").to_pylist(), flat.field("l").to_pylist(), strict=True))
+    at = to = 0
+    for n, m in zip(nodes.value_lengths().fill_null(0).to_pylist(), edges.value_lengths().fill_null(0).to_pylist(), strict=True):
+        own = names[at : at + n]
+        place = {x: i for i, x in enumerate(own)}
+        yield own, tuple(labels[at : at + n]), tuple((place[a], place[b], label) for a, b, label in lines[to : to + m])
+        at, to = at + n, to + m
+
+
+def _near(n: int, edges: tuple) -> list[dict]:
+    near: list[dict] = [{} for _ in range(n)]
+    for a, b, label in edges:
+        near[a][b] = near[b][a] = label
+    return near
+
+
+def _refined(labels: list, near: list[dict]) -> list[int]:
+    """The coarsest stable colours of nodes that begin with their labels."""
+    kinds: dict = {}
+    colour = [kinds.setdefault(x, len(kinds)) for x in labels]
+    while True:
+        last, kinds = len(kinds), {}
+        colour = [kinds.setdefault((c, tuple(sorted((label, colour[j]) for j, label in x.items()))), len(kinds)) for c, x in zip(colour, near, strict=True)]
+        if len(kinds) == last:
+            return colour
+
+
+def _maps(labels_one: tuple, edges_one: tuple, labels_two: tuple, edges_two: tuple, most: int, steps: int) -> tuple[str, list]:
+    """The status and the maps of two graphs with as many nodes."""
+    n = len(labels_one)
+    one, two = _near(n, edges_one), _near(n, edges_two)
+    # Both at once, so that equal colours mean the same in both.
+    colour = _refined([*labels_one, *labels_two], [*one, *({j + n: label for j, label in x.items()} for x in two)])
+    if sorted(colour[:n]) != sorted(colour[n:]):
+        return "none", []
+    found, short = _all_maps(colour[:n], one, colour[n:], two, most, steps), False
+    if found is None:
+        found, short = _search(colour[:n], one, colour[n:], two, most, steps)
+    return "undecided" if short and not found else "matched" if found else "none", found
+
+
 def matches(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, most: int = MOST, steps: int = STEPS) -> DataFrame:
     """(ref, pose, status, n_matches, ambiguous, maps) for pairs (ref, pose) of graphs.
 
@@ -102,38 +203,31 @@ def matches(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, most: int = MO
 
     kind = nodes.schema["node"].dataType.simpleString()
     graph = pairs.schema["ref"].dataType.simpleString()
-    known = colours(nodes, edges)
-    # A pair's two graphs in one place: each is small.
-    form = known.groupBy("graph").agg(F.sort_array(F.collect_list(F.struct("node", "colour"))).alias("nodes"))
-    lines = edges.select("graph", "a", "b", F.coalesce(F.col("label").cast("string"), F.lit("?")).alias("l")).groupBy("graph").agg(F.collect_list(F.struct("a", "b", "l")).alias("edges"))
+    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?")).alias("l")
+    # A pair's two graphs in one place: each is small, so its colours are refined there and no round is a join.
+    form = nodes.groupBy("graph").agg(F.sort_array(F.collect_list(F.struct("node", word("label")))).alias("nodes"))
+    lines = edges.groupBy("graph").agg(F.sort_array(F.collect_list(F.struct("a", "b", word("label")))).alias("edges"))
     form = cut(form.join(lines, "graph", "left"))
     two = pairs.select("ref", "pose").distinct()
     for side in ("ref", "pose"):
         two = two.join(form.select(F.col("graph").alias(side), F.col("nodes").alias(f"{side}_nodes"), F.coalesce("edges", F.array()).alias(f"{side}_edges")), side, "left")
 
-    def read(cell_nodes, cell_edges):
-        names = [x["node"] for x in cell_nodes or []]
-        place = {x: i for i, x in enumerate(names)}
-        near: dict = {i: {} for i in range(len(names))}
-        for e in cell_edges or []:
-            a, b = place[e["a"]], place[e["b"]]
-            near[a][b] = near[b][a] = e["l"]
-        return names, [x["colour"] for x in cell_nodes or []], near
-
     def run(batches):
+        seen: dict = {}
         for b in batches:
             out: list[tuple] = []
-            for row in b.to_pylist():
-                ref, one, near_one = read(row["ref_nodes"], row["ref_edges"])
-                _, two_, near_two = read(row["pose_nodes"], row["pose_edges"])
-                if len(one) != len(two_) or not one:
-                    out.append((row["ref"], row["pose"], "sizes_differ", 0, False, []))
-                elif sorted(one) != sorted(two_):
-                    out.append((row["ref"], row["pose"], "none", 0, False, []))
-                else:
-                    found, short = _search(one, near_one, two_, near_two, most, steps)
-                    status = "undecided" if short and not found else "matched" if found else "none"
-                    out.append((row["ref"], row["pose"], status, len(found), len(found) > 1, [[ref[i] for i in m] for m in found]))
+            for ref, pose, (names, *one), (_, *other) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _graphs(b.column(2), b.column(3)), _graphs(b.column(4), b.column(5)), strict=True):
+                if len(one[0]) != len(other[0]) or not names:
+                    out.append((ref, pose, "sizes_differ", 0, False, []))
+                    continue
+                # Graphs of the same form have the same maps of places; so many forms are remembered.
+                key = (*one, *other)
+                if key not in seen:
+                    if len(seen) >= FORMS:
+                        seen.clear()
+                    seen[key] = _maps(*key, most, steps)
+                status, found = seen[key]
+                out.append((ref, pose, status, len(found), len(found) > 1, [[names[i] for i in m] for m in found]))
             if out:
                 cols = list(zip(*out, strict=True))
                 node = b.schema.field("ref_nodes").type.value_type.field("node").type
