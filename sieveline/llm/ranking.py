@@ -31,6 +31,8 @@ from ._text import ALNUM, LOWER, text_buffers, words
 
 #: Bytes of text, and documents, of a block; a longer text is a block of its own.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 17, 64
+#: Of the saved index: a row group is what a task that reads it holds at once, up to 4,096 rows, and a row is hundreds of kilobytes here.
+GROUPS = {"parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "10"}
 #: Blocks scored for a query in the first round, and by how much each round has more.
 FIRST, MORE = 4, 8
 #: Queries that go to a block together.
@@ -75,7 +77,7 @@ def build_index(documents: DataFrame) -> DataFrame:
     """The forward index of documents (doc_id, text) in blocks, as a saved table; block numbers them."""
     docs = in_batches(documents).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     schema = "ids array<long>, n array<long>, terms array<string>, doc array<int>, code array<int>, tf array<int>"
-    return saved(docs.mapInArrow(_blocks, schema).withColumn("block", F.monotonically_increasing_id()), "index")
+    return saved(docs.mapInArrow(_blocks, schema).withColumn("block", F.monotonically_increasing_id()), "index", **GROUPS)
 
 
 def _impact(tf: np.ndarray, n: np.ndarray, count: int, length: int) -> np.ndarray:
