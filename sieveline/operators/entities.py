@@ -72,6 +72,12 @@ def symmetric_difference(left: DataFrame, right: DataFrame, key: str) -> DataFra
     return only_in(left, right, key).withColumn("side", F.lit("left")).unionByName(only_in(right, left, key).withColumn("side", F.lit("right")))
 
 
+def difference(left: DataFrame, right: DataFrame, by: str, tasks: int) -> DataFrame:
+    """Distinct rows of left that right lacks, nulls being alike, as EXCEPT gives them; dealt by a column to so many tasks, and by that column they stay."""
+    both = left.withColumn("_left", F.lit(True)).unionByName(right.withColumn("_left", F.lit(False))).repartition(tasks, by)
+    return both.groupBy(*left.columns).agg(F.bool_and("_left").alias("_left")).filter("_left").drop("_left")
+
+
 def same_rows(left: DataFrame, right: DataFrame) -> bool:
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
 
@@ -81,14 +87,16 @@ def in_interval(points: DataFrame, spans: DataFrame, by: str, point: str) -> Dat
     return points.join(spans, by).filter((F.col(point) >= F.col("offset")) & (F.col(point) < F.col("offset") + F.col("size")))
 
 
-def remapped(predicted: DataFrame, deposited: DataFrame) -> DataFrame:
+def remapped(predicted: DataFrame, deposited: DataFrame, tasks: int | None = None) -> DataFrame:
     """(system, chain, pos) to (system, row) by the chain's name, and whether a system's rows are a permutation of 0..n-1.
 
     predicted: system, chain, pos; deposited: system, chain, offset, size.
+    Each shuffle is cut to so many tasks, by default as the session says.
     """
-    rows = predicted.join(deposited, ["system", "chain"], "left").select("system", (F.col("offset") + F.col("pos")).alias("row"), (F.col("pos") < F.col("size")).alias("inside"))
-    total = deposited.groupBy("system").agg(F.sum("size").alias("n"))
-    per = rows.groupBy("system").agg(F.count("row").alias("rows"), F.count_distinct("row").alias("distinct_rows"), F.min("row").alias("low"), F.max("row").alias("high"), F.coalesce(F.bool_and("inside"), F.lit(False)).alias("inside"))
+    dealt = lambda df, *c: df.repartition(tasks, *c) if tasks else df
+    rows = dealt(predicted, "system", "chain").join(dealt(deposited, "system", "chain"), ["system", "chain"], "left").select("system", (F.col("offset") + F.col("pos")).alias("row"), (F.col("pos") < F.col("size")).alias("inside"))
+    total = dealt(deposited, "system").groupBy("system").agg(F.sum("size").alias("n"))
+    per = dealt(rows, "system").groupBy("system").agg(F.count("row").alias("rows"), F.count_distinct("row").alias("distinct_rows"), F.min("row").alias("low"), F.max("row").alias("high"), F.coalesce(F.bool_and("inside"), F.lit(False)).alias("inside"))
     ok = F.col("inside") & (F.col("rows") == F.col("n")) & (F.col("distinct_rows") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1)
     return per.join(total, "system").select("system", "rows", ok.alias("is_permutation"))
 
