@@ -40,6 +40,8 @@ from ._text import LOWER, mix, signed, single_spaced, slices, text_buffers, word
 BINS, BANDS = 512, 64
 #: Members, and bytes of their texts, of a chunk of a group; a longer text is a chunk of its own.
 CHUNK, CHUNK_BYTES = 1024, 4 << 20
+#: Bands that are shuffled at once, of all documents: a larger table takes some of its 64 bands after the others.
+BAND_ROWS = 32_000_000
 
 _U = np.uint64
 
@@ -337,9 +339,18 @@ def near_duplicates(documents: DataFrame, w: int = 5, percent: int = 80) -> Data
     # A set of n is at most n / (n + 1) like an unequal one.
     # What isn't its class's smallest goes; bands, which are most of the rows' bytes, stay where they are.
     copies = saved(sets.filter("n > 0").select("k", "set").join(classes.filter("copies > 1").hint("merge"), "set").filter("k <> rep").select("k").distinct(), "copies")
-    banded = together(in_slices(sets.filter((F.col("n") > 0) & (F.lit(100) * F.col("n") >= percent * (F.col("n") + 1))).select("k", "bands"), copies, ["k"], "left_anti")).select("k", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("k").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
-    pairs = saved(banded.join(shared.hint("merge"), "band").filter("k <> hub").select("hub", "k").distinct(), "pairs")
+    banded = together(in_slices(sets.filter((F.col("n") > 0) & (F.lit(100) * F.col("n") >= percent * (F.col("n") + 1))).select("k", "bands"), copies, ["k"], "left_anti")).select("k", "bands")
+    # Buckets are of one band, so bands may go one after the other, and disk holds the shuffles of a few.
+    step = max(1, min(BANDS, BAND_ROWS // max(1, classes.count())))
+    found = []
+    for first in range(1, BANDS + 1, step):
+        some = banded.select("k", F.explode(F.slice("bands", first, step)).alias("band"))
+        shared = some.groupBy("band").agg(F.min("k").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
+        found.append(saved(some.join(shared.hint("merge"), "band").filter("k <> hub").select("hub", "k").distinct(), "pairs"))
+    pairs = found[0]
+    if len(found) > 1:
+        pairs = saved(together(found).distinct(), "pairs")
+        removed(*found)
 
     sizes = sets.select("k", "n", "size")
     sizes = sizes if key == "bigint" else sizes.dropDuplicates(["k"])
